@@ -6,25 +6,76 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.cube_mix import mix
+from quillon.llm.decontaminate import contaminations
+from quillon.llm.html_template import extract
+from quillon.llm.metric_join import metric_links
 from quillon.llm.near_minhash import near_duplicates
+from quillon.llm.ppm import score
+from quillon.llm.quality_ordinal import quality
 from quillon.llm.substring_dedup import substring_dedup
+from quillon.llm.toxicity import toxicity
+from quillon.llm.url_rules import judge
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_cube_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents")).drop("tag")
+
+
+def op2_html_template(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
 def op3_debruijn_spans(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup(table(spark, folder, "documents")).drop("kept_text")
 
 
+def op4_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(table(spark, folder, "pages"))
+
+
+def op5_toxicity_zstd(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op6_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return score(table(spark, folder, "documents"))
+
+
+def op7_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_metric_join(spark: SparkSession, folder: str) -> DataFrame:
+    return metric_links(table(spark, folder, "embeddings"))
+
+
 def op9_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_debruijn_spans": op3_debruijn_spans,
-    "op9_hyperminhash": op9_hyperminhash,
+    f.__name__: f
+    for f in (
+        op1_cube_mix,
+        op2_html_template,
+        op3_debruijn_spans,
+        op4_url_rules,
+        op5_toxicity_zstd,
+        op6_ppm,
+        op7_ordinal_quality,
+        op8_metric_join,
+        op9_hyperminhash,
+        op10_pigeonhole,
+    )
 }
 
 ORACLES: dict[str, str] = {}

@@ -21,9 +21,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillon.llm.arrays import Rolling, Words, signed, slices, sliding_min, text_buffers
 from quillon.llm.store import durable
@@ -131,6 +133,17 @@ def removed(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordB
             )
 
 
+@F.pandas_udf(StringType())
+def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Each text without the words of its marked windows, joined by single blanks."""
+    out = []
+    for text, marks in zip(texts, spans, strict=True):
+        own = (text or "").encode().split()
+        gone = covered(len(own), [] if marks is None else list(marks), SPAN)
+        out.append(b" ".join(w for w, g in zip(own, gone.tolist(), strict=True) if not g).decode("utf-8", "replace"))
+    return pd.Series(out, dtype=object)
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, variant, start, n): runs of n windows that also start in a document with a smaller id.
 
