@@ -8,18 +8,18 @@ number of words) until nearly all are 0 or 1:
 * flight: blocks of at most BLOCK documents of one source move independently, each leaving at most
   two undecided; what is left meets in blocks again, until every source fits one block.  A hot source
   is many blocks, and no group ever holds more than about BLOCK rows.
-* landing: the last two or fewer of a source are decided together, for the least error in words.
+* landing: the last two or fewer of a source, with RESERVE documents of it that were kept out of the
+  flight (those with the least hashes), are decided together for the least error in words.
 
-Documents go through a flight from large to small, so those left to the landing are small.
 Directions are drawn from a hash of the document, hence reruns agree.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ from quillon.llm.store import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 512
+RESERVE = 11
 MOST_TIMES = 3
 WEIGHTS = (1, 2, 3)
 TINY = 1e-9
@@ -104,12 +105,13 @@ def flight(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def landing(block: pd.DataFrame) -> pd.DataFrame:
-    """Decides the last documents of a source together: the least error in words, then in documents."""
+    """Decides the last documents of a source together: the least error in words, and then in documents."""
     block = block.sort_values(["size", "doc_id", "tag"], ascending=[False, True, True], kind="stable")
-    size, p = block["size"].tolist(), block["p"].tolist()
-    words, docs = sum(s * x for s, x in zip(size, p, strict=True)), sum(p)
-    best = min(itertools.product((0, 1), repeat=len(p)), key=lambda t: (abs(sum(s * x for s, x in zip(size, t, strict=True)) - words), abs(sum(t) - docs), t))
-    block["p"] = [float(x) for x in best]
+    size, p = block["size"].to_numpy(dtype=float), block["p"].to_numpy(dtype=float)
+    choice = (np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1
+    words, count = np.abs(choice @ size - size @ p), np.abs(choice.sum(axis=1) - p.sum())
+    # a document too many or too few weighs as much as two hundredths of a mean document's words
+    block["p"] = choice[np.argmin(words / max(1.0, size.mean()) + 0.02 * count)].astype(float)
     return block[["doc_id", "size", "source", "ratio", "p", "tag"]]
 
 
@@ -122,17 +124,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tag"))
     rows = durable(rows)
     targets = durable(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), total_share))
+    small = targets.limit(10_001).count() <= 10_000
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = rows.join(F.broadcast(targets) if targets.limit(10_001).count() <= 10_000 else targets, rows["source"].eqNullSafe(targets["source"])).select("doc_id", "size", rows["source"], ratio.alias("ratio"), "tag")
+    units = rows.join(F.broadcast(targets) if small else targets, rows["source"].eqNullSafe(targets["source"])).select("doc_id", "size", rows["source"], ratio.alias("ratio"), "tag")
     part = F.col("ratio") - F.floor("ratio")
     settled = F.round(part, 9).isin(0.0, 1.0) | (F.col("size") == 0)
     done = [units.where(settled).select("doc_id", "size", "source", "ratio", F.round(part, 9).alias("p"), "tag")]
     live = units.where(~settled).select("doc_id", "size", "source", "ratio", part.alias("p"), "tag")
+    least = F.row_number().over(Window.partitionBy("source").orderBy("tag", "doc_id", "size"))
+    reserve = durable(live.withColumn("r", least).where(F.col("r") <= RESERVE).drop("r"))
+    mark = reserve.groupBy(F.col("source").alias("of")).agg(F.max(F.struct("tag", "doc_id", "size")).alias("upto"))
+    live = live.join(F.broadcast(mark) if small else mark, F.col("source").eqNullSafe(F.col("of"))).where(F.struct("tag", "doc_id", "size") > F.col("upto")).drop("of", "upto")
     count = rows.groupBy("source").count()
     step = 0
     while True:
         blocks = count.select(F.col("source").alias("of"), F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).alias("blocks"))
-        blocks = F.broadcast(blocks) if targets.limit(10_001).count() <= 10_000 else blocks
+        blocks = F.broadcast(blocks) if small else blocks
         keyed = live.join(blocks, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("tag", F.lit(step)), F.col("blocks")))
         moved = durable(keyed.groupBy("source", "block").applyInPandas(lambda x: flight(x), UNITS))
         undecided = (F.col("p") > 0) & (F.col("p") < 1)
@@ -142,10 +149,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         step += 1
         if not count.where(F.col("count") > 2).limit(1).count():
             break
-    done.append(durable(live.groupBy("source").applyInPandas(lambda x: landing(x), UNITS)))
+    done.append(durable(live.union(reserve).groupBy("source").applyInPandas(lambda x: landing(x), UNITS)))
     taken = done[0]
     for more in done[1:]:
         taken = taken.union(more)
     copies = (F.floor("ratio") + F.col("p")).cast("long")
-    both = taken.join(F.broadcast(targets) if targets.limit(10_001).count() <= 10_000 else targets, taken["source"].eqNullSafe(targets["source"]))
+    both = taken.join(F.broadcast(targets) if small else targets, taken["source"].eqNullSafe(targets["source"]))
     return both.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("tag"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.deploy import ship
 from quillon.llm.cube_mix import mix
 from quillon.llm.decontaminate import contaminations
 from quillon.llm.html_template import extract
@@ -19,6 +20,7 @@ from quillon.llm.url_rules import judge
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

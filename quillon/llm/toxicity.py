@@ -1,17 +1,20 @@
 """Toxicity by compression distance: two zstandard dictionaries, one for each class.
 
-A text is read in windows, each one run of letters set between blanks after a fixed carrier, which
-keeps zstandard from storing so short an input raw.  A window is toxic-like if the toxic dictionary
-holds it (its frame is little longer than that of the carrier) while the ordinary one needs MARGIN
-bytes more.  Texts score by a logistic fit on how many windows are toxic-like.
+A text is read in windows, each one run of letters between blanks.  Its frame is that of the window
+between a fixed head and tail that both dictionaries hold; without them zstandard would store so
+short an input raw and look for no match near its end.  A window is toxic-like if its frame is a
+margin shorter under the toxic dictionary than under the ordinary one.  Texts score by a logistic fit on how many windows are toxic-like.
 
 Training, on at most SAMPLE labelled rows of each class (a documented bound; the rows with the
 least hash of their id), each distinct text once:
 
 * the ordinary dictionary gets the most widespread ordinary windows, up to ORDINARY_BYTES;
-* candidates are the windows of many toxic texts; those that the ordinary dictionary compresses badly,
-  but a dictionary of candidates well, are ranked by the share of toxic texts that have them;
-* the toxic dictionary's length, the margin and the logistic weights are calibrated on other texts
+* candidates are windows that stand in CONTRAST times the share of toxic texts that they have of
+  ordinary ones; those that the ordinary dictionary compresses badly, but a dictionary of candidates
+  well, are ranked by both shares;
+* the toxic dictionary holds the common words of both kinds of text and, nearer to its end, those
+  windows, so that a shorter frame can only come from toxic windows or their stems;
+* the number of its toxic windows, the margin and the logistic weights are calibrated on other texts
   than those which ranked the windows (two halves that change roles).
 
 Scoring is one pass over whole texts; a worker keeps frame lengths of windows seen, within a bound.
@@ -30,13 +33,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 6000
-ORDINARY_BYTES = 65_536
-CARRIER = b"~0123456789~abcdefghijklmnopqrstuvwxyz~"
+SAMPLE = 4000
+ORDINARY_BYTES = 32_768
+HEAD, TAIL = b"~0123456789~abcdefghijklmnopqrstuvwxyz~", b"~ZYXWVUTSRQPO~"
 WINDOW = re.compile(r"[^\W\d_]+")
-LENGTHS = (1, 2, 3, 5, 8, 10, 12, 16, 24, 32, 64, 128)
-MARGINS = (2, 3)
-MEMO = 200_000
+CONTRAST = 4
+LENGTHS = (8, 12, 24, 48, 96, 192)
+MARGINS = (2, 3, 4)
+MEMO = 400_000
+#: Optimal parsing over a binary tree: faster searches miss short matches in a long dictionary.
+STRATEGY = zstandard.STRATEGY_BTULTRA
 PREDICTED = 0.7
 #: A class prior for texts without windows, and the weight of the penalty on the logistic weights.
 RIDGE = 0.5
@@ -63,13 +69,13 @@ class Coder:
     def __init__(self, content: bytes):
         self.content = content
         parameters = zstandard.ZstdCompressionParameters.from_level(
-            19, min_match=3, strategy=zstandard.STRATEGY_BTULTRA, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False
+            19, min_match=3, strategy=STRATEGY, window_log=17, hash_log=16, chain_log=16, write_content_size=False, write_checksum=False, write_dict_id=False
         )
-        held = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held = zstandard.ZstdCompressionDict(content + TAIL + HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.coder = zstandard.ZstdCompressor(dict_data=held, compression_params=parameters)
 
     def cost(self, window: bytes) -> int:
-        return len(self.coder.compress(CARRIER + window))
+        return len(self.coder.compress(HEAD + window + TAIL))
 
 
 class Pair:
@@ -141,17 +147,28 @@ def by_spread(count: Counter, least: int = 2) -> list[bytes]:
     return [w for w, n in sorted(count.items(), key=lambda x: (-x[1], x[0])) if n >= least]
 
 
-def hard_windows(ordinary: Coder, toxic: Counter, n_toxic: int) -> list[bytes]:
-    """Widespread toxic windows that only a dictionary of such windows compresses well."""
-    candidates = by_spread(toxic, max(2, round(0.01 * n_toxic)))
+def hard_windows(ordinary: Coder, toxic: Counter, n_toxic: int, plain: Counter, n_plain: int) -> list[bytes]:
+    """Windows far more spread in toxic texts that only a dictionary of such windows compresses well."""
+    share = lambda w: toxic[w] / n_toxic
+    times = lambda w: share(w) / ((plain[w] + 1) / (n_plain + 1))
+    candidates = [w for w in by_spread(toxic, max(2, round(0.003 * n_toxic))) if times(w) >= CONTRAST]
+    candidates.sort(key=lambda w: (-share(w) * np.log(times(w)), w))
     out = []
-    for lo in range(0, len(candidates), 256):
-        part = candidates[lo : lo + 256]
-        own = Coder(dictionary(part))
+    for lo in range(0, len(candidates), 128):
+        part = candidates[lo : lo + 128]
+        own = Coder(ordinary.content + dictionary(part))
         out += [w for w in part if ordinary.cost(w) - own.cost(w) >= min(MARGINS)]
     return out
 
 
+def dictionaries(own: list[list[bytes]], label: np.ndarray) -> tuple[Coder, list[bytes]]:
+    """The ordinary dictionary and the ranked toxic windows of some texts."""
+    toxic, plain = ([o for o, y in zip(own, label, strict=True) if y == v] for v in (1, 0))
+    many = spread(plain)
+    base = Coder(dictionary(by_spread(many)))
+    return base, hard_windows(base, spread(toxic), max(1, len(toxic)), many, len(plain))
+
+
 def train(rows: list[tuple[str, int]]) -> Pair:
     """A pair of dictionaries from (text, label) rows; neutral if a class is missing."""
     rows = sorted(set(rows))
@@ -161,33 +178,30 @@ def train(rows: list[tuple[str, int]]) -> Pair:
         prior = (label.sum() + 1) / (len(label) + 2) if len(label) else 0.5
         return Pair(b" ", b" ", min(MARGINS), (float(np.log(prior / (1 - prior))), 0.0, 0.0))
     half = np.arange(len(rows)) % 2
-    ordinary_half = []
-    ranked_half = []
+    sizes = np.array([len(o) for o in own])
+    hits: dict[tuple[int, int], np.ndarray] = {}
     for h in (0, 1):
-        base = Coder(dictionary(by_spread(spread([o for o, y, k in zip(own, label, half, strict=True) if y == 0 and k == h]))))
-        tox = [o for o, y, k in zip(own, label, half, strict=True) if y == 1 and k == h]
-        ordinary_half.append(base)
-        ranked_half.append(hard_windows(base, spread(tox), len(tox)))
-    best = None
-    for margin in MARGINS:
+        known, asked = half == h, np.flatnonzero(half != h)
+        base, ranked = dictionaries([o for o, k in zip(own, known, strict=True) if k], label[known])
+        distinct = sorted({w for i in asked for w in own[i]})
+        plain = [base.cost(w) for w in distinct]
         for length in LENGTHS:
-            features = np.zeros((len(rows), 2), dtype=int)
-            for h in (0, 1):
-                pair = Pair(ordinary_half[h].content, dictionary(ranked_half[h][:length]), margin, (0.0, 0.0, 0.0))
-                for i in np.flatnonzero(half != h):
-                    features[i] = sum(map(pair.like, own[i])), len(own[i])
-            weights = logistic(features, label)
-            p = probability(features, weights).clip(1e-6, 1 - 1e-6)
-            loss = -float(np.mean(label * np.log(p) + (1 - label) * np.log(1 - p)))
-            if best is None or loss < best[0] - 1e-9:
-                best = loss, margin, length, weights
-            if length > max(len(ranked_half[0]), len(ranked_half[1])):
-                break
+            coder = Coder(base.content + dictionary(ranked[:length]))
+            saved = {w: c - coder.cost(w) for w, c in zip(distinct, plain, strict=True)}
+            for margin in MARGINS:
+                count = hits.setdefault((margin, length), np.zeros(len(rows), dtype=int))
+                count[asked] = [sum(saved[w] >= margin for w in own[i]) for i in asked]
+    best = None
+    for (margin, length), count in hits.items():
+        features = np.stack([count, sizes], axis=1)
+        weights = logistic(features, label)
+        p = probability(features, weights).clip(1e-6, 1 - 1e-6)
+        loss = -float(np.mean(label * np.log(p) + (1 - label) * np.log(1 - p)))
+        if best is None or loss < best[0] - 1e-9:
+            best = loss, margin, length, weights
     _, margin, length, weights = best
-    base = Coder(dictionary(by_spread(spread([o for o, y in zip(own, label, strict=True) if y == 0]))))
-    tox = [o for o, y in zip(own, label, strict=True) if y == 1]
-    ranked = hard_windows(base, spread(tox), len(tox))
-    return Pair(base.content, dictionary(ranked[:length]), margin, weights)
+    base, ranked = dictionaries(own, label)
+    return Pair(base.content, base.content + dictionary(ranked[:length]), margin, weights)
 
 
 def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1):

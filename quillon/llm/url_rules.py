@@ -1,12 +1,13 @@
 """URL filters: fixed host/path rules first, association rules for the rest.
 
-A URL's items are its top-level label, the parts of its host, its path words (numbers as one item), its
-query names and its scheme.  URLs that a fixed rule decides are the labelled transactions, ``verdict=...``
+A URL's items are its site (the last two labels of its host), the other labels, its path words
+(numbers as one item), its query names and its scheme.  URLs that a fixed rule decides are the labelled transactions, ``verdict=...``
 being one more item.  Spark's FP-growth mines frequent item sets; association rules whose consequent is
 a verdict are pruned by confidence and support, and of two rules with the same verdict the more
 special is dropped unless it is more confident.  The rest is matched through an inverted index: a rule is
 filed under its rarest item, candidates are checked for all their items, and the strongest
-rule (confidence, support, items) decides; without one the verdict is allow.
+rule (confidence, support, items) decides; without one the verdict is allow.  A rule must name a
+site: evidence about one site says nothing about others.
 
 Where labels come with the data, ``labelled`` takes them instead of the fixed rules.
 """
@@ -63,14 +64,14 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 def items(url: Column, host: Column, path: Column) -> Column:
     """Distinct items of one URL."""
     labels = F.split(host, r"\.")
-    hosts = F.transform(labels, lambda x: F.concat(F.lit("host:"), x))
-    top = F.concat(F.lit("top:"), F.element_at(labels, -1))
+    hosts = F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), lambda x: F.concat(F.lit("host:"), x))
+    site = F.array(F.concat(F.lit("site:"), F.substring_index(host, ".", -2)))
     words = F.filter(F.split(path, "/"), lambda x: x != "")
     paths = F.transform(words, lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, "[0-9]+", "<n>")))
     query = F.regexp_extract_all(url, F.lit(r"[?&]([A-Za-z_]+)="), F.lit(1))
     names = F.transform(query, lambda x: F.concat(F.lit("query:"), x))
     scheme = F.array(F.concat(F.lit("scheme:"), F.substring_index(url, "://", 1)))
-    return F.array_sort(F.array_distinct(F.concat(hosts, F.array(top), paths, names, scheme)))
+    return F.array_sort(F.array_distinct(F.concat(hosts, site, paths, names, scheme)))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -79,7 +80,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(bag)
     rules = model.associationRules.where(F.col("consequent")[0].startswith("verdict="))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring_index(F.col("consequent")[0], "=", -1).alias("verdict"), "confidence", "support")
-    rules = durable(rules)
+    rules = durable(rules.where(F.exists("antecedent", lambda x: x.startswith("site:"))))
     # the more special of two rules goes unless it adds confidence: every rule looks up its
     # one-item-shorter forms, so the work is rules times their length
     shorter = rules.select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("gone")).withColumn("base", F.filter("antecedent", lambda x: x != F.col("gone")))
