@@ -16,20 +16,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.deploy import ship
 from quillon.llm import cube_mix, decontaminate, near_minhash, store, substring_dedup, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     pair = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.score_of(pair)(F.col("text")) < toxicity.PREDICTED)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     gone = near_minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     rows = docs.withColumn("__variant", F.hash("text"))
     spans = substring_dedup.repeated_spans(rows.select("doc_id", F.col("__variant").alias("variant"), "text"))
     marks = spans.groupBy(F.col("doc_id").alias("__id"), F.col("variant").alias("__other")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
@@ -42,11 +46,13 @@ def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     found = decontaminate.contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     mixed = cube_mix.mix(docs).where("copies > 0")
     same = Window.partitionBy("doc_id", "tag").orderBy("copies")
     mixed = mixed.withColumn("__nth", F.row_number().over(same)).select("doc_id", "tag", "__nth", "source_size", "target", "taken", "copies")
