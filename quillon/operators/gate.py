@@ -22,7 +22,8 @@ def violations(payload: DataFrame, keys: list[str], columns: list[str] | None =
     rules = [r for r in RULES if ocr or not r.ocr_only]
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns]))
     cells = payload.select(*keys, fields.alias("f")).select(*keys, "f.*").where(may_match(F.col("text")))
-    hits = F.concat(*[F.transform(all_values(r, F.col("text")), lambda v, n=r.name: F.struct(F.lit(n).alias("type"), v.alias("value"))) for r in rules])
+    named = lambda r: F.transform(all_values(r, F.col("text")), lambda v: F.struct(F.lit(r.name).alias("type"), v.alias("value")))
+    hits = F.concat(*[named(r) for r in rules])
     return cells.select(*keys, "field", F.explode(hits).alias("h")).select(*keys, "field", "h.type", "h.value")
 
 

@@ -205,9 +205,13 @@ def gt_value_containment(spark: SparkSession, folder: str) -> DataFrame:
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     flat = lambda c: F.regexp_replace(F.lower(c), r"\s", "")
     b = table(spark, folder, "benchmark").select("item_id", flat(F.col("text")).alias("needle"), words(F.col("text")).alias("w")).where("size(w) > 0")
-    b = b.select("item_id", "needle", F.element_at("w", F.least(F.size("w"), F.lit(2))).alias("key"))
-    d = table(spark, folder, "documents").select("doc_id", flat(F.col("text")).alias("body"), F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
-    hit = b.join(d, "key").where(F.col("body").contains(F.col("needle")))
+    by_length = lambda x, y: F.length(y) - F.length(x)  # noqa: E731  the longest word is the rarest guess
+    inner = F.when(F.size("w") > 2, F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(1)))).otherwise(F.col("w"))
+    b = b.select("item_id", "needle", F.array_sort(inner, by_length)[0].alias("key"))
+    d = table(spark, folder, "documents").select("doc_id", "text")
+    word = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
+    pair = b.join(word, "key").select("item_id", "needle", "doc_id")
+    hit = pair.join(d, "doc_id").where(flat(F.col("text")).contains(F.col("needle")))
     return hit.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
