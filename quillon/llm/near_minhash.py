@@ -8,11 +8,14 @@ the whole sequence is its one shingle, without words the set is empty and links
 * Documents with equal sets are one node from then on.
 * BANDS bands of ROWS registers name candidates.  A pair at similarity 0.8 shares no band with
   probability (1 - 0.8**7)**56, below 2e-6.
-* Round one tests each node against the least node that it shares a band with.  Round two takes the
-  pairs of every band whose ends are still in different components, so that no link that joins
-  two components is lost, and none is tested inside a component already known.
-* The Jaccard estimate, corrected for chance register collisions, drops pairs six standard errors
-  below the threshold; full shingle sets of the two texts decide the rest.
+* Round one tests each node against the least node that it shares a band with.
+* Round two looks only at bands whose members are still in different components, so that no link
+  that joins two components is lost and none inside a known one is tested.  Bands of up to SMALL
+  members name their pairs.  The members of larger bands form families, and a family is compared
+  whole, in blocks: each block pair is one task, which counts shared shingles by matrix products and
+  lets out one edge for each member at most, never pairs.
+* For named pairs the Jaccard estimate, corrected for chance register collisions, drops those six standard
+  errors below the threshold; full shingle sets of the two texts decide the rest.
 
 Null ids are never linked and are kept; rows that share an id are one node.
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,8 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 #: Registers that travel with a node for the estimate.
 ESTIMATE = 128
+#: Bands of more members are compared by families, in blocks of so many.
+SMALL, BLOCK = 8, 384
 #: Two equally large unrelated sets agree in a register with about this probability.
 CHANCE = 2.0**-MANTISSA / 3
 #: Buckets that an empty one may borrow from before it takes the next filled one.
@@ -186,6 +192,68 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     return durable(full.mapInArrow(lambda it: verify(it, shingle, percent), "a long, b long").distinct())
 
 
+def shared_counts(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """How many shingles each set of ``rows`` shares with each of ``cols``."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, spread = np.unique(flat, return_inverse=True, return_counts=True)
+    often = spread > 1
+    slot = np.cumsum(often) - 1
+    keep = often[code]
+    code, owner = slot[code[keep]], owner[keep]
+    total = np.zeros((len(rows), len(cols)), dtype=np.float32)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for lo in range(0, int(slot[-1]) + 1 if len(slot) else 0, 4096):
+        a, b = np.searchsorted(code, [lo, lo + 4096])
+        part = np.zeros((len(sets), 4096), dtype=np.float32)
+        part[owner[a:b], code[a:b] - lo] = 1
+        total += part[rows] @ part[cols].T
+    return total
+
+
+def block_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
+    """Edges between components inside one pair of blocks of a family."""
+    one, two = pdf["one"].iloc[0], pdf["two"].iloc[0]
+    buf, offsets = text_buffers(pa.array(pdf["text"], pa.large_string()))
+    sets = shingle_sets(buf, offsets, shingle)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    rows, cols = np.flatnonzero(pdf["block"] == one), np.flatnonzero(pdf["block"] == two)
+    shared = shared_counts(sets, rows, cols).astype(np.int64)
+    union = size[rows][:, None] + size[cols][None, :] - shared
+    c = pdf["c"].to_numpy()
+    linked = (100 * shared >= percent * union) & (c[rows][:, None] != c[cols][None, :])
+    root = {x: x for x in c.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    ids = pdf["a"].to_numpy()
+    for i, j in np.argwhere(linked):
+        x, y = find(int(c[rows[i]])), find(int(c[cols[j]]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(ids[rows[i]]), int(ids[cols[j]])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def family_links(crowd: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between components among members (band, a, c) of large bands."""
+    hubs = crowd.groupBy("band").agg(F.min("a").alias("b"))
+    family = components(crowd.join(hubs, "band").select("a", "b")).select(F.col("node").alias("a"), F.col("component").alias("family"))
+    member = durable(family.join(crowd.select("a", "c").distinct(), "a"))
+    blocks = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = member.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
+    both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("one"), F.greatest("block", j).alias("two")))
+    dealt = placed.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").withColumn("p", F.explode(both))
+    dealt = dealt.select("family", "p.one", "p.two", "block", "a", "c", "text")
+    return durable(dealt.groupBy("family", "one", "two").applyInPandas(lambda pdf: block_links(pdf, shingle, percent), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -203,19 +271,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = durable(banded.join(shared, "band").select("band", "a", "hub"))
     first = durable(member.where("a > hub").groupBy("a").agg(F.min("hub").alias("b")))
     light = durable(nodes.select("doc_id", "n_shingles", "registers"))
+    texts = durable(texts.join(member.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     links = confirmed(first, light, texts, shingle, percent)
 
     known = components(links)
     placed = member.select("band", "a").join(known.withColumnRenamed("node", "a"), "a", "left").select("band", "a", F.coalesce("component", "a").alias("c"))
-    placed = placed.join(light.select(F.col("doc_id").alias("a"), "n_shingles"), "a")
-    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    open_ = durable(placed.join(mixed, "band").dropDuplicates(["band", "a"]))
-    other = open_.select("band", F.col("a").alias("b"), F.col("c").alias("d"), F.col("n_shingles").alias("m"))
-    near = (F.col("n_shingles") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n_shingles") * percent)
-    rest = open_.join(other, "band").where((F.col("c") < F.col("d")) & near)
-    rest = rest.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
+    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
+    open_ = durable(placed.join(mixed, "band"))
+    few = open_.where(F.col("n") <= SMALL)
+    other = few.select("band", F.col("a").alias("b"), F.col("c").alias("d"))
+    rest = few.join(other, "band").where("c < d").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
     rest = durable(rest.join(first, ["a", "b"], "left_anti").select("a", "b"))
     links = links.union(confirmed(rest, light, texts, shingle, percent))
+    crowd = open_.where(F.col("n") > SMALL).select("band", "a", "c")
+    if crowd.limit(1).count():
+        links = links.union(family_links(crowd, texts, shingle, percent))
 
     same = live.join(classes, ["set_a", "set_b", "n_shingles"]).where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     found = components(links.union(same))
