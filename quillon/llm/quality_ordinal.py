@@ -22,7 +22,7 @@ from quillon.llm.toxicity import held_out, labelled_sample
 
 DIMENSION = 1 << 17
 SHAPES = 8
-SAMPLE = 4000
+SAMPLE = 3000
 STEPS = 150
 RIDGE = 3e-3
 
@@ -39,7 +39,6 @@ def hashed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     slot = np.concatenate([h % U(DIMENSION), ending % U(DIMENSION)]).astype(np.int64)
     owner = np.concatenate([doc, doc])
     value = 1 / np.sqrt(np.maximum(1, 2 * n))[owner]
-    length = np.add.reduceat if len(words) else None
     size = np.maximum(1, np.diff(words.offsets)).astype(float)
     many = np.maximum(1, n).astype(float)
 
@@ -56,7 +55,6 @@ def hashed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     kinds = np.bincount(pair, minlength=len(n)) / many
     lines = share(b == 10) * size
     shape = np.stack([np.ones(len(n)) * 0, share(letter), share(upper), share(digit), share(mark) * 3, kinds, np.log1p(n) / 8, np.log1p(lines) / 4], axis=1)
-    del length
     return slot, owner, value, shape
 
 
@@ -71,6 +69,17 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -30, 30)))
 
 
+def compact(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As hashed, a few texts at a time, with equal features of a text added up and in half the memory."""
+    buf, offsets = text_buffers(pa.array(texts, pa.large_string()))
+    parts = []
+    for lo, hi in slices(offsets):
+        slot, owner, value, shape = hashed(buf, offsets[lo : hi + 1])
+        key, at = np.unique(owner * DIMENSION + slot, return_inverse=True)
+        parts.append(((key % DIMENSION).astype(np.int32), (key // DIMENSION + lo).astype(np.int32), np.bincount(at, weights=value, minlength=len(key)).astype(np.float32), shape))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def fit(rows: list[tuple[str, int]], steps: int = STEPS) -> Ordinal:
     """Grades are the distinct ratings in order; a single grade gives a constant model."""
     rows = sorted(set(rows))
@@ -80,8 +89,7 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS) -> Ordinal:
     if k < 1:
         return Ordinal(grades, weights, shape_w, np.zeros(0))
     y = np.array([grades.index(g) for _, g in rows])
-    buf, offsets = text_buffers(pa.array([t for t, _ in rows], pa.large_string()))
-    slot, owner, value, shape = hashed(buf, offsets)
+    slot, owner, value, shape = compact([t for t, _ in rows])
     balance = 1 / np.bincount(y, minlength=k + 1)[y] / (k + 1)
     # thresholds = first + cumulated exponentials
     theta = np.concatenate([[0.0], np.zeros(k - 1)])
