@@ -115,14 +115,24 @@ def landing(block: pd.DataFrame) -> pd.DataFrame:
     return block[["doc_id", "size", "source", "ratio", "p", "tag"]]
 
 
+def row_hash(id_col: str = "doc_id", text_col: str = "text"):
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """Gives repeats of a row (doc_id, tag) tags of their own."""
+    nth = F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy("tag"))
+    return rows.withColumn("__nth", nth).withColumn("tag", F.when(F.col("__nth") == 1, F.col("tag")).otherwise(F.xxhash64("tag", "__nth"))).drop("__nth")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.0) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, a whole number of copies), copies.
 
     One row for each row of ``docs``; rows that share an id are separate documents.  Null text counts
     as empty and is taken zero times, null source is a source of its own.  Empty table: no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tag"))
-    rows = durable(rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("source"), row_hash(id_col, text_col).alias("tag"))
+    rows = durable(told_apart(rows))
     targets = durable(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), total_share))
     small = targets.limit(10_001).count() <= 10_000
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import durable
+from quillon.llm.store import settled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,22 +17,22 @@ def components(edges: DataFrame) -> DataFrame:
     with very many links is no hot spot.  Self-loops, repeats and an empty table are fine; null ends
     are ignored.
     """
-    live = durable(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b").distinct())
+    live = settled(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b").distinct())
     whole = None
     while live.limit(1).count():
         both = live.union(live.select("b", "a"))
         up = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).select(F.col("a").alias("v"), "p")
-        up = durable(up)
+        up = settled(up)
         jump = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        up = durable(up.join(jump, "p", "left").select("v", F.coalesce("q", "p").alias("p")))
+        up = settled(up.join(jump, "p", "left").select("v", F.coalesce("q", "p").alias("p")))
         one = up.select(F.col("v").alias("a"), F.col("p").alias("x"))
         two = up.select(F.col("v").alias("b"), F.col("p").alias("y"))
-        live = durable(live.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        live = settled(live.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
         if whole is None:
             whole = up
         else:
             step = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            whole = durable(whole.join(step, "p", "left").select("v", F.coalesce("q", "p").alias("p")))
+            whole = settled(whole.join(step, "p", "left").select("v", F.coalesce("q", "p").alias("p")))
     if whole is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return whole.select(F.col("v").alias("node"), F.col("p").alias("component"))

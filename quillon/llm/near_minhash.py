@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.arrays import BASE, GRAM, Rolling, U, Words, mix, signed, slices, text_buffers
 from quillon.llm.graph import components
-from quillon.llm.store import durable
+from quillon.llm.store import durable, settled
 
 ROWS, BANDS = 7, 56
 REGISTERS = ROWS * BANDS
@@ -41,6 +41,8 @@ MANTISSA = 10
 ESTIMATE = 128
 #: Bands of more members are compared by families, in blocks of so many.
 SMALL, BLOCK = 8, 384
+#: Bits of the map of wanted ids.
+BITMAP = 1 << 23
 #: Two equally large unrelated sets agree in a register with about this probability.
 CHANCE = 2.0**-MANTISSA / 3
 #: Buckets that an empty one may borrow from before it takes the next filled one.
@@ -183,13 +185,13 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     right = light.select(F.col("k").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
     sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     some = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda it: likely(it, percent / 100), "a long, b long")
-    some = durable(some.distinct())
+    some = settled(some.distinct())
     full = (
         some.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
     )
-    return durable(full.mapInArrow(lambda it: verify(it, shingle, percent), "a long, b long").distinct())
+    return settled(full.mapInArrow(lambda it: verify(it, shingle, percent), "a long, b long").distinct())
 
 
 def shared_counts(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -245,13 +247,35 @@ def family_links(crowd: DataFrame, texts: DataFrame, shingle: int, percent: int)
     """Links between components among members (band, a, c) of large bands."""
     hubs = crowd.groupBy("band").agg(F.min("a").alias("b"))
     family = components(crowd.join(hubs, "band").select("a", "b")).select(F.col("node").alias("a"), F.col("component").alias("family"))
-    member = durable(family.join(crowd.select("a", "c").distinct(), "a"))
+    member = settled(family.join(crowd.select("a", "c").distinct(), "a"))
     blocks = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = member.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
     both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("one"), F.greatest("block", j).alias("two")))
     dealt = placed.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").withColumn("p", F.explode(both))
     dealt = dealt.select("family", "p.one", "p.two", "block", "a", "c", "text")
-    return durable(dealt.groupBy("family", "one", "two").applyInPandas(lambda pdf: block_links(pdf, shingle, percent), "a long, b long").distinct())
+    return settled(dealt.groupBy("family", "one", "two").applyInPandas(lambda pdf: block_links(pdf, shingle, percent), "a long, b long").distinct())
+
+
+def among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Drops most texts whose id is not wanted before they are shuffled.
+
+    What is sent is a bitmap of BITMAP hashed ids, never more; where it is too full to tell ids apart
+    it only lets more texts through.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    word = wanted.select((at / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), {BITMAP}), 32) as int))").alias("b"))
+    rows = word.groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    bits = np.zeros(BITMAP // 32, dtype=np.uint32)
+    for w, b in rows:
+        bits[w] = b
+    sent = texts.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((sent.value[h >> 3] >> (h & 7) & 1).astype(bool))).select(["doc_id", "text"])
+
+    return texts.where("doc_id is not null").select(at.alias("at"), "doc_id", "text").mapInArrow(run, "doc_id long, text string")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, percent: int = 80) -> DataFrame:
@@ -269,19 +293,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = nodes.select(F.col("doc_id").alias("a"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("a").alias("hub"), F.max("a").alias("last")).where("hub < last").select("band", "hub")
     member = durable(banded.join(shared, "band").select("band", "a", "hub"))
-    first = durable(member.where("a > hub").groupBy("a").agg(F.min("hub").alias("b")))
+    first = settled(member.where("a > hub").groupBy("a").agg(F.min("hub").alias("b")))
     light = durable(nodes.select("doc_id", "n_shingles", "registers"))
-    texts = durable(texts.join(member.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    wanted = settled(member.select(F.col("a").alias("doc_id")).distinct())
+    texts = durable(among(texts, wanted).join(wanted, "doc_id", "left_semi"))
     links = confirmed(first, light, texts, shingle, percent)
 
     known = components(links)
     placed = member.select("band", "a").join(known.withColumnRenamed("node", "a"), "a", "left").select("band", "a", F.coalesce("component", "a").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
-    open_ = durable(placed.join(mixed, "band"))
+    open_ = settled(placed.join(mixed, "band"))
     few = open_.where(F.col("n") <= SMALL)
     other = few.select("band", F.col("a").alias("b"), F.col("c").alias("d"))
     rest = few.join(other, "band").where("c < d").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-    rest = durable(rest.join(first, ["a", "b"], "left_anti").select("a", "b"))
+    rest = settled(rest.join(first, ["a", "b"], "left_anti").select("a", "b"))
     links = links.union(confirmed(rest, light, texts, shingle, percent))
     crowd = open_.where(F.col("n") > SMALL).select("band", "a", "c")
     if crowd.limit(1).count():

@@ -28,6 +28,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """As durable, for a table that may be small: then dealt over one partition for each so many rows,
+    which saves a file for each partition in every shuffle that follows."""
+    out = durable(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder on whatever file system it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
