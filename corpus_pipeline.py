@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.deploy import ship
@@ -53,11 +53,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    mixed = cube_mix.mix(docs).where("copies > 0")
-    same = Window.partitionBy("doc_id", "tag").orderBy("copies")
-    mixed = mixed.withColumn("__nth", F.row_number().over(same)).select("doc_id", "tag", "__nth", "source_size", "target", "taken", "copies")
-    rows = docs.withColumn("tag", F.xxhash64("doc_id", "text")).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy(F.lit(0))))
-    return rows.join(mixed, ["doc_id", "tag", "__nth"]).select(*docs.columns, "source_size", "target", "taken", "copies")
+    mixed = cube_mix.mix(docs).where("copies > 0").select("doc_id", "tag", "source_size", "target", "taken", "copies")
+    rows = cube_mix.told_apart(docs.withColumn("tag", cube_mix.row_hash()))
+    return rows.join(mixed, ["doc_id", "tag"]).select(*docs.columns, "source_size", "target", "taken", "copies")
 
 
 STAGES = [
