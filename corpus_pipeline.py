@@ -53,9 +53,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    mixed = cube_mix.mix(docs).where("copies > 0").select("doc_id", "tag", "source_size", "target", "taken", "copies")
+    mixed = cube_mix.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "tag", "source_size", "target", "taken", "copies")
     rows = cube_mix.told_apart(docs.withColumn("tag", cube_mix.row_hash()))
-    return rows.join(mixed, ["doc_id", "tag"]).select(*docs.columns, "source_size", "target", "taken", "copies")
+    return rows.join(mixed, (rows["tag"] == mixed["tag"]) & rows["doc_id"].eqNullSafe(mixed["__id"])).select(*docs.columns, "source_size", "target", "taken", "copies")
 
 
 STAGES = [
