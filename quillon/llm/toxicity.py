@@ -17,7 +17,8 @@ least hash of their id), each distinct text once:
 * the number of its toxic windows, the margin and the logistic weights are calibrated on other texts
   than those which ranked the windows (two halves that change roles).
 
-Scoring is one pass over whole texts; a worker keeps frame lengths of windows seen, within a bound.
+A window that shares no run of RUN bytes with the toxic windows is never coded twice: a match so short
+saves less than a margin.  Scoring is one pass over whole texts; a worker keeps frame lengths of windows seen, within a bound.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ HEAD, TAIL = b"~0123456789~abcdefghijklmnopqrstuvwxyz~", b"~ZYXWVUTSRQPO~"
 WINDOW = re.compile(r"[^\W\d_]+")
 CONTRAST = 4
 LENGTHS = (8, 12, 24, 48, 96, 192)
-MARGINS = (2, 3, 4)
+MARGINS = (3, 4)
+RUN = 5
 MEMO = 400_000
 #: Optimal parsing over a binary tree: faster searches miss short matches in a long dictionary.
 STRATEGY = zstandard.STRATEGY_BTULTRA
@@ -63,6 +65,14 @@ def dictionary(ranked: list[bytes], most: int = ORDINARY_BYTES) -> bytes:
     return b"".join(reversed(kept)) + b" "
 
 
+def runs(content: bytes) -> frozenset[bytes]:
+    return frozenset(content[i : i + RUN] for i in range(len(content) - RUN + 1))
+
+
+def touches(window: bytes, known: frozenset[bytes]) -> bool:
+    return any(window[i : i + RUN] in known for i in range(len(window) - RUN + 1))
+
+
 class Coder:
     """Frame lengths under one raw-content dictionary."""
 
@@ -85,6 +95,7 @@ class Pair:
         self.ordinary, self.toxic, self.margin, self.weights = ordinary, toxic, margin, weights
         self._coders = None
         self._memo: dict[bytes, bool] = {}
+        self._runs = runs(toxic[len(ordinary) :]) if toxic.startswith(ordinary) else None
 
     def __getstate__(self):
         return self.ordinary, self.toxic, self.margin, self.weights
@@ -100,7 +111,8 @@ class Pair:
             if len(self._memo) >= MEMO:
                 self._memo.clear()
             a, b = self._coders
-            known = self._memo[window] = a.cost(window) - b.cost(window) >= self.margin
+            near = self._runs is None or touches(window, self._runs)
+            known = self._memo[window] = near and a.cost(window) - b.cost(window) >= self.margin
         return known
 
     def features(self, text: str) -> tuple[int, int]:
@@ -184,13 +196,15 @@ def train(rows: list[tuple[str, int]]) -> Pair:
         known, asked = half == h, np.flatnonzero(half != h)
         base, ranked = dictionaries([o for o, k in zip(own, known, strict=True) if k], label[known])
         distinct = sorted({w for i in asked for w in own[i]})
-        plain = [base.cost(w) for w in distinct]
+        widest = runs(dictionary(ranked[: max(LENGTHS)]))
+        plain = {w: base.cost(w) for w in distinct if touches(w, widest)}
         for length in LENGTHS:
-            coder = Coder(base.content + dictionary(ranked[:length]))
-            saved = {w: c - coder.cost(w) for w, c in zip(distinct, plain, strict=True)}
+            special = dictionary(ranked[:length])
+            coder, known_runs = Coder(base.content + special), runs(special)
+            saved = {w: c - coder.cost(w) for w, c in plain.items() if touches(w, known_runs)}
             for margin in MARGINS:
                 count = hits.setdefault((margin, length), np.zeros(len(rows), dtype=int))
-                count[asked] = [sum(saved[w] >= margin for w in own[i]) for i in asked]
+                count[asked] = [sum(saved.get(w, 0) >= margin for w in own[i]) for i in asked]
     best = None
     for (margin, length), count in hits.items():
         features = np.stack([count, sizes], axis=1)
