@@ -138,7 +138,7 @@ def test_human_lines(spark, line, want):
 def test_small_functions(spark):
     one = spark.range(1)
     assert one.select(X.duration(F.lit(125000))).first()[0] == "2m 5s"
-    assert one.select(X.elapsed(F.lit(61230))).first()[0] == "01:01.23"
+    assert one.select(X.elapsed(F.lit(61250))).first()[0] == "01:01.25"
     assert one.select(X.base36(F.lit(35))).first()[0] == "z"
     assert one.select(X.fnv1a(F.array(F.lit(97)))).first()[0] == 0xE40C292C
     assert one.select(X.normal_key(F.lit("enter"))["key"], X.normal_key(F.lit("q"))["code"]).first()[:] == ("Enter", "Q")
