@@ -80,4 +80,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+SPLIT = r"coalesce(list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> ''), [])"
+LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op3_debruijn_spans": rf"""with d as (select doc_id, {SPLIT.format('text')} as ws from documents),
+  pos as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from d where len(ws) >= 50)),
+  first as (select h, min(doc_id) as least from pos group by h),
+  cov as (select distinct doc_id, unnest(range(i, i + 50)) as p from pos join first using (h) where least < doc_id),
+  w as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as p from d),
+  k as (select w.doc_id, count(cov.p) as gone, string_agg(w.w, ' ' order by w.p) filter (where cov.p is null) as kept from w left join cov on w.doc_id = cov.doc_id and w.p = cov.p group by w.doc_id)
+  select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(gone, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
+    "op8_metric_join": """with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null),
+  ok as (select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+  pr as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+  r as (select vec_id as v, vec_id as u from embeddings union select r.v, pr.b from r join pr on r.u = pr.a),
+  c as (select v, min(u) as component_id from r group by v),
+  n as (select a, count(*) as n from pr group by a)
+  select vec_id, coalesce(n, 0) as n_links, component_id, component_id = vec_id as kept from embeddings left join n on a = vec_id join c on v = vec_id""",
+    "op9_hyperminhash": rf"""with recursive d as (select doc_id, {SPLIT.format(LOW)} as ws from documents),
+  s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) = 1 then [ws[1]] else list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])) end) as g from d),
+  n as (select doc_id, count(*) as n from s group by doc_id),
+  pr as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+  e as (select a, b from pr join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+  sym as (select a, b from e union all select b, a from e),
+  r as (select doc_id as v, doc_id as u from documents union select r.v, sym.b from r join sym on r.u = sym.a),
+  c as (select v, min(u) as component_id from r group by v)
+  select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, component_id = d.doc_id as kept from d left join n using (doc_id) join c on c.v = d.doc_id""",
+}
