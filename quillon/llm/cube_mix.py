@@ -62,7 +62,7 @@ def source_targets(sizes: DataFrame, total_share: float = 1.0, weights: tuple[in
         full = cap <= F.col("weight") * F.lit(level)
         held, free = weighed.agg(F.sum(F.when(full, cap).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
         nxt = (total - (held or 0.0)) / free if free else level
-        if not free or nxt <= level:
+        if not free or nxt <= level * (1 + 1e-12):
             break
         level = nxt
     return weighed.select("source", "source_size", F.least(cap, F.col("weight") * F.lit(level)).alias("target"))
