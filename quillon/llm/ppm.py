@@ -7,9 +7,11 @@ full exclusion; counts pruned from a node stay in its escape count).  The last r
 choice among the symbols order 0 has not seen.  Byte 0xFF, which UTF-8 never holds, ends a text, and
 0xFE pads the context before its start, so every document has a proper probability.
 
-Counts come from one distributed aggregation over all training texts.  The trie keeps the grams
-above the least count for which each order has at most NODES of them, found from a distributed
-histogram of counts; that bound, not the corpus, sets what is sent to workers.
+Counts come from one distributed aggregation over all texts and stay in distributed tables, all grams
+of all orders whatever their number.  A position's probability depends on its context and symbol alone,
+so it is worked out once for each distinct gram of any text, by joins with the tables of each order.
+Grams that make at least 1 / SENT_GRAMS of all positions are at most SENT_GRAMS many and their
+probabilities go to every worker; the probabilities of all other positions are joined.
 
 Word counts of the base line are aggregated the same way.  Words with at least N / FREQUENT of all
 tokens are at most FREQUENT many and go to every worker; counts of all other words are joined.
@@ -17,12 +19,13 @@ tokens are at most FREQUENT many and go to every worker; counts of all other wor
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.arrays import LOWER, mix, slices, text_buffers
@@ -30,7 +33,8 @@ from quillon.llm.store import durable
 from quillon.llm.toxicity import held_out
 
 ORDER = 5
-NODES = 1 << 20
+#: Probabilities sent to every worker are at most so many.
+SENT_GRAMS = 1 << 22
 FREQUENT = 1 << 18
 #: Longer words are never sent to all workers.
 FREQUENT_BYTES = 64
@@ -65,21 +69,32 @@ def grams(out: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of (text, held_out) rows: how often in training texts, and how often in all."""
     held: list[np.ndarray] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        marked, n = every[first], np.diff(first, append=len(every))
+        trained = np.where(marked & np.uint64(1), 0, n)
+        gram = (marked >> np.uint64(1)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(trained.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n", "times"])
 
     for batch in batches:
         buf, offsets = text_buffers(batch.column(0))
-        for lo, hi in slices(offsets):
-            held.append(grams(*symbols(buf, offsets[lo : hi + 1])))
-            size += len(held[-1])
+        out_of_training = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
+        for lo, hi in slices(offsets, 1_000_000):
+            code = grams(*symbols(buf, offsets[lo : hi + 1]))
+            code <<= np.uint64(1)
+            code |= np.repeat(out_of_training[lo:hi], np.diff(offsets[lo : hi + 1]) + 1)
+            held.append(code)
+            size += len(code)
             if size >= BATCH_SYMBOLS:
                 yield flush()
-                held, size = [], 0
+                size = 0
     if held:
         yield flush()
 
@@ -107,76 +122,25 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-class Trie:
-    """Pruned counts of all orders, ready for vectorised coding."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]]):
-        """``counts[j]`` are sorted grams of order j and how often; ``totals[j]`` contexts and all they were seen."""
-        self.gram, self.cost, self.node, self.escape, self.narrow, self.width = [], [], [], [], [], []
-        self.owner, self.direct = [], []
-        for j, (code, n) in enumerate(counts):
-            context = code >> np.uint64(8)
-            node, first, kinds = np.unique(context, return_index=True, return_counts=True)
-            kept = np.add.reduceat(n, first).astype(float) if len(n) else np.zeros(0)
-            all_context, all_n = totals[j]
-            at = np.searchsorted(all_context, node)
-            escape = kinds + (all_n[at] - kept)
-            self.gram.append(code)
-            self.cost.append(n.astype(float))
-            self.node.append(node)
-            self.escape.append(escape.astype(float))
-            self.width.append(kept + escape)
-            # the node of each gram, and its log probability where nothing is excluded
-            self.owner.append(np.repeat(np.arange(len(node), dtype=np.int32), kinds))
-            self.direct.append(np.log2(n / self.width[j][self.owner[j]]))
-            if j:
-                # what the shorter context loses when this node's symbols are excluded
-                shorter = code & np.uint64((1 << (8 * j)) - 1)
-                slot = np.searchsorted(self.gram[j - 1], shorter)
-                lost = np.add.reduceat(self.cost[j - 1][slot], first) if len(n) else np.zeros(0)
-                self.narrow.append(lost)
-            else:
-                self.narrow.append(np.zeros(len(node)))
-        self.unseen = ALPHABET - int(len(self.gram[0]))
-        self.tables: list[tuple[np.ndarray, np.ndarray]] | None = None
+class Sent:
+    """log10 probabilities of frequent grams."""
+
+    def __init__(self, gram: np.ndarray, logp: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.logp = gram[order].astype(np.uint64), logp[order].astype(float)
+        self.index: tuple[np.ndarray, np.ndarray, int] | None = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "tables"} | {"tables": None}
-
-    def build(self) -> None:
-        self.tables = [table(g) for g in self.gram]
-
-    def logs(self, code: np.ndarray) -> np.ndarray:
-        """log2 probability of each packed position."""
-        if self.tables is None:
-            self.build()
-        out = np.zeros(len(code))
-        live = np.arange(len(code))
-        rest = code
-        minus = np.zeros(len(code))
-        for j in range(ORDER, -1, -1):
-            own = rest & np.uint64((1 << (8 * (j + 1))) - 1)
-            slot = look(self.tables[j], own)
-            hit = slot >= 0
-            seen, less = slot[hit], minus[hit]
-            gain = self.direct[j][seen]
-            some = np.flatnonzero(less)
-            gain[some] = np.log2(self.cost[j][seen[some]] / (self.width[j][self.owner[j][seen[some]]] - less[some]))
-            out[live[hit]] += gain
-            miss = ~hit
-            live, rest, less = live[miss], rest[miss], minus[miss]
-            if not len(live):
-                return out
-            minus = np.zeros(len(live))
-            if len(self.node[j]):
-                context = own[miss] >> np.uint64(8)
-                at = np.searchsorted(self.node[j], context).clip(max=len(self.node[j]) - 1)
-                known = self.node[j][at] == context
-                at = at[known]
-                out[live[known]] += np.log2(self.escape[j][at] / (self.width[j][at] - less[known]))
-                minus[known] = self.narrow[j][at]
-        out[live] -= np.log2(max(1, self.unseen))
-        return out
+        return self.__dict__ | {"index": None}
+
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each packed position, 0 where it is not sent; and where that is."""
+        if self.index is None:
+            self.index = table(self.gram)
+        if not len(self.gram):
+            return np.zeros(len(code)), np.arange(len(code))
+        slot = look(self.index, code)
+        return np.where(slot >= 0, self.logp[slot], 0.0), np.flatnonzero(slot < 0)
 
 
 def table(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -231,55 +195,98 @@ def columns(df: DataFrame) -> list[np.ndarray]:
     return [t.column(i).to_numpy() for i in range(t.num_columns)]
 
 
-def train_trie(training: DataFrame, nodes: int = NODES) -> Trie:
-    """``training`` has one column, text."""
-    full = durable(training.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+def low_bytes(c: str, n: int) -> Column:
+    return F.col(c).bitwiseAND(F.lit((1 << (8 * n)) - 1))
+
+
+def probabilities(counted: DataFrame, nodes: int | None = None) -> DataFrame:
+    """gram, times, logp: the log10 probability of every distinct gram in ``counted`` (gram, n, times).
+
+    All counts of all orders are kept; a caller may bound the nodes of an order by ``nodes``, and then the least
+    count that fits every order holds for all.
+    """
     orders, cut = [], 1
-    for j in range(ORDER + 1):
-        bits = F.lit((1 << (8 * (j + 1))) - 1)
-        own = full if j == ORDER else full.groupBy(F.col("gram").bitwiseAND(bits).alias("gram")).agg(F.sum("n").alias("n"))
-        own = durable(own) if j > 2 else own.cache()
-        orders.append(own)
-        cut = max(cut, least_count(own, nodes))
-    counts, totals = [], []
-    for own in orders:
-        kept = own.where(F.col("n") >= cut)
-        code, n = columns(kept.select("gram", "n"))
-        order = np.argsort(code)
-        counts.append((code[order].astype(np.uint64), n[order]))
-        context = F.shiftrightunsigned("gram", 8)
-        seen = own.groupBy(context.alias("c")).agg(F.sum("n").alias("all"), F.max("n").alias("top")).where(F.col("top") >= cut)
-        c, a = columns(seen.select("c", "all"))
-        order = np.argsort(c)
-        totals.append((c[order].astype(np.uint64), a[order].astype(float)))
-    for own in orders[:3]:
-        own.unpersist()
-    return Trie(counts, totals)
-
-
-SCORED = "doc_id long, variant int, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, model double, rows long"
-
-
-def scorer(trie, frequent, n_all: int, n_kinds: int):
+    for j in range(ORDER, -1, -1):
+        own = counted.where("n > 0").select("gram", "n") if j == ORDER else orders[0].groupBy(low_bytes("gram", j + 1).alias("gram")).agg(F.sum("n").alias("n"))
+        orders.insert(0, own if j == ORDER else durable(own))
+        if nodes is not None:
+            cut = max(cut, least_count(own, nodes))
+    kept = [own.where(F.col("n") >= cut) for own in orders]
+    fits = F.col("n") >= cut
+    live = counted.select("gram", "times", F.lit(0.0).alias("logp"), F.lit(0.0).alias("less"))
+    done = []
+    for j in range(ORDER, -1, -1):
+        context = F.shiftrightunsigned("gram", 8).alias("context")
+        node = orders[j].groupBy(context).agg(F.sum("n").alias("all"), F.sum(F.when(fits, F.col("n"))).alias("kept"), F.count(F.when(fits, 1)).alias("kinds")).where("kinds > 0")
+        node = node.select("context", (F.col("kinds") + F.col("all") - F.col("kept")).alias("escape"), (F.col("kinds") + F.col("all")).alias("width"))
+        if j:
+            # what the shorter context loses when this node's symbols are excluded
+            shorter = kept[j - 1].select(F.col("gram").alias("shorter"), F.col("n").alias("m"))
+            lost = kept[j].join(shorter, low_bytes("gram", j) == F.col("shorter")).groupBy(context).agg(F.sum("m").alias("lost"))
+            node = node.join(lost, "context")
+        else:
+            node = node.withColumn("lost", F.lit(0))
+        seen = kept[j].select(F.col("gram").alias("own"), "n")
+        asked = live.withColumn("context", F.shiftrightunsigned(low_bytes("gram", j + 1), 8)).join(node, "context", "left")
+        asked = durable(asked.join(seen, low_bytes("gram", j + 1) == F.col("own"), "left"))
+        width = F.col("width") - F.col("less")
+        done.append(asked.where("n is not null").select("gram", "times", (F.col("logp") + F.log10(F.col("n") / width)).alias("logp")))
+        escaped = F.coalesce(F.log10(F.col("escape") / width), F.lit(0.0))
+        live = asked.where("n is null").select("gram", "times", (F.col("logp") + escaped).alias("logp"), F.coalesce(F.col("lost").cast("double"), F.lit(0.0)).alias("less"))
+    # the symbols that order 0 has not seen share the rest evenly
+    unseen = max(1, ALPHABET - kept[0].count())
+    out = live.select("gram", "times", (F.col("logp") - float(np.log10(unseen))).alias("logp"))
+    for some in done:
+        out = out.union(some)
+    return out
+
+
+CODED = "doc_id long, variant int, gram long, value double"
+
+
+def coder(sent):
+    """Two kinds of rows: one for each text, with the sum of its positions that were sent; and one for each
+    other position, whose probability must be joined.
+
+    A text's own row carries a negative gram, which equals no gram, and that spreads evenly.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = text_buffers(batch.column(2))
+            for lo, hi in slices(offsets, 1_000_000):
+                code = grams(*symbols(buf, offsets[lo : hi + 1]))
+                size = np.diff(offsets[lo : hi + 1]) + 1
+                bounds = np.concatenate([[0], np.cumsum(size)[:-1]])
+                logp, rest = sent.value.find(code)
+                text = np.repeat(np.arange(lo, hi), size)[rest]
+                own = (mix(code[bounds] + np.arange(lo, hi).astype(np.uint64)) | np.uint64(1 << 63)).view(np.int64)
+                take = pa.array(np.concatenate([np.arange(lo, hi), text]))
+                gram = np.concatenate([own, code[rest].view(np.int64)])
+                value = np.concatenate([np.add.reduceat(logp, bounds), np.ones(len(rest))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(gram), pa.array(value)], names=["doc_id", "variant", "gram", "value"])
+
+    return run
+
+
+SCORED = "doc_id long, variant int, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, rows long"
+
+
+def scorer(frequent, n_all: int, n_kinds: int):
     """Two kinds of rows: one for each text, and one for each of its words whose count must be joined.
 
     A text's own row carries a word that holds a blank, and so equals no word, and that spreads evenly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common = trie.value, frequent.value
+        common = frequent.value
         floor = np.log10(n_all + n_kinds + 1)
         get = common.get
         for batch in batches:
             buf, offsets = text_buffers(batch.column(3))
             for lo, hi in slices(offsets, 2_000_000):
-                out, starts = symbols(buf, offsets[lo : hi + 1])
-                code = grams(out, starts)
-                size = np.diff(offsets[lo : hi + 1]) + 1
-                bounds = np.concatenate([[0], np.cumsum(size)[:-1]])
-                logs = np.add.reduceat(model.logs(code), bounds) / LOG2_10
                 raw = LOWER[buf[offsets[lo] : offsets[hi]]].tobytes()
-                doc, word, times, tokens, known, base, own_model = [], [], [], [], [], [], []
+                doc, word, times, tokens, known, base = [], [], [], [], [], []
                 for i in range(hi - lo):
                     a, b = offsets[lo + i] - offsets[lo], offsets[lo + i + 1] - offsets[lo]
                     count = Counter(raw[a:b].split())
@@ -295,22 +302,20 @@ def scorer(trie, frequent, n_all: int, n_kinds: int):
                             tokens.append(0)
                             known.append(0)
                             base.append(0.0)
-                            own_model.append(0.0)
                         else:
                             total += k * c[1]
                             seen += k
                     doc.append(lo + i)
-                    word.append(b" %d" % (int(code[bounds[i]]) ^ (lo + i)))
+                    word.append(b" %d" % (zlib.crc32(raw[a:b]) ^ (lo + i)))
                     times.append(0)
                     tokens.append(n)
                     known.append(seen)
                     base.append(float(total))
-                    own_model.append(float(logs[i]))
                 take = pa.array(doc)
                 rows = pa.array([int(t > 0) for t in tokens])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(take) for k in (0, 1, 2)), pa.array(word, pa.binary()), pa.array(times, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(own_model), rows],
-                    names=["doc_id", "variant", "held_out", "word", "times", "n_tokens", "n_known", "base", "model", "rows"],
+                    [*(batch.column(k).take(take) for k in (0, 1, 2)), pa.array(word, pa.binary()), pa.array(times, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), rows],
+                    names=["doc_id", "variant", "held_out", "word", "times", "n_tokens", "n_known", "base", "rows"],
                 )
 
     return run
@@ -329,13 +334,13 @@ class Frequent:
         return self.value.get(word)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, nodes: int = NODES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, nodes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
     Tokens are the words of the text, A-Z lower-cased, and one end.  base_score is the sum of
-    log10((c + 1) / (N + V + 1)); score the trie's log10 probability of the text's bytes and end.  Null
+    log10((c + 1) / (N + V + 1)); score the model's log10 probability of the text's bytes and end.  Null
     text counts as empty: one token.  A null id counts as empty text in the split.  Rows with equal
-    id and text are repeated with equal scores.  Without training rows all counts are 0 and the trie
+    id and text are repeated with equal scores.  Without training rows all counts are 0 and the model
     is uniform.  Empty table: no rows.
     """
     spark = docs.sparkSession
@@ -346,20 +351,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
     often = words.where((F.col("n") * FREQUENT >= n_all) & (F.octet_length("word") <= FREQUENT_BYTES))
     # at most FREQUENT words hold 1/FREQUENT of all tokens each
     counts = {bytes(w): int(n) for w, n in often.union(words.where(F.col("word") == END_WORD)).distinct().collect()}
-    trie = train_trie(training, nodes)
     send = spark.sparkContext.broadcast
-    scored = rows.mapInArrow(scorer(send(trie), send(Frequent(counts)), n_all, n_kinds), SCORED)
+    counted = durable(rows.select("text", "held_out").mapInArrow(count_grams, "gram long, n long, times long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("times").alias("times")))
+    known = durable(probabilities(counted, nodes))
+    positions = known.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    common = F.col("times") * SENT_GRAMS >= positions
+    coded = rows.select("doc_id", "variant", "text").mapInArrow(coder(send(Sent(*columns(known.where(common).select("gram", "logp"))))), CODED)
+    model = coded.join(known.where(~common).select("gram", "logp"), "gram", "left")
+    scored = rows.mapInArrow(scorer(send(Frequent(counts)), n_all, n_kinds), SCORED)
     joined = scored.join(words.withColumnRenamed("n", "c"), "word", "left")
     asked = F.col("rows") == 0
     found = F.coalesce("c", F.lit(0))
-    summed = joined.groupBy("doc_id", "variant").agg(
-        F.first("held_out").alias("held_out"),
-        F.sum("rows").alias("rows"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.when(asked & (found > 0), F.col("times")).otherwise(F.col("n_known"))).alias("n_known"),
-        F.sum(F.when(asked, F.col("times") * F.log10(found + 1)).otherwise(F.col("base"))).alias("base"),
-        F.sum("model").alias("model"),
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    by_words = joined.select(
+        "doc_id",
+        "variant",
+        "held_out",
+        "rows",
+        "n_tokens",
+        F.when(asked & (found > 0), F.col("times")).otherwise(F.col("n_known")).alias("n_known"),
+        F.when(asked, F.col("times") * F.log10(found + 1)).otherwise(F.col("base")).alias("base"),
+        none("model", "double"),
+    )
+    own_sum = F.sum(F.when(F.col("gram") < 0, F.col("value")).otherwise(F.col("logp")))
+    by_grams = model.groupBy("doc_id", "variant").agg(own_sum.alias("model")).select(
+        "doc_id",
+        "variant",
+        none("held_out", "boolean"),
+        *[none(c, "long") for c in ("rows", "n_tokens", "n_known")],
+        none("base", "double"),
+        "model",
     )
+    summed = by_words.union(by_grams).groupBy("doc_id", "variant").agg(F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "model")])
     each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     share = lambda c: F.col(c) / F.col("rows")  # noqa: E731  rows with equal id and text were added up
     return each.select(

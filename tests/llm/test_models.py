@@ -112,6 +112,23 @@ def test_language_model(spark, nodes):
     assert ppm.score(spark.createDataFrame([], "doc_id long, text string, word string")).count() == 0
 
 
+def test_language_model_keeps_every_gram(spark, monkeypatch):
+    rng = random.Random(12)
+    letters = "".join(chr(c) for c in range(33, 127) if not 65 <= c <= 90)
+    rows = [(i, "".join(rng.choices(letters, k=20_000))) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ppm.score(docs).collect()}
+    trained = [r for r in got.values() if not r["held_out"]]
+    assert len(trained) * 20_000 > 1 << 20
+    # nearly every context of five bytes was seen once, with one symbol: one half each
+    assert all(abs(r["score"] / (20_000 * math.log10(2)) + 1) < 0.02 for r in trained)
+    few = docs.where("doc_id < 5")
+    whole = {r["doc_id"]: r["score"] for r in ppm.score(few).collect()}
+    monkeypatch.setattr(ppm, "SENT_GRAMS", 64)
+    joined = {r["doc_id"]: r["score"] for r in ppm.score(few).collect()}
+    assert all(abs(joined[i] - whole[i]) < 1e-6 for i in whole)
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows, rated = [], []
