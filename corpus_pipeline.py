@@ -20,6 +20,10 @@ from quillon.deploy import ship
 from quillon.llm import cube_mix, decontaminate, near_minhash, store, substring_dedup, toxicity
 
 
+#: Near copies share four fifths of their runs of so many words.
+SHINGLE = 5
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     pair = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    gone = near_minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_minhash.near_duplicates(docs, shingle=SHINGLE).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -58,3 +58,15 @@ def test_stages_take_effect(spark, tmp_path):
         own = [r for r in mix.values() if r["source"] == s]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.03 * own[0]["target"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(mix)
+
+
+def test_near_dedup_compares_runs_of_five_words(spark, tmp_path):
+    rng = random.Random(5)
+    # distinct words, so that every replaced word costs two runs of two words and five of five
+    text = [f"{w}{i}" for i, w in enumerate(words(rng, 100))]
+    edited = [f"new{i}" if i in (20, 40, 60, 80) else w for i, w in enumerate(text)]
+    rows = [(1, " ".join(text)), (2, " ".join(edited)), (3, " ".join(text) + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    loose = corpus_pipeline.near_minhash.near_duplicates(docs).where("kept").select("doc_id").collect()
+    assert {r["doc_id"] for r in loose} == {1}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == {1, 2}
