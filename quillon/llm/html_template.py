@@ -13,7 +13,10 @@ outside boilerplate containers and outside elements that never hold an article (
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are the main text; if
 the page marks an article, only that.
 
-Hosts with under MIN_PAGES pages have no template; elements alone decide there.
+Pages of a host with equal html count once, so that copies of an article do not make it a template,
+and containers inside a marked article are never boilerplate.
+
+Hosts with under MIN_PAGES distinct pages have no template; elements alone decide there.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.store import durable
@@ -32,6 +35,8 @@ from quillon.llm.store import durable
 MIN_PAGES, MIN_SUPPORT, MIN_TOKENS = 3, 0.5, 2
 #: Hosts' boilerplate containers up to so many are sent to the workers; more are joined by host.
 SENT = 50_000
+#: Digests of copied pages up to so many are sent; more are joined.
+SENT_COPIES = 200_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|</?[A-Za-z][^>]*\Z|[^<]+|<",
@@ -184,36 +189,55 @@ def code(text: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def host_column(url: str = "url") -> Column:
+    """As host_of."""
+    return F.lower(F.regexp_extract(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1), r"^([^/?#]*)", 1))
+
+
 def host_of(url: str | None) -> str:
     if not url or "://" not in url:
         return ""
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower()
 
 
-TOKENS = "host string, area long, token long, words int, depth int, pages long, times long, vector_a long, vector_b long"
+TOKENS = "host string, area long, token long, words int, depth int, pages long, times long, vector_a long, vector_b long, marked long"
 
 
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token counts combined within a batch: pages, times, and the summed hash of the occurrence vector."""
     for batch in batches:
         total: dict[tuple, list[int]] = {}
-        ids, urls, pages = batch.columns
+        urls, pages = batch.columns
         for i in range(batch.num_rows):
             html = pages[i].as_py()
             if not html:
                 continue
             host = host_of(urls[i].as_py())
-            for (path, token, words), n in Page(html).tokens().items():
-                own = total.setdefault((host, code(path), code(path + "\0" + token), words, path.count(">")), [0, 0, 0, 0])
-                seed = f"{ids[i].as_py()}:{n}"
+            page, own_code = Page(html), code(html)
+            articles = {p for p, a, _ in page.blocks if a}
+            for (path, token, words), n in page.tokens().items():
+                own = total.setdefault((host, code(path), code(path + "\0" + token), words, path.count(">")), [0, 0, 0, 0, 0])
+                seed = f"{own_code}:{n}"
                 own[0] += 1
                 own[1] += n
                 own[2] += xxhash.xxh32_intdigest(seed, 1)
                 own[3] += xxhash.xxh32_intdigest(seed, 2)
+                own[4] += path in articles
         rows = [(*k, *v) for k, v in total.items()]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "area", "token", "words", "depth", "pages", "times", "vector_a", "vector_b"])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "area", "token", "words", "depth", "pages", "times", "vector_a", "vector_b", "marked"])
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """url and html, each html of a host once; only pages that have copies are shuffled where these are few."""
+    keyed = pages.where("html <> ''").select(host_column().alias("host"), F.md5("html").alias("digest"), "url", "html")
+    copied = durable(keyed.groupBy("host", "digest").count().where("count > 1").select("host", "digest"))
+    if copied.limit(SENT_COPIES + 1).count() <= SENT_COPIES:
+        copied = F.broadcast(copied)
+    single = keyed.join(copied, ["host", "digest"], "left_anti").select("url", "html")
+    several = keyed.join(copied, ["host", "digest"], "left_semi").groupBy("host", "digest").agg(F.first("url").alias("url"), F.first("html").alias("html"))
+    return single.union(several.select("url", "html"))
 
 
 def deduce(pages: DataFrame) -> DataFrame:
@@ -222,9 +246,9 @@ def deduce(pages: DataFrame) -> DataFrame:
     ``area`` is a container.  class_a and class_b name the valid class that holds its tag, the
     innermost of the nested classes there, or are null.  ``pages`` has page_id, url, html.
     """
-    token = pages.select("page_id", "url", "html").mapInArrow(occurrences, TOKENS)
-    token = durable(token.groupBy("host", "area", "token", "words", "depth").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "vector_a", "vector_b")]))
-    # every page has an html or body container, so the widest token counts the host's pages
+    token = distinct_pages(pages).mapInArrow(occurrences, TOKENS)
+    token = durable(token.groupBy("host", "area", "token", "words", "depth").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "vector_a", "vector_b", "marked")]))
+    # every distinct page has an html or body container, so the widest token counts the host's pages
     host = token.groupBy("host").agg(F.max("pages").alias("host_pages"))
     frequent = token.join(host, "host").where((F.col("host_pages") >= MIN_PAGES) & (F.col("pages") >= F.col("host_pages") * MIN_SUPPORT))
     classes = frequent.groupBy("host", "vector_a", "vector_b").agg(F.count("*").alias("size"), F.min("depth").alias("top"))
@@ -232,10 +256,10 @@ def deduce(pages: DataFrame) -> DataFrame:
     member = frequent.join(valid, ["host", "vector_a", "vector_b"]).select("host", "area", "token", "vector_a", "vector_b", "top")
     marked = token.join(member.select("host", "token", F.lit(1).alias("known")), ["host", "token"], "left")
     text = F.col("words") * F.col("times")
-    areas = marked.groupBy("host", "area", "depth").agg(F.sum(text).alias("words"), F.sum(F.when(F.col("known") == 1, text).otherwise(0)).alias("template_words"))
+    areas = marked.groupBy("host", "area", "depth").agg(F.sum(text).alias("words"), F.sum(F.when(F.col("known") == 1, text).otherwise(0)).alias("template_words"), F.sum("marked").alias("marked"))
     inner = member.groupBy("host", "area").agg(F.max_by(F.struct("vector_a", "vector_b"), F.col("top")).alias("c"))
     out = areas.join(inner, ["host", "area"], "left")
-    return out.select("host", "area", F.col("c.vector_a").alias("class_a"), F.col("c.vector_b").alias("class_b"), "depth", "words", "template_words", ((F.col("words") > 0) & (F.col("template_words") * 2 > F.col("words"))).alias("is_template"))
+    return out.select("host", "area", F.col("c.vector_a").alias("class_a"), F.col("c.vector_b").alias("class_b"), "depth", "words", "template_words", ((F.col("marked") == 0) & (F.col("words") > 0) & (F.col("template_words") * 2 > F.col("words"))).alias("is_template"))
 
 
 OUT = "page_id long, url string, text string, n_chars long"
@@ -269,9 +293,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield extract_batch(batch, lambda i, b: known.value.get(host_of(b.column(1)[i].as_py()), frozenset()))
 
         return rows.mapInArrow(run, OUT)
-    host = F.lower(F.regexp_extract(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://(.*)$", 1), r"^([^/?#]*)", 1))
     each = areas.groupBy("host").agg(F.collect_set("area").alias("dropped"))
-    joined = rows.withColumn("host", host).join(each, "host", "left").select("page_id", "url", "html", "dropped")
+    joined = rows.withColumn("host", host_column()).join(each, "host", "left").select("page_id", "url", "html", "dropped")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -129,6 +129,21 @@ def test_language_model_keeps_every_gram(spark, monkeypatch):
     assert all(abs(joined[i] - whole[i]) < 1e-6 for i in whole)
 
 
+def test_copies_do_not_make_an_article_a_template(spark):
+    rng = random.Random(21)
+    article = lambda: "".join(f"<p>{' '.join(rng.choice(CLEAN) for _ in range(30))}</p>" for _ in range(3))
+    page = lambda body, tag, end="": f"<html><body><{tag}>{body}</{tag}><footer>{end}</footer></body></html>"
+    twice, once, plain = article(), article(), article()
+    rows = [(i, "http://a.com/x", page(twice, "article", f"seen {i}")) for i in (1, 2)] + [(3, "http://a.com/y", page(once, "article"))]
+    rows += [(4, "http://b.com/z", page(plain, "div"))] * 3
+    rows += [(5, "http://c.com/z", page(twice, "div"))] * 2 + [(6, "http://c.com/z", page(once, "div"))]
+    got = html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {1: twice, 2: twice, 3: once, 4: plain, 5: twice, 6: once}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["text"] == want[r["page_id"]].replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "")
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows, rated = [], []
