@@ -2,7 +2,7 @@
 
 A URL's items are its site (the last two labels of its host), the other labels, its path words
 (numbers as one item), its query names and its scheme.  URLs that a fixed rule decides are the labelled transactions, ``verdict=...``
-being one more item.  Spark's FP-growth mines frequent item sets; association rules whose consequent is
+being one more item.  Spark's FP-growth mines frequent item sets of all of them; association rules whose consequent is
 a verdict are pruned by confidence and support, and of two rules with the same verdict the more
 special is dropped unless it is more confident.  The rest is matched through an inverted index: a rule is
 filed under its rarest item, candidates are checked for all their items, and the strongest
@@ -34,8 +34,6 @@ RULES = (
 SUPPORT, CONFIDENCE = 0.005, 0.9
 #: Rules up to so many are sent to the workers; more are joined.
 SENT_RULES = 20_000
-#: Labelled URLs for mining, a bound on the fit: the rows with the least hash of their URL.
-SAMPLE = 200_000
 
 
 def lower_ascii(c: Column) -> Column:
@@ -147,8 +145,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", label
     rows = rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("fixed"), items(F.coalesce(url, F.lit("")), F.col("host"), F.col("path")).alias("items"))
     if labelled is None:
         labelled = rows.where("fixed is not null").select("items", F.col("fixed").alias("verdict"))
-    sample = durable(labelled.orderBy(F.xxhash64("items", "verdict")).limit(SAMPLE))
-    if not sample.limit(1).count():
+    labelled = durable(labelled)
+    if not labelled.limit(1).count():
         return rows.select("page_id", "host", "path", "rule", F.coalesce("fixed", F.lit("allow")).alias("verdict"))
-    out = matched(rows, mine(sample))
+    out = matched(rows, mine(labelled))
     return out.select("page_id", "host", "path", "rule", F.coalesce("fixed", "mined", F.lit("allow")).alias("verdict"))

@@ -144,6 +144,15 @@ def test_copies_do_not_make_an_article_a_template(spark):
         assert r["text"] == want[r["page_id"]].replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "")
 
 
+def test_rules_are_mined_from_all_labelled_urls(spark, monkeypatch):
+    monkeypatch.setattr(url_rules, "SAMPLE", 50, raising=False)
+    sets = [["path:q", "scheme:http", f"site:{s}.org"] for s in "ab"]
+    labelled = spark.createDataFrame([(x, "block") for x in sets for _ in range(100)], "items array<string>, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.org/q"), (2, "http://b.org/q"), (3, "http://c.org/q")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labelled=labelled).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows, rated = [], []
