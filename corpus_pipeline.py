@@ -51,8 +51,9 @@ def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = decontaminate.contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    found = decontaminate.contaminations(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
+    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

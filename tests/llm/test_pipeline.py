@@ -70,3 +70,12 @@ def test_near_dedup_compares_runs_of_five_words(spark, tmp_path):
     loose = corpus_pipeline.near_minhash.near_duplicates(docs).where("kept").select("doc_id").collect()
     assert {r["doc_id"] for r in loose} == {1}
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == {1, 2}
+
+
+def test_contaminated_documents_without_an_id_go(spark, tmp_path):
+    rng = random.Random(9)
+    item, clean = " ".join(words(rng, 30)), " ".join(words(rng, 60))
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(None, clean + " " + item), (None, clean), (1, item), (2, clean), (3, None)], "doc_id long, text string")
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, docs.where("text is null or text = '" + clean + "'").collect()))
