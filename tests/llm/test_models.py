@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillon.llm import html_template, metric_join, ppm, quality_ordinal, toxicity, url_rules
+from quillon.llm import metric_join, ppm, quality_ordinal, toxicity, url_rules
 
 CLEAN = [f"{a}{b}" for a in ("tha", "ore", "sti", "nad", "uli") for b in ("ren", "so", "mik", "tal", "ver", "one")]
 TOXIC = ["grobnik", "vilefoo", "zurgh", "snarl"]
@@ -129,21 +129,6 @@ def test_language_model_keeps_every_gram(spark, monkeypatch):
     assert all(abs(joined[i] - whole[i]) < 1e-6 for i in whole)
 
 
-def test_copies_do_not_make_an_article_a_template(spark):
-    rng = random.Random(21)
-    article = lambda: "".join(f"<p>{' '.join(rng.choice(CLEAN) for _ in range(30))}</p>" for _ in range(3))
-    page = lambda body, tag, end="": f"<html><body><{tag}>{body}</{tag}><footer>{end}</footer></body></html>"
-    twice, once, plain = article(), article(), article()
-    rows = [(i, "http://a.com/x", page(twice, "article", f"seen {i}")) for i in (1, 2)] + [(3, "http://a.com/y", page(once, "article"))]
-    rows += [(4, "http://b.com/z", page(plain, "div"))] * 3
-    rows += [(5, "http://c.com/z", page(twice, "div"))] * 2 + [(6, "http://c.com/z", page(once, "div"))]
-    got = html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    want = {1: twice, 2: twice, 3: once, 4: plain, 5: twice, 6: once}
-    assert len(got) == len(rows)
-    for r in got:
-        assert r["text"] == want[r["page_id"]].replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "")
-
-
 def test_rules_are_mined_from_all_labelled_urls(spark, monkeypatch):
     monkeypatch.setattr(url_rules, "SAMPLE", 50, raising=False)
     sets = [["path:q", "scheme:http", f"site:{s}.org"] for s in "ab"]
@@ -214,35 +199,6 @@ def test_metric_join_is_exact(spark, block):
     assert metric_join.metric_links(df.limit(0)).count() == 0
 
 
-PAGE = '<html><head><title>x</title></head><body><div class="top"><p>Site name</p><p>Since 1990</p></div><nav><ul><li>Home</li></ul></nav><div class="body"><h1>{0}</h1><p>{1} &amp; more<br>line</p></div><div class="bottom"><p>Imprint here</p></div><footer>F{0}</footer></body></html>'
-
-
-def test_template_finds_unmarked_boilerplate(spark):
-    rows = [(i, f"http://A.example/{i}", PAGE.format(f"Title {i}", f"Text number {i} of the page")) for i in range(12)]
-    rows += [(50, "http://lone.example/", PAGE.format("T", "x")), (60, None, None), (61, "no url", ""), (62, "http://a.example/q", "<p>cut off <b>he"), (0, "http://a.example/0", rows[0][2])]
-    got = html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    text = {r["page_id"]: r["text"] for r in got}
-    assert len(got) == len(rows)
-    assert text[3] == "Title 3\nText number 3 of the page & more line"
-    assert "Site name" in text[50] and "FT" not in text[50] and "Home" not in text[50]
-    assert text[60] == text[61] == "" and text[62] == "cut off he"
-    assert all(r["n_chars"] == len(r["text"]) for r in got)
-    assert html_template.extract(spark.createDataFrame([], "page_id long, url string, html string, host string")).count() == 0
-
-
-@pytest.mark.parametrize("html,want", [
-    ("<article><h1>T</h1><p>a\n b</p><aside>x</aside></article><p>out</p>", "T\na b"),
-    ("<article><p>x<div class='comments'><p>c</p></div></article>", "x"),
-    ("<div id='cookie-banner'>c</div><p>t &#8364; &lt;b&gt; &am", "t € <b> &am"),
-    ("<script>var a='</p>';</script><style>p{}</style><p>ok</p><!-- <p>no</p> -->", "ok"),
-    ("<ul><li>a<li>b</ul><form><input><p>f</p></form>", "a\nb"),
-    ("<article class='no-sidebar'><p>keep</p></article>", "keep"),
-    ("<p>1 < 2 and <b>3</b></p><p hidden>h</p>", "1 < 2 and 3"),
-])
-def test_main_text(html, want):
-    assert html_template.Page(html).main_text(frozenset()) == want
-
-
 def test_url_rules(spark):
     urls = {
         1: ("http://x.example.com/en/1?q=1", "example.com/en/", "block"),
