@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillon.llm import metric_join, ppm, quality_ordinal, toxicity, url_rules
+from quillon.llm import metric_join, ppm, quality_ordinal, toxicity
 
 CLEAN = [f"{a}{b}" for a in ("tha", "ore", "sti", "nad", "uli") for b in ("ren", "so", "mik", "tal", "ver", "one")]
 TOXIC = ["grobnik", "vilefoo", "zurgh", "snarl"]
@@ -129,15 +129,6 @@ def test_language_model_keeps_every_gram(spark, monkeypatch):
     assert all(abs(joined[i] - whole[i]) < 1e-6 for i in whole)
 
 
-def test_rules_are_mined_from_all_labelled_urls(spark, monkeypatch):
-    monkeypatch.setattr(url_rules, "SAMPLE", 50, raising=False)
-    sets = [["path:q", "scheme:http", f"site:{s}.org"] for s in "ab"]
-    labelled = spark.createDataFrame([(x, "block") for x in sets for _ in range(100)], "items array<string>, verdict string")
-    pages = spark.createDataFrame([(1, "http://a.org/q"), (2, "http://b.org/q"), (3, "http://c.org/q")], "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labelled=labelled).collect()}
-    assert got == {1: "block", 2: "block", 3: "allow"}
-
-
 def test_quality(spark):
     rng = random.Random(6)
     rows, rated = [], []
@@ -199,39 +190,6 @@ def test_metric_join_is_exact(spark, block):
     assert metric_join.metric_links(df.limit(0)).count() == 0
 
 
-def test_url_rules(spark):
-    urls = {
-        1: ("http://x.example.com/en/1?q=1", "example.com/en/", "block"),
-        2: ("https://WWW.example.com/en/1", "www.example.com/en/", "allow"),
-        3: ("https://a.net/es/", "net/es/", "block"),
-        4: ("https://net/fr/x#y", "net/fr/", "block"),
-        5: ("https://example.com/de", "com/", "allow"),
-        6: ("https://planet/es/", None, "allow"),
-        7: (None, None, "allow"),
-        8: ("mailto:x", None, "allow"),
-        9: ("http://a.com", None, "allow"),
-        10: ("http://b.org/en/3", None, "allow"),
-    }
-    got = {r["page_id"]: r for r in url_rules.judge(spark.createDataFrame([(k, u) for k, (u, *_) in urls.items()], "page_id long, url string")).collect()}
-    for k, (_, rule, verdict) in urls.items():
-        assert got[k]["rule"] == rule
-        if rule:
-            assert got[k]["verdict"] == verdict
-    assert (got[4]["host"], got[4]["path"]) == ("net", "/fr/x") and (got[7]["host"], got[8]["path"]) == ("", "")
-    assert url_rules.judge(spark.createDataFrame([], "page_id long, url string, items int")).count() == 0
-
-
-def test_url_rules_learn(spark, monkeypatch):
-    rows = [(i, ["site:s.org", f"path:p{i % 4}", "scheme:http"], "block" if i % 4 == 0 else "allow") for i in range(200)]
-    lab = spark.createDataFrame(rows, "k long, items array<string>, verdict string")
-    rules = url_rules.mine(lab)
-    rows = spark.createDataFrame([(1, ["site:s.org", "path:p0"]), (2, ["site:s.org", "path:p1"]), (3, ["site:t.org", "path:p0"])], "id long, items array<string>")
-    want = {1: "block", 2: "allow", 3: None}
-    assert {r["id"]: r["mined"] for r in url_rules.matched(rows, rules).collect()} == want
-    monkeypatch.setattr(url_rules, "SENT_RULES", 0)
-    assert {r["id"]: r["mined"] for r in url_rules.matched(rows, rules).collect()} == want
-
-
 def test_words_of_arrow_slices():
     col = pa.array(["a b", None, "c"]).slice(1, 2)
     buf, off = toxicity_buffers(col)
