@@ -1,20 +1,24 @@
 """Embedding near-duplicates: an exact metric range join over pivot cells.
 
 Vectors are scaled to length one, where cosine >= t is distance <= r = sqrt(2 - 2t).  Equal vectors of
-one label are one point with a weight.  Every point has a home cell, that of its nearest pivot.  A
-point y within r of x lies on y's side of the bisector between their pivots, so by the triangle
-inequality x is at most r beyond that bisector; x is replicated to exactly the cells for which
+one label are one point with a weight.  A cell with more than BLOCK home points is split by pivots, up to
+FAN of its own points.  Every home point goes to the cell of its nearest pivot.  A point y within r of x
+lies on y's side of the bisector between their pivots, so by the triangle inequality x is at most r beyond
+that bisector; x is replicated to exactly the cells for which
 
-    (x . p_home - x . p_cell) / |p_home - p_cell| <= r
+    x . p_nearest - x . p_cell <= r |p_nearest - p_cell|
 
 and whose covering radius allows it: d(x, p_cell) <= r + the radius of the cell.  Each ordered pair
-meets once, in the home cell of its second point.  A cell with many points is dealt over blocks of
-its home points, and its other points go to every block, so that cells join independently and no
-task holds more than a block and one batch.
+meets once, in the home cell of its second point.  Cells are split again until they are small or
+splitting saves no comparisons (all their points are near each other); so the number of pivots grows
+with the data, while a task only holds FAN of them.
 
-Pivots are points picked by hash, one for about BLOCK points of the largest label and PIVOTS at most;
-they change work, never the result.  In a block
-only counts and one edge for each point and local component leave; pairs are never emitted.
+A cell left with many points is dealt over blocks of its home points, and its other points go to every
+block, so that cells join independently and no task holds more than a block and one slice of visitors.
+
+Rounding: the test of the bisector is a product, not a quotient, and allows for the error of two sums of
+products; pivots nearer than MERGE are one.  Pivots change work, never the result.  In a block only
+counts and one edge for each point and local component leave; pairs are never emitted.
 """
 
 from __future__ import annotations
@@ -22,16 +26,19 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.graph import components
 from quillon.llm.store import durable
 
-PIVOTS = 1024
+FAN = 64
 BLOCK = 2048
-#: Slack for rounding where a point is assigned to cells; it only adds work.
-SLACK = 1e-9
+#: A split must save this share of the comparisons, or its cells are not split again.
+SAVED = 0.1
+#: Slack for rounding of distances, which near 0 have half the digits of a product; it only adds work.
+SLACK = 1e-6
+MERGE = 1e-6
 #: Products this near the threshold are summed again without rounding error.
 CLOSE = 1e-12
 
@@ -44,33 +51,44 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in column])
 
 
-def cells_of(x: np.ndarray, pivots: np.ndarray, radius: float) -> list[tuple[int, np.ndarray]]:
-    """For each unit row of x its home pivot and all cells that it must visit, home included."""
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * a @ b.T))
+
+
+def apart(pivots: np.ndarray) -> np.ndarray:
+    """The unit rows without those nearer than MERGE to an earlier one."""
+    kept: list[np.ndarray] = []
+    for p in pivots:
+        if not kept or np.linalg.norm(np.vstack(kept) - p, axis=1).min() >= MERGE:
+            kept.append(p)
+    return np.vstack(kept)
+
+
+def cells_of(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit row of x its nearest pivot, and which cells it must visit (that one included)."""
     dot = x @ pivots.T
-    home = dot.argmax(axis=1)
-    gap = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))
-    out = []
-    for i, h in enumerate(home):
-        away = np.where(gap[h] > 0, (dot[i, h] - dot[i]) / np.where(gap[h] > 0, gap[h], 1), 0.0)
-        out.append((int(h), np.flatnonzero(away <= radius + SLACK)))
-    return out
-
-
-def place(pivots: dict[int, np.ndarray], radius: float):
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for size, part in pdf.groupby(pdf["embedding"].map(len)):
-                p = pivots.get(int(size))
-                x = unit(matrix(part["embedding"]))
-                cells = cells_of(x, p, radius) if p is not None else [(0, np.array([0]))] * len(part)
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * x @ p.T)) if p is not None else np.zeros((len(part), 1))
-                for k, (home, visit) in enumerate(cells):
-                    row = part.iloc[k]
-                    out.append((row["point"], row["label"], int(size), row["weight"], row["embedding"], home, [(int(c), float(d[k, c])) for c in visit], float(d[k, home])))
-            yield pd.DataFrame(out, columns=["point", "label", "dim", "weight", "embedding", "home", "visit", "own"])
-
-    return run
+    nearest = dot.argmax(axis=1)
+    gap = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
+    # a sum of d products of unit vectors is off by at most about d roundings; four sums meet here
+    error = 8 * (x.shape[1] + 8) * np.finfo(float).eps
+    beyond = dot[np.arange(len(x)), nearest][:, None] - dot
+    return nearest, beyond <= (radius + SLACK) * gap[nearest] + error
+
+
+def split(visits: pd.DataFrame, picked: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """The visits of one cell, dealt over the cells of its pivots."""
+    columns = ["point", "label", "dim", "weight", "embedding", "cell", "part", "home", "far"]
+    if not len(visits):
+        return pd.DataFrame([], columns=columns)
+    pivots = apart(unit(matrix(picked.sort_values("rank")["pivot"])))
+    x = unit(matrix(visits["embedding"]))
+    nearest, visit = cells_of(x, pivots, radius)
+    row, cell = np.nonzero(visit)
+    out = visits.iloc[row][["point", "label", "dim", "weight", "embedding", "cell"]].copy()
+    out["part"] = cell.astype(np.int32)
+    out["home"] = visits["home"].to_numpy()[row] & (nearest[row] == cell)
+    out["far"] = distances(x, pivots)[row, cell]
+    return out[columns]
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -115,12 +133,43 @@ def compare(key: tuple, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"point": point[some], "links": links[some], "top": top[some]})
 
 
-def metric_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def smaller_cells(visits: DataFrame, kind: str, radius: float, fan: int, block: int) -> DataFrame:
+    """Splits cells until each has at most ``block`` home points or splitting no longer helps.
+
+    ``visits`` has point, label, dim, weight, embedding, cell, home, final.
+    """
+    cell = ["label", "dim", "cell"]
+    schema = f"point long, label string, dim int, weight long, embedding {kind}, cell long, part int, home boolean, far double"
+    while True:
+        sizes = durable(visits.groupBy(*cell, "final").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes")))
+        large = sizes.where(~F.col("final") & (F.col("homes") > block))
+        if not large.limit(1).count():
+            return visits
+        large = durable(large.withColumn("shares", F.ceil(F.col("n") / block)))
+        todo = visits.join(large.select(*cell, "shares"), cell)
+        rank = F.row_number().over(Window.partitionBy(*cell).orderBy(F.xxhash64("point", F.col("cell")), "point"))
+        picked = todo.where("home").select(*cell, "shares", "point", F.col("embedding").alias("pivot")).withColumn("rank", rank).where(F.col("rank") <= fan)
+        picked = picked.where(F.col("rank") <= F.greatest(F.lit(2), F.ceil(F.col("shares") * 2)))
+        picked = durable(picked.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).select(*cell, "share", "rank", "pivot").toDF("of_label", "of_dim", "of_cell", "of_share", "rank", "pivot"))
+        dealt = todo.withColumn("share", F.pmod(F.xxhash64("point", F.lit(3)), F.col("shares")))
+        parts = dealt.groupBy(*cell, "share").cogroup(picked.groupBy("of_label", "of_dim", "of_cell", "of_share")).applyInPandas(lambda x, y: split(x, y, radius), schema)
+        parts = durable(parts)
+        own = parts.groupBy(*cell, "part").agg(F.max(F.when(F.col("home"), F.col("far"))).alias("reach"), F.sum(F.col("home").cast("long")).alias("h")).where("h > 0")
+        parts = parts.join(own, [*cell, "part"]).where(F.col("far") <= F.col("reach") + radius + SLACK)
+        work = parts.groupBy(*cell, "part").agg((F.count("*") * F.sum(F.col("home").cast("long"))).cast("double").alias("w")).groupBy(*cell).agg(F.sum("w").alias("after"))
+        done = work.join(large, cell).select(*cell, (F.col("after") > F.col("n").cast("double") * F.col("homes") * (1 - SAVED)).alias("final"))
+        parts = parts.join(done, cell).select("point", "label", "dim", "weight", "embedding", F.xxhash64("cell", "part").alias("cell"), "home", "final")
+        kept = visits.join(large.select(*cell), cell, "left_anti").select(*parts.columns)
+        visits = durable(kept.union(parts))
+
+
+def metric_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", fan: int = FAN, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row.
 
     Null labels, null, zero or non-finite vectors and empty arrays link with nothing; vectors of
     different lengths are never compared.  Rows that share an id are one node, whose links are added
-    up; a null id links with nothing and gets no component.  Empty table: no rows.
+    up; a null id links with nothing and gets no component.  Very long vectors are compared whole.  Empty
+    table: no rows.
     """
     kind = vectors.schema[vector_col].dataType.simpleString()
     kind = kind if kind == "array<float>" else "array<double>"
@@ -134,28 +183,17 @@ def metric_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     point = durable(point)
     if not point.limit(1).count():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    largest = point.groupBy("label").count().agg(F.max("count")).first()[0]
-    pivots = min(pivots, -(-largest // block))
-    picked = point.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(pivots).collect()
-    table: dict[int, list[np.ndarray]] = {}
-    for r in picked:
-        table.setdefault(len(r["embedding"]), []).append(np.array(r["embedding"], dtype=np.float64))
-    fixed = {k: np.unique(unit(np.vstack(v)), axis=0) for k, v in table.items()}
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    placed = point.select("point", "label", "weight", "embedding").mapInPandas(
-        place(fixed, radius), f"point long, label string, dim int, weight long, embedding {kind}, home int, visit array<struct<cell:int,far:double>>, own double"
-    )
-    placed = durable(placed)
-    cells = placed.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.count("*").alias("n"), F.max("own").alias("reach"))
-    cells = cells.withColumn("blocks", F.ceil(F.col("n") / block))
-    visits = placed.select("point", "label", "dim", "weight", "embedding", "home", F.explode("visit").alias("v")).select("*", F.col("v.cell").alias("cell"), F.col("v.far").alias("far")).drop("v")
-    visits = visits.join(cells, ["label", "dim", "cell"]).where(F.col("far") <= F.col("reach") + radius + SLACK)
+    visits = point.select("point", "label", F.size("embedding").alias("dim"), "weight", "embedding", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), F.lit(False).alias("final"))
+    visits = smaller_cells(visits, kind, radius, fan, block)
+    cells = visits.groupBy("label", "dim", "cell").agg(F.sum(F.col("home").cast("long")).alias("n"), F.count("*").alias("all")).where("n > 0")
+    cells = cells.select("label", "dim", "cell", F.ceil(F.col("n") / block).alias("blocks"), F.ceil(F.col("all") / block).alias("slices"))
+    visits = visits.join(cells, ["label", "dim", "cell"])
     own = F.pmod(F.xxhash64("point"), F.col("blocks"))
     visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    visits = visits.withColumn("is_home", (F.col("home") == F.col("cell")) & (own == F.col("block")))
+    visits = visits.withColumn("is_home", F.col("home") & (own == F.col("block")))
     # visitors of a block are dealt over slices as well; each slice has all the block's home points
-    share = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("long")
-    slice_ = F.when(F.col("is_home"), F.sequence(F.lit(0).cast("long"), share - 1)).otherwise(F.array(F.pmod(F.xxhash64("point", F.lit(7)), share)))
+    slice_ = F.when(F.col("is_home"), F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).otherwise(F.array(F.pmod(F.xxhash64("point", F.lit(7)), F.col("slices"))))
     visits = visits.withColumn("slice", F.explode(slice_))
     found = visits.groupBy("label", "dim", "cell", "block", "slice").applyInPandas(
         lambda key, pdf: compare_slice(key, pdf, threshold), "point long, links long, top long"

@@ -174,8 +174,8 @@ def brute_links(rows, threshold=0.93):
     return {i: (links[i], find(i)) for i in up}
 
 
-@pytest.mark.parametrize("block", [16, 2048])
-def test_metric_join_is_exact(spark, block):
+@pytest.mark.parametrize("block,fan", [(5, 3), (16, 64), (2048, 64)])
+def test_metric_join_is_exact(spark, block, fan):
     rng = np.random.default_rng(4)
     rows = []
     for c in range(12):
@@ -184,12 +184,53 @@ def test_metric_join_is_exact(spark, block):
             rows.append((len(rows) * 2, (base + rng.normal(size=8) * rng.choice([0.0, 0.05, 0.2, 0.4])).tolist(), int(c % 3)))
     rows += [(5001, None, 1), (5003, [0.0] * 8, 1), (5005, [1.0, None] + [0.0] * 6, 1), (5007, [float("nan")] * 8, 1), (5009, rows[0][1], None), (5011, [1.0, 2.0], 1), (5013, [2.0, 4.0], 1), (5015, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in metric_join.metric_links(df, block=block).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in metric_join.metric_links(df, block=block, fan=fan).collect()}
     want = {i: (0, i) for i, *_ in rows} | brute_links(rows)
     assert got == want and sum(n for n, _ in want.values()) > 100
     assert metric_join.metric_links(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [2, 3, 64])
+def test_near_pivots_lose_no_link(spark, dim):
+    """Clusters whose points lie 1e-9 to 1e-5 apart, around the edge of the radius, cut by pivots among them."""
+    rng = np.random.default_rng(dim)
+    rows = []
+    for label, gap in enumerate((1e-9, 1e-8, 5e-8, 1e-7, 1e-6, 1e-5)):
+        a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+        edge = math.acos(0.93)
+        for turn in (0.0, gap, 2 * gap, edge - 3 * gap, edge - gap, edge + 2 * gap, edge + 3 * gap, 2 * edge - gap):
+            for _ in range(2):
+                t = turn + gap * rng.normal() / 10
+                rows.append((len(rows), (math.cos(t) * a + math.sin(t) * b).tolist(), label))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in metric_join.metric_links(df, block=2, fan=2).collect()}
+    assert got == {i: (0, i) for i, *_ in rows} | brute_links(rows)
+
+
+def test_cells_cover_every_partner():
+    """Crafted: whatever pivots are taken, a point visits the cell of each partner within the radius."""
+    radius = math.sqrt(2 - 2 * 0.93)
+    for dim in (2, 5, 64):
+        for gap in (2e-6, 1e-5, 1e-3, 0.1):
+            rng = np.random.default_rng(dim)
+            base = metric_join.unit(rng.normal(size=(1, dim)))
+            x = metric_join.unit(base + rng.normal(size=(300, dim)) * radius / math.sqrt(dim) * 0.7)
+            pivots = metric_join.apart(metric_join.unit(base + rng.normal(size=(6, dim)) * gap))
+            nearest, visit = metric_join.cells_of(x, pivots, radius)
+            near = metric_join.distances(x, x) <= radius
+            assert all(visit[i, nearest[j]] for i, j in np.argwhere(near))
+    assert len(metric_join.apart(np.array([[1.0, 0.0], [1.0, 1e-7], [0.0, 1.0]]))) == 2
+
+
+def test_metric_join_odd_tables(spark):
+    rows = [(1, [1.0, 0.0], 1, 9, 9), (1, [1.0, 0.0], 1, 9, 9), (2, [1.0, 0.1], 1, 9, 9), (None, [1.0, 0.0], 1, 9, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, point int, cell int")
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in metric_join.metric_links(df).collect())
+    assert got == [("1", 2, 1, True), ("1", 2, 1, True), ("2", 2, 1, False), ("None", 0, None, True)]
+    wide = spark.createDataFrame([(1, [1.0] * 50_000, 1), (2, [1.0] * 49_999 + [2.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert [r["n_links"] for r in metric_join.metric_links(wide).collect()] == [1, 1]
+
+
 def test_words_of_arrow_slices():
     col = pa.array(["a b", None, "c"]).slice(1, 2)
     buf, off = toxicity_buffers(col)
