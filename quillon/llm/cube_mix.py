@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.store import durable
@@ -115,24 +115,43 @@ def landing(block: pd.DataFrame) -> pd.DataFrame:
     return block[["doc_id", "size", "source", "ratio", "p", "tag"]]
 
 
-def row_hash(id_col: str = "doc_id", text_col: str = "text"):
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+def row_hash(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col), F.col(source_col).cast("string"))
 
 
-def told_apart(rows: DataFrame) -> DataFrame:
-    """Gives repeats of a row (doc_id, tag) tags of their own."""
-    nth = F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy("tag"))
-    return rows.withColumn("__nth", nth).withColumn("tag", F.when(F.col("__nth") == 1, F.col("tag")).otherwise(F.xxhash64("tag", "__nth"))).drop("__nth")
+def nth_tag(n: Column) -> Column:
+    """The tag of the n-th of several rows with one id, text and source."""
+    return F.when(n == 1, F.col("tag")).otherwise(F.xxhash64("tag", n))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Gives rows that share (doc_id, tag) tags of their own, as mix does, wherever they lie.
+
+    Rows are counted for each partition of the input, which must be a stored table, so that no task sees
+    all repeats of a row.
+    """
+    rows = rows.withColumn("__part", F.spark_partition_id())
+    count = rows.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("__part").alias("__in")).agg(F.count("*").alias("__n"))
+    before = count.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("__id", "__tag").orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = rows.join(before, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tag") == F.col("__tag")) & (F.col("__part") == F.col("__in")))
+    nth = F.col("__before") + F.row_number().over(Window.partitionBy("doc_id", "tag", "__part").orderBy("__before"))
+    return joined.withColumn("tag", nth_tag(nth)).drop("__part", "__id", "__tag", "__in", "__n", "__before")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.0) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, a whole number of copies), copies.
 
     One row for each row of ``docs``; rows that share an id are separate documents.  Null text counts
-    as empty and is taken zero times, null source is a source of its own.  Empty table: no rows.
+    as empty and is taken zero times, null source is a source of its own.  Very long texts only count their
+    words.  Repeats of a row are told apart by number.  Empty table: no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("source"), row_hash(id_col, text_col).alias("tag"))
-    rows = durable(told_apart(rows))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("source"), row_hash(id_col, text_col, source_col).alias("tag"))
+    # equal rows are counted and then numbered, so that no task gathers them
+    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("many"))
+    ahead = Window.partitionBy("doc_id", "tag").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    equal = equal.withColumn("ahead", F.coalesce(F.sum("many").over(ahead), F.lit(0)))
+    each = equal.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many"))))
+    rows = durable(each.select("doc_id", "size", "source", nth_tag(F.col("ahead") + F.col("n")).alias("tag")))
     targets = durable(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), total_share))
     small = targets.limit(10_001).count() <= 10_000
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -163,6 +182,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = done[0]
     for more in done[1:]:
         taken = taken.union(more)
-    copies = (F.floor("ratio") + F.col("p")).cast("long")
+    copies = F.when(F.col("size") > 0, (F.floor("ratio") + F.col("p")).cast("long")).otherwise(0)
     both = taken.join(F.broadcast(targets) if small else targets, taken["source"].eqNullSafe(targets["source"]))
     return both.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("tag"))

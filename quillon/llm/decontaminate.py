@@ -152,13 +152,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     the item's edit budget, with the best place for each pair.
 
     Null or empty texts and items match nothing; ties go to the earliest place; repeated rows report
-    each for itself; a null doc_id is reported as null.  Items under ``piece`` words match only exactly.
+    each for itself, and so do repeated items; a null doc_id is reported as null; very long texts are scanned whole.  Items under ``piece`` words match only exactly.
     Empty tables: no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = None
     for batch in item_batches(benchmark, item_col, item_text):
-        items = Items(batch, piece)
-        part = rows.mapInArrow(lambda it, items=items: scan(it, items), HITS)
+        items = docs.sparkSession.sparkContext.broadcast(Items(batch, piece))
+        part = rows.mapInArrow(lambda it, items=items: scan(it, items.value), HITS)
         found = part if found is None else found.union(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], HITS)

@@ -244,15 +244,26 @@ def block_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
 
 
 def family_links(crowd: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between components among members (band, a, c) of large bands."""
+    """Links between components among members (band, a, c) of large bands.
+
+    A component that fills a block has blocks of its own, which are not compared with each other: so a large
+    group of copies only meets the texts that are not yet in it.  Small components share blocks.
+    """
     hubs = crowd.groupBy("band").agg(F.min("a").alias("b"))
     family = components(crowd.join(hubs, "band").select("a", "b")).select(F.col("node").alias("a"), F.col("component").alias("family"))
     member = settled(family.join(crowd.select("a", "c").distinct(), "a"))
-    blocks = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = member.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
-    both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("one"), F.greatest("block", j).alias("two")))
-    dealt = placed.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").withColumn("p", F.explode(both))
-    dealt = dealt.select("family", "p.one", "p.two", "block", "a", "c", "text")
+    sizes = member.groupBy("family", "c").agg(F.count("*").alias("n"))
+    full = sizes.where(F.col("n") >= BLOCK).select("family", "c", F.col("c").alias("own"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rest = sizes.where(F.col("n") < BLOCK).groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("shared"))
+    placed = member.join(full, ["family", "c"], "left").join(rest, "family", "left")
+    at = F.pmod(F.xxhash64("a"), F.coalesce("blocks", "shared"))
+    placed = placed.select("a", "c", "family", "own", F.xxhash64(F.coalesce("own", F.lit(-1)), F.col("own").isNull(), at).alias("block"))
+    # one entry for each block of a family
+    listed = placed.select("family", "own", "block").distinct().groupBy("family").agg(F.collect_list(F.struct("own", "block")).alias("blocks"))
+    met = F.filter("blocks", lambda x: F.coalesce(x["own"] != F.col("own"), F.lit(True)))
+    dealt = placed.join(listed, "family").withColumn("with", F.explode(F.transform(met, lambda x: x["block"])))
+    dealt = dealt.select("family", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "a", "c")
+    dealt = dealt.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
     return settled(dealt.groupBy("family", "one", "two").applyInPandas(lambda pdf: block_links(pdf, shingle, percent), "a long, b long").distinct())
 
 
@@ -282,7 +293,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     component_id is the least id reachable by links, kept is component_id = doc_id.  Empty table: no
-    rows.  Null or empty text: no shingles, linked with nothing.  Ties and repeated rows: see above.
+    rows.  Null or empty text: no shingles, linked with nothing.  Very long texts are compared whole.  Rows that
+    share an id are one node; of equal sets the least id stands for all.  A null id is kept and has no component.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = durable(texts.mapInArrow(lambda it: sketch(it, shingle), SKETCH))

@@ -19,6 +19,7 @@ tokens are at most FREQUENT many and go to every worker; counts of all other wor
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,8 +37,8 @@ ORDER = 5
 #: Probabilities sent to every worker are at most so many.
 SENT_GRAMS = 1 << 22
 FREQUENT = 1 << 18
-#: Longer words are never sent to all workers.
-FREQUENT_BYTES = 64
+#: Longer words are known by a digest, so that every key is short.
+KEY_BYTES = 64
 END, PAD = 0xFF, 0xFE
 ALPHABET = 256
 #: Grams of so many symbols are counted together before they leave a worker.
@@ -99,6 +100,11 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def word_key(word: bytes) -> bytes:
+    """The word itself, or if it is long a blank and its digest, which no word equals."""
+    return word if len(word) <= KEY_BYTES else b" " + hashlib.blake2b(word, digest_size=16).digest()
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of training texts; one END_WORD, which no word equals, for each text."""
     count: Counter = Counter()
@@ -113,7 +119,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = offsets[lo : hi + 1] - offsets[lo]
             # a text boundary may touch: set texts apart
             apart = np.insert(low, at[1:-1], 0x20) if hi - lo > 1 else low
-            count.update(apart.tobytes().split())
+            count.update(map(word_key, apart.tobytes().split()))
             count[END_WORD] += hi - lo
             if len(count) > 300_000:
                 yield flush()
@@ -241,7 +247,7 @@ def probabilities(counted: DataFrame, nodes: int | None = None) -> DataFrame:
     return out
 
 
-CODED = "doc_id long, variant int, gram long, value double"
+CODED = "doc_id long, variant long, gram long, value double"
 
 
 def coder(sent):
@@ -269,13 +275,13 @@ def coder(sent):
     return run
 
 
-SCORED = "doc_id long, variant int, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, rows long"
+SCORED = "doc_id long, variant long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, rows long"
 
 
 def scorer(frequent, n_all: int, n_kinds: int):
     """Two kinds of rows: one for each text, and one for each of its words whose count must be joined.
 
-    A text's own row carries a word that holds a blank, and so equals no word, and that spreads evenly.
+    A text's own row carries a blank and digits, which is no word's key, and that spreads evenly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +295,7 @@ def scorer(frequent, n_all: int, n_kinds: int):
                 doc, word, times, tokens, known, base = [], [], [], [], [], []
                 for i in range(hi - lo):
                     a, b = offsets[lo + i] - offsets[lo], offsets[lo + i + 1] - offsets[lo]
-                    count = Counter(raw[a:b].split())
+                    count = Counter(map(word_key, raw[a:b].split()))
                     n = sum(count.values()) + 1
                     end = common.get(END_WORD, 0)
                     total, seen = np.log10(end + 1) - n * floor, int(end > 0)
@@ -339,16 +345,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
 
     Tokens are the words of the text, A-Z lower-cased, and one end.  base_score is the sum of
     log10((c + 1) / (N + V + 1)); score the model's log10 probability of the text's bytes and end.  Null
-    text counts as empty: one token.  A null id counts as empty text in the split.  Rows with equal
+    text counts as empty: one token; very long texts are read whole, a text at a time.  A null id counts as empty text in the split.  Rows with equal
     id and text are repeated with equal scores.  Without training rows all counts are 0 and the model
     is uniform.  Empty table: no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("variant"), held_out(id_col, parts, part).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("variant"), held_out(id_col, parts, part).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     training = rows.where(~F.col("held_out")).select("text")
     words = durable(training.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     n_all, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = words.where((F.col("n") * FREQUENT >= n_all) & (F.octet_length("word") <= FREQUENT_BYTES))
+    often = words.where(F.col("n") * FREQUENT >= n_all)
     # at most FREQUENT words hold 1/FREQUENT of all tokens each
     counts = {bytes(w): int(n) for w, n in often.union(words.where(F.col("word") == END_WORD)).distinct().collect()}
     send = spark.sparkContext.broadcast

@@ -59,7 +59,7 @@ def hashed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Ordinal:
-    def __init__(self, grades: list[int], weights: np.ndarray, shape: np.ndarray, thresholds: np.ndarray):
+    def __init__(self, grades: list[float], weights: np.ndarray, shape: np.ndarray, thresholds: np.ndarray):
         self.grades, self.weights, self.shape, self.thresholds = grades, weights, shape, thresholds
 
     def above(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ def compact(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def fit(rows: list[tuple[str, int]], steps: int = STEPS) -> Ordinal:
+def fit(rows: list[tuple[str, float]], steps: int = STEPS) -> Ordinal:
     """Grades are the distinct ratings in order; a single grade gives a constant model."""
     rows = sorted(set(rows))
     grades = sorted({g for _, g in rows}) or [0]
@@ -124,7 +124,7 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS) -> Ordinal:
     return Ordinal(grades, weights, shape_w, cut)
 
 
-def scorer(model: Ordinal, tail: int):
+def scorer(model: Ordinal, tail: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grades = np.array(model.grades, dtype=float)
         j = next((i for i, g in enumerate(model.grades) if g >= tail), None)
@@ -142,14 +142,15 @@ def scorer(model: Ordinal, tail: int):
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", tail: int = 1, least: float = 0.5, per_grade: int = SAMPLE) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", tail: float = 1, least: float = 0.5, per_grade: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability = P(grade >= ``tail``), kept = it is ``least`` or more.
 
     One row for each row of ``docs``; equal texts score alike.  Null and empty texts have no words and
-    score by the thresholds alone.  Without ratings, or with one grade only, the model is that grade (0
+    score by the thresholds alone; very long texts are read whole.  Ratings are numbers, fractions included, and
+    null ones are left out.  Without ratings, or with one grade only, the model is that grade (0
     without any).  Empty table: no rows.
     """
-    model = fit(labelled_sample(docs, labels, label_col, per_grade))
+    model = fit(labelled_sample(docs, labels, F.col(label_col), per_grade))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(scorer(model, tail), "doc_id long, held_out boolean, expected_grade double, tail_probability double")
     return scored.withColumn("kept", F.col("tail_probability") >= least)

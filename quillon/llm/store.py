@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +12,21 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session; a local one only where none is named, as in tests."""
+    """The folder named by the session; a local one only where none is named and all runs on one machine, as in tests."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if named:
         return named
-    where = os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
-    return where
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
 
 
 def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     context = spark.sparkContext
+    # the files go when the last plan that reads them is gone
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -31,8 +31,8 @@ from quillon.llm.arrays import Rolling, Words, signed, slices, sliding_min, text
 from quillon.llm.store import durable
 
 SPAN, ANCHOR = 50, 15
-PATHS = "bucket long, path long, doc_id long, variant int, start int, n int"
-EDGES = "bucket long, edge long, doc_id long, variant int, start int"
+PATHS = "bucket long, path long, doc_id long, variant long, start int, n int"
+EDGES = "bucket long, edge long, doc_id long, variant long, start int"
 
 
 def window_buckets(hashes: np.ndarray, span: int, anchor: int) -> np.ndarray:
@@ -172,10 +172,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Removes each word covered by a ``span``-word window whose word sequence also starts in a document
     with a smaller id, judged on the input.  Null or empty text: no words.  Rows that share an id are
-    one document and do not dedup each other.  A null id is never compared.  Empty table: no rows.
+    one document and do not dedup each other; ``variant``, a 64-bit hash of the text, tells them apart.  A null
+    id is never compared.  Very long texts are read whole, a text at a time.  Empty table: no rows.
     kept_text is null where nothing was removed.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("variant"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("variant"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(rows, span, anchor)
     marks = spans.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     full = rows.join(marks, ["doc_id", "variant"], "left").select("doc_id", "text", "spans")

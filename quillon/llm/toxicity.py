@@ -31,10 +31,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.store import durable
+
 SAMPLE = 4000
+#: Bounds of any sample that reaches the driver.
+SAMPLE_ROWS, SAMPLE_BYTES = 40_000, 128 << 20
 ORDINARY_BYTES = 32_768
 HEAD, TAIL = b"~0123456789~abcdefghijklmnopqrstuvwxyz~", b"~ZYXWVUTSRQPO~"
 WINDOW = re.compile(r"[^\W\d_]+")
@@ -223,19 +227,25 @@ def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text"
+) -> list[tuple[str, float]]:
     """(text, label) of at most ``per_class`` rows of each label outside the held-out part.
 
-    A document labelled twice has its largest label; null labels and texts are left out.
+    ``label`` is a column of ``labels`` and is read as a double; rows beyond SAMPLE_ROWS or SAMPLE_BYTES in
+    all are left out, every label giving in turn.  A document labelled twice has its largest label;
+    labels and texts that are null or not a number are left out; of several texts of an id the least counts.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("__key")).agg(F.max(label_col).alias("__label"))
-    rows = []
-    for value in sorted(r[0] for r in known.select("__label").distinct().limit(100).collect()):
-        keys = known.where(F.col("__label") == value).orderBy(F.xxhash64("__key"), "__key").limit(per_class)
-        text = docs.select(F.col(id_col).cast("long").alias("__key"), F.col(text_col).cast("string").alias("__text")).where("__text is not null")
-        got = text.join(F.broadcast(keys), "__key").select("__key", "__text").collect()
-        rows += [(t, int(value)) for _, t in got]
-    return rows
+    rank = Window.partitionBy("__label").orderBy(F.xxhash64("__key"), "__key")
+    named = labels.select(F.col("doc_id").cast("long").alias("__key"), label.cast("double").alias("__label"), held_out("doc_id").alias("__out"))
+    known = named.where(F.col("__key").isNotNull() & F.col("__label").isNotNull() & ~F.isnan("__label") & ~F.col("__out")).groupBy("__key").agg(F.max("__label").alias("__label"))
+    keys = known.withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= per_class).orderBy("__rank", "__label", "__key").limit(SAMPLE_ROWS)
+    text = docs.select(F.col(id_col).cast("long").alias("__key"), F.col(text_col).cast("string").alias("__text")).where("__text is not null")
+    got = durable(text.join(F.broadcast(keys), "__key").groupBy("__key", "__label", "__rank").agg(F.min("__text").alias("__text")))
+    # at most SAMPLE_ROWS rows without their texts
+    sizes = got.select("__key", F.sum(F.octet_length("__text")).over(Window.orderBy("__rank", "__label", "__key")).alias("__bytes"))
+    kept = sizes.where(F.col("__bytes") <= SAMPLE_BYTES).select("__key")
+    return [(t, float(y)) for t, y in got.join(F.broadcast(kept), "__key").select("__text", "__label").collect()]
 
 
 def scorer(pair: Pair):
@@ -262,7 +272,7 @@ def score_of(pair: Pair):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = SAMPLE) -> Pair:
-    return train([(t, int(y > 0)) for t, y in labelled_sample(docs, labels, label_col, per_class)])
+    return train([(t, int(y)) for t, y in labelled_sample(docs, labels, (F.col(label_col) > 0).cast("int"), per_class)])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE) -> DataFrame:

@@ -219,6 +219,57 @@ def test_flight_keeps_totals():
         assert abs(sum(s * x for s, x in zip(size, q, strict=True)) - sum(s * x for s, x in zip(size, p, strict=True))) < 1e-4 * n + 1e-4
 
 
+def test_large_groups_meet_only_the_rest(spark, monkeypatch):
+    """Two large groups of near copies and strays between them: no link is lost, no group is compared with itself."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(2):
+        base = [word() for _ in range(60)]
+        for _ in range(40):
+            own = list(base)
+            own[rng.randrange(60)] = word()
+            rows.append((len(rows), " ".join(own)))
+        far = list(base)
+        for _ in range(6):
+            far[rng.randrange(60)] = word()
+        rows += [(len(rows) + i, " ".join([*far, word()])) for i in range(5)]
+    want = brute_components(rows)
+    monkeypatch.setattr(near_minhash, "BLOCK", 8)
+    monkeypatch.setattr(near_minhash, "SMALL", 2)
+    seen = []
+    plain = near_minhash.family_links
+    monkeypatch.setattr(near_minhash, "family_links", lambda *a: seen.append(1) or plain(*a))
+    got = {r["doc_id"]: r["component_id"] for r in near_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and seen
+
+
+def brute_components(rows):
+    sets = {i: {tuple(w[k : k + 2]) for w in [t.split()] for k in range(len(w) - 1)} for i, t in rows}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    return {i: find(i) for i in sets}
+
+
+def test_decontamination_odd_tables(spark):
+    item = "one two three four five six seven eight nine ten"
+    long = "filler " * 300_000 + item
+    docs = spark.createDataFrame([(1, long, "z", 1), (1, long, "z", 1), (None, item, "z", 1), (2, None, "z", 1), (3, "", "z", 1)], "doc_id long, text string, item_id string, distance int")
+    bench = spark.createDataFrame([(7, item, 1), (7, item, 1), (8, None, 1), (9, "", 1), (None, item, 1)], "item_id long, text string, doc_id int")
+    got = Counter((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.contaminations(docs, bench).collect())
+    assert got == Counter({(1, 7, 0): 4, (None, 7, 0): 2, (1, None, 0): 2, (None, None, 0): 1})
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (7, 7), (None, 3), (300, 301), (301, 302), (302, 300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -231,6 +231,47 @@ def test_metric_join_odd_tables(spark):
     assert [r["n_links"] for r in metric_join.metric_links(wide).collect()] == [1, 1]
 
 
+def test_fractions_are_grades_of_their_own(spark):
+    docs = spark.createDataFrame([(i, ("low " if i % 2 else "high ") * 20 + f"w{i}") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 2.1 if i % 2 else 2.9) for i in range(80)] + [(3, float("nan")), (4, None)], "doc_id long, quality double")
+    rows = toxicity.labelled_sample(docs, labels, labels["quality"], 10)
+    assert {y for _, y in rows} == {2.1, 2.9} and len(rows) == 20
+    got = quality_ordinal.quality(docs, labels, tail=2.5).collect()
+    assert {r["kept"] for r in got if r["doc_id"] % 2 == 0} == {True} and {r["kept"] for r in got if r["doc_id"] % 2} == {False}
+    assert all(2.1 <= r["expected_grade"] <= 2.9 for r in got)
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i}") for i in range(60)] + [(1, "z" * 50), (2, None)], "doc_id long, text string, ".rstrip(", "))
+    labels = spark.createDataFrame([(i, float(i)) for i in range(60)] + [(1, 1.0)], "doc_id long, quality double")
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 70)
+    rows = toxicity.labelled_sample(docs, labels, labels["quality"], 5)
+    assert 0 < len(rows) <= 20 and sum(len(t) for t, _ in rows) <= 70
+
+
+def test_models_on_odd_tables(spark):
+    long = "tha ore " * 200_000
+    docs = spark.createDataFrame([(1, long, 1, 2, 3), (1, long, 1, 2, 3), (None, "tha", 1, 2, 3), (2, None, 1, 2, 3), (3, "", 1, 2, 3)], "doc_id long, text string, score int, variant int, label int")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for got in (toxicity.toxicity(docs, labels), quality_ordinal.quality(docs, labels), ppm.score(docs)):
+        rows = sorted((str(r["doc_id"]), str(r)) for r in got.collect())
+        assert [r[0] for r in rows] == ["1", "1", "2", "3", "None"] and rows[0] == rows[1]
+
+
+def test_long_words_are_known_by_digest(spark):
+    ruler = "-" * 500
+    docs = spark.createDataFrame([(i, f"{ruler} word{i} {ruler}x") for i in range(20)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ppm.score(docs).collect()}
+    train = [i for i in range(20) if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for i in train for w in (ruler, f"word{i}", ruler + "x", None))
+    n, v = sum(count.values()), len(count)
+    for i, r in got.items():
+        own = [count[w] for w in (ruler, f"word{i}", ruler + "x", None)]
+        assert (r["train_tokens"], r["n_known"]) == (n, sum(c > 0 for c in own))
+        assert r["base_score"] == pytest.approx(sum(math.log10((c + 1) / (n + v + 1)) for c in own))
+
+
 def test_words_of_arrow_slices():
     col = pa.array(["a b", None, "c"]).slice(1, 2)
     buf, off = toxicity_buffers(col)

@@ -79,3 +79,54 @@ def test_contaminated_documents_without_an_id_go(spark, tmp_path):
     docs = spark.createDataFrame([(None, clean + " " + item), (None, clean), (1, item), (2, clean), (3, None)], "doc_id long, text string")
     got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
     assert sorted(map(str, got)) == sorted(map(str, docs.where("text is null or text = '" + clean + "'").collect()))
+
+
+CLASHES = "tag source_size target taken copies row doc id of variant spans start n __id __nth __row __variant __other __spans __part item_id held_out score text_ component_id kept band".split()
+
+
+def write_side_tables(spark, tmp_path, item="none of these words stands anywhere"):
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+
+def test_further_columns_pass_every_stage(spark, tmp_path):
+    rng = random.Random(3)
+    write_side_tables(spark, tmp_path)
+    texts = [" ".join(words(rng, 70)) for _ in range(8)]
+    texts[6] = texts[5][:-20] + " " + texts[2]
+    rows = [(i, t, "en", f"s{i % 2}", len(t), *[f"{c}{i}" for c in CLASHES]) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        own = [c for c in CLASHES if name != "mix" or c not in ("source_size", "target", "taken", "copies")]
+        for r in got.collect():
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in own)
+        assert set(got.columns) == set(docs.columns) and (name == "mix" or got.columns == docs.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_repeated_rows_nulls_and_nothing(spark, tmp_path):
+    rng = random.Random(4)
+    write_side_tables(spark, tmp_path)
+    texts = [" ".join(words(rng, 70)) for _ in range(6)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)]
+    rows += [rows[0]] * 40 + [(0, texts[1], "en", "s1", 3), (None, None, None, None, None), (None, texts[3], None, None, 1), (9, "w " * 300_000, "en", "s0", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).repartition(5)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    mix = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    want = {}
+    for r in corpus_pipeline.cube_mix.mix(docs).collect():
+        want[r["doc_id"], r["size"]] = want.get((r["doc_id"], r["size"]), 0) + r["copies"]
+    got = {}
+    for r in mix.collect():
+        key = r["doc_id"], len(r["text"].split())
+        got[key] = got.get(key, 0) + r["copies"]
+    assert got == {k: n for k, n in want.items() if n}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
