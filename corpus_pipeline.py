@@ -7,13 +7,15 @@ passages that an earlier document holds go, the text is then joined by single bl
 follows; other texts stay as they are, and emptied documents stay with an empty text.
 decontamination: documents that hold a benchmark passage go.  mix: documents that the mix takes, with
 source_size, target, taken and copies.  Null texts pass every stage but the mix, which takes none.
+Further columns pass whatever their names; only the mix's own four names are replaced.  Rows that repeat
+are rows of their own, an empty table gives an empty one, and very long texts are read whole.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.deploy import ship
@@ -36,31 +38,42 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """The rows as one column ``doc``, so that no name of theirs meets one of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *more)
+
+
 def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    rows = docs.withColumn("__variant", F.hash("text"))
-    spans = substring_dedup.repeated_spans(rows.select("doc_id", F.col("__variant").alias("variant"), "text"))
-    marks = spans.groupBy(F.col("doc_id").alias("__id"), F.col("variant").alias("__other")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
-    joined = rows.join(marks, (F.col("doc_id") == F.col("__id")) & (F.col("__variant") == F.col("__other")), "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(substring_dedup.cut("text", "__spans"))
-    out = joined.withColumn("text", text)
+    rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("variant"), F.col("text"))
+    spans = substring_dedup.repeated_spans(rows.select("doc_id", "variant", "text"))
+    marks = spans.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    joined = rows.select("doc", "doc_id", "variant").join(marks, ["doc_id", "variant"], "left")
+    text = substring_dedup.cut(F.col("doc")["text"], "spans")
+    less = F.col("doc").withField("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        less = less.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return joined.select(F.when(F.col("spans").isNull(), F.col("doc")).otherwise(less).alias("doc")).select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    found = decontaminate.contaminations(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
-    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(docs.columns)
+    rows = packed(docs, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row"), F.col("text"))
+    found = decontaminate.contaminations(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
+    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    mixed = cube_mix.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "tag", "source_size", "target", "taken", "copies")
-    rows = cube_mix.told_apart(docs.withColumn("tag", cube_mix.row_hash()))
-    return rows.join(mixed, (rows["tag"] == mixed["tag"]) & rows["doc_id"].eqNullSafe(mixed["__id"])).select(*docs.columns, "source_size", "target", "taken", "copies")
+    added = ["source_size", "target", "taken", "copies"]
+    mixed = cube_mix.mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("tag").alias("of"), *added)
+    rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), cube_mix.row_hash().alias("tag"))
+    repeated = store.durable(rows.groupBy("doc_id", "tag").count().where("count > 1").select(F.col("doc_id").alias("id"), F.col("tag").alias("of")))
+    same = F.col("tag").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    several = cube_mix.numbered(store.durable(rows.join(repeated, same, "left_semi"))).select(*rows.columns)
+    chosen = rows.join(repeated, same, "left_anti").union(several).join(mixed, same)
+    kept = [c for c in docs.columns if c not in added]  # columns of these names are the mix's
+    return chosen.select(*[F.col("doc")[c].alias(c) for c in kept], *added)
 
 
 STAGES = [
