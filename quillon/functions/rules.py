@@ -23,29 +23,29 @@ PASSPORT = r"(?<![A-Z0-9])[A-Z][1-9][0-9]{6}(?![0-9])"
 CARD = rf"(?<![0-9])[0-9]{{4}}{SH}?[0-9]{{4}}{SH}?[0-9]{{4}}{SH}?[0-9]{{4}}(?![0-9])"
 ACCOUNT = r"(?<![A-Za-z0-9_])[A-Z]{2,4}-[A-Z]{1,4}[0-9]{4,}(?![A-Za-z0-9_])"
 
-SECRET_LABELS = "password passwd pwd cpassword confirmpassword retypepassword secret currentpassword newpassword cvv otp pin".split()
+SECRET_LABELS = ("password", "passwd", "pwd", "cpassword", "confirmpassword", "retypepassword", "secret", "currentpassword", "newpassword", "cvv", "otp", "pin")
 SECRET_PARTS = r"api[_-]?key|secret|token|cvv|otp"
 #: Field labels by family, in the order in which they are tried.
 ALIASES = (
-    ("name", "names fullname given-name family-name nickname name cardholder-name username userid"),
-    ("address", "address street-address address-line1 address-line2 city zipcode postal"),
-    ("email", "email emailaddress"),
-    ("phone", "phone mobile tel telephone"),
-    ("aadhaar", "aadhaar aadhar uid"),
-    ("pan", "pan"),
-    ("dob", "dob birthday dateofbirth"),
-    ("account", "account accountnumber accountno acct iban"),
-    ("ifsc", "ifsc"),
-    ("upi", "upi upiid upiaddress"),
-    ("voterid", "voterid votercard epic"),
-    ("dl", "dlno dlnumber drivinglicence drivinglicense licenseno licenceno"),
-    ("passport", "passport passportnumber passportno"),
-    ("card", "card cc cardnumber creditcard"),
-    ("ssn", "ssn"),
+    ("name", ("names", "fullname", "given-name", "family-name", "nickname", "name", "cardholder-name", "username", "userid")),
+    ("address", ("address", "street-address", "address-line1", "address-line2", "city", "zipcode", "postal")),
+    ("email", ("email", "emailaddress")),
+    ("phone", ("phone", "mobile", "tel", "telephone")),
+    ("aadhaar", ("aadhaar", "aadhar", "uid")),
+    ("pan", ("pan",)),
+    ("dob", ("dob", "birthday", "dateofbirth")),
+    ("account", ("account", "accountnumber", "accountno", "acct", "iban")),
+    ("ifsc", ("ifsc",)),
+    ("upi", ("upi", "upiid", "upiaddress")),
+    ("voterid", ("voterid", "votercard", "epic")),
+    ("dl", ("dlno", "dlnumber", "drivinglicence", "drivinglicense", "licenseno", "licenceno")),
+    ("passport", ("passport", "passportnumber", "passportno")),
+    ("card", ("card", "cc", "cardnumber", "creditcard")),
+    ("ssn", ("ssn",)),
 )
 # ---- end of fixed values ----
 
-ALIAS_PAIRS = [(alias, family) for family, names in ALIASES for alias in names.split()]
+ALIAS_PAIRS = [(alias, family) for family, names in ALIASES for alias in names]
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ def clean_label(label: Column) -> Column:
 
 
 def is_secret_label(label: Column) -> Column:
-    return clean_label(label).isin(SECRET_LABELS) | F.lower(label).rlike(SECRET_PARTS)
+    return clean_label(label).isin(*SECRET_LABELS) | F.lower(label).rlike(SECRET_PARTS)
 
 
 def field_type(label: Column) -> Column:

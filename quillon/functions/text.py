@@ -31,14 +31,28 @@ def first_nonempty(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
+# ---- fixed values: how tasks name what to type, which must equal the specification ----
+QUOTED = '"([^"]{1,50})"'
+SEARCHED = r"(?i)search\s+(?:for\s+)?(.+)$"
+PLACE = r"(?i)\s+(on|in|at|via|using|to|page|website|site)\s+\S+.*$"
+POLITE = r"(?i)^(please|i need to|can you|go to)\s+"
+REST = r"(?i)\s+(so that|and|please).*$"
+LONGEST, LONGEST_BARE = 50, 40
+# ---- end of fixed values ----
+
+#: (pattern of the phrase or None for the whole task, what is cut from it, longest): the first that gives text wins.
+PHRASES = ((QUOTED, (), None), (SEARCHED, (PLACE,), LONGEST), (None, (POLITE, REST), LONGEST_BARE))
+
+
 def type_phrase(task: Column) -> Column:
-    """What a task asks to type: a quoted phrase, else what follows "search (for)", else the bare task."""
+    """What a task asks to type, by PHRASES."""
     t = F.trim(task)
-    quoted = F.regexp_extract(t, '"([^"]{1,50})"', 1)
-    searched = F.regexp_extract(t, r"(?i)search\s+(?:for\s+)?(.+)$", 1)
-    searched = F.left(F.trim(F.regexp_replace(searched, r"(?i)\s+(on|in|at|via|using|to|page|website|site)\s+\S+.*$", "")), F.lit(50))
-    bare = F.regexp_replace(F.regexp_replace(t, r"(?i)^(please|i need to|can you|go to)\s+", ""), r"(?i)\s+(so that|and|please).*$", "")
-    return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(searched, F.lit("")), F.left(F.trim(bare), F.lit(40)))
+    found = []
+    for pattern, cuts, longest in PHRASES:
+        phrase = F.regexp_extract(t, pattern, 1) if pattern else t
+        phrase = reduce(lambda c, cut: F.regexp_replace(c, cut, ""), cuts, phrase)
+        found.append(F.left(F.trim(phrase), F.lit(longest)) if longest else phrase)
+    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found[:-1]], found[-1])
 
 
 def action_label(a: str) -> Column:
@@ -120,9 +134,26 @@ LOG_LINES = (
     ("prefix", "Vision host unavailable", "Vision host unavailable — DOM-only redaction"),
 )
 
+KEYS = {"enter": "Enter", "tab": "Tab", "escape": "Escape", "backspace": "Backspace", "delete": "Delete", "arrowup": "ArrowUp", "arrowdown": "ArrowDown", "arrowleft": "ArrowLeft", "arrowright": "ArrowRight", "space": " "}
+
+ROLE_COLOURS = (
+    ("link", "#3b82f6"), ("button", "#22c55e"), ("text", "#a855f7"), ("email", "#f97316"), ("phone", "#f97316"), ("password", "#ef4444"), ("submit", "#22c55e"),
+    ("reset", "#ef4444"), ("combobox", "#06b6d4"), ("textbox", "#06b6d4"), ("checkbox", "#eab308"), ("radio", "#eab308"), ("image", "#ec4899"), ("heading", "#8b5cf6"),
+)
+
 # ---- end of fixed values ----
 
 
+def technical(line: Column) -> Column:
+    """Whether a line concerns machinery."""
+    return line.rlike(TECHNICAL)
+
+
+def transient(error: Column) -> Column:
+    """Whether an error passes by itself."""
+    return F.coalesce(error.rlike(f"(?i){TRANSIENT}"), F.lit(False))
+
+
 def humanize(line: Column) -> Column:
     """A log line in plain words: the first entry of LOG_LINES that fits."""
     out = None
@@ -144,9 +175,6 @@ def humanize(line: Column) -> Column:
     return out.otherwise(line)
 
 
-KEYS = {"enter": "Enter", "tab": "Tab", "escape": "Escape", "backspace": "Backspace", "delete": "Delete", "arrowup": "ArrowUp", "arrowdown": "ArrowDown", "arrowleft": "ArrowLeft", "arrowright": "ArrowRight", "space": " "}
-
-
 def normal_key(key: Column) -> Column:
     """struct(key, code) of a key name in any case."""
     low = F.lower(F.trim(key))
@@ -157,12 +185,6 @@ def normal_key(key: Column) -> Column:
     return F.struct(name.alias("key"), code.alias("code"))
 
 
-ROLE_COLOURS = (
-    ("link", "#3b82f6"), ("button", "#22c55e"), ("text", "#a855f7"), ("email", "#f97316"), ("phone", "#f97316"), ("password", "#ef4444"), ("submit", "#22c55e"),
-    ("reset", "#ef4444"), ("combobox", "#06b6d4"), ("textbox", "#06b6d4"), ("checkbox", "#eab308"), ("radio", "#eab308"), ("image", "#ec4899"), ("heading", "#8b5cf6"),
-)
-
-
 def role_colour(role: Column) -> Column:
     low = F.lower(role)
     equal = [F.when(low == k, F.lit(v)) for k, v in ROLE_COLOURS]

@@ -94,6 +94,30 @@ def attempts(responses: DataFrame, keys: list[str], attempt: str = "attempt") ->
     return everyone.join(chosen, keys, "left").select(*keys, F.coalesce("source", F.lit("error_fallback")).alias("source"), F.coalesce("raw", F.lit('{"action":{"type":"wait","ms":1000}}')).alias("raw"))
 
 
+def resolve_actions(responses: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
+    """The service's answer to each request: its first valid attempt, as it was sent, else a wait; (keys…, source, raw)."""
+    rows = responses.withColumnRenamed(raw, "raw") if raw != "raw" else responses
+    if "attempt" not in rows.columns:
+        rows = rows.withColumn("attempt", F.lit(1))
+    return attempts(rows, keys)
+
+
+def rethink(responses: DataFrame, history: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
+    """As resolve_actions for a stuck run, without answers whose action was tried before (keys…, sig)."""
+    known = responses.withColumn("sig", signature(action_fields(parse_json(F.col(raw)))))
+    return resolve_actions(veto_repeats(known, history, keys).drop("sig"), keys, raw)
+
+
+def action_fields(parsed: Column) -> Column:
+    """The action of a parsed answer with every field there is, in alphabetical order."""
+    return F.from_json(F.to_json(action_of(parsed)), "struct<" + ",".join(f.replace(" ", ":") for f in FIELDS) + ">")
+
+
+def clicked(history: Column) -> Column:
+    """Distinct targets of the clicks in an array of actions, as first seen."""
+    return F.array_distinct(F.transform(F.filter(history, lambda a: (a["type"] == "click") & a["target"].isNotNull()), lambda a: a["target"]))
+
+
 def veto_repeats(proposed: DataFrame, history: DataFrame, keys: list[str], sig: str = "sig") -> DataFrame:
     return proposed.join(history.select(*keys, sig).distinct(), [*keys, sig], "left_anti")
 

@@ -60,35 +60,51 @@ def not_near(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int
     return a.join(b, on, "left_anti")
 
 
-def union_area(boxes: DataFrame, keys: list[str], width: int | None = None, height: int | None = None) -> DataFrame:
-    """Area covered by the boxes of each key, by a sweep over y slabs; no pixels are made.
+#: Height of the bands that a page is cut into before its boxes are swept.
+BAND = 256
+
+
+def covered_areas(boxes: DataFrame, keys: list[str], width: int | None = None, height: int | None = None, groups: dict[str, Column] | None = None) -> DataFrame:
+    """``area`` covered by the boxes of each key, and by those of each named group; one sweep, no pixels.
 
-    Slabs lie between neighbouring y edges; a box joins the slabs that it spans, and in a slab the
-    x intervals merge where a start lies beyond all earlier ends.
+    Pages are cut into bands, bands into slabs between neighbouring y edges.  A box joins the slabs that it
+    spans; boxes of a slab that start together are one interval, so that a slab holds at most as
+    many rows as there are places to start, however many boxes a page has.
     """
+    groups = groups or {}
     x0, y0, x1, y1 = F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")
     if width is not None:
         x0, x1 = F.greatest(x0, F.lit(0)), F.least(x1, F.lit(width))
     if height is not None:
         y0, y1 = F.greatest(y0, F.lit(0)), F.least(y1, F.lit(height))
-    flat = boxes.select(*keys, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).where("x1 > x0 and y1 > y0").distinct()
-    edge = flat.select(*keys, F.explode(F.array("y0", "y1")).alias("lo")).distinct()
-    slab = edge.withColumn("hi", F.lead("lo").over(Window.partitionBy(*keys).orderBy("lo"))).where("hi is not null")
-    part = flat.join(slab, keys).where("y0 <= lo and y1 >= hi").select(*keys, "lo", "hi", "x0", "x1")
-    row = Window.partitionBy(*keys, "lo").orderBy("x0", "x1")
-    reach = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
-    grown = part.withColumn("reach", reach).select(*keys, "lo", "hi", (F.greatest("x1", F.coalesce("reach", F.col("x0"))) - F.greatest("x0", F.coalesce("reach", F.col("x0")))).alias("run"))
-    return grown.groupBy(*keys).agg(F.sum((F.col("hi") - F.col("lo")) * F.col("run")).cast("long").alias("area"))
+    flat = boxes.select(*keys, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), *[c.alias(f"in_{g}") for g, c in groups.items()]).where("x1 > x0 and y1 > y0").distinct()
+    band = F.explode(F.sequence(F.floor(F.col("y0") / BAND), F.ceil(F.col("y1") / BAND) - 1))
+    cut = flat.withColumn("band", band).withColumns({"y0": F.greatest("y0", F.col("band") * BAND), "y1": F.least("y1", (F.col("band") + 1) * BAND)})
+    own = [*keys, "band"]
+    edge = cut.select(*own, F.explode(F.array("y0", "y1")).alias("lo")).distinct()
+    slab = edge.withColumn("hi", F.lead("lo").over(Window.partitionBy(*own).orderBy("lo"))).where("hi is not null")
+    part = cut.join(slab, own).where("y0 <= lo and y1 >= hi")
+    ends = {"area": F.max("x1")} | {g: F.max(F.when(F.col(f"in_{g}"), F.col("x1"))) for g in groups}
+    part = part.groupBy(*own, "lo", "hi", "x0").agg(*[c.alias(g) for g, c in ends.items()])
+    before = Window.partitionBy(*own, "lo").orderBy("x0").rowsBetween(Window.unboundedPreceding, -1)
+    reach = part.withColumns({f"reach_{g}": F.coalesce(F.max(g).over(before), F.col("x0")) for g in ends})
+    run = lambda g: F.coalesce(F.greatest(F.col(g), F.col(f"reach_{g}")) - F.greatest("x0", F.col(f"reach_{g}")), F.lit(0))
+    # without an end of its own group a row adds nothing: greatest() would skip the null
+    grown = [F.sum(F.when(F.col(g).isNotNull(), (F.col("hi") - F.col("lo")) * run(g)).otherwise(0)).cast("long").alias(g) for g in ends]
+    return reach.groupBy(*keys).agg(*grown)
+
+
+def union_area(boxes: DataFrame, keys: list[str], width: int | None = None, height: int | None = None) -> DataFrame:
+    """Area covered by the boxes of each key."""
+    return covered_areas(boxes, keys, width, height)
 
 
 def pixel_areas(truth: DataFrame, found: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
     """(keys…, gt, pred, inter) areas; intersection = both - union of all."""
-    g = union_area(truth, keys, width, height).withColumnRenamed("area", "gt")
-    p = union_area(found, keys, width, height).withColumnRenamed("area", "pred")
-    u = union_area(truth.select(*keys, "x", "y", "w", "h").union(found.select(*keys, "x", "y", "w", "h")), keys, width, height).withColumnRenamed("area", "every")
-    zero = F.lit(0).cast("long")
-    out = u.join(g, keys, "left").join(p, keys, "left").select(*keys, F.coalesce("gt", zero).alias("gt"), F.coalesce("pred", zero).alias("pred"), "every")
-    return out.select(*keys, "gt", "pred", (F.col("gt") + F.col("pred") - F.col("every")).alias("inter"))
+    box = [*keys, "x", "y", "w", "h"]
+    both = truth.select(*box, F.lit(True).alias("true_box")).union(found.select(*box, F.lit(False)))
+    out = covered_areas(both, keys, width, height, {"gt": F.col("true_box"), "pred": ~F.col("true_box")})
+    return out.select(*keys, "gt", "pred", (F.col("gt") + F.col("pred") - F.col("area")).alias("inter"))
 
 
 def fuzzy_distinct(items: Column, tolerance: int = 2) -> Column:

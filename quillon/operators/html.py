@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INTERACTIVE = frozenset("a button input select textarea label option h1 h2 h3 h4 h5 h6".split())
 SILENT = frozenset("script style noscript template".split())
+#: Elements that are one finding with all their text.
+WHOLE = frozenset(("address",))
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?![.\d])", re.I)
 MOST_ELEMENTS, MOST_TEXT = 120, 80
 ELEMENTS = "ord int, tag string, attrs map<string,string>, text string, start int, stop int"
@@ -27,6 +29,7 @@ class Walker(HTMLParser):
         self.open: list[dict] = []
         self.elements: list[dict] = []
         self.nodes: list[tuple[str, str]] = []
+        self.whole: list[tuple[int, str]] = []
         self.clock = 0
 
     def handle_starttag(self, tag, attrs):
@@ -50,10 +53,15 @@ class Walker(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i]["tag"] == tag:
                 for e in self.open[i:]:
-                    e["stop"] = self.clock
+                    self.finish(e)
                 del self.open[i:]
                 return
 
+    def finish(self, e):
+        e["stop"] = self.clock
+        if e["tag"] in WHOLE and e["text"]:
+            self.whole.append((e["start"], " ".join(e["text"])))
+
     def handle_data(self, data):
         text = " ".join(data.split())
         if not text or (self.open and self.open[-1]["silent"]):
@@ -66,7 +74,7 @@ class Walker(HTMLParser):
         self.close()
         self.clock += 1
         for e in self.open:
-            e["stop"] = self.clock
+            self.finish(e)
         return self
 
 
@@ -134,8 +142,14 @@ def truth_labels(elements: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def addresses(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    nodes = text_nodes(pages, key, html)
-    return nodes.where("parent = 'address'").withColumn("type", F.lit("address"))
+    """One row for each address element, with all its text, in document order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, i, t) for k, h in zip(b[key], b[html], strict=True) for i, (_, t) in enumerate(sorted(walked(h).whole))]
+            yield pd.DataFrame(rows, columns=[key, "ord", "text"])
+
+    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, ord int, text string").withColumn("type", F.lit("address"))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -57,9 +57,9 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.nullif(F.sum(weight), F.lit(0))
 
 
-def megabytes(files: DataFrame, prefix: str, name: str = "file", size: str = "bytes") -> DataFrame:
+def megabytes(files: DataFrame, prefix: str, name: str = "file", size: str = "bytes", keys: list[str] | None = None) -> DataFrame:
     total = F.coalesce(F.sum(F.when(F.col(name).startswith(prefix), F.col(size))), F.lit(0))
-    return files.agg(total.alias("bytes"), F.round((total / 1048576).cast("decimal(20,6)"), 2).cast("double").alias("mib"))
+    return files.groupBy(*(keys or [])).agg(total.alias("bytes"), F.round((total / 1048576).cast("decimal(20,6)"), 2).cast("double").alias("mib"))
 
 
 #: Weights of the five criteria.

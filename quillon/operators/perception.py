@@ -38,7 +38,7 @@ def tag(cls: Column, conf: Column) -> Column:
 
 def class_names(df: DataFrame, names: DataFrame) -> DataFrame:
     """Adds ``label`` from (cls, name); an unknown class shows its number."""
-    return df.join(F.broadcast(names.select("cls", F.col("name").alias("label"))), "cls", "left").withColumn("label", F.coalesce("label", F.col("cls").cast("string")))
+    return df.join(names.select("cls", F.col("name").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", F.col("cls").cast("string")))
 
 
 def grid(width: Column, height: Column, most: Column) -> tuple[Column, Column]:
@@ -75,7 +75,7 @@ def decisions(tile: DataFrame, region: DataFrame, keys: list[str]) -> DataFrame:
     """
     big = region.where((F.col("w") >= SMALLEST) & (F.col("h") >= SMALLEST))
     pairs = overlapping(tile, big, keys, OVERLAP)
-    best = Window.partitionBy(*keys, "b_ord").orderBy(F.col("a_conf").desc(), "a_ord")
+    best = Window.partitionBy(*keys, "b_ord").orderBy(F.col("a_conf").desc(), "a_ord", "a_tag")
     top = pairs.withColumn("r", F.row_number().over(best)).where("r = 1")
     t = F.col("a_tag")
     return top.select(*keys, F.col("b_ord").alias("region"), t.alias("tag"), t.isin("photo", "ui", "document", "uncertain").alias("escalate"), (t == "uncertain").alias("captcha_like"))

@@ -20,6 +20,8 @@ OPAQUE = " non-DOM graphics region(s) (photo/screen/doc-like) — treat them as
 HUMAN = "A possible human-verification graphic was detected — do NOT attempt to read it."
 STUCK = "You are STUCK. The actions you have tried so far did not complete the task."
 NO_DOM = "(No DOM elements captured)"
+VISIBLE, REGIONS, REDACTED = "Visible screen: ", " region(s).", "Locally redacted "
+BLOCKED = " [BLOCKED — adapt!]"
 # ---- end of fixed values ----
 
 
@@ -49,8 +51,8 @@ def targets(items: Column) -> Column:
 def perception(summary: Column, escalated: Column, captcha: Column) -> Column:
     get = lambda k: F.coalesce(F.try_element_at(summary, F.lit(k)), F.lit(0))
     parts = F.array_compact(F.array(*[F.when(get(t) > 0, F.concat_ws(" ", get(t).cast("string"), F.lit(t))) for t in TAG_ORDER]))
-    seen = F.concat(F.lit("Visible screen: "), F.array_join(parts, ", "), F.lit(" region(s)."))
-    hidden = F.when(escalated > 0, F.concat(F.lit("Locally redacted "), escalated.cast("string"), F.lit(OPAQUE)))
+    seen = F.concat(F.lit(VISIBLE), F.array_join(parts, ", "), F.lit(REGIONS))
+    hidden = F.when(escalated > 0, F.concat(F.lit(REDACTED), escalated.cast("string"), F.lit(OPAQUE)))
     return F.when(F.size(parts) > 0, F.concat_ws("\n", F.lit("\n" + PERCEPTION), seen, hidden, F.when(captcha > 0, F.lit(HUMAN))))
 
 
@@ -58,7 +60,7 @@ def history(steps: Column, most: int = HISTORY, title: str = "Previous steps:",
     def line(s, i):
         parts = [F.lit("  "), (i + 1).cast("string"), F.lit(". "), s["action"], F.lit(" → "), F.coalesce(s["result"], F.lit(""))]
         if notes:
-            parts += [F.when(F.coalesce(s["subgoal"], F.lit("")) != "", F.concat(F.lit(" (subgoal: "), s["subgoal"], F.lit(")"))).otherwise(""), F.when(F.coalesce(s["blocked"], F.lit(False)), F.lit(" [BLOCKED — adapt!]")).otherwise("")]
+            parts += [F.when(F.coalesce(s["subgoal"], F.lit("")) != "", F.concat(F.lit(" (subgoal: "), s["subgoal"], F.lit(")"))).otherwise(""), F.when(F.coalesce(s["blocked"], F.lit(False)), F.lit(BLOCKED)).otherwise("")]
         return F.concat(*parts)
 
     return block(title, F.transform(last_of(steps, most), line))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as X
 from quillon.operators import actions as A, html as H, prompt as P, urls as U
-from quillon.operators.sessions import last_of
 from quillon.plans.registry import query
 from quillon.sources import io
 from quillon.sources.io import table
@@ -60,16 +59,31 @@ def page_titles_links(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("n_links"))
 
 
-@query()
+DECODED = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+SQUASHED = r"trim(regexp_replace({0}, '[\s\x0b]+', ' ', 'g'))"
+
+
+@query(
+    rf"""with m as (select page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>|<h1>[^<]*</h1>')) as m, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>|<h1>[^<]*</h1>'), 1) - 1 as ord from pages),
+    t as (select page_id, cast(ord as int) as ord, case when starts_with(m, '<a') then 'a' else 'h1' end as tag, {SQUASHED.format(DECODED.format("regexp_extract(m, '>([^<]*)<', 1)"))} as text from m where ord < 120)
+    select page_id, ord, tag, case tag when 'a' then 'link' else 'heading' end as role, case when length(text) > 80 then concat(substr(text, 1, 80), '…') else text end as text, cast(null as varchar) as label from t"""
+)
 def page_elements(spark: SparkSession, folder: str) -> DataFrame:
     e = H.labels(H.page_elements(table(spark, folder, "pages").select("page_id", "html")))
-    return e.groupBy("page_id", "tag", "role").agg(F.count("*").alias("n"), F.count("label").alias("n_labels"))
+    return e.select("page_id", "ord", "tag", "role", "text", "label")
 
 
-@query()
+#: What is left after scripts, styles and comments, cut at tags; a page may end within a tag or a reference.
+@query(
+    rf"""with b as (select page_id, regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'g'), '<[^<>]*$', '') as h from pages),
+    n as (select page_id, unnest(string_split_regex(h, '<[^>]*>')) as t, generate_subscripts(string_split_regex(h, '<[^>]*>'), 1) as k from b),
+    c as (select page_id, k, {SQUASHED.format(DECODED.format("regexp_replace(t, '&amp$', '&amp;')"))} as t from n)
+    select page_id, count(*) as n_nodes, cast(sum(length(t)) as bigint) as n_chars, md5(string_agg(t, '|' order by k)) as digest from c where t <> '' group by page_id"""
+)
 def page_text_nodes(spark: SparkSession, folder: str) -> DataFrame:
     n = H.text_nodes(table(spark, folder, "pages").select("page_id", "html"))
-    return n.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.sum(F.length("text")).alias("n_chars"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "|")
+    return n.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.sum(F.length("text")).alias("n_chars"), F.md5(text).alias("digest"))
 
 
 NODES = "select o_custkey as page_id, o_orderkey as ord, o_orderkey * 10 as start, o_orderkey * 10 + 8 + (o_orderkey % 5) * 40 as stop, case when o_orderkey % 5 = 4 then 'label' else 'input' end as tag, concat('t', cast(o_orderkey % 97 as string)) as text from orders"
@@ -156,24 +170,39 @@ def prompt_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return h.select("conv_id", P.act(F.concat(F.lit("t"), F.col("conv_id").cast("string")), P.history(F.col("h"))).alias("prompt"))
 
 
-@query()
-def prompt_full(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.left(x["text"], F.lit(40))).alias("w"))
-    els = F.transform(F.slice("w", 1, 3), lambda t, i: F.struct(i.alias("id"), F.lit("a").alias("tag"), F.lit("link").alias("role"), t.alias("text"), F.lit("").alias("label"), F.lit("").alias("value")))
-    see = F.create_map(F.lit("photo"), F.size("w"), F.lit("ui"), F.lit(2))
-    return c.select("conv_id", P.act(F.lit("read"), P.warnings(F.col("w")), P.lessons(F.col("w")), P.perception(see, F.size("w"), F.lit(0)), P.elements(els)).alias("prompt"), F.size(last_of(F.col("w"), 8)).alias("n_warnings"))
-
-
-@query("select c_custkey, case c_custkey % 4 when 0 then 'cat food' when 1 then 'blue shoes' when 2 then 'open the page' else 'red car' end as phrase from customer")
+@query(
+    """select p_partkey, case p_partkey % 5 when 0 then p_name when 1 then substr(p_name, 1, 50) when 2 then substr(concat('open ', p_name), 1, 40) when 3 then trim(substr(concat(p_name, ' ', p_type), 1, 50)) else substr(concat('find out about ', p_name), 1, 40) end as phrase from part"""
+)
 def type_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "customer").withColumn("task", F.expr("case c_custkey % 4 when 0 then 'find \"cat food\" now' when 1 then 'Search for blue shoes on shop' when 2 then 'please open the page and stop' else 'search red car' end"))
-    return c.select("c_custkey", X.type_phrase(F.col("task")).alias("phrase"))
-
-
-@query("select event_id, case event_id % 5 when 0 then 'Stopped by user' when 1 then '🔒 Protected 1 sensitive region' when 2 then 'Found 12 interactive elements' when 3 then '✓ ok' else 'plain line' end as line from events")
+    p = table(spark, folder, "part")
+    k = F.col("p_partkey") % 5
+    said = lambda *parts: F.concat(*[F.lit(x) if i % 2 == 0 else F.col(x) for i, x in enumerate(parts)])
+    task = (
+        F.when(k == 0, said('look for "', "p_name", '" now')).when(k == 1, said("Search for ", "p_name", " on shop")).when(k == 2, said("  please open ", "p_name", " and stop here"))
+        .when(k == 3, said("go and SEARCH ", "p_name", " ", "p_type")).otherwise(said("I need to find out about ", "p_name", " so that all is well"))
+    )
+    return p.select("p_partkey", X.type_phrase(task).alias("phrase"))
+
+
+#: (line, what a reader is shown): every rule of the log once, and a line that none fits.
+SHOWN = (
+    ("Adaptive loop started (50)", "Agent started with auto-recovery"), ("Running single step", "Running a single step"), ("Loop finished.", "Agent finished."), ("Loop stopped by user.", "Stopped by user"),
+    ("Task complete at step 3", "Task complete at step 3"), ("x: Too many consecutive failures", "x: Too many consecutive failures"), ("Stuck: same action 3 times", "Agent got stuck — recovering…"), ("Recovery fired (1)", "Recovery attempted"),
+    ("Blocked: no", "⛔ Blocked: no"), ("Failed: y", "Failed: y"), ("now Recovering", "now Recovering"), ("Capturing screenshot…", "Captured the current page"), ("Screenshot captured 4 KB", "Captured the current page"),
+    ("DOM serialized: 17 interactive elements", "Found 17 interactive elements"), ("Redacted 1 PII region", "🔒 Protected 1 sensitive region"), ("Redacted 12 PII regions", "🔒 Protected 12 sensitive regions"), ("No PII detected", "✓ Nothing sensitive detected"),
+    ("Vision: 2 faces", "Scanned pixels for faces & hidden text"), ("Zero-leak gate done", "Zero-leak verification passed"), ("Zero-leak OCR gate skipped", "Zero-leak image gate skipped — DOM gate enforced"), ("🧠 VLM thought: hm", "🧠 VLM thought: hm"),
+    ("→ Action: CLICK(#3)", "Agent selected CLICK(#3)"), ("Done: all", "✓ all"), ("❓ Asking you: which?", "🤔 The agent needs your input: which?"), ("👤 You answered: b", "✓ Your answer: b"), ("⏭ Skipped question — none", "⏭ Question skipped — continuing."),
+    ("USER CANCELED: pay", "⛔ You canceled: pay"), ("Confirmed by user: pay", "✓ You confirmed: pay"), ("USER SKIPPED", "⏭ Question skipped — continuing."), ("Server up at x", "✓ Connected to the local VLM server"),
+    ("Server unreachable", "⚠ Server unreachable — start it with uvicorn"), ("Preloading on-device vision models", "Warming up on-device vision (face + OCR)…"), ("Vision models ready", "✓ On-device vision ready"), ("Sensitive page: bank", "⛔ Sensitive page: bank"),
+    ("Vision host unavailable: t", "Vision host unavailable — DOM-only redaction"), ("plain line", "plain line"),
+)
+SHOWN_SQL = " ".join(f"when {i} then '{shown}'" for i, (_, shown) in enumerate(SHOWN))
+
+
+@query(f"select event_id, case event_id % {len(SHOWN)} {SHOWN_SQL} end as line from events")
 def human_log(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").withColumn("raw", F.expr("case event_id % 5 when 0 then 'Loop stopped by user.' when 1 then 'Redacted 1 PII region' when 2 then 'DOM serialized: 12 interactive elements' when 3 then 'Done: ok' else 'plain line' end"))
-    return e.select("event_id", X.humanize(F.col("raw")).alias("line"))
+    raw = F.element_at(F.array(*[F.lit(x) for x, _ in SHOWN]), (F.col("event_id") % len(SHOWN) + 1).cast("int"))
+    return table(spark, folder, "events").select("event_id", X.humanize(raw).alias("line"))
 
 
 @query("select c_custkey, case when c_custkey % 250 between 1 and 200 then cast(c_custkey % 250 as int) else 50 end as max_steps from customer")

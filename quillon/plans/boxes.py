@@ -99,12 +99,21 @@ def scaled_boxes(spark: SparkSession, folder: str) -> DataFrame:
     return G.scaled(boxes(spark, folder), F.lit(0.625)).select("page", "ord", "x", "y", "w", "h")
 
 
-@query()
+#: Order-dependent: each round takes the next box of every page and keeps it unless a kept one is near.
+NEAR_KEPT = "len(list_filter(kept, lambda k: k.cat = b.cat and abs(k.x - b.x) <= 30 and abs(k.y - b.y) <= 30)) > 0"
+
+
+@query(
+    f"""with recursive b as (select page, ord, cat, x, y, row_number() over (partition by page order by ord, cat, x, y) as n from ({BOX_SQL})),
+    f(page, n, kept) as (select distinct page, cast(0 as bigint), cast([] as struct(cat varchar, x int, y int, ord bigint)[]) from b
+      union all select b.page, b.n, case when {NEAR_KEPT} then kept else list_append(kept, {{'cat': b.cat, 'x': b.x, 'y': b.y, 'ord': cast(b.ord as bigint)}}) end from f join b on b.page = f.page and b.n = f.n + 1),
+    l as (select page, arg_max(kept, n) as kept from f group by page) select page, k.cat as type, k.x as x, k.y as y, k.ord as ord from (select page, unnest(kept) as k from l)"""
+)
 def fuzzy_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     b = boxes(spark, folder).withColumn("type", F.col("cat"))
-    items = F.transform(F.array_sort(F.collect_list(F.struct("ord", "type", "x", "y"))), lambda s: F.struct(s["type"].alias("type"), s["x"].alias("x"), s["y"].alias("y"), s["ord"].alias("ord")))
+    items = F.array_sort(F.collect_list(F.struct("ord", "type", "x", "y")))
     kept = b.groupBy("page").agg(items.alias("items")).select("page", F.explode(G.fuzzy_distinct(F.col("items"), 30)).alias("k"))
-    return kept.select("page", "k.type", "k.x", "k.y", "k.ord")
+    return kept.select("page", "k.type", "k.x", "k.y", F.col("k.ord").cast("long").alias("ord"))
 
 
 SOFT = "select vec_id, list_transform(embedding, lambda v: cast(v as double) * 20) as l from embeddings"
@@ -136,16 +145,17 @@ def tag_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_tiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Tiles of a page are its found boxes, tagged by the embedding of the same number."""
+    """Tiles of a page are its found boxes, tagged by one embedding after another."""
     _, found = sides(spark, folder)
-    n = F.lit(500)
-    t = tagged(spark, folder).where("vec_id < 500").select(F.col("vec_id").alias("k"), "tag", "conf")
-    return found.withColumn("k", (F.col("page") * 7 + F.col("ord")) % n).join(F.broadcast(t), "k")
+    t = tagged(spark, folder).select(F.col("vec_id").alias("k"), "tag", "conf")
+    # vectors are numbered from 0; the last number says how many there are
+    n = table(spark, folder, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
+    return found.crossJoin(F.broadcast(n)).withColumn("k", (F.col("page") * 7 + F.col("ord")) % F.col("n")).drop("n").join(t, "k")
 
 
 @query(
-    f"""with t as (select a.*, v.tag, v.conf from {FOUND} a join {TAGS_SQL} v on v.vec_id = (a.page * 7 + a.ord) % 500 where v.vec_id < 500),
-    p as (select a.page, b.ord as region, a.tag, row_number() over (partition by a.page, b.ord order by a.conf desc, a.ord) as r from t a join {TRUTH} b on a.page = b.page where b.w >= 24 and b.h >= 24 and {SHARED} >= b.w * b.h * 0.25)
+    f"""with n as (select max(vec_id) + 1 as n from embeddings), t as (select a.*, v.tag, v.conf from {FOUND} a cross join n join {TAGS_SQL} v on v.vec_id = (a.page * 7 + a.ord) % n),
+    p as (select a.page, b.ord as region, b.x as rx, b.y as ry, b.w as rw, b.h as rh, a.tag, row_number() over (partition by a.page, b.ord order by a.conf desc, a.ord, a.tag) as r from t a join {TRUTH} b on a.page = b.page where b.w >= 24 and b.h >= 24 and {SHARED} >= b.w * b.h * 0.25)
     select page, region, tag, tag in ('photo', 'ui', 'document', 'uncertain') as escalate, tag = 'uncertain' as captcha_like from p where r = 1"""
 )
 def region_decisions(spark: SparkSession, folder: str) -> DataFrame:

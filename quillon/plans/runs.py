@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import rules
 from quillon.operators import metrics as M, sessions as S, steps as T
 from quillon.plans.derived import STEPS_SQL, steps
 from quillon.plans.registry import query
@@ -58,14 +57,24 @@ def capture_throttle(spark: SparkSession, folder: str) -> DataFrame:
     return T.capture_delay(s, K, O, F.col("t"), 60000000).select("run_id", "step", "delay_ms")
 
 
-@query()
+#: One attempt after another: the next one a day or more after the last that was made.
+@query(
+    """with recursive t as (select user_id as run_id, epoch_ms(ts) as t from events), c as (select run_id, count(*) as n_asked from t group by run_id),
+    f as (select run_id, min(t) as t, 1 as k from t group by run_id union all select f.run_id, (select min(t.t) from t where t.run_id = f.run_id and t.t >= f.t + 86400000), f.k + 1 from f where exists (select 1 from t where t.run_id = f.run_id and t.t >= f.t + 86400000))
+    select c.run_id, n_asked, cast(max(k) as int) as n_made from c join f using (run_id) group by c.run_id, n_asked"""
+)
 def cooldown_attempts(spark: SparkSession, folder: str) -> DataFrame:
     s = steps(spark, folder).withColumn("t", F.unix_millis(F.col("ts").cast("timestamp")))
     a = s.groupBy("run_id").agg(T.cooldown(F.collect_list("t"), 86400000).alias("made"), F.count("*").alias("n_asked"))
     return a.select("run_id", "n_asked", F.size("made").alias("n_made"))
 
 
-@query()
+@query(
+    f"""with recursive s as (select run_id, step, concat(sig, '-', cast(event_id % 4 as varchar)) as key from {ST}),
+    f(run_id, step, held, hits) as (select distinct run_id, 0, cast([] as varchar[]), 0 from s
+      union all select s.run_id, s.step, case when list_contains(held, key) then held else list_append(held, key)[-6:] end, hits + case when list_contains(held, key) then 1 else 0 end from f join s on s.run_id = f.run_id and s.step = f.step + 1)
+    select run_id, cast(max(step) as int) as n, cast(max(hits) as int) as n_hits from f group by run_id"""
+)
 def fifo_cache_hits(spark: SparkSession, folder: str) -> DataFrame:
     s = steps(spark, folder).withColumn("key", F.concat_ws("-", "sig", (F.col("event_id") % 4).cast("string")))
     keys = F.transform(F.array_sort(F.collect_list(F.struct("step", "key"))), lambda x: x["key"])
@@ -176,14 +185,6 @@ def repeat_veto(spark: SparkSession, folder: str) -> DataFrame:
     return veto_repeats(s, s.where("step <= 3"), K).groupBy("run_id").agg(F.countDistinct("sig").alias("n_left"))
 
 
-@query(
-    """select round(sum(cast(o_totalprice as decimal(18, 2)) * o_custkey % 7) / sum(o_custkey % 7), 4) as dummy from orders where 1 = 0"""
-)
-def empty_scorecard(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders").where(F.lit(False))
-    return o.agg(M.weighted_mean(F.col("o_totalprice"), F.col("o_custkey")).alias("dummy"))
-
-
 @query(
     """with l as (select avg(quality) as q, avg(toxic) as t, count(*) as n from labels), o as (select count(*) as n, sum(case when o_orderstatus = 'F' then 1 else 0 end) / count(*) as f from orders)
     select round(least(q, 1.0), 6) as quality, round(1 - t, 6) as clean, round(f, 6) as finished, round(q * 0.25 + (1 - t) * 0.20 + f * 0.20 + case when l.n > 100 then 0.20 else 0 end + 0.15, 6) as score from l cross join o"""
@@ -196,15 +197,6 @@ def scorecard(spark: SparkSession, folder: str) -> DataFrame:
     return j.select(F.round("q", 6).alias("quality"), F.round(1 - F.col("t"), 6).alias("clean"), F.round("f", 6).alias("finished"), F.round(score, 6).alias("score"))
 
 
-MANIFEST = '{"totalBytes": 56599527, "files": {"face/a.onnx": 2300000, "face/b.bin": 410000, "ocr/eng.gz": 10983420, "vit/model.onnx": 8546000}}'
-
-
-@query("select cast(8546000 + 0 as bigint) as bytes, 8.15 as mib")
-def manifest_mb(spark: SparkSession, folder: str) -> DataFrame:
-    m = spark.createDataFrame([(MANIFEST,)], "json string")
-    return M.megabytes(io.manifest_files(m, "json"), "vit/")
-
-
 @query("select cast(regexp_extract(props, '\"k\": ([0-9]+)', 1) as int) as k, count(*) as n from events group by 1")
 def props_json(spark: SparkSession, folder: str) -> DataFrame:
     e = io.from_json_rows(table(spark, folder, "events"), "props", "k int")
@@ -228,24 +220,17 @@ def token_flush_60ms(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy("user_id", "bucket").agg(F.count("*").alias("n"), text.alias("text"))
 
 
-@query("select event_type, cast(sum(case when user_id % 3 = 0 then 1 else 0 end) as bigint) as image, cast(sum(case when user_id % 3 <> 0 then 1 else 0 end) as bigint) as other from events group by event_type")
-def redactions_by_type(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").withColumn("kind", F.when(F.col("user_id") % 3 == 0, "image").otherwise("other"))
-    return e.groupBy("event_type").pivot("kind", ["image", "other"]).count().select("event_type", F.coalesce("image", F.lit(0)).alias("image"), F.coalesce("other", F.lit(0)).alias("other"))
+CONTACT = "concat(text, case when conv_id % 3 = 0 then concat(' mail me at user', cast(conv_id as {0}), '@mail.example') else '' end)"
 
 
-@query("select role, cast(sum(case when regexp_matches(text, '@') then 1 else 0 end) as bigint) as n_at, count(*) as n from conversations group by role")
+@query(
+    f"""with c as (select role, conv_id, turn, len(regexp_extract_all({CONTACT.format('varchar')}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) as k from conversations)
+    select role, count(*) as n, cast(sum(k) as bigint) as n_values, count(*) filter (where k = 0) as n_passed from c group by role"""
+)
 def conversation_guard(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "conversations")
-    return c.groupBy("role").agg(F.sum(F.when(F.col("text").contains("@"), 1).otherwise(0)).cast("long").alias("n_at"), F.count("*").alias("n"))
-
-
-@query()
-def leak_audit(spark: SparkSession, folder: str) -> DataFrame:
     from quillon.operators import gate
 
-    d = table(spark, folder, "documents")
-    email = gate.violations(d.select("doc_id", "text"), ["doc_id"], ["text"]).where("type = 'email'").select("doc_id", F.col("value").alias("detail"))
-    card = d.where(rules.count_of("card", F.col("text")) > 0).select("doc_id", F.lit("card").alias("detail"))
-    hits = gate.audit({"dom-scan": email, "image-ocr": card}, ["doc_id"])
-    return hits.groupBy("origin").agg(F.count("*").alias("n_hits"), F.countDistinct("doc_id").alias("n_docs"))
+    c = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.expr(CONTACT.format("string")).alias("text"))
+    hits = gate.violations(c, ["conv_id", "turn", "role"], ["text"])
+    p = gate.passes(hits, ["conv_id", "turn", "role"], c)
+    return p.groupBy("role").agg(F.count("*").alias("n"), F.sum("n_hits").alias("n_values"), F.count_if("passed").alias("n_passed"))

@@ -37,7 +37,39 @@ def detect_card_luhn_docs(spark: SparkSession, folder: str) -> DataFrame:
     return d.where("n_card > 0")
 
 
-@query()
+#: Detectors without look-around, for a position in a text: (may not stand before, the match, may not follow).
+AT_POSITION = {
+    "email": ("[A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", ""),
+    "phone": ("[0-9]", r"(?:\+91[\s-]?)?(?:[0-9][\s-]?){9}[0-9]", "[0-9]"),
+    "aadhaar": ("[0-9]", r"[2-9][0-9]{3}[\s-]?[0-9]{4}[\s-]?[0-9]{4}", r"[\s-]?[0-9]"),
+    "pan": ("[A-Z0-9]", "[A-Z]{5}[0-9]{4}[A-Z]", "[A-Z0-9]"),
+    "upi": ("[0-9]", "[0-9]{10}@[A-Za-z]{2,12}", "[A-Za-z0-9]"),
+    "voterid": ("[A-Z0-9]", "[A-Z]{3}[0-9]{7}", "[A-Z0-9]"),
+    "dl": ("[A-Za-z0-9_]", "[A-Z]{2}-?[0-9]{2}-?[0-9]{4}-?[0-9]{7}", "[A-Za-z0-9_]|-[0-9]"),
+    "passport": ("[A-Z0-9]", "[A-Z][1-9][0-9]{6}", "[0-9]"),
+    "card": ("[0-9]", r"[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}", "[0-9]"),
+}
+
+
+def found_sql(source: str, key: str, rules_: tuple[str, ...] = tuple(AT_POSITION)) -> str:
+    """(key, type, value, i) of every match in ``source`` (key, text), each position tried on its own.
+
+    Matches of a rule do not overlap: one that begins before the last one's end is left out, which
+    decides right as long as no three overlap in a chain.
+    """
+    one = []
+    for name in rules_:
+        before, match, after = AT_POSITION[name]
+        follows = f" and not regexp_matches(substr(text, i + length(v), 3), '^(?:{after})')" if after else ""
+        luhn = f" and (select {DIGIT_SUM} % 10 = 0 from (select regexp_replace(v, '[^0-9]', '', 'g') as d))" if name == "card" else ""
+        one.append(
+            f"""select {key}, '{name}' as type, v, i from (select *, lag(i + length(v)) over (partition by {key} order by i) as prev from (select {key}, text, i, regexp_extract(substr(text, i, 120), '^{match}') as v
+            from (select {key}, text, unnest(range(1, length(text) + 1)) as i from {source} where regexp_matches(text, '{match}')) where not (i > 1 and regexp_matches(substr(text, i - 1, 1), '{before}'))) where v <> ''{follows}) where (prev is null or i >= prev){luhn}"""
+        )
+    return " union all ".join(f"({x})" for x in one)
+
+
+@query(f"select doc_id, count(*) as n_phone from ({found_sql('documents', 'doc_id', ('phone',))}) group by doc_id")
 def detect_phone_docs(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").select("doc_id", rules.count_of("phone", F.col("text")).cast("long").alias("n_phone"))
     return d.where("n_phone > 0")
@@ -102,7 +134,11 @@ def mask_values(spark: SparkSession, folder: str) -> DataFrame:
     return k.select("c_custkey", "kind", rules.mask_value(F.col("v"), strict=False).alias("masked"))
 
 
-@query()
+#: The display form, unless it shows more than half of a value that is no address.
+STRICT_MASK_SQL = r"case when not contains(v, '@') and length(regexp_replace(m, '[X*…]', '', 'g')) * 2 > length(v) then concat(substr(v, 1, 2), repeat('X', greatest(length(v) - 2, 1))) else m end"
+
+
+@query(f"select c_custkey, kind, {STRICT_MASK_SQL} as masked from (select *, {MASK_SQL} as m from (unpivot (select c_custkey, email, phone, card, pan, label from ({KYC_SQL})) on email, phone, card, pan, label into name kind value v))")
 def mask_values_strict(spark: SparkSession, folder: str) -> DataFrame:
     k = kyc(spark, folder).unpivot("c_custkey", ["email", "phone", "card", "pan", "label"], "kind", "v")
     return k.select("c_custkey", "kind", rules.mask_value(F.col("v")).alias("masked"))
@@ -121,21 +157,39 @@ def token_numbering(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.number_tokens(seen.withColumn("second", F.col("value")), ["ord", "second"])
 
 
+EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
 @query(
-    rf"""with m as (select doc_id, text, unnest({EMAIL_SQL}) as v from documents), u as (select v, min(doc_id) as d from m group by v)
-    select doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '[EMAIL]', 'g') as clean, cast(len({EMAIL_SQL}) as int) as n_redacted from documents where regexp_matches(text, '@')"""
+    rf"""with d as (select doc_id, text, {EMAIL_SQL} as vs, string_split_regex(text, '{EMAIL_PATTERN}') as parts from documents where regexp_matches(text, '{EMAIL_PATTERN}')),
+    m as (select doc_id, unnest(vs) as v, generate_subscripts(vs, 1) as k from d), f as (select doc_id, v, min(k) as k from m group by all), n as (select doc_id, v, row_number() over (partition by doc_id order by k) as n from f),
+    t as (select m.doc_id, list(concat('[EMAIL_', n, ']') order by m.k) as toks from m join n using (doc_id, v) group by m.doc_id)
+    select doc_id, md5(array_to_string(list_transform(range(1, len(parts) + 1), lambda i: concat(parts[i], coalesce(toks[i], ''))), '')) as digest, cast(len(vs) as int) as n_redacted from d join t using (doc_id)"""
 )
 def tokenize_documents_email(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").where(F.col("text").contains("@"))
-    n = F.size(rules.all_values(BY_NAME["email"], F.col("text")))
-    return d.select("doc_id", F.regexp_replace("text", rules.EMAIL, "[EMAIL]").alias("clean"), n.alias("n_redacted"))
+    d = table(spark, folder, "documents").where(rules.may_match(F.col("text"))).select("doc_id", "text")
+    clean, _ = tokens.tokenize(d, "text", ["doc_id"], scope=["doc_id"], types=["email"])
+    return clean.where("n_redacted > 0").select("doc_id", F.md5("clean").alias("digest"), "n_redacted")
 
 
-@query()
+#: Rewriting of all rules by offsets: matches of one text by start, the longer first; a later one that begins inside the
+#: last is left out.  Values are numbered over all documents by first appearance.
+@query(
+    rf"""with m as ({found_sql('documents', 'doc_id')}), o as (select *, max(i + length(v)) over (partition by doc_id order by i, length(v) desc rows between unbounded preceding and 1 preceding) as upto from m),
+    k as (select doc_id, type, v, i, case when regexp_matches(v, '^[0-9+ -]+$') then regexp_replace(v, '[ -]', '', 'g') else v end as key from o where upto is null or i >= upto),
+    f as (select type, key, min(doc_id * 1000000 + i) as first_at from k group by all), n as (select type, key, row_number() over (partition by type order by first_at) as n from f),
+    t as (select k.doc_id, k.i, length(k.v) as len, concat('[', upper(k.type), '_', n, ']') as token, row_number() over (partition by k.doc_id order by k.i) as r, lag(k.i + length(k.v)) over (partition by k.doc_id order by k.i) as from_at from k join n using (type, key)),
+    p as (select t.doc_id, string_agg(concat(substr(text, coalesce(from_at, 1), i - coalesce(from_at, 1)), token), '' order by r) as head, max(i + len) as rest, count(*) as n from t join documents d using (doc_id) group by t.doc_id)
+    select doc_id, md5(concat(head, substr(text, rest))) as digest, cast(n as int) as n_redacted from p join documents using (doc_id)"""
+)
 def tokenize_documents(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").where(rules.may_match(F.col("text"))).select("doc_id", "text")
     clean, _ = tokens.tokenize(d, "text", ["doc_id"])
-    return clean.where("n_redacted > 0").select("doc_id", "clean", "n_redacted")
+    return clean.where("n_redacted > 0").select("doc_id", F.md5("clean").alias("digest"), "n_redacted")
+
+
+#: A payment address is an address and a telephone number; a card's last twelve digits may be an identity number.
+PAIRS_SQL = f"""select c_custkey, {DIGIT_SUM} % 10 = 0 as is_card, substr(d, 5, 1) between '2' and '9' as is_aadhaar, card from (select *, regexp_replace(card, '[^0-9]', '', 'g') as d from ({KYC_SQL}))"""
 
 
 def _overlaps(spark: SparkSession, folder: str, strict: bool) -> DataFrame:
@@ -144,12 +198,17 @@ def _overlaps(spark: SparkSession, folder: str, strict: bool) -> DataFrame:
     return clean.select("c_custkey", F.regexp_replace("clean", "_[0-9]+", "").alias("clean"), "n_redacted")
 
 
-@query()
+@query(
+    f"""select c_custkey, concat('pay [PHONE][UPI] or ', case when is_card then '[CARD]' else '' end, case when is_aadhaar then concat(case when is_card then '' else concat(substr(card, 1, 5)) end, '[AADHAAR]') when not is_card then card else '' end) as clean,
+    cast(2 + is_card::int + is_aadhaar::int as int) as n_redacted from ({PAIRS_SQL})"""
+)
 def tokenize_overlap_compat(spark: SparkSession, folder: str) -> DataFrame:
     return _overlaps(spark, folder, False)
 
 
-@query()
+@query(
+    f"""select c_custkey, concat('pay [UPI] or ', case when is_card then '[CARD]' when is_aadhaar then concat(substr(card, 1, 5), '[AADHAAR]') else card end) as clean, cast(1 + (is_card or is_aadhaar)::int as int) as n_redacted from ({PAIRS_SQL})"""
+)
 def tokenize_overlap_strict(spark: SparkSession, folder: str) -> DataFrame:
     return _overlaps(spark, folder, True)
 
@@ -170,26 +229,49 @@ def leak_gate_emails(spark: SparkSession, folder: str) -> DataFrame:
     return gate.violations(d, ["doc_id"]).where("type = 'email'").select("doc_id", "value")
 
 
-@query()
+@query(f"select lang, type, count(*) as n, count(distinct v) as n_values from ({found_sql('documents', 'doc_id')}) join documents using (doc_id) group by lang, type")
 def leak_gate_violations(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").select("lang", "text")
     return gate.violations(d, ["lang"], ["text"]).groupBy("lang", "type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
 
 
-@query(f"select lang, count(*) as n_docs, count(*) filter (where len({EMAIL_SQL}) > 0) as n_block from documents group by lang")
+@query(
+    f"""with h as (select doc_id, doc_id % 3 as regions, case doc_id % 4 when 0 then null when 1 then false else true end as up, case when doc_id % 5 = 0 and len({EMAIL_SQL}) = 0 then null else len({EMAIL_SQL}) end as hits from documents)
+    select doc_id, case when hits > 0 then 'block' when regions = 0 then 'pass' when up and hits is not null then 'pass' else 'skip' end as verdict from h"""
+)
 def leak_gate_verdict(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").withColumn("hits", F.size(rules.all_values(BY_NAME["email"], F.col("text"))))
-    v = gate.verdict(F.lit(0), F.lit(True), F.col("hits"))
-    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(v == "block").alias("n_block"))
+    n = F.size(rules.all_values(BY_NAME["email"], F.col("text")))
+    k = F.col("doc_id")
+    up = F.when(k % 4 == 1, False).when(k % 4 != 0, True)
+    d = table(spark, folder, "documents").withColumn("hits", F.when((k % 5 != 0) | (n > 0), n))
+    return d.select("doc_id", gate.verdict((k % 3).cast("int"), up, F.col("hits")).alias("verdict"))
+
 
+PAGE_TEXT = "(select page_id, html as text from pages)"
 
-@query()
+
+@query(f"select page_id, count(v) as n_hits, count(v) = 0 as passed from pages left join ({found_sql(PAGE_TEXT, 'page_id')}) using (page_id) group by page_id")
 def leak_gate_pages(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "pages").select("page_id", "html")
     hits = gate.violations(p, ["page_id"])
     return gate.passes(hits, ["page_id"], p)
 
 
+@query(
+    rf"""with h as (select 'dom-scan' as origin, doc_id, v as detail from ({found_sql('documents', 'doc_id', ('email',))}) union all select 'image-ocr', doc_id, v from ({found_sql('documents', 'doc_id', ('card',))})
+      union all select 'image-ocr-error', doc_id, 'unreadable' from documents where doc_id % 97 = 0
+      union all select 'gt-value-in-body', doc_id, cast(item_id as varchar) from (select item_id, regexp_replace(lower(text), '\s', '', 'g') as needle from benchmark) b join (select doc_id, regexp_replace(lower(text), '\s', '', 'g') as body from documents) d on contains(body, needle) where needle <> '')
+    select origin, count(*) as n_hits, count(distinct doc_id) as n_docs from h group by origin"""
+)
+def leak_audit(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").select("doc_id", "text")
+    of = lambda name: gate.violations(d, ["doc_id"], ["text"]).where(F.col("type") == name).select("doc_id", F.col("value").alias("detail"))
+    unread = d.where("doc_id % 97 = 0").select("doc_id", F.lit("unreadable").alias("detail"))
+    known = gate.contained(table(spark, folder, "benchmark").select("item_id", "text"), d.withColumnRenamed("text", "body"), "text", "body")
+    hits = gate.audit({"dom-scan": of("email"), "image-ocr": of("card"), "image-ocr-error": unread, "gt-value-in-body": known.select("doc_id", F.col("item_id").alias("detail"))}, ["doc_id"])
+    return hits.groupBy("origin").agg(F.count("*").alias("n_hits"), F.countDistinct("doc_id").alias("n_docs"))
+
+
 @query(r"select item_id, text as body from benchmark where not regexp_matches(text, '@|(?:[0-9][\s-]?){4}')")
 def payload_after_gate(spark: SparkSession, folder: str) -> DataFrame:
     b = table(spark, folder, "benchmark").select("item_id", "text")
@@ -201,24 +283,10 @@ def payload_after_gate(spark: SparkSession, folder: str) -> DataFrame:
     join (select doc_id, regexp_replace(lower(text), '\s', '', 'g') as body from documents) d on contains(body, needle) where length(needle) > 0 group by item_id"""
 )
 def gt_value_containment(spark: SparkSession, folder: str) -> DataFrame:
-    # the benchmark is joined through its first words, so that no cross join is planned
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    flat = lambda c: F.regexp_replace(F.lower(c), r"\s", "")
-    b = table(spark, folder, "benchmark").select("item_id", flat(F.col("text")).alias("needle"), words(F.col("text")).alias("w")).where("size(w) > 0")
-    by_length = lambda x, y: F.length(y) - F.length(x)  # noqa: E731  the longest word is the rarest guess
-    inner = F.when(F.size("w") > 2, F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(1)))).otherwise(F.col("w"))
-    b = b.select("item_id", "needle", F.array_sort(inner, by_length)[0].alias("key"))
-    d = table(spark, folder, "documents").select("doc_id", "text")
-    word = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
-    pair = b.join(word, "key").select("item_id", "needle", "doc_id")
-    hit = pair.join(d, "doc_id").where(flat(F.col("text")).contains(F.col("needle")))
-    return hit.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-
-
-@query(r"select doc_id, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) as squashed_start from (select doc_id, substr(text, 1, 200) as text from documents)")
-def squash_whitespace(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents")
-    return d.select("doc_id", X.squash(F.substring("text", 1, 200)).alias("squashed_start"))
+    needles = table(spark, folder, "benchmark").select("item_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("body"))
+    hit = gate.contained(needles, docs, "text", "body")
+    return hit.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query("select conv_id, turn, case when length(text) > 80 then concat(substr(text, 1, 80), '…') else text end as short_text, cast(floor(length(text) * 3 / 4.0 / 1024 + 0.5) as bigint) as kb from conversations")
@@ -236,9 +304,9 @@ def fnv_hash(spark: SparkSession, folder: str) -> DataFrame:
     return n.select("n_name", X.fnv1a(codes).alias("hash"))
 
 
-@query("select c_custkey, case when ms < 60000 then concat(cast(greatest(1, (ms + 500) // 1000) as varchar), 's') else concat(cast(((ms + 500) // 1000) // 60 as varchar), 'm ', cast(((ms + 500) // 1000) % 60 as varchar), 's') end as label from (select c_custkey, (c_custkey * 7919) % 400000 as ms from customer) where ms < 59500 or ms >= 60000")
+@query("select c_custkey, case when s >= 60 then concat(cast(s // 60 as varchar), 'm ', cast(s % 60 as varchar), 's') else concat(cast(s as varchar), 's') end as label from (select c_custkey, greatest(1, ((c_custkey * 7919) % 400000 + 500) // 1000) as s from customer)")
 def duration_labels(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "customer").select("c_custkey", ((F.col("c_custkey") * 7919) % 400000).alias("ms")).where("ms < 59500 or ms >= 60000")
+    c = table(spark, folder, "customer").select("c_custkey", ((F.col("c_custkey") * 7919) % 400000).alias("ms"))
     return c.select("c_custkey", X.duration(F.col("ms")).alias("label"))
 
 
@@ -248,13 +316,10 @@ def role_colours(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("colour", X.role_colour(F.col("event_type")))
 
 
-@query()
-def sensitive_types_by_key(spark: SparkSession, folder: str) -> DataFrame:
-    k = kyc(spark, folder).select("c_nationkey", "c_custkey", F.concat_ws(" ", "email", "pan", "phone").alias("text"))
-    return detect.sensitive_types(k, ["c_nationkey"], "text", "c_custkey")
-
-
-@query()
+@query(
+    f"""with k as (select c_nationkey, c_custkey, email, concat('[EMAIL_', cast(dense_rank() over (partition by c_nationkey order by email) as varchar), ']') as token from ({KYC_SQL})), f as (select c_nationkey, token, min(c_custkey) as c_custkey, arg_min(email, c_custkey) as v from k group by c_nationkey, token)
+    select c_nationkey, c_custkey, token, {MASK_SQL} as masked from f"""
+)
 def stable_token_log(spark: SparkSession, folder: str) -> DataFrame:
     k = kyc(spark, folder).select("c_nationkey", "c_custkey", "email")
     named = k.withColumn("token", F.concat(F.lit("[EMAIL_"), F.dense_rank().over(Window.partitionBy("c_nationkey").orderBy("email")).cast("string"), F.lit("]")))

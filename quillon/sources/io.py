@@ -21,10 +21,32 @@ def json_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
-def manifest_files(df: DataFrame, json: str) -> DataFrame:
-    """(file, bytes) of a manifest text {"files": {name: bytes}}."""
+def manifest_files(df: DataFrame, json: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys…, file, bytes) of manifest texts {"files": {name: bytes}}; unreadable ones give no rows."""
     files = F.from_json(F.col(json), "totalBytes bigint, files map<string,bigint>")
-    return df.select(F.explode(files["files"]).alias("file", "bytes"))
+    return df.select(*(keys or []), F.explode(files["files"]).alias("file", "bytes"))
+
+
+def trace_rows(runs: DataFrame, keys: list[str], trace: str) -> DataFrame:
+    """The steps of all runs' traces as rows; a run without steps gives none."""
+    return runs.select(*keys, F.explode(trace).alias("__s")).select(*keys, "__s.*")
+
+
+def sorted_names(names: Column) -> Column:
+    """Names in ascending order without empty ones."""
+    return F.array_sort(F.filter(names, lambda n: n.isNotNull() & (n != "")))
+
+
+def sessions_of(df: DataFrame, text: str, schema: str) -> Column:
+    """Stored sessions of a text; an unreadable one holds none."""
+    held = F.from_json(F.col(text), f"array<struct<{schema}>>")
+    return F.coalesce(held, F.array().cast(f"array<struct<{schema}>>"))
+
+
+def message_rows(df: DataFrame, body: str, schema: str) -> DataFrame:
+    """Messages of a bus as typed rows: ``kind`` and the fields that its kind has; unreadable bodies keep their text."""
+    parsed = F.from_json(F.col(body), f"type string, {schema}")
+    return df.select("*", parsed.alias("__m")).select(*df.columns, F.col("__m.type").alias("kind"), *[F.col(f"__m.{f.split()[0]}") for f in schema.split(", ")])
 
 
 def from_json_rows(df: DataFrame, text: str, schema: str) -> DataFrame:

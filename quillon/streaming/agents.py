@@ -1,20 +1,27 @@
-"""Structured Streaming forms: stable tokens, step counters, sessions, micro-batches, correlation.
+"""Structured Streaming forms: stable tokens, step counters, questions, sessions, micro-batches, correlation.
 
-Watermarks bound all state; keyed processors keep a few numbers for each run.
+Watermarks bound state by time.  Keyed processors (transformWithState) keep a few numbers for each run; the
+token map of a run grows with its distinct values and is one state entry for each.
 """
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from quillon.checkpoint import remove, shared_folder
 
 LATENESS = "10 minutes"
-STEP_STATE = "last string, same int, blocked int, sigs array<string>, recoveries int"
-STEP_OUT = "run_id long, n_steps long, max_same int, max_blocked int, stuck_steps int"
+QUESTION_TIMEOUT_MS = 25_000
+BUDGET, MOST_RECOVERIES, MOST_SAME = 50, 3, 4
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def flush_tokens(deltas: DataFrame, time: str = "ts", every: str = "60 milliseconds", key: str = "run_id", seq: str = "seq", text: str = "delta") -> DataFrame:
@@ -42,53 +49,162 @@ def correlate(requests: DataFrame, replies: DataFrame, timeout_s: int, key: str
     return a.join(b, (F.col(key) == F.col("__k")) & within, "leftOuter").select(key, "asked", "answered", "reply", F.col("answered").isNull().alias("timed_out"))
 
 
-def count_steps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Running no-progress, blocked and stuck counts of one run; rows of a batch are taken in order."""
-    last, same, blocked, sigs, stuck, most_same, most_blocked, n = (None, 0, 0, [], 0, 0, 0, 0) if not state.exists else (*state.get[:3], list(state.get[3]), *state.get[4:])
-    for b in batches:
-        for r in b.sort_values(["ts", "step"]).itertuples():
+def keyed(rows: DataFrame, processor: StatefulProcessor, out: str, mode: str, time: str) -> DataFrame:
+    """The processor over rows by run_id.  It travels by value, for the planner's Python worker on the driver does not
+    see files that were added to the session."""
+    own = sys.modules[__name__]
+    cloudpickle.register_pickle_by_value(own)
+    try:
+        return rows.groupBy("run_id").transformWithStateInPandas(processor, out, mode, time)
+    finally:
+        cloudpickle.unregister_pickle_by_value(own)
+
+
+class StepLoop(StatefulProcessor):
+    """Running counters of one run, and why it stops: done, stuck for good, budget used up."""
+
+    FIELDS = "last string, same int, blocked int, sigs array<string>, stuck int, most_same int, most_blocked int, recoveries int, n long, stop string"
+    OUT = "run_id long, n_steps long, max_same int, max_blocked int, stuck_steps int, stop string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", self.FIELDS)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = self.held.get() if self.held.exists() else (None, 0, 0, [], 0, 0, 0, 0, 0, None)
+        last, same, blocked, sigs, stuck, most_same, most_blocked, recoveries, n, stop = old
+        sigs = list(sigs or [])
+        for r in sorted((r for b in rows for r in b.itertuples()), key=lambda r: (r.ts, r.step)):
+            n += 1
             same = same + 1 if r.sig == last else 0
             last = r.sig
             blocked = blocked + 1 if r.blocked else 0
             sigs = [*sigs, r.sig][-3:]
             stuck += len(sigs) == 3 and len(set(sigs)) == 1
-            most_same, most_blocked, n = max(most_same, same), max(most_blocked, blocked), n + 1
-    state.update((last, same, blocked, sigs, stuck, most_same, most_blocked, n))
-    yield pd.DataFrame({"run_id": [key[0]], "n_steps": [n], "max_same": [most_same], "max_blocked": [most_blocked], "stuck_steps": [stuck]})
+            most_same, most_blocked = max(most_same, same), max(most_blocked, blocked)
+            recoveries += same == MOST_SAME
+            if stop is None:
+                stop = "done" if r.sig == "done" else "recovery" if recoveries > MOST_RECOVERIES else "budget" if n >= BUDGET else None
+        self.held.update((last, same, blocked, sigs, stuck, most_same, most_blocked, recoveries, n, stop))
+        yield pd.DataFrame({"run_id": [key[0]], "n_steps": [n], "max_same": [most_same], "max_blocked": [most_blocked], "stuck_steps": [stuck], "stop": [stop]})
+
+    def close(self) -> None:
+        pass
 
 
 def step_counters(steps: DataFrame) -> DataFrame:
     """``steps`` has run_id, ts, step, sig, blocked; each batch updates the run's counters."""
-    state = "last string, same int, blocked int, sigs array<string>, stuck int, most_same int, most_blocked int, n long"
-    return steps.groupBy("run_id").applyInPandasWithState(count_steps, STEP_OUT, state, "update", GroupStateTimeout.NoTimeout)
-
-
-def assign_tokens(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Value → token map of one run, by first appearance within each type."""
-    types, values, numbers = (list(x) for x in state.get) if state.exists else ([], [], [])
-    known = {(t, v): n for t, v, n in zip(types, values, numbers, strict=True)}
-    top: dict[str, int] = {}
-    for t, n in zip(types, numbers, strict=True):
-        top[t] = max(top.get(t, 0), n)
-    out = []
-    for b in batches:
-        for r in b.sort_values("ord").itertuples():
-            if (r.type, r.value) not in known:
-                top[r.type] = known[(r.type, r.value)] = top.get(r.type, 0) + 1
-            out.append((key[0], r.ord, r.type, r.value, f"[{r.type.upper()}_{known[(r.type, r.value)]}]"))
-    state.update(([t for t, _ in known], [v for _, v in known], list(known.values())))
-    yield pd.DataFrame(out, columns=["run_id", "ord", "type", "value", "token"])
+    return keyed(steps, StepLoop(), StepLoop.OUT, "update", "none")
 
 
-def stable_tokens(values: DataFrame) -> DataFrame:
-    """``values`` has run_id, ord, type, value."""
-    return values.groupBy("run_id").applyInPandasWithState(
-        assign_tokens, "run_id long, ord long, type string, value string, token string", "types array<string>, vals array<string>, numbers array<int>", "append", GroupStateTimeout.NoTimeout
-    )
+class TokenMap(StatefulProcessor):
+    """Value to token of one run, by first appearance within each type."""
+
+    OUT = "run_id long, ord long, type string, value string, token string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "type string, value string", "n int")
+        self.top = handle.getMapState("top", "type string", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for r in sorted((r for b in rows for r in b.itertuples()), key=lambda r: r.ord):
+            at = (r.type, r.value)
+            if not self.known.containsKey(at):
+                n = self.top.getValue((r.type,))[0] + 1 if self.top.containsKey((r.type,)) else 1
+                self.top.updateValue((r.type,), (n,))
+                self.known.updateValue(at, (n,))
+            out.append((key[0], r.ord, r.type, r.value, f"[{r.type.upper()}_{self.known.getValue(at)[0]}]"))
+        yield pd.DataFrame(out, columns=["run_id", "ord", "type", "value", "token"])
 
+    def close(self) -> None:
+        pass
 
-def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there into memory; for tests and small reports."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+
+def stable_tokens(values: DataFrame) -> DataFrame:
+    """``values`` has run_id, ord, type, value."""
+    return keyed(values, TokenMap(), TokenMap.OUT, "append", "none")
+
+
+class Questions(StatefulProcessor):
+    """One open question of a run: answered in time, closed by a newer one, or skipped by its timer."""
+
+    OUT = "run_id long, seq long, outcome string, answer string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "seq long, until long")
+
+    def closed(self, key, outcome: str, answer: str = "") -> tuple:
+        seq, until = self.open.get()
+        self.open.clear()
+        self.handle.deleteTimer(until)
+        return (key[0], seq, outcome, answer)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for r in sorted((r for b in rows for r in b.itertuples()), key=lambda r: (r.ms, r.kind != "question", r.seq)):
+            if self.open.exists() and (r.ms >= self.open.get()[1] or (r.kind == "question" and r.seq > self.open.get()[0])):
+                out.append(self.closed(key, "skipped"))
+            if r.kind == "question":
+                until = int(r.ms) + QUESTION_TIMEOUT_MS
+                self.open.update((int(r.seq), until))
+                self.handle.registerTimer(until)
+            elif self.open.exists() and self.open.get()[0] == r.seq and r.answer:
+                out.append(self.closed(key, "answered", r.answer))
+        yield pd.DataFrame(out, columns=["run_id", "seq", "outcome", "answer"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = []
+        if self.open.exists() and self.open.get()[1] == expiredTimerInfo.getExpiryTimeInMs():
+            seq, _ = self.open.get()
+            self.open.clear()
+            rows = [(key[0], seq, "skipped", "")]
+        yield pd.DataFrame(rows, columns=["run_id", "seq", "outcome", "answer"])
+
+    def close(self) -> None:
+        pass
+
+
+def question_outcomes(events: DataFrame, time: str = "ts") -> DataFrame:
+    """``events`` has run_id, seq, kind (question or answer), answer and a time; outcomes as they are known."""
+    timed = events.withWatermark(time, LATENESS).withColumn("ms", F.unix_millis(F.col(time)))
+    return keyed(timed, Questions(), Questions.OUT, "append", "eventTime")
+
+
+def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there into the shared folder and reads the result; in update mode the last
+    row of each key (the first column) counts."""
+    spark = df.sparkSession
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    try:
+        if mode == "update":
+            add = lambda batch, n: batch.withColumn("__batch", F.lit(n)).write.mode("append").parquet(f"{top}/out")
+            q = df.writeStream.foreachBatch(add).outputMode(mode)
+        else:
+            q = df.writeStream.format("parquet").option("path", f"{top}/out").outputMode(mode)
+        q = q.option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    remove(spark, f"{top}/state")
+    if mode != "update":
+        return spark.read.schema(df.schema).parquet(f"{top}/out")
+    rows = spark.read.schema(df.schema.add("__batch", "long")).parquet(f"{top}/out")
+    key = df.columns[0]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), "__batch").alias("r")).select(key, "r.*")
+
+
+def replayed(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
+    """A table as a stream of that many batches, ``order`` rising from batch to batch; for replays and tests."""
+    spark = df.sparkSession
+    top = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
+    low = None
+    for high in [*cuts, None]:
+        rows = df if low is None else df.where(F.col(order) > low)
+        rows = rows if high is None else rows.where(F.col(order) <= high)
+        rows.coalesce(1).write.mode("append").parquet(top)
+        low = high
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(top)

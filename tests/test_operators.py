@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import actions, gate, geometry, html, metrics, perception, sessions, steps, tokens
+from quillon.operators import actions, gate, geometry, html, metrics, perception, redactions, reports, sessions, steps, tokens
 from quillon.sources import io
 from quillon.streaming import agents
 
@@ -110,16 +110,137 @@ def test_event_stream_and_config(spark):
     assert [r[0] for r in df.select(io.configured(F.col("v"), "int", 50, 1, 200)).collect()] == [10, 50, 50, 50, 50]
 
 
-def test_streams_match_batches(spark, tmp_path):
-    rows = [(1, i, i, s, s == "e") for i, s in enumerate("aaaebbbbb")] + [(2, i, i, s, s == "e") for i, s in enumerate("eee")]
-    schema = "run_id long, ts long, step int, sig string, blocked boolean"
-    for i in range(3):
-        spark.createDataFrame(rows[i * 4 : i * 4 + 4], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-    out = agents.run_available(agents.step_counters(stream), "counters", "update")
-    got = {r["run_id"]: r for r in out.collect()}
+def test_step_stream_stops(spark):
+    rows = [(1, i, i, s, s == "e") for i, s in enumerate("aaaebbbbb")] + [(2, i, i, s, s == "e") for i, s in enumerate("eee")] + [(3, i, i, str(i), False) for i in range(60)] + [(4, 0, 0, "done", False)]
+    df = spark.createDataFrame(rows, "run_id long, ts long, step int, sig string, blocked boolean")
+    got = {r["run_id"]: r for r in agents.run_available(agents.step_counters(agents.replayed(df, "ts")), "update").collect()}
     assert got[1]["n_steps"] == 9 and got[2]["n_steps"] == 3
     assert got[2]["max_blocked"] == 3 and got[1]["max_same"] == 4
+    assert [got[i]["stop"] for i in (1, 2, 3, 4)] == [None, None, "budget", "done"]
+
+
+def test_questions_time_out(spark):
+    at = lambda rows: spark.createDataFrame(rows, "run_id long, seq long, kind string, answer string, sec long").withColumn("ts", F.timestamp_seconds(F.col("sec") + 1_700_000_000))
+    # answered; closed by a newer one, whose late answer reaches nothing; skipped by the timer
+    rows = [(1, 1, "question", None, 0), (1, 1, "answer", "yes", 10), (1, 2, "question", None, 20), (1, 3, "question", None, 30), (1, 2, "answer", "stale", 31), (1, 3, "answer", "late", 60), (1, 4, "question", None, 100), (2, 1, "question", None, 5), (9, 9, "tick", None, 9000)]
+    got = {(r["run_id"], r["seq"]): (r["outcome"], r["answer"]) for r in agents.run_available(agents.question_outcomes(agents.replayed(at(rows), "sec", 2))).collect()}
+    assert got[1, 1] == ("answered", "yes") and got[1, 2] == got[1, 3] == ("skipped", "")
+    q = spark.createDataFrame([(r[0], r[1], r[4] * 1000) for r in rows if r[2] == "question"], "run_id long, seq long, asked long")
+    a = spark.createDataFrame([(r[0], r[1], r[4] * 1000, r[3]) for r in rows if r[2] == "answer"], "run_id long, seq long, answered long, answer string")
+    batch = {(r["run_id"], r["seq"]): (r["outcome"], r["answer"]) for r in reports.question_outcomes(q, a, ["run_id"]).collect()}
+    assert all(batch[k] == v for k, v in got.items())
+
+
+def test_flush_and_correlation_streams_equal_batches(spark):
+    ts = F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("ms"))
+    d = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 30, "b"), (1, 2, 61, "c"), (2, 0, 10, "x"), (9, 9, 10_000_000, "end")], "run_id long, seq long, ms long, delta string").withColumn("ts", ts)
+    stream = agents.run_available(agents.flush_tokens(agents.replayed(d, "ms", 2))).where("run_id < 9").select("run_id", "text", "n")
+    batch = agents.flush_tokens(d).where("run_id < 9").select("run_id", "text", "n")
+    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect())) == [(1, "ab", 2), (1, "c", 1), (2, "x", 1)]
+    ask = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (9, 90_000_000)], "request_id long, ms long").withColumn("ts", ts).drop("ms")
+    reply = spark.createDataFrame([(1, 5_000, "r1"), (2, 50_000, "r2"), (9, 90_000_001, "r9")], "request_id long, ms long, reply string").withColumn("ts", ts).drop("ms")
+    asked = agents.replayed(ask.withColumn("k", F.col("request_id")), "k", 1).drop("k")
+    replied = agents.replayed(reply.withColumn("k", F.col("request_id")), "k", 1).drop("k")
+    got = agents.run_available(agents.correlate(asked, replied, 40)).select("request_id", "reply", "timed_out")
+    want = agents.correlate(ask, reply, 40).select("request_id", "reply", "timed_out")
+    assert {tuple(r) for r in want.collect()} == {(1, "r1", False), (2, None, True), (3, None, True), (9, "r9", False)}
+    assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in want.collect()} and (1, "r1", False) in {tuple(r) for r in got.collect()}
+
+
+def test_global_ranks_equal_a_window(spark):
+    rows = [(f"t{i % 3}", i * 7919 % 1000, f"v{i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "type string, k int, value string").repartition(7)
+    got = {(r["type"], r["value"]): r["n"] for r in tokens.ranked(df, ["type"], ["k", "value"], "n").collect()}
+    for t in ("t0", "t1", "t2"):
+        own = sorted((k, v) for u, k, v in rows if u == t)
+        assert [got[t, v] for _, v in own] == list(range(1, len(own) + 1))
+
+
+def test_areas_of_one_sweep(spark):
+    import random
+
+    random.seed(5)
+    rows = [(p, random.randint(-5, 40), random.randint(-5, 600), random.randint(0, 30), random.randint(0, 400), random.random() < 0.5) for p in range(4) for _ in range(12)]
+    df = spark.createDataFrame(rows, "page int, x int, y int, w int, h int, t boolean")
+    got = {r["page"]: r for r in geometry.pixel_areas(df.where("t"), df.where("not t"), ["page"], 50, 620).collect()}
+
+    def cells(p, side):
+        return {(a, b) for q, x, y, w, h, t in rows if q == p and t == side for a in range(max(0, x), min(50, x + w)) for b in range(max(0, y), min(620, y + h))}
+
+    for p in range(4):
+        g, f = cells(p, True), cells(p, False)
+        assert (got[p]["gt"], got[p]["pred"], got[p]["inter"]) == (len(g), len(f), len(g & f))
+
+
+def test_containment_ignores_blanks(spark, monkeypatch):
+    needles = spark.createDataFrame([(1, "foo bar baz"), (2, "Ab"), (3, "  "), (4, None), (5, "foo bar baz"), (6, "zz")], "item int, text string")
+    docs = spark.createDataFrame([(1, "x foobar BAZ y"), (2, "foo\nbarbaz, a b"), (3, None), (4, "")], "doc int, body string")
+    want = {(1, 1), (1, 5), (2, 1), (2, 5), (2, 2)}
+    for most in (8_000_000, 1):
+        monkeypatch.setattr(gate, "NEEDLE_CHARS", most)
+        assert {(r["doc"], r["item"]) for r in gate.contained(needles, docs, "text", "body").collect()} == want
+    keyed = gate.contained(needles.withColumn("k", F.col("item") % 2), docs.withColumn("k", F.col("doc") % 2), "text", "body", on=["k"])
+    assert {(r["doc"], r["item"]) for r in keyed.collect()} == {(1, 1), (1, 5), (2, 2)}
+
+
+def test_rewriting_of_known_texts(spark):
+    cases = [("a@b.co and a@b.co", "[EMAIL_1] and [EMAIL_1]"), ("9876543210 9876543211", "[PHONE_1] [PHONE_2]"), ("9876543210@ybl", "[UPI_1]"), ("4242 4242 4242 4242", "[CARD_1]"), ("9876543210@gmail.com", "[EMAIL_1]"), ("u9876543210@x.com", "[EMAIL_1]"), ("ABC1234567@x.org", "[EMAIL_1]"), ("nothing", "nothing"), (None, None)]
+    compat = {"9876543210@ybl": "[PHONE_1][UPI_1]", "4242 4242 4242 4242": "[CARD_1][AADHAAR_1]", "9876543210@gmail.com": "[EMAIL_1][PHONE_1][UPI_1].com", "u9876543210@x.com": "[EMAIL_1][PHONE_1]@x.com", "ABC1234567@x.org": "[EMAIL_1][VOTERID_1]@x.org"}
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "id int, t string")
+    strict, _ = tokens.tokenize(df, "t", ["id"], scope=["id"])
+    assert [r["clean"] for r in strict.orderBy("id").collect()] == [c[1] for c in cases]
+    loose, _ = tokens.tokenize(df, "t", ["id"], scope=["id"], strict=False)
+    assert [r["clean"] for r in loose.orderBy("id").collect()] == [compat.get(c[0], c[1]) for c in cases]
+
+
+def test_fields_are_sanitised(spark):
+    rows = [(1, 0, "typed hunter2", "Password", "hunter2"), (1, 1, "4111 1111 1111 1111", "card number", "4111 1111 1111 1111"), (1, 2, "Asha", "Full Name", "Asha"), (1, 3, "mail a@b.co twice a@b.co", "", None), (1, 4, "plain", None, "free"), (2, 0, "x@y.co", "email", "")]
+    df = spark.createDataFrame(rows, "page int, ord int, text string, label string, value string")
+    out, log = tokens.sanitize_elements(df, ["page"])
+    got = {(r["page"], r["ord"]): (r["value"], r["text"]) for r in out.collect()}
+    assert got == {(1, 0): ("[SECRET]", "[SECRET]"), (1, 1): ("[CARD_1]", "[CARD_1]"), (1, 2): ("[NAME_1]", "[NAME_1]"), (1, 3): (None, "mail [EMAIL_1] twice [EMAIL_1]"), (1, 4): ("free", "plain"), (2, 0): ("", "[EMAIL_1]")}
+    lines = {(r["page"], r["ord"], r["type"]): (r["tier"], r["token"], r["source"], r["masked"]) for r in log.collect()}
+    assert lines[1, 0, "password"] == ("A", None, "dom", None) and lines[1, 1, "card"] == ("B", "[CARD_1]", "dom", "XXXX XXXX XXXX 1111")
+    assert lines[1, 3, "email"][:3] == ("B", "[EMAIL_1]", "text") and len(lines) == 5
+
+
+def test_redactions_of_all_sources(spark):
+    box = "page int, ord int, x int, y int, w int, h int"
+    prose = spark.createDataFrame([(1, 0, 0, 0, 9, 9, "email")], box + ", type string")
+    faces = spark.createDataFrame([(1, 0, 50, 50, 10, 10)], box)
+    ocr = spark.createDataFrame([(1, 0, 70, 70, 5, 5, "phone", "9876543210", 60, 60, 30, 30)], box + ", type string, value string, region_x int, region_y int, region_w int, region_h int")
+    escalated = spark.createDataFrame([(1, 0, 52, 48, 12, 8), (1, 1, 62, 61, 33, 28), (1, 2, 200, 200, 9, 9), (2, 0, 50, 50, 10, 10)], box)
+    dom = spark.createDataFrame([(1, 0, 1, 1, 1, 1, "pan")], box + ", type string")
+    got = [(r["page"], r["seq"], r["type"], r["x"], r["masked"]) for r in redactions.redaction_union(prose, faces, ocr, escalated, dom, ["page"]).orderBy("page", "seq").collect()]
+    assert got == [(1, 0, "email", 0, None), (1, 1, "face", 50, None), (1, 2, "phone", 60, "XXXXXX3210"), (1, 3, "graphics", 200, None), (1, 4, "pan", 1, None), (2, 0, "graphics", 50, None)]
+
+
+def test_empty_means_and_unknown_tasks(spark):
+    none = spark.createDataFrame([], "v double, w int")
+    assert none.agg(metrics.weighted_mean(F.col("v"), F.col("w"))).first()[0] is None
+    one = spark.range(1)
+    assert one.select(reports.task_outcome(F.lit("other"), F.lit("x"), F.lit("1"), F.lit("y"))).first()[0] is None
+    assert set(reports.SUCCESS) == {"flight-booking", "bank-transfer", "pii-in-the-wild"}
+
+
+def test_actions_are_resolved_and_rethought(spark):
+    rows = [(1, '{"action":{"type":"click","target":3}}'), (2, "junk"), (3, '{"action":{"type":"click","target":4}}')]
+    df = spark.createDataFrame(rows, "k int, raw string")
+    got = {r["k"]: (r["source"], r["raw"]) for r in actions.resolve_actions(df, ["k"]).collect()}
+    assert got[1] == ("model", rows[0][1]) and got[2][0] == "error_fallback"
+    tried = df.where("k = 3").select("k", actions.signature(actions.action_fields(actions.parse_json(F.col("raw")))).alias("sig"))
+    assert {r["k"] for r in actions.rethink(df, tried, ["k"]).where("source = 'model'").collect()} == {1}
+
+
+def test_address_elements_and_sources(spark, tmp_path):
+    page = "<address>1 High\n Street <b>Town</b></address><div><address>2nd<script>x</script></address></div><p>none</p>"
+    rows = html.addresses(spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")).collect()
+    assert [(r["page_id"], r["ord"], r["text"], r["type"]) for r in rows] == [(1, 0, "1 High Street Town", "address"), (1, 1, "2nd", "address")]
+    assert io.json_artifact(spark, str(tmp_path / "missing.json"), "a int").count() == 0
+    (tmp_path / "bad.json").write_text("{broken")
+    assert [r["a"] for r in io.json_artifact(spark, str(tmp_path / "bad.json"), "a int").collect()] == [None]
+    io.write_json(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first()["a"] == 1
 
 
 def test_sessions(spark):
