@@ -188,8 +188,11 @@ def dictionaries(own: list[list[bytes]], label: np.ndarray) -> tuple[Coder, list
 def train(rows: list[tuple[str, int]]) -> Pair:
     """A pair of dictionaries from (text, label) rows; neutral if a class is missing."""
     rows = sorted(set(rows))
-    own = [windows(t) for t, _ in rows]
+    # equal windows are one object, as most occur very often
+    pool: dict[bytes, bytes] = {}
+    own = [[pool.setdefault(w, w) for w in windows(t)] for t, _ in rows]
     label = np.array([y for _, y in rows])
+    rows = range(len(rows))
     if not len(rows) or label.min() == label.max():
         prior = (label.sum() + 1) / (len(label) + 2) if len(label) else 0.5
         return Pair(b" ", b" ", min(MARGINS), (float(np.log(prior / (1 - prior))), 0.0, 0.0))
