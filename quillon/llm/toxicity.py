@@ -39,6 +39,7 @@ from quillon.llm.store import durable
 SAMPLE = 4000
 #: Bounds of any sample that reaches the driver.
 SAMPLE_ROWS, SAMPLE_BYTES = 40_000, 128 << 20
+BINS_LOG = 12
 ORDINARY_BYTES = 32_768
 HEAD, TAIL = b"~0123456789~abcdefghijklmnopqrstuvwxyz~", b"~ZYXWVUTSRQPO~"
 WINDOW = re.compile(r"[^\W\d_]+")
@@ -242,7 +243,14 @@ def labelled_sample(
     rank = Window.partitionBy("__label").orderBy(F.xxhash64("__key"), "__key")
     named = labels.select(F.col("doc_id").cast("long").alias("__key"), label.cast("double").alias("__label"), held_out("doc_id").alias("__out"))
     known = named.where(F.col("__key").isNotNull() & F.col("__label").isNotNull() & ~F.isnan("__label") & ~F.col("__out")).groupBy("__key").agg(F.max("__label").alias("__label"))
-    keys = known.withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= per_class).orderBy("__rank", "__label", "__key").limit(SAMPLE_ROWS)
+    # the least hashes of each label: a histogram of their first bits finds about where they end, so that the
+    # ranking sees few rows more than it keeps, however many a label has
+    known = known.withColumn("__bin", F.shiftrightunsigned(F.xxhash64("__key").bitwiseXOR(F.lit(-1 << 63)), 64 - BINS_LOG))
+    upto = F.sum("__n").over(Window.partitionBy("__label").orderBy("__bin"))
+    bins = known.groupBy("__label", "__bin").agg(F.count("*").alias("__n")).withColumn("__upto", upto)
+    ends = bins.groupBy("__label").agg(F.coalesce(F.min(F.when(F.col("__upto") >= per_class, F.col("__bin"))), F.max("__bin")).alias("__last"))
+    near = known.join(ends, "__label").where(F.col("__bin") <= F.col("__last")).select("__key", "__label")
+    keys = near.withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= per_class).orderBy("__rank", "__label", "__key").limit(SAMPLE_ROWS)
     text = docs.select(F.col(id_col).cast("long").alias("__key"), F.col(text_col).cast("string").alias("__text")).where("__text is not null")
     got = durable(text.join(F.broadcast(keys), "__key").groupBy("__key", "__label", "__rank").agg(F.min("__text").alias("__text")))
     # at most SAMPLE_ROWS rows without their texts
