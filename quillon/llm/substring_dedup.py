@@ -9,6 +9,8 @@ bucket form a path, sent as one row with the hash of its whole word sequence.
 * Paths of equal content are nonbranching copies of each other: later documents lose the whole path.
 * Where a bucket branches (several contents), the first holder of each content is expanded to its
   edges, and edges with an earlier holder are marked.
+* Hashes only propose.  The first holder's words are read again at their source coordinates; a mark carries
+  their 128-bit digest, and words are removed only where those at the marked coordinates have the same one.
 * Marked source coordinates go back to their documents, and the covered words are removed.
 
 Counts are combined before every shuffle and no group is gathered, so a passage in a third of all
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -32,7 +35,9 @@ from quillon.llm.store import durable
 
 SPAN, ANCHOR = 50, 15
 PATHS = "bucket long, path long, doc_id long, variant long, start int, n int"
-EDGES = "bucket long, edge long, doc_id long, variant long, start int"
+EDGES = "bucket long, edge long, whole boolean, doc_id long, variant long, start int, digest binary"
+#: A run of n windows; its words have the digest, or are known to be right if that is null.
+MARK = ("start", "n", "digest")
 
 
 def window_buckets(hashes: np.ndarray, span: int, anchor: int) -> np.ndarray:
@@ -68,32 +73,64 @@ def paths(batches: Iterator[pa.RecordBatch], span: int, anchor: int) -> Iterator
             )
 
 
+class Source:
+    """The words of one text joined by single blanks, for digests of runs of words."""
+
+    def __init__(self, own: list[bytes]):
+        self.joined = b" ".join(own)
+        self.begin = np.cumsum([0, *(len(w) + 1 for w in own)])
+
+    def digest(self, start: int, end: int) -> bytes:
+        return xxhash.xxh3_128_digest(self.joined[self.begin[start] : self.begin[end] - 1])
+
+
 def edges(batches: Iterator[pa.RecordBatch], span: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Every window of the listed paths (columns doc_id, variant, text, spans)."""
+    """Columns doc_id, variant, text, spans → the digest of each span that is asked whole, and every window of
+    those to be expanded."""
     for batch in batches:
         buf, offsets = text_buffers(batch.column(2))
         spans = batch.column(3)
         for lo, hi in slices(offsets):
             words = Words(buf, offsets[lo : hi + 1])
+            raw = words.buf.tobytes()
             hashes = words.hashes()
             least = window_buckets(hashes, span, anchor)
-            doc, at = [], []
+            roll = Rolling(hashes)
+            doc, at, digest, whole, paths_ = [], [], [], [], []
             for i in range(hi - lo):
-                own = spans[lo + i].as_py()
-                pos = np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in own])
-                doc.append(np.full(len(pos), i))
-                at.append(pos + words.first[i])
+                source = Source(raw[words.offsets[i] : words.offsets[i + 1]].split())
+                first = int(words.first[i])
+                for x in spans[lo + i].as_py():
+                    start, n = x["start"], x["n"]
+                    if x["whole"]:
+                        doc.append(i)
+                        at.append(start + first)
+                        digest.append(source.digest(start, start + n + span - 1))
+                        whole.append(True)
+                        paths_.append(x["path"])
+                    for k in range(start, start + n) if x["expand"] else ():
+                        doc.append(i)
+                        at.append(k + first)
+                        digest.append(source.digest(k, k + span))
+                        whole.append(False)
+                        paths_.append(0)
             if not doc:
                 continue
-            doc, at = np.concatenate(doc), np.concatenate(at)
-            content = Rolling(hashes).runs(at, at + span)
+            doc, at, whole = np.array(doc), np.array(at), np.array(whole)
+            content = np.where(whole, np.array(paths_, dtype=np.int64), roll.runs(at, at + span).view(np.int64))
             take = pa.array(doc + lo)
             yield pa.RecordBatch.from_arrays(
-                [signed(least[at]), signed(content), batch.column(0).take(take), batch.column(1).take(take), pa.array((at - words.first[doc]).astype(np.int32))],
-                names=["bucket", "edge", "doc_id", "variant", "start"],
+                [signed(least[at]), pa.array(content), pa.array(whole), batch.column(0).take(take), batch.column(1).take(take), pa.array((at - words.first[doc]).astype(np.int32)), pa.array(digest, pa.binary())],
+                names=["bucket", "edge", "whole", "doc_id", "variant", "start", "digest"],
             )
 
 
+def verified(own: list[bytes], marks: list[dict], span: int) -> list[dict]:
+    """The marks whose words are those that the first holder has."""
+    source = Source(own)
+    return [m for m in marks if m["digest"] is None or source.digest(m["start"], m["start"] + m["n"] + span - 1) == bytes(m["digest"])]
+
+
 def covered(n_words: int, spans: list[dict] | None, span: int) -> np.ndarray:
     """Which words lie in a marked window; ``spans`` lists first windows and how many follow."""
     depth = np.zeros(n_words + 1, dtype=np.int64)
@@ -118,7 +155,7 @@ def removed(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordB
                 own = raw[words.offsets[i] : words.offsets[i + 1]].split()
                 marks = spans[lo + i].as_py()
                 if marks:
-                    gone = covered(len(own), marks, span)
+                    gone = covered(len(own), verified(own, marks, span), span)
                     left = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
                 else:
                     left = own
@@ -139,13 +176,13 @@ def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
     out = []
     for text, marks in zip(texts, spans, strict=True):
         own = (text or "").encode().split()
-        gone = covered(len(own), [] if marks is None else list(marks), SPAN)
+        gone = covered(len(own), verified(own, [] if marks is None else list(marks), SPAN), SPAN)
         out.append(b" ".join(w for w, g in zip(own, gone.tolist(), strict=True) if not g).decode("utf-8", "replace"))
     return pd.Series(out, dtype=object)
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, variant, start, n): runs of n windows that also start in a document with a smaller id.
+    """(doc_id, variant, start, n, digest): runs of n windows that also start in a document with a smaller id.
 
     ``docs`` has doc_id, variant, text; variant tells apart rows that share an id.
     """
@@ -155,16 +192,20 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> D
     live = durable(path.select("bucket", "path", "doc_id", "variant", "start", "n").join(shared, "bucket"))
     holder = live.groupBy("bucket", "path").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("least").alias("least"))
     # of a bucket with a single content there is nothing to expand
-    branching = holder.where("first > least").select("bucket").distinct()
-    copies = live.join(holder.where("last > first").select("bucket", "path", "first"), ["bucket", "path"]).where("doc_id > first")
-    whole = copies.select("doc_id", "variant", "start", "n")
-    leads = live.join(branching, "bucket", "left_semi").join(holder.select("bucket", "path", "first"), ["bucket", "path"]).where("doc_id = first")
-    todo = leads.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    branching = holder.where("first > least").select("bucket").distinct().withColumn("expand", F.lit(True))
+    leads = live.join(holder.select("bucket", "path", "first", (F.col("last") > F.col("first")).alias("whole")), ["bucket", "path"]).where("doc_id = first")
+    leads = leads.join(branching, "bucket", "left").withColumn("expand", F.coalesce("expand", F.lit(False))).where("whole or expand")
+    todo = leads.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "n", "whole", "expand", "path")).alias("spans"))
     edge = rows.join(todo, ["doc_id", "variant"]).select("doc_id", "variant", "text", "spans").mapInArrow(lambda it: edges(it, span, anchor), EDGES)
     edge = durable(edge)
-    early = edge.groupBy("bucket", "edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("bucket", "edge", "first")
-    single = edge.join(early, ["bucket", "edge"]).where("doc_id > first").select("doc_id", "variant", "start", F.lit(1).alias("n"))
-    return whole.union(single)
+    read = edge.where("whole").groupBy("bucket", F.col("edge").alias("path")).agg(F.min(F.struct("doc_id", "variant", "start", "digest")).alias("r"))
+    read = read.select("bucket", "path", F.col("r.doc_id").alias("first"), F.col("r.digest").alias("digest"))
+    whole = live.join(read, ["bucket", "path"]).where("doc_id > first").select("doc_id", "variant", *MARK)
+    window = edge.where("not whole")
+    early = window.groupBy("bucket", "edge").agg(F.min(F.struct("doc_id", "digest")).alias("r"), F.max("doc_id").alias("last")).where("r.doc_id < last").select("bucket", "edge", "r")
+    # both were read at their source
+    single = window.join(early, ["bucket", "edge"]).where((F.col("doc_id") > F.col("r.doc_id")) & (F.col("digest") == F.col("r.digest")))
+    return whole.union(single.select("doc_id", "variant", "start", F.lit(1).alias("n"), F.lit(None).cast("binary").alias("digest")))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
@@ -178,6 +219,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("variant"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(rows, span, anchor)
-    marks = spans.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    marks = spans.groupBy("doc_id", "variant").agg(F.collect_list(F.struct(*MARK)).alias("spans"))
     full = rows.join(marks, ["doc_id", "variant"], "left").select("doc_id", "text", "spans")
     return full.mapInArrow(lambda it: removed(it, span), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,26 @@ def plain_words(text):
     return [w.word(i) for i in range(len(w))]
 
 
+def test_only_equal_words_are_removed():
+    """Two documents marked alike, of which one has other words there: it keeps them."""
+    rng = random.Random(23)
+    same = [rng.choice(WORDS) for _ in range(60)]
+    texts = ["\t".join(same), " ".join(rng.choice(WORDS) for _ in range(60))]
+    digest = substring_dedup.Source(" ".join(same).encode().split()).digest(0, 60)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": texts, "spans": [[{"start": 0, "n": 11, "digest": digest}]] * 2})
+    (out,) = substring_dedup.removed([batch], 50)
+    assert out["n_removed"].to_pylist() == [60, 0]
+
+
+def test_substring_dedup_of_long_and_clashing_rows(spark):
+    rng = random.Random(29)
+    long = " ".join(rng.choice(WORDS) for _ in range(120_000))
+    rows = [(1, long, "a", 1), (2, long + " end", "a", 1), (3, None, "a", 1), (None, long, "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket string, variant int")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == {1: (120_000, 0), 2: (120_001, 120_000), 3: (0, 0), None: (120_000, 0)}
+
+
 def test_decontamination_finds_all_within_budget(spark):
     rng = random.Random(9)
     items = [(k, " ".join(rng.choice(WORDS) for _ in range(n))) for k, n in enumerate((3, 5, 9, 12, 20, 37, 59))] + [(50, None), (51, ""), (52, "!!")]

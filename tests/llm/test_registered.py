@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm.queries import ORACLES, QUERIES
 
@@ -24,6 +25,26 @@ def test_sql_twin(spark, name):
     assert rows(got) == rows(want)
 
 
+LABELLED = "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize("name,label,column,least", [("op5_toxicity_zstd", "toxic", "predicted", 0.95), ("op7_ordinal_quality", "quality", "kept", 0.85)])
+def test_held_out_accuracy(spark, name, label, column, least):
+    labels = spark.read.parquet(f"{LABELLED}/labels.parquet").select("doc_id", label)
+    got = QUERIES[name](spark, LABELLED).where("held_out").select("doc_id", F.col(column).cast("int").alias("got"))
+    right, n = got.join(labels, "doc_id").agg(F.avg((F.col("got") == F.col(label)).cast("int")), F.count("*")).first()
+    assert n > 50 and right >= least
+
+
+def test_planted_items_are_found(spark):
+    """Every document that holds an item's words in a row is reported for it, without an edit."""
+    words = lambda t: "".join(c.lower() if c.isascii() and c.isalnum() else c if ord(c) > 127 else " " for c in t).split()
+    held = lambda name: [(r[0], f" {' '.join(words(r[1]))} ") for r in spark.read.parquet(f"{FOLDER}/{name}.parquet").select(*(("doc_id", "text") if name == "documents" else ("item_id", "text"))).collect() if r[1]]
+    want = {(d, i) for d, text in held("documents") for i, item in held("benchmark") if item.strip() and item in text}
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in QUERIES["op10_pigeonhole"](spark, FOLDER).collect()}
+    assert want and all(got.get(pair) == 0 for pair in want)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op10_pigeonhole"}))
 def test_one_row_for_each_input_row(spark, name):
     table = "pages" if name.startswith(("op2_", "op4_")) else "documents"
