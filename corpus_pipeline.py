@@ -47,7 +47,7 @@ def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ship(spark)
     rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("variant"), F.col("text"))
     spans = substring_dedup.repeated_spans(rows.select("doc_id", "variant", "text"))
-    marks = spans.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    marks = spans.groupBy("doc_id", "variant").agg(F.collect_list(F.struct(*substring_dedup.MARK)).alias("spans"))
     joined = rows.select("doc", "doc_id", "variant").join(marks, ["doc_id", "variant"], "left")
     text = substring_dedup.cut(F.col("doc")["text"], "spans")
     less = F.col("doc").withField("text", text)
