@@ -52,7 +52,11 @@ def match_rank(tag: Column, role: Column) -> Column:
 
 
 def resolve_targets(requests: DataFrame, elements: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``resolved`` to (keys…, target): an id as given, else the best element whose words hold the target."""
+    """Adds ``resolved`` to (keys…, target): an id as given, else the best element whose words hold the target.
+
+    Distinct words asked on a page meet that page's elements, which are at most as many as a snapshot holds
+    (MOST_ELEMENTS of the element walk).
+    """
     plain = requests.withColumn("plain", plain_target(F.col("target"))).withColumn("needle", words_of(F.col("target")))
     el = elements.select(*keys, "id", "ord", F.lower(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("text", F.lit("")), F.coalesce("role", F.lit("")), F.coalesce("tag", F.lit("")))).alias("hay"), match_rank(F.col("tag"), F.col("role")).alias("rank"))
     asked = plain.where("plain is null and needle <> ''").select(*keys, "needle").distinct()

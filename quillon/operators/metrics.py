@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.checkpoint import durable
+
 
 def nearest_index(values: Column, p: float) -> Column:
     """sorted[min(n - 1, floor(p n))] of an array; 0 if it is empty."""
@@ -14,16 +16,27 @@ def nearest_index(values: Column, p: float) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.try_element_at(v, at + 1))
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Running sum over a whole table: rows are dealt over ranges, summed in each, and each range's sum is carried on."""
+    dealt = durable(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sums = dealt.groupBy("__p").agg(F.sum(value).alias("__s")).withColumn("__before", F.coalesce(F.sum("__s").over(earlier), F.lit(0))).drop("__s")
+    within = F.sum(value).over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(sums, "__p").withColumn(name, F.col("__before") + within).drop("__p", "__before")
+
+
 def ranked_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...]) -> DataFrame:
     """Nearest-index percentiles by counts of distinct values, never an array of all rows.
 
     Equal values are combined before the shuffle; a running count finds the value at each index.
     """
-    from pyspark.sql import Window
-
     n = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = n.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        run = n.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    else:
+        run = running_total(n, "v", "c", "upto")
+        run = run.crossJoin(F.broadcast(n.agg(F.sum("c").alias("n"))))  # one row
     at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
     picks = [F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(f"p{round(p * 100)}") for p in points]
     return run.groupBy(*keys).agg(*picks, F.min("v").alias("min"), F.max("v").alias("max"), F.max("n").alias("n"))

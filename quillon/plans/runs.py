@@ -10,6 +10,7 @@ from quillon.plans.derived import STEPS_SQL, steps
 from quillon.plans.registry import query
 from quillon.sources import io
 from quillon.sources.io import table
+from quillon.streaming import agents
 
 K, O = ["run_id"], ["step"]
 ST = f"({STEPS_SQL})"
@@ -110,6 +111,11 @@ def percentile_nearest_index(spark: SparkSession, folder: str) -> DataFrame:
     return M.ranked_percentiles(e, ["event_type"], "value", (0.5, 0.95))
 
 
+@query("select list_sort(list(value))[cast(least(count(*) - 1, floor(count(*) * 0.5)) as bigint) + 1] as p50, list_sort(list(value))[cast(least(count(*) - 1, floor(count(*) * 0.95)) as bigint) + 1] as p95, min(value) as min, max(value) as max, count(*) as n from events where value is not null")
+def percentiles_overall(spark: SparkSession, folder: str) -> DataFrame:
+    return M.ranked_percentiles(table(spark, folder, "events"), [], "value", (0.5, 0.95))
+
+
 @query(
     """with l as (unpivot (select event_type, value as upload, value * 2 as vlm, value + 1 as execute from events where value is not null) on upload, vlm, execute into name phase value ms)
     select event_type, phase, round(avg(ms), 4) as mean, list_sort(list(ms))[cast(least(count(*) - 1, floor(count(*) * 0.5)) as bigint) + 1] as p50, list_sort(list(ms))[cast(least(count(*) - 1, floor(count(*) * 0.95)) as bigint) + 1] as p95, count(*) as n from l group by event_type, phase"""
@@ -129,15 +135,12 @@ def session_markers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """with g as (select *, case when lag(ts) over w is null or ts > lag(ts) over w + interval 6 hours then 1 else 0 end as fresh from events window w as (partition by user_id order by ts, event_id)),
+    """with g as (select *, case when lag(ts) over w is null or ts >= lag(ts) over w + interval 6 hours then 1 else 0 end as fresh from events window w as (partition by user_id order by ts, event_id)),
     s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, k"""
 )
 def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    fresh = F.coalesce(F.col("ts") > F.lag("ts").over(w) + F.expr("interval 6 hours"), F.lit(True))
-    s = e.withColumn("fresh", fresh).withColumn("k", F.sum(F.col("fresh").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("user_id", "k").agg(F.min("ts").alias("start"), F.count("*").alias("n")).drop("k")
+    # a batch form of the stream: sessions end after six hours without an event
+    return agents.event_sessions(table(spark, folder, "events"), gap="6 hours").select("user_id", "start", "n")
 
 
 @query(
