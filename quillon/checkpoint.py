@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -21,6 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no plan needs any more, which Spark deletes only when the driver collects its
+    garbage; worth its time between steps that shuffle a whole corpus."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
