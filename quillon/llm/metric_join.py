@@ -97,21 +97,43 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
     return fsum(a * b) / sqrt(fsum(a * a) * fsum(b * b))
 
 
+class Groups:
+    """Local components over the rows of a block; the least point of each stands for it."""
+
+    def __init__(self, point: np.ndarray):
+        self.point, self.parent = point, np.arange(len(point))
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        if i != j:
+            low, high = (i, j) if self.point[i] <= self.point[j] else (j, i)
+            self.parent[high] = low
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return int(i)
+
+    def labels(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return up
+            self.parent = up
+
+
 def compare(key: tuple, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of every visitor of a block with the block's home points."""
+    """Links of every visitor of a block with the block's home points.
+
+    Only links between groups are looked at one by one, a visitor's first at a time, so a dense block
+    costs a few matrix operations.
+    """
     raw = matrix(pdf["embedding"])
     x = unit(raw)
     home = np.flatnonzero(pdf["is_home"].to_numpy())
     point, weight = pdf["point"].to_numpy(), pdf["weight"].to_numpy()
     links = np.zeros(len(x), dtype=np.int64)
-    parent = list(range(len(x)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    groups = Groups(point)
     for lo in range(0, len(x), 1024):
         c = x[lo : lo + 1024] @ x[home].T
         near = c >= threshold
@@ -119,16 +141,15 @@ def compare(key: tuple, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             near[i, j] = exact_cosine(raw[lo + i], raw[home[j]]) >= threshold
         near &= point[lo : lo + 1024, None] != point[home][None, :]
         links[lo : lo + 1024] = near @ weight[home]
-        for i in np.flatnonzero(near.any(axis=1)):
-            others = home[near[i]]
-            root = find(lo + int(i))
-            for o in others:
-                r = find(int(o))
-                if r != root:
-                    a, b = (root, r) if point[root] <= point[r] else (r, root)
-                    parent[b] = a
-                    root = a
-    top = np.array([point[find(i)] for i in range(len(x))])
+        while True:
+            own = groups.labels()
+            across = near & (own[lo : lo + 1024, None] != own[home][None, :])
+            rows = np.flatnonzero(across.any(axis=1))
+            if not len(rows):
+                break
+            for i, j in zip((rows + lo).tolist(), home[across[rows].argmax(axis=1)].tolist(), strict=True):
+                groups.join(i, j)
+    top = point[groups.labels()]
     some = (links > 0) | (top != point)
     return pd.DataFrame({"point": point[some], "links": links[some], "top": top[some]})
 
