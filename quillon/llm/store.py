@@ -1,35 +1,12 @@
-"""Where lineage is cut: the shared checkpoint folder of the cluster."""
+"""Tables kept between the steps of an operator."""
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from quillon.checkpoint import durable, remove, shared_folder, swept
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session; a local one only where none is named and all runs on one machine, as in tests."""
-    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if named:
-        return named
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
-    return os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    # the files go when the last plan that reads them is gone
-    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+__all__ = ["durable", "remove", "settled", "shared_folder", "swept"]
 
 
 def settled(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -37,9 +14,3 @@ def settled(df: DataFrame, rows: int = 100_000) -> DataFrame:
     which saves a file for each partition in every shuffle that follows."""
     out = durable(df)
     return out.coalesce(max(1, -(-out.count() // rows)))
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder on whatever file system it lies."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

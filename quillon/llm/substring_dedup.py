@@ -9,8 +9,9 @@ bucket form a path, sent as one row with the hash of its whole word sequence.
 * Paths of equal content are nonbranching copies of each other: later documents lose the whole path.
 * Where a bucket branches (several contents), the first holder of each content is expanded to its
   edges, and edges with an earlier holder are marked.
-* Hashes only propose.  The first holder's words are read again at their source coordinates; a mark carries
-  their 128-bit digest, and words are removed only where those at the marked coordinates have the same one.
+* Rolling hashes only propose.  The first holder's words are read again at their source coordinates; a mark
+  carries a digest of their bytes, and words are removed only where those at the marked coordinates have the
+  same one.
 * Marked source coordinates go back to their documents, and the covered words are removed.
 
 Counts are combined before every shuffle and no group is gathered, so a passage in a third of all
@@ -31,11 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quillon.llm.arrays import Rolling, Words, signed, slices, sliding_min, text_buffers
-from quillon.llm.store import durable
+from quillon.llm.store import durable, swept
 
 SPAN, ANCHOR = 50, 15
-PATHS = "bucket long, path long, doc_id long, variant long, start int, n int"
-EDGES = "bucket long, edge long, whole boolean, doc_id long, variant long, start int, digest binary"
+#: ``at`` packs the first window and how many follow, as paths are the largest table that is kept.
+PATHS = "bucket long, path long, doc_id long, variant long, at long"
+PACK = 1 << 31
+#: Windows by the digest of their words.  A row that starts at WHOLE is a path instead, and its digest stands in ``variant``.
+EDGES = "bucket long, edge long, doc_id long, variant long, start int"
+WHOLE = -1
 #: A run of n windows; its words have the digest, or are known to be right if that is null.
 MARK = ("start", "n", "digest")
 
@@ -68,8 +73,8 @@ def paths(batches: Iterator[pa.RecordBatch], span: int, anchor: int) -> Iterator
             content = Rolling(hashes).runs(start, end + span - 1)
             take = pa.array(doc + lo)
             yield pa.RecordBatch.from_arrays(
-                [signed(bucket), signed(content), batch.column(0).take(take), batch.column(1).take(take), pa.array((start - words.first[doc]).astype(np.int32)), pa.array((end - start).astype(np.int32))],
-                names=["bucket", "path", "doc_id", "variant", "start", "n"],
+                [signed(bucket), signed(content), batch.column(0).take(take), batch.column(1).take(take), pa.array((start - words.first[doc]) * PACK + (end - start))],
+                names=["bucket", "path", "doc_id", "variant", "at"],
             )
 
 
@@ -80,8 +85,10 @@ class Source:
         self.joined = b" ".join(own)
         self.begin = np.cumsum([0, *(len(w) + 1 for w in own)])
 
-    def digest(self, start: int, end: int) -> bytes:
-        return xxhash.xxh3_128_digest(self.joined[self.begin[start] : self.begin[end] - 1])
+    def digest(self, start: int, end: int) -> int:
+        """Signed 64 bits of the bytes of the words."""
+        x = xxhash.xxh3_64_intdigest(self.joined[self.begin[start] : self.begin[end] - 1])
+        return x - (1 << 64) if x >> 63 else x
 
 
 def edges(batches: Iterator[pa.RecordBatch], span: int, anchor: int) -> Iterator[pa.RecordBatch]:
@@ -95,40 +102,36 @@ def edges(batches: Iterator[pa.RecordBatch], span: int, anchor: int) -> Iterator
             raw = words.buf.tobytes()
             hashes = words.hashes()
             least = window_buckets(hashes, span, anchor)
-            roll = Rolling(hashes)
-            doc, at, digest, whole, paths_ = [], [], [], [], []
+            doc, at, edge, variant, start = [], [], [], [], []
+            own = batch.column(1).to_pylist()
             for i in range(hi - lo):
                 source = Source(raw[words.offsets[i] : words.offsets[i + 1]].split())
                 first = int(words.first[i])
                 for x in spans[lo + i].as_py():
-                    start, n = x["start"], x["n"]
+                    begin, n = divmod(x["at"], PACK)
                     if x["whole"]:
-                        doc.append(i)
-                        at.append(start + first)
-                        digest.append(source.digest(start, start + n + span - 1))
-                        whole.append(True)
-                        paths_.append(x["path"])
-                    for k in range(start, start + n) if x["expand"] else ():
-                        doc.append(i)
-                        at.append(k + first)
-                        digest.append(source.digest(k, k + span))
-                        whole.append(False)
-                        paths_.append(0)
+                        at.append(begin + first)
+                        edge.append(x["path"])
+                        variant.append(source.digest(begin, begin + n + span - 1))
+                        start.append(WHOLE)
+                    if x["expand"]:
+                        at += range(begin + first, begin + first + n)
+                        edge += [source.digest(k, k + span) for k in range(begin, begin + n)]
+                        variant += [own[lo + i]] * n
+                        start += range(begin, begin + n)
+                doc += [lo + i] * (len(at) - len(doc))
             if not doc:
                 continue
-            doc, at, whole = np.array(doc), np.array(at), np.array(whole)
-            content = np.where(whole, np.array(paths_, dtype=np.int64), roll.runs(at, at + span).view(np.int64))
-            take = pa.array(doc + lo)
             yield pa.RecordBatch.from_arrays(
-                [signed(least[at]), pa.array(content), pa.array(whole), batch.column(0).take(take), batch.column(1).take(take), pa.array((at - words.first[doc]).astype(np.int32)), pa.array(digest, pa.binary())],
-                names=["bucket", "edge", "whole", "doc_id", "variant", "start", "digest"],
+                [signed(least[np.array(at)]), pa.array(edge, pa.int64()), batch.column(0).take(pa.array(doc)), pa.array(variant, pa.int64()), pa.array(start, pa.int32())],
+                names=["bucket", "edge", "doc_id", "variant", "start"],
             )
 
 
 def verified(own: list[bytes], marks: list[dict], span: int) -> list[dict]:
     """The marks whose words are those that the first holder has."""
     source = Source(own)
-    return [m for m in marks if m["digest"] is None or source.digest(m["start"], m["start"] + m["n"] + span - 1) == bytes(m["digest"])]
+    return [m for m in marks if m["digest"] is None or source.digest(m["start"], m["start"] + m["n"] + span - 1) == m["digest"]]
 
 
 def covered(n_words: int, spans: list[dict] | None, span: int) -> np.ndarray:
@@ -189,23 +192,25 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> D
     rows = docs.where("doc_id is not null")
     path = rows.select("doc_id", "variant", "text").mapInArrow(lambda it: paths(it, span, anchor), PATHS)
     shared = path.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("bucket", "least")
-    live = durable(path.select("bucket", "path", "doc_id", "variant", "start", "n").join(shared, "bucket"))
-    holder = live.groupBy("bucket", "path").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("least").alias("least"))
-    # of a bucket with a single content there is nothing to expand
-    branching = holder.where("first > least").select("bucket").distinct().withColumn("expand", F.lit(True))
-    leads = live.join(holder.select("bucket", "path", "first", (F.col("last") > F.col("first")).alias("whole")), ["bucket", "path"]).where("doc_id = first")
-    leads = leads.join(branching, "bucket", "left").withColumn("expand", F.coalesce("expand", F.lit(False))).where("whole or expand")
-    todo = leads.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "n", "whole", "expand", "path")).alias("spans"))
+    live = durable(path.select("bucket", "path", "doc_id", "variant", "at").join(shared.select("bucket"), "bucket", "left_semi"))
+    swept(docs.sparkSession)
+    holder = live.groupBy("bucket", "path").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    # a bucket whose paths do not all begin with its least document branches; of one content there is nothing to expand
+    least = holder.groupBy("bucket").agg(F.min("first").alias("least"), F.max("first").alias("most")).select("bucket", (F.col("least") < F.col("most")).alias("branches"), "least")
+    asked = holder.join(least, "bucket").select("bucket", "path", "first", (F.col("last") > F.col("first")).alias("whole"), "branches")
+    leads = live.join(asked.where("whole or branches"), ["bucket", "path"]).where("doc_id = first")
+    todo = leads.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("at", "whole", F.col("branches").alias("expand"), "path")).alias("spans"))
     edge = rows.join(todo, ["doc_id", "variant"]).select("doc_id", "variant", "text", "spans").mapInArrow(lambda it: edges(it, span, anchor), EDGES)
     edge = durable(edge)
-    read = edge.where("whole").groupBy("bucket", F.col("edge").alias("path")).agg(F.min(F.struct("doc_id", "variant", "start", "digest")).alias("r"))
-    read = read.select("bucket", "path", F.col("r.doc_id").alias("first"), F.col("r.digest").alias("digest"))
-    whole = live.join(read, ["bucket", "path"]).where("doc_id > first").select("doc_id", "variant", *MARK)
-    window = edge.where("not whole")
-    early = window.groupBy("bucket", "edge").agg(F.min(F.struct("doc_id", "digest")).alias("r"), F.max("doc_id").alias("last")).where("r.doc_id < last").select("bucket", "edge", "r")
-    # both were read at their source
-    single = window.join(early, ["bucket", "edge"]).where((F.col("doc_id") > F.col("r.doc_id")) & (F.col("digest") == F.col("r.digest")))
-    return whole.union(single.select("doc_id", "variant", "start", F.lit(1).alias("n"), F.lit(None).cast("binary").alias("digest")))
+    swept(docs.sparkSession)
+    read = edge.where(F.col("start") == WHOLE).groupBy("bucket", F.col("edge").alias("path")).agg(F.min("doc_id").alias("first"), F.min("variant").alias("digest"))
+    start, n = F.floor(F.col("at") / PACK).cast("int").alias("start"), F.pmod("at", F.lit(PACK)).cast("int").alias("n")
+    whole = live.join(read, ["bucket", "path"]).where("doc_id > first").select("doc_id", "variant", start, n, "digest")
+    # windows were read at their source on both sides
+    window = edge.where(F.col("start") != WHOLE)
+    early = window.groupBy("bucket", "edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("bucket", "edge", "first")
+    single = window.join(early, ["bucket", "edge"]).where("doc_id > first")
+    return whole.union(single.select("doc_id", "variant", "start", F.lit(1).alias("n"), F.lit(None).cast("long").alias("digest")))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
