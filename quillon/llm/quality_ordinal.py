@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.arrays import U, Words, mix, slices, text_buffers
-from quillon.llm.toxicity import held_out, labelled_sample
+from quillon.llm.toxicity import fitted, held_out, labelled_sample
 
 DIMENSION = 1 << 17
 SHAPES = 8
@@ -150,7 +150,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     null ones are left out.  Without ratings, or with one grade only, the model is that grade (0
     without any).  Empty table: no rows.
     """
-    model = fit(labelled_sample(docs, labels, F.col(label_col), per_grade))
+    model = fitted(labelled_sample(docs, labels, F.col(label_col), per_grade), fit)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(scorer(model, tail), "doc_id long, held_out boolean, expected_grade double, tail_probability double")
     return scored.withColumn("kept", F.col("tail_probability") >= least)

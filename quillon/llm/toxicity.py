@@ -23,6 +23,7 @@ saves less than a margin.  Scoring is one pass over whole texts; a worker keeps
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -233,7 +234,7 @@ def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1):
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text"
-) -> list[tuple[str, float]]:
+) -> DataFrame:
     """(text, label) of at most ``per_class`` rows of each label outside the held-out part.
 
     ``label`` is a column of ``labels`` and is read as a double; rows beyond SAMPLE_ROWS or SAMPLE_BYTES in
@@ -256,7 +257,18 @@ def labelled_sample(
     # at most SAMPLE_ROWS rows without their texts
     sizes = got.select("__key", F.sum(F.octet_length("__text")).over(Window.orderBy("__rank", "__label", "__key")).alias("__bytes"))
     kept = sizes.where(F.col("__bytes") <= SAMPLE_BYTES).select("__key")
-    return [(t, float(y)) for t, y in got.join(F.broadcast(kept), "__key").select("__text", "__label").collect()]
+    return got.join(F.broadcast(kept), "__key").select(F.col("__text").alias("text"), F.col("__label").alias("label"))
+
+
+def fitted(sample: DataFrame, fit):
+    """``fit`` of all (text, label) rows of a bounded sample, run by one worker; the driver sees the model only."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(t, float(y)) for pdf in frames for t, y in zip(pdf["text"], pdf["label"], strict=True)]
+        yield pd.DataFrame({"model": [pickle.dumps(fit(rows))]})
+
+    found = sample.coalesce(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([])
 
 
 def scorer(pair: Pair):
@@ -283,7 +295,7 @@ def score_of(pair: Pair):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = SAMPLE) -> Pair:
-    return train([(t, int(y)) for t, y in labelled_sample(docs, labels, (F.col(label_col) > 0).cast("int"), per_class)])
+    return fitted(labelled_sample(docs, labels, (F.col(label_col) > 0).cast("int"), per_class), lambda rows: train([(t, int(y)) for t, y in rows]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE) -> DataFrame:

@@ -255,7 +255,7 @@ def test_large_groups_meet_only_the_rest(spark, monkeypatch):
         for _ in range(6):
             far[rng.randrange(60)] = word()
         rows += [(len(rows) + i, " ".join([*far, word()])) for i in range(5)]
-    want = brute_components(rows)
+    want = brute_groups(rows)
     monkeypatch.setattr(near_minhash, "BLOCK", 8)
     monkeypatch.setattr(near_minhash, "SMALL", 2)
     seen = []
@@ -265,7 +265,7 @@ def test_large_groups_meet_only_the_rest(spark, monkeypatch):
     assert got == want and seen
 
 
-def brute_components(rows):
+def brute_groups(rows):
     sets = {i: {tuple(w[k : k + 2]) for w in [t.split()] for k in range(len(w) - 1)} for i, t in rows}
     up = {i: i for i in sets}
 

@@ -234,7 +234,7 @@ def test_metric_join_odd_tables(spark):
 def test_fractions_are_grades_of_their_own(spark):
     docs = spark.createDataFrame([(i, ("low " if i % 2 else "high ") * 20 + f"w{i}") for i in range(80)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 2.1 if i % 2 else 2.9) for i in range(80)] + [(3, float("nan")), (4, None)], "doc_id long, quality double")
-    rows = toxicity.labelled_sample(docs, labels, labels["quality"], 10)
+    rows = [tuple(r) for r in toxicity.labelled_sample(docs, labels, labels["quality"], 10).collect()]
     assert {y for _, y in rows} == {2.1, 2.9} and len(rows) == 20
     got = quality_ordinal.quality(docs, labels, tail=2.5).collect()
     assert {r["kept"] for r in got if r["doc_id"] % 2 == 0} == {True} and {r["kept"] for r in got if r["doc_id"] % 2} == {False}
@@ -246,7 +246,7 @@ def test_samples_are_bounded(spark, monkeypatch):
     labels = spark.createDataFrame([(i, float(i)) for i in range(60)] + [(1, 1.0)], "doc_id long, quality double")
     monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 20)
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 70)
-    rows = toxicity.labelled_sample(docs, labels, labels["quality"], 5)
+    rows = [tuple(r) for r in toxicity.labelled_sample(docs, labels, labels["quality"], 5).collect()]
     assert 0 < len(rows) <= 20 and sum(len(t) for t, _ in rows) <= 70
 
 
