@@ -48,3 +48,16 @@ def test_plans_stay_in_the_engine(spark):
     for name in ("detect_card_luhn_docs", "union_area", "pixel_prf", "mask_values", "sensitive_pages", "stuck_runs", "softmax_top1"):
         plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan, name
+
+
+def test_plans_gather_nothing(spark):
+    plan = lambda name: QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan("token_numbering")  # numbered by ranges
+    for name in ("gt_value_containment", "redaction_union", "ocr_word_boxes", "pixel_prf", "resolve_target_fuzzy", "region_decisions"):
+        text = plan(name)
+        assert "CartesianProduct" not in text, name
+    for name in ("gt_value_containment", "redaction_union", "ocr_word_boxes", "pixel_prf"):
+        assert "NestedLoop" not in plan(name), name
+    # only the columns that are asked reach the scan
+    assert "ReadSchema: struct<page_id:bigint,html:string>" in plan("page_text_nodes")
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan("detect_phone_docs")
