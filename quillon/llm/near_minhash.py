@@ -254,18 +254,14 @@ def family_links(crowd: DataFrame, texts: DataFrame, shingle: int, percent: int)
     member = settled(family.join(crowd.select("a", "c").distinct(), "a"))
     sizes = member.groupBy("family", "c").agg(F.count("*").alias("n"))
     full = sizes.where(F.col("n") >= BLOCK).select("family", "c", F.col("c").alias("own"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    small = F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)
-    # as many shares as blocks, so that no task names all partners of a large family
-    rest = sizes.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.sum(small) / BLOCK)).alias("shared"), F.ceil(F.sum("n") / BLOCK).alias("shares"))
-    placed = member.join(full, ["family", "c"], "left").join(rest, "family")
+    rest = sizes.where(F.col("n") < BLOCK).groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("shared"))
+    placed = member.join(full, ["family", "c"], "left").join(rest, "family", "left")
     at = F.pmod(F.xxhash64("a"), F.coalesce("blocks", "shared"))
-    block = F.xxhash64(F.coalesce("own", F.lit(-1)), F.col("own").isNull(), at).alias("block")
-    placed = placed.select("a", "c", "family", "own", block, F.pmod(F.xxhash64("a", F.lit(5)), F.col("shares")).alias("share"))
+    placed = placed.select("a", "c", "family", "own", F.xxhash64(F.coalesce("own", F.lit(-1)), F.col("own").isNull(), at).alias("block"))
     # one entry for each block of a family
     listed = placed.select("family", "own", "block").distinct().groupBy("family").agg(F.collect_list(F.struct("own", "block")).alias("blocks"))
-    listed = listed.join(rest, "family").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).select("family", "share", "blocks")
     met = F.filter("blocks", lambda x: F.coalesce(x["own"] != F.col("own"), F.lit(True)))
-    dealt = placed.join(listed, ["family", "share"]).withColumn("with", F.explode(F.transform(met, lambda x: x["block"])))
+    dealt = placed.join(listed, "family").withColumn("with", F.explode(F.transform(met, lambda x: x["block"])))
     dealt = dealt.select("family", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "a", "c")
     dealt = dealt.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
     return settled(dealt.groupBy("family", "one", "two").applyInPandas(lambda pdf: block_links(pdf, shingle, percent), "a long, b long").distinct())
@@ -279,10 +275,9 @@ def among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     at = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
     word = wanted.select((at / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), {BITMAP}), 32) as int))").alias("b"))
-    rows = word.groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    filled = word.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(BITMAP // 32, dtype=np.uint32)
-    for w, b in rows:
-        bits[w] = b
+    bits[filled.column(0).to_numpy()] = filled.column(1).to_numpy().astype(np.uint32)
     sent = texts.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
