@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.deploy import ship
+from quillon.llm.change_applier import apply_changes
 from quillon.llm.cube_mix import mix
 from quillon.llm.decontaminate import contaminations
 from quillon.llm.html_template import extract
@@ -64,6 +66,16 @@ def op10_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
     return contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def cents(balance: str) -> Column:
+    """Hundredths, halves up; null where the balance is no finite number that fits."""
+    return F.when(F.abs(balance) < 9e16, F.floor(100 * F.col(balance) + 0.5)).alias("cents")
+
+
+def op11_change_applier(spark: SparkSession, folder: str) -> DataFrame:
+    changes = apply_changes(table(spark, folder, "client_changes"))
+    return changes.select("change_id", "client_id", "status", "batch", "missed", "city", cents("balance"), "current")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,13 +89,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_metric_join,
         op9_hyperminhash,
         op10_pigeonhole,
+        op11_change_applier,
     )
 }
 
 SPLIT = r"coalesce(list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> ''), [])"
 LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of a text of digits, a bit at a time.
+CRC32 = "xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({0}::varchar, ''), lambda c: ascii(c)::ubigint)), lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)::ubigint[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::ubigint))), 4294967295::ubigint)"
+#: The rules in another form: where a client stands after a batch is the first number that has not come by then, from the
+#: last number whose change had waited too long, or from where it stood.  ``ahead`` has the end of each run of numbers that have come.
+CHANGES = f"""with recursive d as (select distinct change_id, client_id, seq, op, valid_at, source, segment, city, balance from client_changes),
+  r as (select *, dense_rank() over (partition by client_id order by seq nulls first) as n, {CRC32.format("change_id")} as h from d),
+  t as (select *, cast(valid_at::date - date '1970-01-01' + 2 * (h % 4) as int) as day from r where valid_at is not null and h % 11 <> 0),
+  b as (select *, cast(least(8, greatest(1, 1 + floor((day - 19723) * 8 / 160))) as int) as came, row_number() over (partition by client_id, n order by day, change_id) as turn from t),
+  f as (select * from b where turn = 1),
+  w as (select k, coalesce((select max(day) from b where came < k), -100000) as largest from (select unnest(range(1, 10)) as k)),
+  late as (select client_id, k, max(n) as reach from f, w where (k = 9 or day + 5 <= largest) group by all),
+  runs as (select client_id, k, n, max(n) over (partition by client_id, k, g) + 1 as ahead from (select client_id, k, n, n - row_number() over (partition by client_id, k order by n) as g from f, w where came <= k)),
+  s(client_id, k, stand, reach) as (select distinct client_id, 0, 1::bigint, 1::bigint from b
+    union all select x.client_id, x.k, coalesce(a.ahead, x.reach), x.reach from (select s.client_id, s.k + 1 as k, greatest(s.stand, coalesce(l.reach + 1, 0)) as reach from s left join late l on l.client_id is not distinct from s.client_id and l.k = s.k + 1 where s.k < 9) x left join runs a on a.client_id is not distinct from x.client_id and a.k = x.k and a.n = x.reach),
+  m as (select f.change_id, f.client_id, f.n, f.op, f.city, f.balance, min(s.k) as done from f join s on s.client_id is not distinct from f.client_id and s.k >= f.came and s.stand > f.n join s p on p.client_id is not distinct from s.client_id and p.k = f.came where f.n >= p.reach group by all),
+  a as (select *, n - coalesce(lag(n) over (partition by client_id order by n), 0) - 1 as missed, n = max(n) over (partition by client_id) and op is distinct from 'D' as current,
+    last_value(case when op in ('I', 'D') or (op = 'U' and city is not null) then n end ignore nulls) over (partition by client_id order by n) as city_from,
+    last_value(case when op in ('I', 'D') or (op = 'U' and balance is not null) then n end ignore nulls) over (partition by client_id order by n) as balance_from from m),
+  z as (select a.*, case when c.op <> 'D' then c.city end as city_now, case when e.op <> 'D' then e.balance end as balance_now from a left join a c on c.client_id is not distinct from a.client_id and c.n = a.city_from left join a e on e.client_id is not distinct from a.client_id and e.n = a.balance_from)
+  select b.change_id, b.client_id, case when z.done is null then 'rejected' else 'applied' end as status, cast(coalesce(z.done, b.came) as int) as batch, cast(coalesce(z.missed, 0) as bigint) as missed, z.city_now as city, cast(floor(100 * z.balance_now + 0.5) as bigint) as cents, coalesce(z.current, false) as current
+  from b left join z on z.change_id = b.change_id and b.turn = 1"""
+
 ORACLES: dict[str, str] = {
+    "op11_change_applier": CHANGES,
     "op3_debruijn_spans": rf"""with d as (select doc_id, {SPLIT.format('text')} as ws from documents),
   pos as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from d where len(ws) >= 50)),
   first as (select h, min(doc_id) as least from pos group by h),

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "client_changes"):
         con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     want = con.execute(ORACLES[name]).df()
     got = QUERIES[name](spark, FOLDER).toPandas()
