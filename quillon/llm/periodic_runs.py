@@ -147,10 +147,10 @@ def maximal_runs(x: list[int], least: int = LEAST) -> list[tuple[int, int, int]]
 
 
 def stretches(hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
-    """Word ranges, each within one text, that may hold a run; ``first`` has the first word of each text."""
+    """Word ranges, each within one text, that may hold a run; ``first`` has the first word of each text, and the end."""
     grams = Rolling(hashes).grams(PIECE)
     text = np.searchsorted(first, np.arange(len(grams)), side="right")
-    live = np.flatnonzero(np.arange(len(grams)) + PIECE <= np.r_[first[1:], first[-1:]][np.minimum(text - 1, len(first) - 1)])
+    live = np.flatnonzero(np.arange(len(grams)) + PIECE <= first[text])
     group = text[live]
     while len(live):
         key = mix(grams[live] ^ mix(group.astype(U)))
@@ -183,7 +183,7 @@ def found_in(texts: pa.Array) -> pa.RecordBatch:
         words = Words(buf, offsets[a : b + 1])
         first = words.first
         own: dict[int, list[tuple[int, int, int]]] = {}
-        for lo, hi in stretches(words.hashes(), first[:-1]):
+        for lo, hi in stretches(words.hashes(), first):
             ids: dict[bytes, int] = {}
             text = int(np.searchsorted(first, lo, side="right")) - 1
             x = [ids.setdefault(words.word(i), len(ids)) for i in range(lo, hi)]

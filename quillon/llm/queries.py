@@ -14,6 +14,7 @@ from quillon.llm.decontaminate import contaminations
 from quillon.llm.html_template import extract
 from quillon.llm.metric_join import metric_links
 from quillon.llm.near_minhash import near_duplicates
+from quillon.llm.periodic_runs import periodic_runs
 from quillon.llm.ppm import score
 from quillon.llm.quality_ordinal import quality
 from quillon.llm.substring_dedup import substring_dedup
@@ -76,6 +77,30 @@ def op11_change_applier(spark: SparkSession, folder: str) -> DataFrame:
     return changes.select("change_id", "client_id", "status", "batch", "missed", "city", cents("balance"), "current")
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten has its words from some place on replaced by the first few of them again and again."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size("__w").cast("long"), F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    again = F.transform("__w", lambda w, i: F.when(i < F.col("__a"), w).otherwise(F.get("__w", (F.col("__a") + F.pmod(i - F.col("__a"), F.col("__p"))).cast("int"))))
+    split = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("__w")).withColumn("__w", F.when(F.size("__w") > 0, F.col("__w")))
+    return split.withColumns({"__a": a, "__p": p}).select("doc_id", F.when(F.col("__w").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(repeated(table(spark, folder, "documents")))
+    order = F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    best = F.get(order, F.lit(0))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * -F.col("best.less") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_hyperminhash,
         op10_pigeonhole,
         op11_change_applier,
+        op12_periodic_runs,
     )
 }
 
