@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.deploy import ship
+from quillon.llm.byte_bpe import decode, encode, joined_ids
 from quillon.llm.change_applier import apply_changes
 from quillon.llm.cube_mix import mix
 from quillon.llm.decontaminate import contaminations
@@ -101,6 +103,13 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined_ids(F.col("ids")), 256).alias("ids_sha256"), "ids")
+    return decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -116,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_pigeonhole,
         op11_change_applier,
         op12_periodic_runs,
+        op13_byte_bpe,
     )
 }
 
