@@ -43,8 +43,14 @@ MERGE = 1e-6
 CLOSE = 1e-12
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that their squares neither overflow nor vanish; angles stay as they are."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = scaled(vectors)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -128,7 +134,7 @@ def compare(key: tuple, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     Only links between groups are looked at one by one, a visitor's first at a time, so a dense block
     costs a few matrix operations.
     """
-    raw = matrix(pdf["embedding"])
+    raw = scaled(matrix(pdf["embedding"]))
     x = unit(raw)
     home = np.flatnonzero(pdf["is_home"].to_numpy())
     point, weight = pdf["point"].to_numpy(), pdf["weight"].to_numpy()

@@ -88,7 +88,7 @@ def fit(rows: list[tuple[str, float]], steps: int = STEPS) -> Ordinal:
     weights, shape_w = np.zeros(DIMENSION), np.zeros(SHAPES)
     if k < 1:
         return Ordinal(grades, weights, shape_w, np.zeros(0))
-    y = np.array([grades.index(g) for _, g in rows])
+    y = np.searchsorted(grades, [g for _, g in rows])
     slot, owner, value, shape = compact([t for t, _ in rows])
     balance = 1 / np.bincount(y, minlength=k + 1)[y] / (k + 1)
     # thresholds = first + cumulated exponentials
@@ -110,7 +110,7 @@ def fit(rows: list[tuple[str, float]], steps: int = STEPS) -> Ordinal:
         g_cut = np.zeros(k)
         np.add.at(g_cut, np.minimum(y, k - 1), np.where(y < k, g_high, 0))
         np.add.at(g_cut, np.maximum(y - 1, 0), np.where(y > 0, g_low, 0))
-        g_theta = np.concatenate([[g_cut.sum()], [np.exp(theta[j]) * g_cut[j:].sum() for j in range(1, k)]])
+        g_theta = np.cumsum(g_cut[::-1])[::-1] * np.concatenate([[1.0], np.exp(theta[1:])])
         grads = [
             np.bincount(slot, weights=gz[owner] * value, minlength=DIMENSION) - RIDGE * weights / len(weights) ** 0.5,
             shape.T @ gz - RIDGE * shape_w * 1e-2,

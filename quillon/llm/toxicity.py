@@ -237,8 +237,9 @@ def labelled_sample(
 ) -> DataFrame:
     """(text, label) of at most ``per_class`` rows of each label outside the held-out part.
 
-    ``label`` is a column of ``labels`` and is read as a double; rows beyond SAMPLE_ROWS or SAMPLE_BYTES in
-    all are left out, every label giving in turn.  A document labelled twice has its largest label;
+    ``label`` is a column of ``labels`` and is read as a double; rows beyond SAMPLE_ROWS are left out, every label
+    giving in turn, and so is each text that does not fit into what is left of SAMPLE_BYTES: a very long text is
+    left out by itself, and those after it are not.  A document labelled twice has its largest label;
     labels and texts that are null or not a number are left out; of several texts of an id the least counts.
     """
     rank = Window.partitionBy("__label").orderBy(F.xxhash64("__key"), "__key")
@@ -255,11 +256,24 @@ def labelled_sample(
     text = docs.select(F.col(id_col).cast("long").alias("__key"), F.col(text_col).cast("string").alias("__text")).where("__text is not null")
     got = durable(text.join(F.broadcast(keys), "__key").groupBy("__key", "__label", "__rank").agg(F.min("__text").alias("__text")))
     # at most SAMPLE_ROWS rows without their texts
-    sizes = got.select("__key", F.sum(F.octet_length("__text")).over(Window.orderBy("__rank", "__label", "__key")).alias("__bytes"))
-    kept = sizes.where(F.col("__bytes") <= SAMPLE_BYTES).select("__key")
+    kept = got.select("__rank", "__label", "__key", F.octet_length("__text").alias("__bytes")).coalesce(1).mapInPandas(fitting(SAMPLE_BYTES), "__key long")
     return got.join(F.broadcast(kept), "__key").select(F.col("__text").alias("text"), F.col("__label").alias("label"))
 
 
+def fitting(most: int):
+    """The keys of rows (rank, label, key, bytes), in that order, of which each fits into what those before it left."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, keys = most, []
+        for _, _, key, size in sorted(tuple(r) for pdf in frames for r in pdf.itertuples(index=False)):
+            if size <= left:
+                left -= size
+                keys.append(key)
+        yield pd.DataFrame({"__key": pd.Series(keys, dtype="int64")})
+
+    return run
+
+
 def fitted(sample: DataFrame, fit):
     """``fit`` of all (text, label) rows of a bounded sample, run by one worker; the driver sees the model only."""
 

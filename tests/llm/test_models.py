@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from quillon.llm import metric_join, ppm, quality_ordinal, toxicity
+from quillon.llm.arrays import text_buffers
 
 CLEAN = [f"{a}{b}" for a in ("tha", "ore", "sti", "nad", "uli") for b in ("ren", "so", "mik", "tal", "ver", "one")]
 TOXIC = ["grobnik", "vilefoo", "zurgh", "snarl"]
@@ -190,6 +191,41 @@ def test_metric_join_is_exact(spark, block, fan):
     assert metric_join.metric_links(df.limit(0)).count() == 0
 
 
+def test_links_of_very_large_and_very_small_vectors(spark):
+    rows = [(1, "a", [1e200, 0.0]), (2, "a", [1e200, 1e196]), (3, "a", [1e-200, 0.0]), (4, "a", [3e-310, 1e-314]), (5, "a", [0.0, 1e308])]
+    got = metric_join.metric_links(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+
+
+def test_ordinal_fit_follows_the_likelihood():
+    """Fine grades as many as texts, and weights that raise the likelihood of a straightforward sum over texts."""
+    import math
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(24):
+        g = i % 3
+        rows.append((" ".join(rng.choice(["bad", "poor"] if g == 0 else ["fair", "plain"] if g == 1 else ["good", "fine"]) for _ in range(12)), float(g)))
+    rows = sorted(set(rows))
+    buf, offsets = text_buffers(pa.array([t for t, _ in rows]))
+
+    def likelihood(model):
+        above = model.above(buf, offsets)
+        total = 0.0
+        for (_, g), a in zip(rows, above, strict=True):
+            k = model.grades.index(g)
+            total += math.log(max(1e-12, (1.0 if k == 0 else a[k - 1]) - (0.0 if k == len(a) else a[k])))
+        return total
+
+    fits = [quality_ordinal.fit(rows, steps=n) for n in (0, 10, 40, 150)]
+    scores = [likelihood(m) for m in fits]
+    assert scores == sorted(scores) and scores[-1] > -4 > scores[0]
+    best = fits[-1]
+    assert list(best.thresholds) == sorted(best.thresholds)
+    many = quality_ordinal.fit([(f"w{i} w{i % 7}", i / 3) for i in range(400)], steps=5)
+    assert len(many.grades) == 400 and len(many.thresholds) == 399
+
+
 @pytest.mark.parametrize("dim", [2, 3, 64])
 def test_near_pivots_lose_no_link(spark, dim):
     """Clusters whose points lie 1e-9 to 1e-5 apart, around the edge of the radius, cut by pivots among them."""
@@ -250,6 +286,17 @@ def test_samples_are_bounded(spark, monkeypatch):
     assert 0 < len(rows) <= 20 and sum(len(t) for t, _ in rows) <= 70
 
 
+def test_a_long_labelled_text_leaves_the_others(spark, monkeypatch):
+    """Wherever an oversize text ranks, all texts that fit are in the sample."""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    keys = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:20]
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in keys], "doc_id long, quality double")
+    for big in keys[::5]:
+        docs = spark.createDataFrame([(i, "z" * 2000 if i == big else f"word{i}") for i in keys], "doc_id long, text string")
+        rows = toxicity.labelled_sample(docs, labels, labels["quality"], 100).collect()
+        assert sorted(r["text"] for r in rows) == sorted(f"word{i}" for i in keys if i != big)
+
+
 def test_models_on_odd_tables(spark):
     long = "tha ore " * 200_000
     docs = spark.createDataFrame([(1, long, 1, 2, 3), (1, long, 1, 2, 3), (None, "tha", 1, 2, 3), (2, None, 1, 2, 3), (3, "", 1, 2, 3)], "doc_id long, text string, score int, variant int, label int")

@@ -81,7 +81,7 @@ def test_contaminated_documents_without_an_id_go(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, docs.where("text is null or text = '" + clean + "'").collect()))
 
 
-CLASHES = "tag source_size target taken copies row doc id of variant spans start n __id __nth __row __variant __other __spans __part item_id held_out score text_ component_id kept band".split()
+CLASHES = "tag source_size target taken copies row doc id of variant spans start n __id __nth __row __variant __other __spans __part item_id held_out score text_ component_id kept band".split() + ["a.b", "doc.text", "a blank", "a`tick"]
 
 
 def write_side_tables(spark, tmp_path, item="none of these words stands anywhere"):
@@ -95,7 +95,7 @@ def test_further_columns_pass_every_stage(spark, tmp_path):
     texts = [" ".join(words(rng, 70)) for _ in range(8)]
     texts[6] = texts[5][:-20] + " " + texts[2]
     rows = [(i, t, "en", f"s{i % 2}", len(t), *[f"{c}{i}" for c in CLASHES]) for i, t in enumerate(texts)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in CLASHES)
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES:
