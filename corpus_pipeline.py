@@ -7,7 +7,7 @@ passages that an earlier document holds go, the text is then joined by single bl
 follows; other texts stay as they are, and emptied documents stay with an empty text.
 decontamination: documents that hold a benchmark passage go.  mix: documents that the mix takes, with
 source_size, target, taken and copies.  Null texts pass every stage but the mix, which takes none.
-Further columns pass whatever their names; only the mix's own four names are replaced.  Rows that repeat
+Further columns pass whatever their names, dots, blanks and back-ticks included; only the mix's own four names are replaced.  Rows that repeat
 are rows of their own, an empty table gives an empty one, and very long texts are read whole.
 """
 
@@ -34,13 +34,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    gone = near_minhash.near_duplicates(docs, shingle=SHINGLE).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = packed(docs, F.col("doc_id"), F.col("text"))
+    gone = near_minhash.near_duplicates(rows.select("doc_id", "text"), shingle=SHINGLE).where("not kept").select("doc_id").distinct()
+    return rows.select("doc", "doc_id").join(gone, "doc_id", "left_anti").select("doc.*")
 
 
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
     """The rows as one column ``doc``, so that no name of theirs meets one of an operator."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *more)
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    return docs.select(F.struct(*map(F.col, quoted)).alias("doc"), *more)
 
 
 def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
