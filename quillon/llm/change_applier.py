@@ -39,7 +39,9 @@ PATIENCE = 5
 #: Rows of the whole input for each bucket; bounds what one tick reads, but for a client that is larger itself.
 BUCKET_ROWS = 20_000
 NEVER = -(1 << 31)
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore."
+#: State lies in RocksDB; a start takes one batch, so a store is closed, and its local files go, when it has committed.
+SETTINGS = {f"{STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{STATE}unloadOnCommit": "true"}
 
 #: ``absent`` marks the client of rows without a client_id, ``known`` a balance that is not null; n = 0 is a tick,
 #: whose day is the largest day of earlier batches and whose change_id tells whether it is the last one.
@@ -169,15 +171,20 @@ def fold(spark: SparkSession, top: str) -> None:
     """Starts the query on its one checkpoint, lets it take what was fed since, and ends it."""
     own = sys.modules[__name__]
     cloudpickle.register_pickle_by_value(own)  # the planner's worker on the driver does not see files added to the session
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         fed = spark.readStream.schema(FED).parquet(f"{top}/in")
         out = fed.groupBy("bucket").transformWithStateInPandas(Applier(), OUT, "append", "none")
         sink = out.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state")
         sink.trigger(availableNow=True).outputMode("append").start().awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
         cloudpickle.unregister_pickle_by_value(own)
 
 
