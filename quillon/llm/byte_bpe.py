@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -32,11 +33,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, OVERLAP = 16_384, 256
+from quillon.llm.arrays import slices, text_buffers
+
+CHUNK, OVERLAP = 65_536, 256
 #: A boundary so near to the end of a cut text is not sure: a contraction or a blank may go on.
 MARGIN = 4
 #: Matches looked up at most, and the longest of them.
-KNOWN, KNOWN_CHARS = 500_000, 48
+KNOWN, KNOWN_CHARS = 100_000, 32
+#: Rows decoded at a time.
+ROWS = 1024
 TURN = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})")
 
 BLANK = regex.compile(r"\s")
@@ -54,12 +59,18 @@ class Model:
     """Pattern and merges in one worker."""
 
     def __init__(self, raw: bytes, pattern: str):
-        ranks = ranks_of(raw)
+        self.raw, self.pattern = raw, pattern
         self.match = regex.compile(pattern)
-        self.merges = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.token = {rank: token for token, rank in ranks.items()}
         self.known: dict[str, list[int]] = {}
 
+    @cached_property
+    def merges(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks_of(self.raw), special_tokens={})
+
+    @cached_property
+    def token(self) -> dict[int, bytes]:
+        return {rank: token for token, rank in ranks_of(self.raw).items()}
+
     def encode(self, text: str, out: array) -> None:
         known = self.known
         for match in self.match.findall(text):
@@ -86,12 +97,19 @@ class Shared:
         return _models[at]
 
 
+def few(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows a few megabytes of the column at a time."""
+    _, offsets = text_buffers(batch.column(column))
+    for a, b in slices(offsets):
+        yield batch.slice(a, b - a)
+
+
 def encoder(model: Shared, keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Keeps the first columns and turns the text after them into ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
-        for batch in batches:
+        for batch in (part for whole in batches for part in few(whole, keys)):
             ids, ends = array("i"), [0]
             for text in batch.column(keys):
                 m.encode(text.as_py() or "", ids)
@@ -196,7 +214,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = model().token
-        for batch in batches:
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             out = []
             for held in batch.column(batch.num_columns - 1):
                 found = list(map(token.get, held.values.to_pylist())) if held.is_valid else None
