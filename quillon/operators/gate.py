@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType
 
 from quillon.functions.rules import RULES, all_values, may_match
 from quillon.functions.text import squash
+from quillon.operators.containment import contained
 
 
 def text_columns(df: DataFrame, keys: list[str]) -> list[str]:
@@ -45,69 +44,6 @@ def release(payload: DataFrame, keys: list[str], allowed: list[str]) -> DataFram
     return safe.select(*keys, F.to_json(F.struct(*allowed)).alias("body"))
 
 
-#: Needles that go to the workers at once have at most so many characters; more take another scan.
-NEEDLE_CHARS = 8_000_000
-
-
-def squeezed(text: Column, strip: bool = True) -> Column:
-    """Lower-cased without blanks, the form in which values are searched."""
-    return F.regexp_replace(F.lower(text), r"\s", "") if strip else text
-
-
-def contained(needles: DataFrame, haystack: DataFrame, needle: str, body: str, on: list[str] | None = None, strip: bool = True) -> DataFrame:
-    """Pairs (columns of the haystack but the body, columns of the needles) whose needle stands in the body.
-
-    Both are compared lower-cased and without blanks if ``strip``; empty needles match nothing.  With keys
-    ``on`` the sides are joined.  Otherwise all needles are sought in one pass over each body by an
-    automaton, and only hits leave: neither side is shuffled, and no pair is made.
-    """
-    sought = needles.withColumn(needle, squeezed(F.col(needle), strip)).where(F.length(needle) > 0)
-    inside = haystack.withColumn(body, squeezed(F.col(body), strip))
-    if on:
-        return inside.join(sought, on).where(F.col(body).contains(F.col(needle))).drop(body, needle)
-    kept = [c for c in haystack.columns if c != body]
-    named = [c for c in needles.columns if c != needle]
-    schema = StructType([*[haystack.schema[c] for c in kept], *[needles.schema[c] for c in named]])
-    # equal needles are sought once; each batch has a bound
-    found = None
-    batch: dict[str, list[tuple]] = {}
-    size = 0
-    for row in [*sought.select(needle, *named).toLocalIterator(), None]:
-        if batch and (row is None or size + len(row[0]) > NEEDLE_CHARS):
-            part = scanned(inside.select(*kept, body), batch, kept, named, schema)
-            found = part if found is None else found.union(part)
-            batch, size = {}, 0
-        if row is not None:
-            size += len(row[0]) if row[0] not in batch else 0
-            batch.setdefault(row[0], []).append(tuple(row)[1:])
-    return found if found is not None else haystack.sparkSession.createDataFrame([], schema)
-
-
-def scanned(inside: DataFrame, batch: dict[str, list[tuple]], kept: list[str], named: list[str], schema: StructType) -> DataFrame:
-    sent = inside.sparkSession.sparkContext.broadcast(batch)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search = searcher(list(sent.value))
-        for pdf in frames:
-            rows = [(*row[:-1], *own) for row in pdf.itertuples(index=False) if row[-1] for n in search(row[-1]) for own in sent.value[n]]
-            yield pd.DataFrame(rows, columns=[*kept, *named])
-
-    return inside.mapInPandas(run, schema)
-
-
-def searcher(needles: list[str]) -> Callable[[str], set[str]]:
-    """All needles that stand in a text."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {n for n in needles if n in text}
-    automaton = ahocorasick.Automaton()
-    for n in needles:
-        automaton.add_word(n, n)
-    automaton.make_automaton()
-    return lambda text: {n for _, n in automaton.iter(text)}
-
-
 def audit(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """Union of scans as (keys…, origin, detail)."""
     named = [df.select(*keys, F.lit(o).alias("origin"), F.col("detail").cast("string")) for o, df in parts.items()]
