@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +31,59 @@ def prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
 
 
+#: Levels of grids: cells have sides of 2^LOWEST, and CELL_STEP powers of two more at each level.
+LOWEST, CELL_STEP, LEVELS = 6, 2, 14
+
+
+def level(extent: Column) -> Column:
+    """The finest grid whose cells are as wide and high as a box, so that it touches at most four of them."""
+    need = F.ceil((F.log2(F.greatest(extent.cast("double"), F.lit(1.0))) - LOWEST) / CELL_STEP)
+    return F.least(F.greatest(need, F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+
+
+def cell(at: Column, of: Column) -> Column:
+    return F.floor(at.cast("double") / F.pow(F.lit(2.0), LOWEST + CELL_STEP * of)).cast("long")
+
+
+def in_cells(df: DataFrame, p: str, of: Column) -> DataFrame:
+    """Rows once for each cell of a level that their box touches, edges included."""
+    x0, y0, x1, y1 = F.col(f"{p}x"), F.col(f"{p}y"), F.col(f"{p}x") + F.greatest(F.col(f"{p}w"), F.lit(0)), F.col(f"{p}y") + F.greatest(F.col(f"{p}h"), F.lit(0))
+    df = df.withColumn("__level", of)
+    df = df.withColumn("__cx", F.explode(F.sequence(cell(x0, F.col("__level")), cell(x1, F.col("__level")))))
+    return df.withColumn("__cy", F.explode(F.sequence(cell(y0, F.col("__level")), cell(y1, F.col("__level")))))
+
+
+def meeting(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of boxes a_*, b_* of equal keys that touch or overlap, each once: a join on cells of a grid.
+
+    A box lies in the grid whose cells are as large as it, hence in four cells at most.  A pair is looked for in the grid
+    of its larger box, so each box goes to its own level and, as the smaller one, to those above that the other side has.
+    It is counted in the one cell that holds the upper left corner of what both share.  Boxes without extent are points.
+    """
+    sized = lambda df, p: df.withColumn("__own", level(F.greatest(F.col(f"{p}w"), F.col(f"{p}h"))))
+    a, b = sized(a, "a_"), sized(b, "b_")
+    on = [*keys, "__level", "__cx", "__cy"]
+
+    def side(large: DataFrame, p: str, small: DataFrame, q: str, equal: bool) -> DataFrame:
+        used = [r[0] for r in large.select("__own").distinct().collect()]  # LEVELS at most
+        above = F.filter(F.array(*[F.lit(k) for k in used]).cast("array<int>"), lambda k: k >= F.col("__own") if equal else k > F.col("__own"))
+        rising = in_cells(small.withColumn("__at", F.explode(above)), q, F.col("__at")).drop("__at", "__own")
+        return in_cells(large, p, F.col("__own")).drop("__own").join(rising, on)
+
+    pairs = side(a, "a_", b, "b_", True).unionByName(side(b, "b_", a, "a_", False))
+    reach = lambda p, c, d: F.col(f"{p}{c}") + F.greatest(F.col(f"{p}{d}"), F.lit(0))
+    left, top = F.greatest("a_x", "b_x"), F.greatest("a_y", "b_y")
+    touch = (left <= F.least(reach("a_", "x", "w"), reach("b_", "x", "w"))) & (top <= F.least(reach("a_", "y", "h"), reach("b_", "y", "h")))
+    here = (cell(left, F.col("__level")) == F.col("__cx")) & (cell(top, F.col("__level")) == F.col("__cy"))
+    return pairs.where(touch & here).drop("__level", "__cx", "__cy")
+
+
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], least: float, of: str = "right") -> DataFrame:
-    """Pairs a_*, b_* whose shared area is at least a part of the right (or left) box; hash join on the keys."""
-    pairs = prefixed(left, "a_", keys).join(prefixed(right, "b_", keys), keys)
+    """Pairs a_*, b_* whose shared area is at least a part, more than none, of the right (or left) box."""
+    pairs = meeting(prefixed(left, "a_", keys), prefixed(right, "b_", keys), keys)
     base = area(F.col("b_w"), F.col("b_h")) if of == "right" else area(F.col("a_w"), F.col("a_h"))
     pairs = pairs.withColumn("shared", overlap("a_", "b_")).withColumn("base", base)
-    return pairs.where((F.col("base") > 0) & (F.col("shared") >= F.col("base") * least))
+    return pairs.where((F.col("base") > 0) & (F.col("shared") > 0) & (F.col("shared") >= F.col("base") * least))
 
 
 def first_containing(points: DataFrame, regions: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -41,7 +91,8 @@ def first_containing(points: DataFrame, regions: DataFrame, keys: list[str], ord
     a, b = prefixed(points, "a_", keys), prefixed(regions, "b_", keys)
     cx, cy = F.col("a_x") + F.col("a_w") / 2, F.col("a_y") + F.col("a_h") / 2
     inside = (cx >= F.col("b_x")) & (cx <= F.col("b_x") + F.col("b_w")) & (cy >= F.col("b_y")) & (cy <= F.col("b_y") + F.col("b_h"))
-    hit = a.join(b, keys).where(inside).groupBy(*keys, "a_ord").agg(F.min(f"b_{order}").alias("region"))
+    # the centre of a box stands in a region that meets the box
+    hit = meeting(a, b, keys).where(inside).groupBy(*keys, "a_ord").agg(F.min(f"b_{order}").alias("region"))
     return a.join(hit, [*keys, "a_ord"], "left").select(*keys, "a_ord", "region")
 
 
@@ -49,15 +100,21 @@ def recalled(truth: DataFrame, found: DataFrame, keys: list[str], least: float =
     """Truth rows with ``hit``: some found box of the same keys covers at least that part of it."""
     t, p = prefixed(truth, "a_", keys), prefixed(found, "b_", keys)
     base = area(F.col("a_w"), F.col("a_h"))
-    hits = t.join(p, keys).where((base > 0) & (overlap("a_", "b_") >= base * least)).select(*keys, "a_ord").distinct().withColumn("hit", F.lit(True))
+    hits = meeting(t, p, keys).where((base > 0) & (overlap("a_", "b_") >= base * least)).select(*keys, "a_ord").distinct().withColumn("hit", F.lit(True))
     return t.join(hits, [*keys, "a_ord"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def not_near(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int = 4) -> DataFrame:
     """Left boxes without a right box whose four numbers all differ by at most the tolerance."""
     a, b = prefixed(left, "a_", keys), prefixed(right, "b_", keys)
-    on = [a[k] == b[k] for k in keys] + [F.abs(a[f"a_{c}"] - b[f"b_{c}"]) <= tolerance for c in "xywh"]
-    return a.join(b, on, "left_anti")
+    # corners that are near lie in one square of the tolerance's size, or in neighbouring ones
+    step = F.lit(max(1, tolerance))
+    square = lambda p, c, move=None: (F.floor(F.col(f"{p}{c}") / step) + (move if move is not None else 0)).cast("long")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    b = b.withColumn("__d", around).withColumns({"__cx": square("b_", "x", F.col("__d.i")), "__cy": square("b_", "y", F.col("__d.j"))}).drop("__d")
+    a = a.withColumns({"__cx": square("a_", "x"), "__cy": square("a_", "y")})
+    on = [a[k] == b[k] for k in [*keys, "__cx", "__cy"]] + [F.abs(a[f"a_{c}"] - b[f"b_{c}"]) <= tolerance for c in "xywh"]
+    return a.join(b, on, "left_anti").drop("__cx", "__cy")
 
 
 #: Height of the bands that a page is cut into before its boxes are swept.
@@ -107,10 +164,29 @@ def pixel_areas(truth: DataFrame, found: DataFrame, keys: list[str], width: int,
     return out.select(*keys, "gt", "pred", (F.col("gt") + F.col("pred") - F.col("area")).alias("inter"))
 
 
-def fuzzy_distinct(items: Column, tolerance: int = 2) -> Column:
-    """Keeps an item (type, x, y, …) unless one of the same type and near place was kept; order matters."""
-    near = lambda k, m: (k["type"] == m["type"]) & (F.abs(k["x"] - m["x"]) <= tolerance) & (F.abs(k["y"] - m["y"]) <= tolerance)
-    return F.aggregate(items, F.slice(items, 1, 0), lambda kept, m: F.when(F.exists(kept, lambda k: near(k, m)), kept).otherwise(F.concat(kept, F.array(m))))
+def fuzzy_distinct(items: Column, kind: str, tolerance: int = 2) -> Column:
+    """Keeps an item (type, x, y, …) unless one of the same type and near place was kept; order matters.
+
+    ``kind`` is the array's type.  Kept ones stand in a hash of squares as wide as the tolerance, of which an item looks at nine.
+    """
+
+    def keep(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        side = max(1, tolerance)
+        for rows in arrays:
+            out = []
+            for held in rows:
+                squares: dict[tuple, list] = {}
+                kept = []
+                for m in () if held is None else held:
+                    x, y = int(m["x"] // side), int(m["y"] // side)
+                    near = (k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in squares.get((m["type"], x + i, y + j), ()))
+                    if not any(abs(k["x"] - m["x"]) <= tolerance and abs(k["y"] - m["y"]) <= tolerance for k in near):
+                        squares.setdefault((m["type"], x, y), []).append(m)
+                        kept.append(m)
+                out.append(kept)
+            yield pd.Series(out)
+
+    return F.pandas_udf(keep, kind)(items)
 
 
 def bounding_box(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,23 +60,43 @@ def capture_delay(df: DataFrame, keys: list[str], order: list[str], ms: Column,
 
 
 def cooldown(times: Column, gap: int) -> Column:
-    """Times at which an attempt is made, each at least a gap after the attempt before (order-dependent fold)."""
-    empty = F.slice(times, 1, 0)
-    last = lambda kept: F.try_element_at(kept, F.lit(-1))
-    return F.aggregate(F.array_sort(times), empty, lambda kept, t: F.when(F.coalesce(t - last(kept) >= gap, F.lit(True)), F.concat(kept, F.array(t))).otherwise(kept))
+    """Times at which an attempt is made, each at least a gap after the attempt before: from each to the next by bisection."""
+
+    def made(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in arrays:
+            out = []
+            for held in rows:
+                t = np.sort(np.asarray([] if held is None else held, np.int64))
+                following = np.searchsorted(t, t + gap)  # of every attempt at once
+                at, kept = 0, []
+                while at < len(t):
+                    kept.append(t[at])
+                    at = max(at + 1, following[at]) if gap > 0 else at + 1
+                out.append(kept)
+            yield pd.Series(out)
+
+    return F.pandas_udf(made, "array<long>")(times)
 
 
 def fifo_hits(keys: Column, size: int = 6) -> Column:
     """For each key in order whether it is in a cache of the last ``size`` inserted keys; a hit does not refresh."""
-    start = F.struct(F.slice(keys, 1, 0).alias("held"), F.slice(F.array(F.lit(False)), 1, 0).alias("hits"))
-
-    def fold(acc, k):
-        hit = F.array_contains(acc["held"], k)
-        grown = F.concat(acc["held"], F.array(k))
-        kept = F.when(F.size(grown) > size, F.slice(grown, 2, size)).otherwise(grown)
-        return F.struct(F.when(hit, acc["held"]).otherwise(kept).alias("held"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
-    return F.aggregate(keys, start, fold, lambda acc: acc["hits"])
+    def hits(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in arrays:
+            out = []
+            for asked in rows:
+                held: dict = {}  # in the order of insertion
+                found = []
+                for k in () if asked is None else asked:
+                    found.append(k in held)
+                    if k not in held:
+                        held[k] = None
+                        if len(held) > size:
+                            del held[next(iter(held))]
+                out.append(found)
+            yield pd.Series(out)
+
+    return F.pandas_udf(hits, "array<boolean>")(keys)
 
 
 def durable_lessons(df: DataFrame, keys: list[str], order: list[str], lesson: str, ok: Column) -> DataFrame:

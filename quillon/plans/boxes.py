@@ -24,7 +24,7 @@ def sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 @query(f"select a.page, a.ord as a_ord, b.ord as b_ord, round({SHARED} / (a.w * a.h + b.w * b.h - {SHARED}), 6) as iou from ({BOX_SQL}) a join ({BOX_SQL}) b on a.page = b.page and a.ord < b.ord where {SHARED} > 0")
 def box_iou_pairs(spark: SparkSession, folder: str) -> DataFrame:
     b = boxes(spark, folder)
-    p = G.prefixed(b, "a_", ["page"]).join(G.prefixed(b, "b_", ["page"]), "page").where("a_ord < b_ord")
+    p = G.meeting(G.prefixed(b, "a_", ["page"]), G.prefixed(b, "b_", ["page"]), ["page"]).where("a_ord < b_ord")
     return p.where(G.overlap("a_", "b_") > 0).select("page", "a_ord", "b_ord", F.round(G.iou("a_", "b_"), 6).alias("iou"))
 
 
@@ -112,7 +112,8 @@ NEAR_KEPT = "len(list_filter(kept, lambda k: k.cat = b.cat and abs(k.x - b.x) <=
 def fuzzy_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     b = boxes(spark, folder).withColumn("type", F.col("cat"))
     items = F.array_sort(F.collect_list(F.struct("ord", "type", "x", "y")))
-    kept = b.groupBy("page").agg(items.alias("items")).select("page", F.explode(G.fuzzy_distinct(F.col("items"), 30)).alias("k"))
+    pages = b.groupBy("page").agg(items.alias("items"))
+    kept = pages.select("page", F.explode(G.fuzzy_distinct(F.col("items"), pages.schema["items"].dataType.simpleString(), 30)).alias("k"))
     return kept.select("page", "k.type", "k.x", "k.y", F.col("k.ord").cast("long").alias("ord"))
 
 
