@@ -1,4 +1,4 @@
-"""HTML to rows: elements and text nodes through UDTF-like generators, labels by joins."""
+"""HTML to rows: elements, text nodes and addresses from one walk, a table function; labels by joins."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +16,7 @@ SILENT = frozenset("script style noscript template".split())
 WHOLE = frozenset(("address",))
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?![.\d])", re.I)
 MOST_ELEMENTS, MOST_TEXT = 120, 80
-ELEMENTS = "ord int, tag string, attrs map<string,string>, text string, start int, stop int"
-NODES = "ord int, parent string, text string"
+WALK = "kind string, ord int, tag string, attrs map<string,string>, text string, start int, stop int"
 
 
 class Walker(HTMLParser):
@@ -84,31 +82,43 @@ def walked(html: str | None) -> Walker:
     return w.done()
 
 
+class Walk:
+    """The walk of one page as a table function: its elements, text nodes and address blocks, told by ``kind``."""
+
+    def eval(self, html: str) -> Iterator[tuple]:
+        w = walked(html)
+        for i, e in enumerate(w.elements):
+            yield "element", i, e["tag"], e["attrs"], " ".join(e["text"]), e["start"], e["stop"]
+        for i, (parent, text) in enumerate(w.nodes):
+            yield "node", i, parent, None, text, None, None
+        for i, (start, text) in enumerate(sorted(w.whole)):
+            yield "address", i, "address", None, text, start, None
+
+
+def walks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """All that one walk of each page yields, by a lateral join; whoever needs elements and texts takes both from it."""
+    walk = F.udtf(Walk, returnType=WALK)
+    return pages.select(F.col(key).alias("__key"), F.col(html).alias("__html")).lateralJoin(walk(F.col("__html").outer())).drop("__html").withColumnRenamed("__key", key)
+
+
 def page_elements(pages: DataFrame, key: str = "page_id", html: str = "html", most: int = MOST_ELEMENTS) -> DataFrame:
     """One row per visible interactive element, at most ``most`` a page, with its interval in the walk."""
+    return elements_of(walks(pages, key, html), key, most)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, h in zip(b[key], b[html], strict=True):
-                for i, e in enumerate(walked(h).elements[:most]):
-                    rows.append((k, i, e["tag"], e["attrs"], " ".join(e["text"]), e["start"], e["stop"]))
-            yield pd.DataFrame(rows, columns=[key, "ord", "tag", "attrs", "text", "start", "stop"])
 
-    kind = pages.schema[key].dataType.simpleString()
-    out = pages.select(key, html).mapInPandas(run, f"{key} {kind}, {ELEMENTS}")
+def elements_of(found: DataFrame, key: str = "page_id", most: int = MOST_ELEMENTS) -> DataFrame:
+    out = found.where((F.col("kind") == "element") & (F.col("ord") < most))
     a = lambda n: F.try_element_at("attrs", F.lit(n))
     text = F.when(F.length("text") > MOST_TEXT, F.concat(F.left("text", F.lit(MOST_TEXT)), F.lit("…"))).otherwise(F.col("text"))
     return out.select(key, "ord", F.col("ord").alias("id"), "tag", role(F.col("tag"), a("role"), a("type")).alias("role"), text.alias("text"), a("value").alias("value"), "attrs", "start", "stop")
 
 
 def text_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, i, p, t) for k, h in zip(b[key], b[html], strict=True) for i, (p, t) in enumerate(walked(h).nodes)]
-            yield pd.DataFrame(rows, columns=[key, "ord", "parent", "text"])
+    return nodes_of(walks(pages, key, html), key)
+
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {NODES}")
+def nodes_of(found: DataFrame, key: str = "page_id") -> DataFrame:
+    return found.where("kind = 'node'").select(key, "ord", F.col("tag").alias("parent"), "text")
 
 
 def role(tag: Column, explicit: Column, kind: Column) -> Column:
@@ -122,16 +132,17 @@ def role(tag: Column, explicit: Column, kind: Column) -> Column:
 def labels(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """Adds ``label``: aria-label, a label that names the id, the nearest label around, then placeholder, title, alt, name.
 
-    The label around is an interval join inside a page: the latest label that starts before and stops after.
+    The label tags of a page, which are few, stand beside each of its elements, so the walk is read once and nothing is
+    joined.  The first label that names an id counts; the one around is the latest that starts before and stops after.
     """
     a = lambda n: F.nullif(F.trim(F.try_element_at("attrs", F.lit(n))), F.lit(""))
-    tags = elements.where("tag = 'label'")
-    named = tags.select(key, a("for").alias("dom_id"), "ord", "text").where("dom_id is not null").groupBy(key, "dom_id").agg(F.min_by("text", "ord").alias("for_text"))
-    wraps = tags.select(key, F.col("start").alias("l_start"), F.col("stop").alias("l_stop"), F.col("text").alias("l_text"))
-    inner = elements.where("tag <> 'label'").select(key, "ord", "start", "stop").join(wraps, key).where("l_start < start and stop <= l_stop")
-    around = inner.groupBy(key, "ord").agg(F.max_by("l_text", "l_start").alias("wrap_text"))
-    out = elements.withColumn("dom_id", a("id")).join(named, [key, "dom_id"], "left").join(around, [key, "ord"], "left")
-    return out.withColumn("label", F.coalesce(a("aria-label"), "for_text", "wrap_text", a("placeholder"), a("title"), a("alt"), a("name"))).drop("dom_id", "for_text", "wrap_text")
+    told = F.when(F.col("tag") == "label", F.struct(a("for").alias("for"), "ord", "text", "start", "stop"))
+    out = elements.withColumns({"__all": F.collect_list(told).over(Window.partitionBy(key)), "__id": a("id")})
+    naming = F.filter("__all", lambda t: t["for"] == F.col("__id"))
+    around = F.filter("__all", lambda t: (F.col("tag") != "label") & (t["start"] < F.col("start")) & (F.col("stop") <= t["stop"]))
+    for_text = F.array_min(F.transform(naming, lambda t: F.struct(t["ord"].alias("at"), t["text"].alias("text"))))["text"]
+    wrap_text = F.array_max(F.transform(around, lambda t: F.struct(t["start"].alias("at"), t["text"].alias("text"))))["text"]
+    return out.withColumn("label", F.coalesce(a("aria-label"), for_text, wrap_text, a("placeholder"), a("title"), a("alt"), a("name"))).drop("__all", "__id")
 
 
 def truth_labels(elements: DataFrame, key: str = "page_id") -> DataFrame:
@@ -143,13 +154,7 @@ def truth_labels(elements: DataFrame, key: str = "page_id") -> DataFrame:
 
 def addresses(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row for each address element, with all its text, in document order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, i, t) for k, h in zip(b[key], b[html], strict=True) for i, (_, t) in enumerate(sorted(walked(h).whole))]
-            yield pd.DataFrame(rows, columns=[key, "ord", "text"])
-
-    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, ord int, text string").withColumn("type", F.lit("address"))
+    return walks(pages, key, html).where("kind = 'address'").select(key, "ord", "text", F.lit("address").alias("type"))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
