@@ -10,7 +10,7 @@ from quillon.plans.derived import BOX_SQL, KYC_SQL, boxes, kyc, steps
 from quillon.plans.registry import query
 from quillon.sources import io
 from quillon.sources.io import table
-from quillon.streaming import agents
+from quillon.streaming import agents, replay
 
 TRACE = [
     "user_id as run_id",
@@ -171,7 +171,7 @@ def question_stream(spark: SparkSession, folder: str) -> DataFrame:
     rows = q.union(a).union(tick)
     # whole runs lie in one batch each, as their clocks differ
     timed = rows.withColumn("ts", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("at") % 1_000_000))
-    return agents.run_available(agents.question_outcomes(agents.replayed(timed, "run_id")))
+    return replay.run([(timed, "run_id")], agents.question_outcomes)
 
 
 STEPS_IN = "select user_id as run_id, epoch_us(ts) as t, event_id, event_type as sig, event_type = 'error' as blocked from events"
@@ -185,7 +185,7 @@ STEPS_IN = "select user_id as run_id, epoch_us(ts) as t, event_id, event_type as
 )
 def step_stream(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").select(F.col("user_id").alias("run_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").cast("int").alias("step"), F.col("event_type").alias("sig"), (F.col("event_type") == "error").alias("blocked"))
-    return agents.run_available(agents.step_counters(agents.replayed(e, "ts")), "update").select("run_id", "n_steps", "max_same", "max_blocked", "stuck_steps")
+    return replay.run([(e, "ts")], agents.step_counters, "update").select("run_id", "n_steps", "max_same", "max_blocked", "stuck_steps")
 
 
 @query(
@@ -194,14 +194,14 @@ def step_stream(spark: SparkSession, folder: str) -> DataFrame:
 )
 def token_stream(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "events").select((F.col("user_id") % 60).alias("run_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("type"), F.concat(F.lit("v"), (F.col("event_id") * 7 % 13).cast("string")).alias("value"))
-    return agents.run_available(agents.stable_tokens(agents.replayed(v, "ord")))
+    return replay.run([(v, "ord")], agents.stable_tokens)
 
 
 @query("select event_id, user_id from events")
 def first_seen_stream(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     twice = e.union(e.where("event_id % 3 = 0")).union(e.where("event_id % 5 = 0"))
-    return agents.run_available(agents.first_seen(agents.replayed(twice, "event_id", 1), ["event_id"])).select("event_id", "user_id")
+    return replay.run([(twice, "event_id")], lambda s: agents.first_seen(s, ["event_id"]), parts=1).select("event_id", "user_id")
 
 
 @query("select event_id as request_id, case when event_id % 4 in (1, 2) then concat('r', cast(event_id as varchar)) end as reply, event_id % 4 not in (1, 2) as timed_out from events")

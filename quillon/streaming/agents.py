@@ -7,7 +7,6 @@ token map of a run grows with its distinct values and is one state entry for eac
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,12 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quillon.checkpoint import remove, shared_folder
+from quillon.operators.gate import verdict
 
 LATENESS = "10 minutes"
 QUESTION_TIMEOUT_MS = 25_000
 BUDGET, MOST_RECOVERIES, MOST_SAME = 50, 3, 4
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def flush_tokens(deltas: DataFrame, time: str = "ts", every: str = "60 milliseconds", key: str = "run_id", seq: str = "seq", text: str = "delta") -> DataFrame:
@@ -41,18 +39,50 @@ def first_seen(messages: DataFrame, keys: list[str], time: str = "ts") -> DataFr
     return messages.withWatermark(time, LATENESS).dropDuplicatesWithinWatermark(keys)
 
 
-def correlate(requests: DataFrame, replies: DataFrame, timeout_s: int, key: str = "request_id", time: str = "ts") -> DataFrame:
-    """Requests with their reply in time; without one the reply is null (left outer stream join)."""
-    a = requests.withWatermark(time, LATENESS).select(F.col(key), F.col(time).alias("asked"))
+#: Seconds within which a reply of each kind must come: a capture's analysis, the work of a step, a cold start of the models.
+TIMEOUTS = {"scan": 40, "step": 90, "warm": 150}
+
+
+def correlate(requests: DataFrame, replies: DataFrame, timeout_s: int | dict[str, int], key: str = "request_id", time: str = "ts", kind: str = "kind") -> DataFrame:
+    """Requests with their reply in time; without one the reply is null (left outer stream join).
+
+    One timeout holds for all, or one for each ``kind`` of request and none longer than the longest of them.  The bound
+    on the times lets the watermark close a request: its row without a reply leaves by that alone.
+    """
+    most = timeout_s if isinstance(timeout_s, int) else max(timeout_s.values())
+    asked = [F.col(key), F.col(time).alias("asked"), *([] if isinstance(timeout_s, int) else [F.col(kind)])]
+    a = requests.withWatermark(time, LATENESS).select(*asked)
     b = replies.withWatermark(time, LATENESS).select(F.col(key).alias("__k"), F.col(time).alias("answered"), "reply")
-    within = (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"interval {timeout_s} seconds"))
-    return a.join(b, (F.col(key) == F.col("__k")) & within, "leftOuter").select(key, "asked", "answered", "reply", F.col("answered").isNull().alias("timed_out"))
+    within = (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"interval {most} seconds"))
+    if not isinstance(timeout_s, int):
+        own = F.lit(most)
+        for name, seconds in timeout_s.items():
+            own = F.when(F.col(kind) == name, seconds).otherwise(own)
+        within = within & (F.unix_micros("answered") - F.unix_micros("asked") <= own * 1_000_000)
+    return a.join(b, (F.col(key) == F.col("__k")) & within, "leftOuter").select(*[c for c in a.columns if c != "asked"], "asked", "answered", "reply", F.col("answered").isNull().alias("timed_out"))
+
+
+def degraded(scans: DataFrame, findings: DataFrame, timeout_s: int = 40, keys: tuple[str, ...] = ("run_id", "step"), time: str = "ts") -> DataFrame:
+    """The verdict of each step from its page scan (regions, hits) and what the vision host found (error) in time.
+
+    A scan that is sent again counts once; without findings in time, or with an error, the host counts as down and a
+    step with regions is skipped, never passed.  Two stateful operators in a chain, both closed by watermarks.
+    """
+    timed = scans.withWatermark(time, LATENESS)
+    once = timed.dropDuplicatesWithinWatermark(list(keys)) if scans.isStreaming else timed.dropDuplicates(list(keys))
+    a = once.select(*keys, F.col(time).alias("scanned"), "regions", "hits")
+    b = findings.withWatermark(time, LATENESS).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(time).alias("found"), "error")
+    same = (F.col("found") >= F.col("scanned")) & (F.col("found") <= F.col("scanned") + F.expr(f"interval {timeout_s} seconds"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    up = F.col("found").isNotNull() & F.col("error").isNull()
+    return a.join(b, same, "leftOuter").select(*keys, verdict(F.col("regions"), up, F.col("hits")).alias("verdict"), up.alias("host_up"))
 
 
 def keyed(rows: DataFrame, processor: StatefulProcessor, out: str, mode: str, time: str) -> DataFrame:
     """The processor over rows by run_id.  It travels by value, for the planner's Python worker on the driver does not
     see files that were added to the session."""
-    own = sys.modules[__name__]
+    own = sys.modules[type(processor).__module__]
     cloudpickle.register_pickle_by_value(own)
     try:
         return rows.groupBy("run_id").transformWithStateInPandas(processor, out, mode, time)
@@ -169,42 +199,3 @@ def question_outcomes(events: DataFrame, time: str = "ts") -> DataFrame:
     """``events`` has run_id, seq, kind (question or answer), answer and a time; outcomes as they are known."""
     timed = events.withWatermark(time, LATENESS).withColumn("ms", F.unix_millis(F.col(time)))
     return keyed(timed, Questions(), Questions.OUT, "append", "eventTime")
-
-
-def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there into the shared folder and reads the result; in update mode the last
-    row of each key (the first column) counts."""
-    spark = df.sparkSession
-    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    try:
-        if mode == "update":
-            add = lambda batch, n: batch.withColumn("__batch", F.lit(n)).write.mode("append").parquet(f"{top}/out")
-            q = df.writeStream.foreachBatch(add).outputMode(mode)
-        else:
-            q = df.writeStream.format("parquet").option("path", f"{top}/out").outputMode(mode)
-        q = q.option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    remove(spark, f"{top}/state")
-    if mode != "update":
-        return spark.read.schema(df.schema).parquet(f"{top}/out")
-    rows = spark.read.schema(df.schema.add("__batch", "long")).parquet(f"{top}/out")
-    key = df.columns[0]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), "__batch").alias("r")).select(key, "r.*")
-
-
-def replayed(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
-    """A table as a stream of that many batches, ``order`` rising from batch to batch; for replays and tests."""
-    spark = df.sparkSession
-    top = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
-    low = None
-    for high in [*cuts, None]:
-        rows = df if low is None else df.where(F.col(order) > low)
-        rows = rows if high is None else rows.where(F.col(order) <= high)
-        rows.coalesce(1).write.mode("append").parquet(top)
-        low = high
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(top)

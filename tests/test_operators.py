@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as X
 from quillon.operators import actions, gate, geometry, html, metrics, perception, redactions, reports, sessions, steps, tokens
 from quillon.sources import io
-from quillon.streaming import agents
+from quillon.streaming import agents, replay
 
 
 def test_union_area_is_exact(spark):
@@ -113,7 +114,7 @@ def test_event_stream_and_config(spark):
 def test_step_stream_stops(spark):
     rows = [(1, i, i, s, s == "e") for i, s in enumerate("aaaebbbbb")] + [(2, i, i, s, s == "e") for i, s in enumerate("eee")] + [(3, i, i, str(i), False) for i in range(60)] + [(4, 0, 0, "done", False)]
     df = spark.createDataFrame(rows, "run_id long, ts long, step int, sig string, blocked boolean")
-    got = {r["run_id"]: r for r in agents.run_available(agents.step_counters(agents.replayed(df, "ts")), "update").collect()}
+    got = {r["run_id"]: r for r in replay.run([(df, "ts")], agents.step_counters, "update").collect()}
     assert got[1]["n_steps"] == 9 and got[2]["n_steps"] == 3
     assert got[2]["max_blocked"] == 3 and got[1]["max_same"] == 4
     assert [got[i]["stop"] for i in (1, 2, 3, 4)] == [None, None, "budget", "done"]
@@ -123,7 +124,7 @@ def test_questions_time_out(spark):
     at = lambda rows: spark.createDataFrame(rows, "run_id long, seq long, kind string, answer string, sec long").withColumn("ts", F.timestamp_seconds(F.col("sec") + 1_700_000_000))
     # answered; closed by a newer one, whose late answer reaches nothing; skipped by the timer
     rows = [(1, 1, "question", None, 0), (1, 1, "answer", "yes", 10), (1, 2, "question", None, 20), (1, 3, "question", None, 30), (1, 2, "answer", "stale", 31), (1, 3, "answer", "late", 60), (1, 4, "question", None, 100), (2, 1, "question", None, 5), (9, 9, "tick", None, 9000)]
-    got = {(r["run_id"], r["seq"]): (r["outcome"], r["answer"]) for r in agents.run_available(agents.question_outcomes(agents.replayed(at(rows), "sec", 2))).collect()}
+    got = {(r["run_id"], r["seq"]): (r["outcome"], r["answer"]) for r in replay.run([(at(rows), "sec")], agents.question_outcomes, parts=2).collect()}
     assert got[1, 1] == ("answered", "yes") and got[1, 2] == got[1, 3] == ("skipped", "")
     q = spark.createDataFrame([(r[0], r[1], r[4] * 1000) for r in rows if r[2] == "question"], "run_id long, seq long, asked long")
     a = spark.createDataFrame([(r[0], r[1], r[4] * 1000, r[3]) for r in rows if r[2] == "answer"], "run_id long, seq long, answered long, answer string")
@@ -134,17 +135,15 @@ def test_questions_time_out(spark):
 def test_flush_and_correlation_streams_equal_batches(spark):
     ts = F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("ms"))
     d = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 30, "b"), (1, 2, 61, "c"), (2, 0, 10, "x"), (9, 9, 10_000_000, "end")], "run_id long, seq long, ms long, delta string").withColumn("ts", ts)
-    stream = agents.run_available(agents.flush_tokens(agents.replayed(d, "ms", 2))).where("run_id < 9").select("run_id", "text", "n")
+    stream = replay.run([(d, "ms")], agents.flush_tokens, parts=2).where("run_id < 9").select("run_id", "text", "n")
     batch = agents.flush_tokens(d).where("run_id < 9").select("run_id", "text", "n")
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect())) == [(1, "ab", 2), (1, "c", 1), (2, "x", 1)]
     ask = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (9, 90_000_000)], "request_id long, ms long").withColumn("ts", ts).drop("ms")
     reply = spark.createDataFrame([(1, 5_000, "r1"), (2, 50_000, "r2"), (9, 90_000_001, "r9")], "request_id long, ms long, reply string").withColumn("ts", ts).drop("ms")
-    asked = agents.replayed(ask.withColumn("k", F.col("request_id")), "k", 1).drop("k")
-    replied = agents.replayed(reply.withColumn("k", F.col("request_id")), "k", 1).drop("k")
-    got = agents.run_available(agents.correlate(asked, replied, 40)).select("request_id", "reply", "timed_out")
+    got = replay.run([(ask, "request_id"), (reply, "request_id")], lambda a, b: agents.correlate(a, b, 40), parts=1).select("request_id", "reply", "timed_out")
     want = agents.correlate(ask, reply, 40).select("request_id", "reply", "timed_out")
     assert {tuple(r) for r in want.collect()} == {(1, "r1", False), (2, None, True), (3, None, True), (9, "r9", False)}
-    assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in want.collect()} and (1, "r1", False) in {tuple(r) for r in got.collect()}
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
 
 
 def test_global_ranks_equal_a_window(spark):
@@ -172,17 +171,83 @@ def test_areas_of_one_sweep(spark):
         assert (got[p]["gt"], got[p]["pred"], got[p]["inter"]) == (len(g), len(f), len(g & f))
 
 
-def test_containment_ignores_blanks(spark, monkeypatch):
+def test_boxes_meet_as_all_against_all(spark):
+    rng = random.Random(2)
+    size = lambda: rng.choice([0, 1, 5, 40, 64, 65, 300, 1025, 40_000])
+    make = lambda n: [(p, i, rng.randint(-700, 3000), rng.randint(-700, 3000), size(), size()) for p in range(3) for i in range(n)]
+    left, right = make(60), make(50)
+    schema = "page int, ord int, x int, y int, w int, h int"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    shared = lambda p, q: max(0, min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2])) * max(0, min(p[3] + p[5], q[3] + q[5]) - max(p[3], q[3]))
+    got = sorted((r["page"], r["a_ord"], r["b_ord"], r["shared"]) for r in geometry.overlapping(a, b, ["page"], 0.25).collect())
+    assert got == sorted((p[0], p[1], q[1], shared(p, q)) for p in left for q in right if p[0] == q[0] and shared(p, q) > 0 and shared(p, q) >= 0.25 * q[4] * q[5])
+    touch = lambda p, q: p[0] == q[0] and max(p[2], q[2]) <= min(p[2] + p[4], q[2] + q[4]) and max(p[3], q[3]) <= min(p[3] + p[5], q[3] + q[5])
+    met = geometry.meeting(geometry.prefixed(a, "a_", ["page"]), geometry.prefixed(b, "b_", ["page"]), ["page"])
+    assert sorted((r["page"], r["a_ord"], r["b_ord"]) for r in met.collect()) == sorted((p[0], p[1], q[1]) for p in left for q in right if touch(p, q))
+    far = {(r["page"], r["a_ord"]) for r in geometry.not_near(a, b, ["page"], 60).collect()}
+    assert far == {p[:2] for p in left if not any(p[0] == q[0] and all(abs(p[k] - q[k]) <= 60 for k in (2, 3, 4, 5)) for q in right)}
+    inside = lambda p, q: q[2] <= p[2] + p[4] / 2 <= q[2] + q[4] and q[3] <= p[3] + p[5] / 2 <= q[3] + q[5]
+    first = {(r["page"], r["a_ord"]): r["region"] for r in geometry.first_containing(a, b, ["page"], "ord").collect()}
+    assert first == {p[:2]: min((q[1] for q in right if p[0] == q[0] and inside(p, q)), default=None) for p in left}
+
+
+def test_a_crowded_page_is_joined_by_cells(spark):
+    """A hundred thousand boxes of one page, each of which overlaps two."""
+    n = 100_000
+    boxes = spark.range(n).select(F.lit(1).alias("page"), F.col("id").cast("int").alias("ord"), (F.col("id") % 250 * 30).cast("int").alias("x"), (F.col("id") / 250).cast("int").alias("y")).withColumns({"y": F.col("y") * 40, "w": F.lit(40), "h": F.lit(30)})
+    assert geometry.overlapping(boxes, boxes, ["page"], 0.1).where("a_ord < b_ord").count() == n - n // 250
+
+
+def test_folds_over_a_long_run(spark):
+    n = 1_000_000
+    times = spark.range(1).select(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>").alias("t"))
+    assert times.select(F.size(steps.cooldown(F.col("t"), 7))).first()[0] == -(-n // 7)
+    keys = times.select(F.transform("t", lambda x: (x % 5).cast("string")).alias("k"))
+    assert keys.select(F.size(F.filter(steps.fifo_hits(F.col("k")), lambda h: h))).first()[0] == n - 5
+    items = times.select(F.transform(F.slice("t", 1, 100_000), lambda x: F.struct(F.lit("t").alias("type"), (x % 1000 * 2).alias("x"), (x / 1000).cast("long").alias("y"))).alias("m"))
+    kept = items.select(F.size(geometry.fuzzy_distinct(F.col("m"), items.schema["m"].dataType.simpleString())))
+    assert kept.first()[0] == 500 * 34
+
+
+def test_containment_ignores_blanks(spark):
     needles = spark.createDataFrame([(1, "foo bar baz"), (2, "Ab"), (3, "  "), (4, None), (5, "foo bar baz"), (6, "zz")], "item int, text string")
     docs = spark.createDataFrame([(1, "x foobar BAZ y"), (2, "foo\nbarbaz, a b"), (3, None), (4, "")], "doc int, body string")
     want = {(1, 1), (1, 5), (2, 1), (2, 5), (2, 2)}
-    for most in (8_000_000, 1):
-        monkeypatch.setattr(gate, "NEEDLE_CHARS", most)
-        assert {(r["doc"], r["item"]) for r in gate.contained(needles, docs, "text", "body").collect()} == want
+    assert sorted((r["doc"], r["item"]) for r in gate.contained(needles, docs, "text", "body").collect()) == sorted(want)
+    assert gate.contained(needles.limit(0), docs, "text", "body").count() == gate.contained(needles, docs.limit(0), "text", "body").count() == 0
     keyed = gate.contained(needles.withColumn("k", F.col("item") % 2), docs.withColumn("k", F.col("doc") % 2), "text", "body", on=["k"])
     assert {(r["doc"], r["item"]) for r in keyed.collect()} == {(1, 1), (1, 5), (2, 2)}
 
 
+def test_containment_of_many_needles(spark, monkeypatch):
+    """A hundred thousand values of all lengths, most of which share their ends, in one scan; none reaches the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(12)
+    needles = [(i, f"user{i * 7919 % 1000003}@mail.example") for i in range(100_000)] + [(200_000 + i, "".join(rng.choice("abé") for _ in range(rng.randint(1, 9)))) for i in range(300)]
+    long = ["".join(rng.choice("xyzß ") for _ in range(n)) for n in (63, 64, 65, 66, 1000, 1024, 1025, 5000)]
+    needles += [(300_000 + i, t) for i, t in enumerate(long)] + [(400_000 + i, t[:-1] + "q") for i, t in enumerate(long)] + [(5, "user0@mail.example")]
+    bodies = ["".join(rng.choice("abéc ") for _ in range(200)) for _ in range(20)] + ["pre " + t.upper().replace("SS", "ß") + " post" for t in long] + ["x" + "  ".join(n[1] for n in rng.sample(needles[:100_000], 30)) for _ in range(20)] + ["", None, "a"]
+    docs = [(i, t) for i, t in enumerate(bodies)]
+    squeeze = lambda t: "".join((t or "").lower().split())
+    by_text = {}
+    for i, t in needles:
+        by_text.setdefault(squeeze(t), []).append(i)
+    want = set()
+    for d, t in docs:
+        t = squeeze(t)
+        sizes = {len(n) for n in by_text if n}
+        for n in sizes:
+            for k in range(len(t) - n + 1):
+                want |= {(d, i) for i in by_text.get(t[k : k + n], ())}
+    for name in ("toLocalIterator",):
+        monkeypatch.setattr(DataFrame, name, None)
+    got = gate.contained(spark.createDataFrame(needles, "item long, text string").repartition(8), spark.createDataFrame(docs, "doc long, body string"), "text", "body")
+    assert {(r["doc"], r["item"]) for r in got.collect()} == want and len(want) > 1500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_rewriting_of_known_texts(spark):
     cases = [("a@b.co and a@b.co", "[EMAIL_1] and [EMAIL_1]"), ("9876543210 9876543211", "[PHONE_1] [PHONE_2]"), ("9876543210@ybl", "[UPI_1]"), ("4242 4242 4242 4242", "[CARD_1]"), ("9876543210@gmail.com", "[EMAIL_1]"), ("u9876543210@x.com", "[EMAIL_1]"), ("ABC1234567@x.org", "[EMAIL_1]"), ("nothing", "nothing"), (None, None)]
     compat = {"9876543210@ybl": "[PHONE_1][UPI_1]", "4242 4242 4242 4242": "[CARD_1][AADHAAR_1]", "9876543210@gmail.com": "[EMAIL_1][PHONE_1][UPI_1].com", "u9876543210@x.com": "[EMAIL_1][PHONE_1]@x.com", "ABC1234567@x.org": "[EMAIL_1][VOTERID_1]@x.org"}

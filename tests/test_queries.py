@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillon.plans import agent, boxes, guards, reports, runs, text  # noqa: F401
+from quillon.plans import agent, boxes, guards, reports, runs, streams, text  # noqa: F401
 from quillon.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
