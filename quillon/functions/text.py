@@ -141,6 +141,13 @@ ROLE_COLOURS = (
     ("reset", "#ef4444"), ("combobox", "#06b6d4"), ("textbox", "#06b6d4"), ("checkbox", "#eab308"), ("radio", "#eab308"), ("image", "#ec4899"), ("heading", "#8b5cf6"),
 )
 
+DETECTORS = {
+    "dom": "DOM rule · labelled field / value scan", "text": "text-node sweep · visible prose",
+    "vision": "on-device vision · face / OCR", "perception": "local ViT · region escalation",
+}
+OTHER_DETECTOR = "on-device sanitizer"
+TIERS = {"A": "Tier A · blackout", "B": "Tier B · stable token", "C": "Tier C · blur / taint"}
+
 # ---- end of fixed values ----
 
 
@@ -193,17 +200,11 @@ def role_colour(role: Column) -> Column:
 
 
 def detector_label(source: Column) -> Column:
-    return (
-        F.when(source == "dom", "DOM rule · labelled field / value scan")
-        .when(source == "text", "text-node sweep · visible prose")
-        .when(source == "vision", "on-device vision · face / OCR")
-        .when(source == "perception", "local ViT · region escalation")
-        .otherwise("on-device sanitizer")
-    )
+    return F.coalesce(*[F.when(source == k, F.lit(v)) for k, v in DETECTORS.items()], F.lit(OTHER_DETECTOR))
 
 
 def tier_label(tier: Column) -> Column:
-    return F.when(tier == "A", "Tier A · blackout").when(tier == "B", "Tier B · stable token").when(tier == "C", "Tier C · blur / taint")
+    return F.coalesce(*[F.when(tier == k, F.lit(v)) for k, v in TIERS.items()])
 
 
 def image_kb(encoded: Column) -> Column:

@@ -34,16 +34,33 @@ def sensitive_pages(spark: SparkSession, folder: str) -> DataFrame:
 VARIANTS = "case page_id % 6 when 0 then 'javascript:alert(1)' when 1 then '/next' when 2 then concat(url, '/x') when 3 then 'data:text/html,x' when 4 then 'https://other.example/' else 'MAILTO:a@b.co' end"
 
 
-@query(f"select page_id, page_id % 6 in (1, 2, 4) as allowed, page_id % 6 in (1, 2, 4) as form_allowed from pages")
+#: Where a page may lead: its own links, its own address under other schemes, and addresses that are none.
+TARGETS_SQL = """select page_id, unnest(list_concat(regexp_extract_all(html, 'href="([^"]*)"', 1), [url, upper(url), concat(' ', url), regexp_replace(url, '^[a-z]+', 'ftp'), concat('javascript:open(', url, ')'), concat('data:,', url), regexp_extract(url, '^[a-z]+://'), concat('//', split_part(url, '://', 2)), concat('mailto:a@', split_part(url, '://', 2))])) as target from pages"""
+
+
+@query(
+    f"""select page_id, count(*) as n, count(*) filter (where ok) as n_allowed, count(*) filter (where ok or target = '') as n_forms from (select page_id, target, not regexp_matches(trim(target), '^(?i)https?:/*$') and (regexp_matches(trim(target), '^(?i)https?:') or not regexp_matches(trim(target), '^[A-Za-z][A-Za-z0-9+.-]*:')) as ok from ({TARGETS_SQL})) group by page_id"""
+)
 def nav_guard(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "pages").withColumn("target", F.expr(VARIANTS))
-    return p.select("page_id", U.navigation_allowed(F.col("target")).alias("allowed"), U.form_action_allowed(F.col("target")).alias("form_allowed"))
+    bare = F.substring_index("url", "://", -1)
+    own = F.array("url", F.upper("url"), F.concat(F.lit(" "), "url"), F.regexp_replace("url", "^[a-z]+", "ftp"), F.concat(F.lit("javascript:open("), "url", F.lit(")")), F.concat(F.lit("data:,"), "url"), F.regexp_extract("url", "^[a-z]+://", 0), F.concat(F.lit("//"), bare), F.concat(F.lit("mailto:a@"), bare))
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    t = table(spark, folder, "pages").select("page_id", F.explode(F.concat(links, own)).alias("target"))
+    return t.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(U.navigation_allowed(F.col("target"))).alias("n_allowed"), F.count_if(U.form_action_allowed(F.col("target"))).alias("n_forms"))
 
 
-@query("select page_id, page_id % 6 in (0, 3, 4, 5) as leaves from pages")
+ORIGIN = "regexp_replace(regexp_replace(lower(regexp_extract({0}, '^https?://[^/?#]+')), '^(http://[^:]*):80$', '\\1'), '^(https://[^:]*):443$', '\\1')"
+
+
+@query(f"select a.page_id, {ORIGIN.format('a.url')} <> {ORIGIN.format('b.url')} as leaves, {ORIGIN.format('a.url')} = '' as leaves_itself, false as leaves_by_link from pages a join pages b on b.page_id = a.page_id + 1")
 def origin_change(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "pages").withColumn("target", F.expr(VARIANTS))
-    return p.select("page_id", U.leaves_origin(F.col("url"), F.col("target")).alias("leaves"))
+    # the address of the next page, the page's own with its port named, and its first link
+    p = table(spark, folder, "pages").select("page_id", "url")
+    following = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
+    port = F.when(F.col("url").startswith("http:"), ":80").otherwise(":443")
+    named = F.concat(F.regexp_extract("url", "^https?://[^/?#]+", 0), port, F.lit("/x"))
+    j = p.join(following, "page_id")
+    return j.select("page_id", U.leaves_origin(F.col("url"), F.col("next_url")).alias("leaves"), U.leaves_origin(F.col("url"), named).alias("leaves_itself"), U.leaves_origin(F.col("url"), F.lit("/next")).alias("leaves_by_link"))
 
 
 @query(f"select {HOST_SQL} as host, count(*) as n, min(page_id) as first_page from pages group by 1")
@@ -115,6 +132,36 @@ def parse_action_json(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("event_id", get("$.type").alias("action_type"), A.plain_target(get("$.target")).alias("target"))
 
 
+#: An id as number, whole decimal, text, list of one, and text of a list; words; nothing.
+FORMS = "case event_id % 9 when 0 then concat('', {0}) when 1 then concat({0}, '.0') when 2 then concat('\"', {0}, '\"') when 3 then concat('[', {0}, ']') when 4 then concat('\"[', {0}, ']\"') when 5 then concat('[\"', {0}, '\"]') when 6 then concat('\"the ', event_type, '\"') when 7 then 'null' else concat('\" ', {0}, ' \"') end"
+
+
+@query("select event_id, case when event_id % 9 not in (6, 7) then cast(event_id as int) end as target, case when event_id % 9 = 6 then concat('the ', event_type) end as words from events")
+def target_forms(spark: SparkSession, folder: str) -> DataFrame:
+    raw = F.concat(F.lit('{"action":{"type":"click","target":'), F.expr(FORMS.format("cast(event_id as string)")), F.lit("}}"))
+    e = table(spark, folder, "events").select("event_id", raw.alias("raw"))
+    target = F.to_json(F.try_variant_get(A.action_of(A.parse_json(F.col("raw"))), "$.target", "variant"))
+    t = e.select("event_id", F.nullif(target, F.lit("null")).alias("target"))
+    return t.select("event_id", A.plain_target(F.col("target")).alias("target"), F.when(A.plain_target(F.col("target")).isNull(), A.words_of(F.col("target"))).alias("words"))
+
+
+@query(
+    """with s as (select user_id, event_id, concat('{"amount":null,"answer":null,"direction":null,"key":null,"ms":null,"options":null,"question":null,"target":', cast(event_id % 4 as varchar), ',"text":"', event_type, '","type":"type","url":null}') as sig from events),
+    k as (select *, row_number() over (partition by user_id, sig order by event_id) as turn from s) select event_id, sig, turn > 1 as repeated from k"""
+)
+def action_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers whose fields come in three orders have one signature; those that a run gave before are vetoed."""
+    target, text = F.concat(F.lit('"target":'), (F.col("event_id") % 4).cast("string")), F.concat(F.lit('"text":"'), "event_type", F.lit('"'))
+    kind = F.lit('"type":"type"')
+    orders = F.get(F.array(F.concat_ws(",", kind, target, text), F.concat_ws(" , ", text, kind, target), F.concat_ws(",", target, text, kind)), (F.col("event_id") % 3).cast("int"))
+    e = table(spark, folder, "events").select("user_id", "event_id", F.concat(F.lit('{"action":{'), orders, F.lit("}}")).alias("raw"))
+    told = e.withColumn("sig", A.signature(A.action_fields(A.parse_json(F.col("raw")))))
+    first = told.groupBy("user_id", "sig").agg(F.min("event_id").alias("event_id"))
+    later = told.join(first, ["user_id", "sig", "event_id"], "left_anti")
+    left = A.veto_repeats(later, first, ["user_id"]).select("event_id", F.lit(False).alias("kept"))
+    return told.join(first.select("event_id", F.lit(False).alias("repeated")), "event_id", "left").join(left, "event_id", "left").select("event_id", "sig", F.coalesce("repeated", "kept", F.lit(True)).alias("repeated"))
+
+
 @query(f"select event_id, {ERROR_SQL} is null as ok, {ERROR_SQL} as error from events")
 def validate_action(spark: SparkSession, folder: str) -> DataFrame:
     return A.validate(responses(spark, folder)).select("event_id", "ok", "error")

@@ -218,9 +218,9 @@ def sse_decode(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select user_id, cast(epoch_us(ts) // 60000 as bigint) as bucket, count(*) as n, string_agg(event_type, '' order by event_id) as text from events group by 1, 2")
 def token_flush_60ms(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").withColumn("bucket", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60).cast("long"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), "")
-    return e.groupBy("user_id", "bucket").agg(F.count("*").alias("n"), text.alias("text"))
+    e = table(spark, folder, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("delta"), F.col("ts").cast("timestamp").alias("ts"))
+    bucket = F.floor(F.unix_micros("flushed") / 60_000).cast("long")
+    return agents.flush_tokens(e).select(F.col("run_id").alias("user_id"), bucket.alias("bucket"), "n", "text")
 
 
 CONTACT = "concat(text, case when conv_id % 3 = 0 then concat(' mail me at user', cast(conv_id as {0}), '@mail.example') else '' end)"

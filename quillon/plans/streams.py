@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.checkpoint import durable, remove
 from quillon.plans.derived import steps
 from quillon.plans.registry import query
 from quillon.plans.runs import ST
+from quillon.sources import io
 from quillon.sources.io import capture_rows, table
 from quillon.streaming import agents, loop, replay, sinks
 
@@ -133,3 +135,16 @@ def lessons_stream(spark: SparkSession, folder: str) -> DataFrame:
 def capture_stream(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.col("text").alias("screenshot_b64"))
     return replay.run([(c, "conv_id")], capture_rows)
+
+
+@query("select n_regionkey as region, string_agg(n_name, ',' order by n_name) as names, count(*) as n from nation group by n_regionkey")
+def artifact_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """One JSON document, written and read again; a path that is not there has no rows."""
+    top = replay.folder(spark)
+    n = table(spark, folder, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_sort(F.collect_list("n_name")).alias("names"), F.count("*").alias("n"))
+    io.write_json(n, f"{top}/regions")
+    schema = "region int, names array<string>, n bigint"
+    read = io.json_artifact(spark, f"{top}/regions", schema).unionByName(io.json_artifact(spark, f"{top}/missing", schema))
+    kept = durable(read.withColumn("names", F.array_join("names", ",")))
+    remove(spark, top)
+    return kept

@@ -310,10 +310,17 @@ def duration_labels(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("c_custkey", X.duration(F.col("ms")).alias("label"))
 
 
-@query("select e_type as event_type, count(*) as n, colour from (select event_type as e_type, case event_type when 'click' then '#64748b' else '#64748b' end as colour from events) group by e_type, colour")
+#: Every role as it is, in capitals, and within a longer name; and the events' own types.
+ROLES = [name for role, _ in X.ROLE_COLOURS for name in (role, role.upper(), f"my {role} here")]
+ROLE_SQL = f"case when event_id % 50 < {len(ROLES)} then list_extract([{', '.join(repr(r) for r in ROLES)}], cast(event_id % 50 + 1 as int)) else event_type end"
+EXACT, WITHIN = " ".join(f"when low = '{k}' then '{v}'" for k, v in X.ROLE_COLOURS), " ".join(f"when contains(low, '{k}') then '{v}'" for k, v in X.ROLE_COLOURS)
+
+
+@query(f"select role, count(*) as n, case {EXACT} {WITHIN} else '#64748b' end as colour from (select *, lower(role) as low from (select {ROLE_SQL} as role from events)) group by role, low")
 def role_colours(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("colour", X.role_colour(F.col("event_type")))
+    at = (F.col("event_id") % 50).cast("int")
+    role = F.coalesce(F.get(F.array(*map(F.lit, ROLES)), at), F.col("event_type"))
+    return table(spark, folder, "events").groupBy(role.alias("role")).agg(F.count("*").alias("n")).withColumn("colour", X.role_colour(F.col("role")))
 
 
 @query(
