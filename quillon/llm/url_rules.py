@@ -11,7 +11,8 @@ either verdict:
 
     confidence(X -> v) = (decided as v with X + half of the undecided with X) / (all with X)
 
-Rules are pruned by confidence and support, and of two rules with the same verdict the more special is
+Rules are pruned by support, by a floor of LEAST URLs, and by the lower end of the confidence's 95 % interval
+(Wilson), so that no rule rests on a few chance pairs; of two rules with the same verdict the more special is
 dropped unless it is more confident.  What no fixed rule decides is matched through an inverted index: a
 rule is filed under its rarest item, candidates are checked for all their items, and the strongest rule
 (confidence, support, number of items, items in order, verdict) decides; without one the verdict is allow.
@@ -35,7 +36,10 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-SUPPORT, CONFIDENCE = 0.005, 0.9
+#: Least share of all URLs, and least lower end of the confidence.
+SUPPORT, CONFIDENCE = 0.005, 0.8
+#: URLs that hold a rule's items, at least; and how many standard deviations its confidence is lowered by.
+LEAST, SURE = 10, 1.96
 #: Rules up to so many are sent to the workers; more are joined by item.
 SENT_RULES = 20_000
 
@@ -77,6 +81,11 @@ def items(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(hosts, site, paths, names, scheme)))
 
 
+def lower_end(share: Column, n: Column, z: float = SURE) -> Column:
+    """Lower end of Wilson's interval of a share among n."""
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def filed(rules: DataFrame) -> DataFrame:
     """Rules with ``item``, the one of their antecedent that the fewest URLs hold; sent whole if they are few."""
     out = rules.withColumn("item", F.element_at(F.transform(F.array_sort(F.arrays_zip("freqs", "antecedent")), lambda x: x["antecedent"]), 1)).drop("freqs")
@@ -89,10 +98,11 @@ def fitting(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return held.where(F.size(F.array_except("antecedent", "items")) == 0)
 
 
-def mine(rows: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(rows: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
     """Pruned rules (antecedent, verdict, confidence, support, freqs) from (items, verdict) rows.
 
-    A null verdict is undecided.  ``support`` is a share of all rows; freqs counts the URLs that hold each
+    A null verdict is undecided.  ``support`` is a share of all rows, ``least`` a number of them; ``confidence`` bounds the lower end
+    of a rule's, and is what the column holds; freqs counts the URLs that hold each
     item of the antecedent.  Without decided rows there are no rules.
     """
     bag = rows.select(F.when(F.col("verdict").isNull(), F.col("items")).otherwise(F.array_append("items", F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
@@ -109,8 +119,8 @@ def mine(rows: DataFrame, support: float = SUPPORT, confidence: float = CONFIDEN
     whole = count.groupBy("antecedent").agg(F.sum("times").alias("all"), F.sum(F.when(F.col("given").isNull(), F.col("times")).otherwise(0)).alias("open"))
     total = rows.count()
     sided = found.join(count.withColumnRenamed("given", "verdict"), ["antecedent", "verdict"]).join(whole, "antecedent").join(named, "antecedent")
-    sure = ((F.col("times") + F.col("open") / 2) / F.col("all")).alias("confidence")
-    rules = sided.select("antecedent", "verdict", sure, (F.col("times") / F.lit(max(1, total))).alias("support"), "freqs")
+    sure = lower_end((F.col("times") + F.col("open") / 2) / F.col("all"), F.col("all")).alias("confidence")
+    rules = sided.where(F.col("all") >= least).select("antecedent", "verdict", sure, (F.col("times") / F.lit(max(1, total))).alias("support"), "freqs")
     rules = durable(rules.where(F.col("confidence") >= confidence))
     # the more special of two rules goes unless it adds confidence: every rule looks up its
     # one-item-shorter forms, so the work is rules times their length

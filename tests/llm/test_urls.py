@@ -68,8 +68,9 @@ def brute_rules(rows, support, confidence):
                 times = held.count(verdict)
                 if times < support * len(rows) or not times:
                     continue
-                sure = (times + held.count(None) / 2) / len(held)
-                if sure >= confidence:
+                share, z, m = (times + held.count(None) / 2) / len(held), 1.96, len(held)
+                sure = (share + z * z / (2 * m) - z * (share * (1 - share) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m)
+                if sure >= confidence and m >= 10:
                     found[need, verdict] = sure, times / len(rows)
     return {
         (need, verdict): x
@@ -124,6 +125,13 @@ def test_rules_hold_on_urls_that_were_not_mined(spark):
     assert hit >= 0.9 * n and right >= 0.95 * hit
 
 
+def test_no_rule_rests_on_few_urls(spark):
+    """Nine URLs of one site that are all blocked make no rule; among many others ninety do."""
+    few = [(["site:a", f"path:{i}"], "block") for i in range(9)] + [(["site:b", f"path:{i}"], "allow") for i in range(90)]
+    rules = {tuple(r["antecedent"]): r["verdict"] for r in url_rules.mine(spark.createDataFrame(few, "items array<string>, verdict string")).collect()}
+    assert rules == {("site:b",): "allow"}
+
+
 def test_strange_urls(spark):
     long = "http://net/fr/" + "x/" * 50_000
     urls = [long, long, None, "://", "http://", "a://b://c/en/", "http://?q=1", "http://A.COM/\u00c4/\n?x", ""]
