@@ -141,10 +141,10 @@ def capture_stream(spark: SparkSession, folder: str) -> DataFrame:
 def artifact_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON document, written and read again; a path that is not there has no rows."""
     top = replay.folder(spark)
-    n = table(spark, folder, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_sort(F.collect_list("n_name")).alias("names"), F.count("*").alias("n"))
-    io.write_json(n, f"{top}/regions")
-    schema = "region int, names array<string>, n bigint"
+    n = table(spark, folder, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"), F.count("*").alias("n"))
+    io.write_json(n.agg(F.collect_list(F.struct("region", "names", "n")).alias("regions")).coalesce(1), f"{top}/regions")
+    schema = "regions array<struct<region:int,names:string,n:bigint>>"
     read = io.json_artifact(spark, f"{top}/regions", schema).unionByName(io.json_artifact(spark, f"{top}/missing", schema))
-    kept = durable(read.withColumn("names", F.array_join("names", ",")))
+    kept = durable(read.select(F.explode("regions").alias("r")).select("r.*"))
     remove(spark, top)
     return kept
