@@ -154,7 +154,9 @@ def test_substring_dedup_of_long_and_clashing_rows(spark):
     assert got == {1: (120_000, 0), 2: (120_001, 120_000), 3: (0, 0), None: (120_000, 0)}
 
 
-def test_decontamination_finds_all_within_budget(spark):
+@pytest.mark.parametrize("most", [8_000_000, 0])
+def test_decontamination_finds_all_within_budget(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", most)  # items sent whole, or joined by piece
     rng = random.Random(9)
     items = [(k, " ".join(rng.choice(WORDS) for _ in range(n))) for k, n in enumerate((3, 5, 9, 12, 20, 37, 59))] + [(50, None), (51, ""), (52, "!!")]
     docs = []
@@ -184,6 +186,22 @@ def test_decontamination_finds_all_within_budget(spark):
     assert got == want and len(want) > 15
 
 
+def test_many_items_take_one_scan(spark, monkeypatch):
+    """Thousands of items, some of them repeated, give the same rows sent or joined; joined, no item reaches the driver."""
+    rng = random.Random(21)
+    items = [(k, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 40)))) for k in range(3000)]
+    items += items[:5]
+    docs = [(i % 90, " ".join([rng.choice(WORDS) for _ in range(20)] + edited(rng, items[rng.randrange(3000)][1].split(), rng.randint(0, 3)) + [rng.choice(WORDS) for _ in range(20)])) for i in range(120)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    sent = sorted(map(tuple, decontaminate.contaminations(d, b).collect()))
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 1)
+    monkeypatch.setattr(decontaminate, "Items", None)
+    got = decontaminate.contaminations(d, b)
+    assert sorted(map(tuple, got.collect())) == sent and len(sent) > 100
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Union" not in plan and "Cartesian" not in plan and plan.count("MapInArrow") == 2
+
+
 def test_decontamination_empty(spark):
     d = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, item_id int")
     assert decontaminate.contaminations(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
