@@ -143,7 +143,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     One row for each row of ``docs``; rows that share an id are separate documents.  Null text counts
     as empty and is taken zero times, null source is a source of its own.  Very long texts only count their
-    words.  Repeats of a row are told apart by number.  Empty table: no rows.
+    words.  Repeats of a row are told apart by number; the numbers of one row's repeats are an array in one task, eight
+    bytes each.  Empty table: no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("source"), row_hash(id_col, text_col, source_col).alias("tag"))
     # equal rows are counted and then numbered, so that no task gathers them

@@ -346,7 +346,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
     Tokens are the words of the text, A-Z lower-cased, and one end.  base_score is the sum of
     log10((c + 1) / (N + V + 1)); score the model's log10 probability of the text's bytes and end.  Null
     text counts as empty: one token; very long texts are read whole, a text at a time.  A null id counts as empty text in the split.  Rows with equal
-    id and text are repeated with equal scores.  Without training rows all counts are 0 and the model
+    id and text are scored once and repeated, by an array of their number, eight bytes for each, in one task.  Without training rows all counts are 0 and the model
     is uniform.  Empty table: no rows.
     """
     spark = docs.sparkSession
