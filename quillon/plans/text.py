@@ -55,7 +55,8 @@ def found_sql(source: str, key: str, rules_: tuple[str, ...] = tuple(AT_POSITION
     """(key, type, value, i) of every match in ``source`` (key, text), each position tried on its own.
 
     Matches of a rule do not overlap: one that begins before the last one's end is left out, which
-    decides right as long as no three overlap in a chain.
+    decides right as long as no three overlap in a chain.  A match is looked for in the 120 characters from its start,
+    which is longer than any value of the given tables; a longer one would be cut here, not in the engine.
     """
     one = []
     for name in rules_:
