@@ -8,17 +8,15 @@ margin shorter under the toxic dictionary than under the ordinary one.  Texts sc
 Training, on at most SAMPLE labelled rows of each class (a documented bound; the rows with the
 least hash of their id), each distinct text once:
 
-* the ordinary dictionary gets the most widespread ordinary windows, up to ORDINARY_BYTES;
-* candidates are windows that stand in CONTRAST times the share of toxic texts that they have of
-  ordinary ones; those that the ordinary dictionary compresses badly, but a dictionary of candidates
-  well, are ranked by both shares;
-* the toxic dictionary holds the common words of both kinds of text and, nearer to its end, those
-  windows, so that a shorter frame can only come from toxic windows or their stems;
-* the number of its toxic windows, the margin and the logistic weights are calibrated on other texts
-  than those which ranked the windows (two halves that change roles).
-
-A window that shares no run of RUN bytes with the toxic windows is never coded twice: a match so short
-saves less than a margin.  Scoring is one pass over whole texts; a worker keeps frame lengths of windows seen, within a bound.
+* each dictionary gets the most widespread windows of its own class's texts and nothing else: the ordinary one up to
+  ORDINARY_BYTES, the toxic one so many as are calibrated, up to TOXIC_BYTES.  Toxic texts hold mostly ordinary words,
+  and so does their dictionary; the much larger ordinary one holds these as well, and their frames are as short there;
+* the number of toxic windows, the margin and the logistic weights are calibrated on other texts than those which
+  filled the dictionaries (FOLDS parts that take turns).
+
+A window that the ordinary dictionary holds whole is ordinary, and so is one that shares no run of RUN bytes with the
+toxic dictionary: shorter matches are chance.  Neither is coded.  Scoring is one pass over whole texts; a worker keeps
+verdicts of windows seen, within a bound.
 """
 
 from __future__ import annotations
@@ -41,11 +39,13 @@ SAMPLE = 4000
 #: Bounds of any sample that reaches the driver.
 SAMPLE_ROWS, SAMPLE_BYTES = 40_000, 128 << 20
 BINS_LOG = 12
-ORDINARY_BYTES = 32_768
+ORDINARY_BYTES, TOXIC_BYTES = 262_144, 32_768
 HEAD, TAIL = b"~0123456789~abcdefghijklmnopqrstuvwxyz~", b"~ZYXWVUTSRQPO~"
 WINDOW = re.compile(r"[^\W\d_]+")
-CONTRAST = 4
-LENGTHS = (8, 12, 24, 48, 96, 192)
+#: Windows of the toxic dictionary, by how many toxic texts hold them.
+LENGTHS = (250, 1000, 2000, 4000)
+#: Parts of the training texts; each is judged by dictionaries of the others.
+FOLDS = 5
 MARGINS = (3, 4)
 RUN = 5
 MEMO = 400_000
@@ -71,6 +71,11 @@ def dictionary(ranked: list[bytes], most: int = ORDINARY_BYTES) -> bytes:
     return b"".join(reversed(kept)) + b" "
 
 
+def whole(content: bytes) -> frozenset[bytes]:
+    """The windows that a dictionary holds."""
+    return frozenset(b" " + w + b" " for w in content.split(b" ") if w)
+
+
 def runs(content: bytes) -> frozenset[bytes]:
     return frozenset(content[i : i + RUN] for i in range(len(content) - RUN + 1))
 
@@ -85,7 +90,7 @@ class Coder:
     def __init__(self, content: bytes):
         self.content = content
         parameters = zstandard.ZstdCompressionParameters.from_level(
-            19, min_match=3, strategy=STRATEGY, window_log=17, hash_log=16, chain_log=16, write_content_size=False, write_checksum=False, write_dict_id=False
+            19, min_match=3, strategy=STRATEGY, window_log=19, hash_log=17, chain_log=18, write_content_size=False, write_checksum=False, write_dict_id=False
         )
         held = zstandard.ZstdCompressionDict(content + TAIL + HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.coder = zstandard.ZstdCompressor(dict_data=held, compression_params=parameters)
@@ -101,7 +106,7 @@ class Pair:
         self.ordinary, self.toxic, self.margin, self.weights = ordinary, toxic, margin, weights
         self._coders = None
         self._memo: dict[bytes, bool] = {}
-        self._runs = runs(toxic[len(ordinary) :]) if toxic.startswith(ordinary) else None
+        self._runs, self._held = runs(toxic), whole(ordinary)
 
     def __getstate__(self):
         return self.ordinary, self.toxic, self.margin, self.weights
@@ -110,6 +115,8 @@ class Pair:
         self.__init__(*state)
 
     def like(self, window: bytes) -> bool:
+        if window in self._held:
+            return False
         known = self._memo.get(window)
         if known is None:
             if self._coders is None:
@@ -117,8 +124,7 @@ class Pair:
             if len(self._memo) >= MEMO:
                 self._memo.clear()
             a, b = self._coders
-            near = self._runs is None or touches(window, self._runs)
-            known = self._memo[window] = near and a.cost(window) - b.cost(window) >= self.margin
+            known = self._memo[window] = touches(window, self._runs) and a.cost(window) - b.cost(window) >= self.margin
         return known
 
     def features(self, text: str) -> tuple[int, int]:
@@ -165,26 +171,10 @@ def by_spread(count: Counter, least: int = 2) -> list[bytes]:
     return [w for w, n in sorted(count.items(), key=lambda x: (-x[1], x[0])) if n >= least]
 
 
-def hard_windows(ordinary: Coder, toxic: Counter, n_toxic: int, plain: Counter, n_plain: int) -> list[bytes]:
-    """Windows far more spread in toxic texts that only a dictionary of such windows compresses well."""
-    share = lambda w: toxic[w] / n_toxic
-    times = lambda w: share(w) / ((plain[w] + 1) / (n_plain + 1))
-    candidates = [w for w in by_spread(toxic, max(2, round(0.003 * n_toxic))) if times(w) >= CONTRAST]
-    candidates.sort(key=lambda w: (-share(w) * np.log(times(w)), w))
-    out = []
-    for lo in range(0, len(candidates), 128):
-        part = candidates[lo : lo + 128]
-        own = Coder(ordinary.content + dictionary(part))
-        out += [w for w in part if ordinary.cost(w) - own.cost(w) >= min(MARGINS)]
-    return out
-
-
-def dictionaries(own: list[list[bytes]], label: np.ndarray) -> tuple[Coder, list[bytes]]:
-    """The ordinary dictionary and the ranked toxic windows of some texts."""
+def dictionaries(own: list[list[bytes]], label: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """The ordinary dictionary of some texts and their toxic windows, the most widespread first."""
     toxic, plain = ([o for o, y in zip(own, label, strict=True) if y == v] for v in (1, 0))
-    many = spread(plain)
-    base = Coder(dictionary(by_spread(many)))
-    return base, hard_windows(base, spread(toxic), max(1, len(toxic)), many, len(plain))
+    return dictionary(by_spread(spread(plain))), by_spread(spread(toxic))
 
 
 def train(rows: list[tuple[str, int]]) -> Pair:
@@ -198,18 +188,19 @@ def train(rows: list[tuple[str, int]]) -> Pair:
     if not len(rows) or label.min() == label.max():
         prior = (label.sum() + 1) / (len(label) + 2) if len(label) else 0.5
         return Pair(b" ", b" ", min(MARGINS), (float(np.log(prior / (1 - prior))), 0.0, 0.0))
-    half = np.arange(len(rows)) % 2
+    fold = np.arange(len(rows)) % FOLDS
     sizes = np.array([len(o) for o in own])
     hits: dict[tuple[int, int], np.ndarray] = {}
-    for h in (0, 1):
-        known, asked = half == h, np.flatnonzero(half != h)
-        base, ranked = dictionaries([o for o, k in zip(own, known, strict=True) if k], label[known])
-        distinct = sorted({w for i in asked for w in own[i]})
-        widest = runs(dictionary(ranked[: max(LENGTHS)]))
-        plain = {w: base.cost(w) for w in distinct if touches(w, widest)}
+    for f in range(FOLDS):
+        known, asked = fold != f, np.flatnonzero(fold == f)
+        ordinary, ranked = dictionaries([o for o, k in zip(own, known, strict=True) if k], label[known])
+        base, held = Coder(ordinary), whole(ordinary)
+        distinct = {w for i in asked for w in own[i]} - held
+        widest = runs(dictionary(ranked[: max(LENGTHS)], TOXIC_BYTES))
+        plain = {w: base.cost(w) for w in sorted(distinct) if touches(w, widest)}
         for length in LENGTHS:
-            special = dictionary(ranked[:length])
-            coder, known_runs = Coder(base.content + special), runs(special)
+            special = dictionary(ranked[:length], TOXIC_BYTES)
+            coder, known_runs = Coder(special), runs(special)
             saved = {w: c - coder.cost(w) for w, c in plain.items() if touches(w, known_runs)}
             for margin in MARGINS:
                 count = hits.setdefault((margin, length), np.zeros(len(rows), dtype=int))
@@ -223,8 +214,8 @@ def train(rows: list[tuple[str, int]]) -> Pair:
         if best is None or loss < best[0] - 1e-9:
             best = loss, margin, length, weights
     _, margin, length, weights = best
-    base, ranked = dictionaries(own, label)
-    return Pair(base.content, base.content + dictionary(ranked[:length]), margin, weights)
+    ordinary, ranked = dictionaries(own, label)
+    return Pair(ordinary, dictionary(ranked[:length], TOXIC_BYTES), margin, weights)
 
 
 def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1):

@@ -286,6 +286,21 @@ def test_samples_are_bounded(spark, monkeypatch):
     assert 0 < len(rows) <= 20 and sum(len(t) for t, _ in rows) <= 70
 
 
+def test_verdicts_equal_a_straightforward_coder():
+    """Every window coded under both dictionaries, which share nothing but what both classes' texts do."""
+    rows = [(t, int(y)) for _, t, y in labelled(400)]
+    pair = toxicity.train(rows[:300])
+    ordinary, toxic = toxicity.Coder(pair.ordinary), toxicity.Coder(pair.toxic)
+    texts = [t for t, _ in rows[250:]] + ["", "grobnik", "GROBNIK vilefoo tharen", "grobn vilef zur"]
+    words = {w for t in texts for w in toxicity.windows(t)} | {f" {a[:k]}{b[k:]} ".encode() for a in TOXIC for b in CLEAN for k in range(1, 5)}
+    near = {w: w not in pair.ordinary and any(w[i : i + toxicity.RUN] in pair.toxic for i in range(len(w) - toxicity.RUN + 1)) for w in words}
+    like = {w: near[w] and ordinary.cost(w) - toxic.cost(w) >= pair.margin for w in words}
+    assert {w for w in words if pair.like(w)} == {w for w in words if like[w]} and any(like.values())
+    for t in texts:
+        own = toxicity.windows(t)
+        assert pair.features(t) == (sum(like[w] for w in own), len(own))
+
+
 def test_a_long_labelled_text_leaves_the_others(spark, monkeypatch):
     """Wherever an oversize text ranks, all texts that fit are in the sample."""
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
