@@ -148,3 +148,22 @@ def artifact_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     kept = durable(read.select(F.explode("regions").alias("r")).select("r.*"))
     remove(spark, top)
     return kept
+
+
+@query("select user_id, cast(epoch_us(ts) // 60000 as bigint) as bucket, count(*) as n, string_agg(event_type, '' order by event_id) as text from events group by 1, 2")
+def token_flush_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """As the batch form; a window leaves when the watermark has passed its end."""
+    e = tick(events(spark, folder).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("delta"), "ts"))
+    out = replay.run([(timed(e), "at")], agents.flush_tokens).where("run_id >= 0")
+    return out.select(F.col("run_id").alias("user_id"), F.floor(F.unix_micros("flushed") / 60_000).cast("long").alias("bucket"), "n", "text")
+
+
+@query(
+    """with g as (select *, case when lag(ts) over w is null or ts >= lag(ts) over w + interval 6 hours then 1 else 0 end as fresh from events window w as (partition by user_id order by ts, event_id)),
+    s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g) select user_id, epoch_us(min(ts)) as start_us, count(*) as n from s group by user_id, k"""
+)
+def event_sessions_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions end after six hours without an event and leave by the watermark; one that two batches share is one."""
+    e = tick(table(spark, folder, "events").select("user_id", "event_id", "value", F.col("ts").cast("timestamp").alias("ts")), 100_000)
+    out = replay.run([(timed(e), "at")], lambda s: agents.event_sessions(s, gap="6 hours")).where("user_id >= 0")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
