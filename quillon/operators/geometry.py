@@ -32,7 +32,7 @@ def prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
 
 
 #: Levels of grids: cells have sides of 2^LOWEST, and CELL_STEP powers of two more at each level.
-LOWEST, CELL_STEP, LEVELS = 6, 2, 14
+LOWEST, CELL_STEP, LEVELS = 9, 2, 12
 
 
 def level(extent: Column) -> Column:
@@ -63,14 +63,18 @@ def meeting(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     sized = lambda df, p: df.withColumn("__own", level(F.greatest(F.col(f"{p}w"), F.col(f"{p}h"))))
     a, b = sized(a, "a_"), sized(b, "b_")
     on = [*keys, "__level", "__cx", "__cy"]
+    used = a.select("__own", F.lit("a_").alias("of")).union(b.select("__own", F.lit("b_"))).distinct().collect()  # twice LEVELS at most
 
     def side(large: DataFrame, p: str, small: DataFrame, q: str, equal: bool) -> DataFrame:
-        used = [r[0] for r in large.select("__own").distinct().collect()]  # LEVELS at most
-        above = F.filter(F.array(*[F.lit(k) for k in used]).cast("array<int>"), lambda k: k >= F.col("__own") if equal else k > F.col("__own"))
+        levels = [F.lit(r["__own"]) for r in used if r["of"] == p and r["__own"] is not None]
+        above = F.filter(F.array(*levels).cast("array<int>"), lambda k: k >= F.col("__own") if equal else k > F.col("__own"))
         rising = in_cells(small.withColumn("__at", F.explode(above)), q, F.col("__at")).drop("__at", "__own")
         return in_cells(large, p, F.col("__own")).drop("__own").join(rising, on)
 
-    pairs = side(a, "a_", b, "b_", True).unionByName(side(b, "b_", a, "a_", False))
+    pairs = side(a, "a_", b, "b_", True)
+    rank = lambda p: [r["__own"] for r in used if r["of"] == p and r["__own"] is not None]
+    if max(rank("b_"), default=0) > min(rank("a_"), default=LEVELS):  # else no box of b is larger than one of a
+        pairs = pairs.unionByName(side(b, "b_", a, "a_", False))
     reach = lambda p, c, d: F.col(f"{p}{c}") + F.greatest(F.col(f"{p}{d}"), F.lit(0))
     left, top = F.greatest("a_x", "b_x"), F.greatest("a_y", "b_y")
     touch = (left <= F.least(reach("a_", "x", "w"), reach("b_", "x", "w"))) & (top <= F.least(reach("a_", "y", "h"), reach("b_", "y", "h")))
