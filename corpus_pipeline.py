@@ -86,7 +86,8 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: No SQL form: the toxicity model is trained here.  Tested against brute force.
+#: No SQL form: the toxicity model is trained here.  Its stages' operators are tested against brute force, the stages
+#: themselves on small tables whose outcome is known.
 ORACLE_SQL = None
 
 
