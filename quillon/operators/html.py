@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,17 +77,23 @@ class Walker(HTMLParser):
         return self
 
 
-def walked(html: str | None) -> Walker:
+def whole_references(html: str) -> str:
+    """Character references that are cut before their semicolon, which browsers guess, as plain text."""
+    known = lambda name: name.endswith(";") and (name.startswith("#") or name in html5)
+    return re.sub(r"&(#?\w*;?)", lambda m: m[0] if known(m[1]) else "&amp;" + m[1], html)
+
+
+def walked(html: str | None, guess: bool = True) -> Walker:
     w = Walker()
-    w.feed(html or "")
+    w.feed((html or "") if guess else whole_references(html or ""))
     return w.done()
 
 
 class Walk:
     """The walk of one page as a table function: its elements, text nodes and address blocks, told by ``kind``."""
 
-    def eval(self, html: str) -> Iterator[tuple]:
-        w = walked(html)
+    def eval(self, html: str, guess: bool) -> Iterator[tuple]:
+        w = walked(html, guess)
         for i, e in enumerate(w.elements):
             yield "element", i, e["tag"], e["attrs"], " ".join(e["text"]), e["start"], e["stop"]
         for i, (parent, text) in enumerate(w.nodes):
@@ -95,15 +102,17 @@ class Walk:
             yield "address", i, "address", None, text, start, None
 
 
-def walks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """All that one walk of each page yields, by a lateral join; whoever needs elements and texts takes both from it."""
+def walks(pages: DataFrame, key: str = "page_id", html: str = "html", guess: bool = True) -> DataFrame:
+    """All that one walk of each page yields, by a lateral join; whoever needs elements and texts takes both from it.
+
+    With ``guess`` a character reference without its semicolon is decoded, as browsers do; else it stays as it is."""
     walk = F.udtf(Walk, returnType=WALK)
-    return pages.select(F.col(key).alias("__key"), F.col(html).alias("__html")).lateralJoin(walk(F.col("__html").outer())).drop("__html").withColumnRenamed("__key", key)
+    return pages.select(F.col(key).alias("__key"), F.col(html).alias("__html")).lateralJoin(walk(F.col("__html").outer(), F.lit(guess))).drop("__html").withColumnRenamed("__key", key)
 
 
-def page_elements(pages: DataFrame, key: str = "page_id", html: str = "html", most: int = MOST_ELEMENTS) -> DataFrame:
+def page_elements(pages: DataFrame, key: str = "page_id", html: str = "html", most: int = MOST_ELEMENTS, guess: bool = True) -> DataFrame:
     """One row per visible interactive element, at most ``most`` a page, with its interval in the walk."""
-    return elements_of(walks(pages, key, html), key, most)
+    return elements_of(walks(pages, key, html, guess), key, most)
 
 
 def elements_of(found: DataFrame, key: str = "page_id", most: int = MOST_ELEMENTS) -> DataFrame:

@@ -92,6 +92,13 @@ def test_html_rows(spark):
     assert [(r["cat"], r["value"]) for r in truth] == [("email", "a@b.co"), ("none", "")]
 
 
+def test_references_without_semicolon(spark):
+    df = spark.createDataFrame([(1, "<h1>a&amp;&amp</h1><a href='/x'>&quot b &copy;&copy &ampx; &#65;&#65 R&D</a>")], "page_id long, html string")
+    text = lambda guess: [r["text"] for r in html.page_elements(df, guess=guess).orderBy("ord").collect()]
+    assert text(False) == ["a&&amp", "&quot b ©&copy &ampx; A&#65 R&D"]
+    assert text(True) == ["a&&", '" b ©© &x; AA R&D']
+
+
 def test_round_trip_of_tokens(spark):
     df = spark.createDataFrame([(1, "a@b.co or 4111 1111 1111 1111"), (2, "nothing"), (3, "😀 x@y.co")], "id int, t string")
     clean, names = tokens.tokenize(df, "t", ["id"], scope=["id"])
