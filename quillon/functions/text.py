@@ -81,6 +81,12 @@ def duration(ms: Column) -> Column:
     return F.when(s >= 60, F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
 
 
+def rounded_millis(ts: Column) -> Column:
+    """Milliseconds since 1970, halves away from zero; unix_millis() cuts."""
+    us = F.unix_micros(ts)
+    return F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000).cast("long"))
+
+
 def elapsed(ms: Column) -> Column:
     """mm:ss.cc"""
     two = lambda n: F.lpad(n.cast("long").cast("string"), 2, "0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import text as X
 from quillon.operators import metrics as M, sessions as S, steps as T
 from quillon.plans.derived import STEPS_SQL, steps
 from quillon.plans.registry import query
@@ -65,7 +66,7 @@ def capture_throttle(spark: SparkSession, folder: str) -> DataFrame:
     select c.run_id, n_asked, cast(max(k) as int) as n_made from c join f using (run_id) group by c.run_id, n_asked"""
 )
 def cooldown_attempts(spark: SparkSession, folder: str) -> DataFrame:
-    s = steps(spark, folder).withColumn("t", F.unix_millis(F.col("ts").cast("timestamp")))
+    s = steps(spark, folder).withColumn("t", X.rounded_millis(F.col("ts").cast("timestamp")))
     a = s.groupBy("run_id").agg(T.cooldown(F.collect_list("t"), 86400000).alias("made"), F.count("*").alias("n_asked"))
     return a.select("run_id", "n_asked", F.size("made").alias("n_made"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.checkpoint import durable, remove
+from quillon.functions.text import rounded_millis
 from quillon.plans.derived import steps
 from quillon.plans.registry import query
 from quillon.plans.runs import ST
@@ -106,7 +107,7 @@ ASKED = "epoch_ms(ts) // 100000"
     select run_id, step, cast(started as bigint) as started, cast(started - ms as bigint) as waited from k"""
 )
 def step_clock_stream(spark: SparkSession, folder: str) -> DataFrame:
-    ms = F.floor(F.unix_millis("ts") / 100_000)
+    ms = F.call_function("div", rounded_millis(F.col("ts")), F.lit(100_000).cast("long"))
     e = events(spark, folder).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), (F.col("event_type") == "error").alias("failed"), F.timestamp_millis(ms).alias("ts"))
     # a tick, long after every step that waits, in each run: timers of a run go off when the watermark has passed them
     last = e.agg(F.unix_millis(F.max("ts"))).first()[0] or 0

@@ -3,11 +3,14 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quillon.operators.sessions import retain, upsert_lessons
+from quillon.plans import runs, streams  # noqa: F401
+from quillon.plans.registry import ORACLES, QUERIES
 from quillon.streaming import agents, loop, replay, sinks
 
 
@@ -71,6 +74,17 @@ def test_step_clock_waits_in_order(spark):
     assert {tuple(r) for r in got.where("step >= 0").collect()} == want and any(w[3] > 0 for w in want)
 
 
+def test_step_clock_counts_milliseconds_as_its_sql(spark, tmp_path):
+    times = ["2024-01-25 15:21:39.999696", "2024-01-25 15:21:39.9995", "2024-01-25 15:21:39.999499", "2024-01-26 15:21:39.999999", "1970-01-02 00:01:39.9995"]
+    rows = spark.createDataFrame([(i, i % 2, "view", 1.0, "{}", t) for i, t in enumerate(times)], "event_id long, user_id long, event_type string, value double, props string, t string")
+    rows.select("event_id", "user_id", "event_type", "value", "props", F.to_timestamp_ntz("t").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("step_clock_stream", "cooldown_attempts"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()), name
+
+
 def test_steps_without_vision_are_skipped_by_the_watermark(spark):
     at = lambda rows, schema: spark.createDataFrame(rows, schema + ", sec long").withColumn("ts", F.timestamp_seconds(F.col("sec") + 1_700_000_000))
     scans = at([(1, 1, 2, 0, 0), (1, 2, 2, 0, 10), (1, 2, 2, 0, 10), (1, 3, 0, 0, 20), (1, 4, 2, 3, 30), (1, 5, 2, 0, 40), (1, 6, 2, None, 50), (9, 9, 0, 0, 99_999)], "run_id long, step long, regions long, hits long")
