@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -75,6 +76,11 @@ BY_NAME = {r.name: r for r in RULES}
 GUARD = rf"@|(?:[0-9]{SH}?){{4}}"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """What ``f`` makes of a value that it names more than once but that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def may_match(text: Column) -> Column:
     """Cheap test that every detector's text passes; also account numbers have four digits in a row."""
     return text.rlike(GUARD)
@@ -112,20 +118,30 @@ def clean_label(label: Column) -> Column:
     return F.regexp_replace(F.lower(label), rf"[_\-{BLANK}]", "")
 
 
+def _secret(label: Column, cleaned: Column) -> Column:
+    return cleaned.isin(*SECRET_LABELS) | F.lower(label).rlike(SECRET_PARTS)
+
+
 def is_secret_label(label: Column) -> Column:
-    return clean_label(label).isin(*SECRET_LABELS) | F.lower(label).rlike(SECRET_PARTS)
+    return _secret(label, clean_label(label))
 
 
 def field_type(label: Column) -> Column:
     """Sensitive field type of a label, or null: secrets, then an exact alias, then the first alias inside."""
-    cleaned = clean_label(label)
-    exact = [F.when(cleaned == a, F.lit(t)) for a, t in ALIAS_PAIRS]
-    inside = [F.when(cleaned.contains(a), F.lit(t)) for a, t in ALIAS_PAIRS if "-" not in a]
-    return F.when(F.coalesce(label, F.lit("")) == "", F.lit(None)).otherwise(F.when(is_secret_label(label), "password").otherwise(F.coalesce(*exact, *inside)))
+    exact = F.create_map(*[F.lit(x) for pair in reversed(dict(reversed(ALIAS_PAIRS)).items()) for x in pair])
+    inside = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(t).alias("type")) for a, t in ALIAS_PAIRS if "-" not in a])
+    first = lambda cleaned: F.get(F.filter(inside, lambda a: cleaned.contains(a["alias"])), F.lit(0))["type"]
+    told = once(clean_label(label), lambda cleaned: F.when(_secret(label, cleaned), "password").otherwise(F.coalesce(F.try_element_at(exact, cleaned), first(cleaned))))
+    return F.when(F.coalesce(label, F.lit("")) != "", told)
 
 
 def field_tier(label: Column) -> Column:
-    return F.when(field_type(label).isNotNull(), F.when(is_secret_label(label), "A").otherwise("B"))
+    return tier_of(field_type(label))
+
+
+def tier_of(kind: Column) -> Column:
+    """Only secrets have the type password."""
+    return F.when(kind == "password", "A").when(kind.isNotNull(), "B")
 
 
 def mask_value(value: Column, strict: bool = True) -> Column:

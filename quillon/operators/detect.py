@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quillon.functions.rules import BLANK, RULES, Rule, count_of, digits, field_tier, field_type, may_match
+from quillon.functions.rules import BLANK, RULES, Rule, count_of, digits, field_type, may_match, tier_of
 
 MATCHES = ArrayType(
     StructType([StructField("type", StringType()), StructField("tier", StringType()), StructField("label", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("value", StringType())])
@@ -85,7 +85,8 @@ def counts(df: DataFrame, text: str, rules: tuple[str, ...] = tuple(r.name for r
 
 
 def classify_fields(df: DataFrame, label: str) -> DataFrame:
-    return df.withColumns({"field_type": field_type(F.col(label)), "field_tier": field_tier(F.col(label))})
+    """Adds field_type and field_tier; rows that share labels are best grouped first."""
+    return df.withColumn("field_type", field_type(F.col(label))).withColumn("field_tier", tier_of(F.col("field_type")))
 
 
 def sensitive_types(df: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:

@@ -120,8 +120,8 @@ FIELD_SQL = (
 
 @query(f"select label, field_type, case when field_type = 'password' then 'A' when field_type is not null then 'B' end as field_tier, count(*) as n from (select label, {FIELD_SQL} as field_type from ({KYC_SQL})) group by all")
 def field_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
-    k = detect.classify_fields(kyc(spark, folder), "label")
-    return k.groupBy("label", "field_type", "field_tier").agg(F.count("*").alias("n"))
+    k = kyc(spark, folder).groupBy("label").agg(F.count("*").alias("n"))
+    return detect.classify_fields(k, "label").select("label", "field_type", "field_tier", "n")
 
 
 MASK_SQL = r"""case when contains(v, '@') then concat(case when length(split_part(v, '@', 1)) <= 2 then rpad(substr(v, 1, 1), 3, '*') else concat(substr(v, 1, 3), '***') end, substr(v, instr(v, '@')))

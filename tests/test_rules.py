@@ -123,3 +123,12 @@ def test_navigation(spark):
     answers = [("yes", False), ("cancel", True), (" Cancel it", True), ("", True), (None, True)]
     df = spark.createDataFrame(answers, "a string, e boolean")
     assert [r[0] for r in df.select(urls.cancelled(F.col("a"))).collect()] == [e for _, e in answers]
+
+
+def times_in_plan(spark, value, name):
+    df = spark.range(1).select(F.col("id").cast("string").alias("t")).select(value.alias("v"))
+    return df._jdf.queryExecution().optimizedPlan().toString().lower().count(name)
+
+
+def test_labels_are_cleaned_once(spark):
+    assert times_in_plan(spark, rules.field_type(F.col("t")), "regexp_replace") == 1
