@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.checkpoint import durable
-from quillon.functions.rules import field_tier, field_type, mask_value
+from quillon.functions.rules import field_type, mask_value, tier_of
 from quillon.functions.text import token_label
 from quillon.operators.detect import find_matches, strict_matches
 
@@ -116,7 +116,7 @@ def sanitize_elements(elements: DataFrame, keys: list[str], strict: bool = True)
     """
     at = [*keys, "ord"]
     name = F.col("label") if strict else F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("text"))
-    e = elements.withColumns({"field_type": field_type(name), "field_tier": field_tier(name)})
+    e = elements.withColumn("field_type", field_type(name)).withColumn("field_tier", tier_of(F.col("field_type")))
     wiped = F.coalesce(F.col("field_tier") == "A", F.lit(False))
     named = F.coalesce(F.col("field_tier") == "B", F.lit(False)) & (F.coalesce(F.col("value"), F.lit("")) != "")
     resolve = strict_matches if strict else (lambda m: m)
