@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.rules import once
 from quillon.functions.text import squash
 from quillon.operators.detect import find_matches
 
@@ -19,16 +20,16 @@ def parse_json(raw: Column) -> Column:
     """VARIANT of the object that holds "action": the fenced text, else the widest object in it."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(raw, r"^\s+|\s+$", "")), r"^```(?:json)?\s*", ""), r"\s*```$", "")
     wide = F.regexp_extract(raw, r'(?s)\{.*"action".*\}', 0)
-    good = lambda v: F.when(F.try_variant_get(v, "$.action", "variant").isNotNull(), v)
-    return F.coalesce(good(F.try_parse_json(bare)), good(F.try_parse_json(wide)))
+    good = lambda text: once(F.try_parse_json(text), lambda v: F.when(F.try_variant_get(v, "$.action", "variant").isNotNull(), v))
+    return F.coalesce(good(bare), good(wide))
 
 
 def action_of(parsed: Column) -> Column:
     """The action object; one nested under "type" is unwrapped.  Null without a string type."""
-    action = F.try_variant_get(parsed, "$.action", "variant")
-    nested = F.try_variant_get(action, "$.type", "variant")
-    inner = F.when(F.schema_of_variant(nested).startswith("OBJECT"), nested).otherwise(action)
-    return F.when(F.schema_of_variant(F.try_variant_get(inner, "$.type", "variant")) == "STRING", inner)
+    kind = lambda v: F.try_variant_get(v, "$.type", "variant")
+    outer = lambda action: once(kind(action), lambda nested: F.when(F.schema_of_variant(nested).startswith("OBJECT"), nested).otherwise(action))
+    inner = once(F.try_variant_get(parsed, "$.action", "variant"), outer)
+    return once(inner, lambda v: F.when(F.schema_of_variant(kind(v)) == "STRING", v))
 
 
 def plain_target(raw: Column) -> Column:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import rules
-from quillon.operators import detect, tokens, urls
+from quillon.operators import actions, detect, tokens, urls
 
 MATCHES = [
     ("support@invoices.example", ["email"]),
@@ -132,3 +132,8 @@ def times_in_plan(spark, value, name):
 
 def test_labels_are_cleaned_once(spark):
     assert times_in_plan(spark, rules.field_type(F.col("t")), "regexp_replace") == 1
+
+
+def test_answers_are_parsed_once(spark):
+    value = actions.signature(actions.action_fields(actions.parse_json(F.col("t"))))
+    assert times_in_plan(spark, value, "parsejson") <= 2  # bare, else the widest object
