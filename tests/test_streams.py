@@ -4,6 +4,7 @@ import json
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -107,6 +108,63 @@ def test_each_kind_of_request_has_its_timeout(spark):
     assert {(r["request_id"], r["timed_out"]) for r in got.collect()} == want
 
 
+class Store:
+    """State of one group in memory, with the number of calls that it took."""
+
+    def __init__(self):
+        self.calls, self.timers, self.held = 0, [], None
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getValueState
+
+    def put(self, held):
+        self.update(held)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, held):
+        self.calls += 1
+        self.held = held
+
+    def clear(self):
+        self.calls, self.held = self.calls + 1, None
+
+
+@pytest.mark.parametrize("once", [False])
+def test_a_bucket_of_requests_costs_few_calls_to_its_state(once):
+    """Random requests and replies in either order, some sent again, against all pairs; a batch takes two calls however many rows it has."""
+    rng = random.Random(7)
+    asked = [(k, k * 1_000_000, rng.choice([5, 9]) * 1_000_000) for k in range(400)]
+    told = [(k, at + rng.randrange(-1, 11) * 1_000_000, f"r{k}.{i}") for k, at, _ in asked for i in range(rng.choice([0, 1, 2]))]
+    sent = [(True, at, own, k, None) for k, at, own in asked] + [(True, at, own, k, None) for k, at, own in asked if once and k % 6 == 0]
+    rows = sent + [(False, at, 0, k, r) for k, at, r in told]
+    want = {(k, r) for k, at, own in asked for j, t, r in told if j == k and 0 <= t - at <= own}
+    want |= {(k, None) for k, _, _ in asked if k not in {w[0] for w in want}}
+    bucket, store = agents.Answers(["key"], [], ["reply"], once), Store()
+    bucket.init(store)
+    got, passed, n = [], 0, 0
+    for part in range(5):
+        batch = [r for i, r in enumerate(rows) if (r[1] // 1_000_000 + i % 7) // 83 == part or (part == 4 and (r[1] // 1_000_000 + i % 7) // 83 > 4) or (part == 0 and r[1] < 0)]
+        n += len(batch)
+        rng.shuffle(batch)
+        got.append(bucket.ticked(pd.DataFrame(batch, columns=["asks", "at", "own", "key", "reply"]).assign(met=False, fresh=True), passed))
+        passed = max(passed, (part + 1) * 83_000_000 - 30_000_000)
+    got.append(bucket.ticked(None, 10**10))
+    told_of = [(r.key, None if pd.isna(r.reply) else r.reply) for b in got for r in b.itertuples()]
+    assert n == len(rows) and sorted(map(str, told_of)) == sorted(map(str, want))
+    assert store.calls <= 12 and store.held is None and len(store.timers) == 5
+
+
 def test_cache_over_batches_equals_one_pass(spark):
     rng = random.Random(9)
     rows, want = [], set()
