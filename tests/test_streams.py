@@ -140,7 +140,7 @@ class Store:
         self.calls, self.held = self.calls + 1, None
 
 
-@pytest.mark.parametrize("once", [False])
+@pytest.mark.parametrize("once", [False, True])
 def test_a_bucket_of_requests_costs_few_calls_to_its_state(once):
     """Random requests and replies in either order, some sent again, against all pairs; a batch takes two calls however many rows it has."""
     rng = random.Random(7)
