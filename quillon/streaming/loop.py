@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quillon.streaming.agents import LATENESS, keyed
+from quillon.streaming.agents import LATENESS, bucketed, keyed
 
 #: Between steps; and after a failed one.
 THROTTLE_MS, COOLDOWN_MS = 750, 18_000
@@ -106,31 +106,27 @@ def clocked(steps: DataFrame, time: str = "ts") -> DataFrame:
 
 
 class Cache(StatefulProcessor):
-    """A cache of the last CACHE keys put in, in the order in which they were; a hit does not refresh."""
+    """Caches of the runs of one bucket, each with the last CACHE keys put in, in the order in which they were; a hit does
+    not refresh.  A batch reads and writes the caches of a bucket at once."""
 
     OUT = "run_id long, step long, hit boolean"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.slots = handle.getMapState("slots", "key string", "at long")
-        self.n = handle.getValueState("n", "at long")
+        self.caches = handle.getListState("caches", "run_id long, slots array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = {k[0]: v[0] for k, v in self.slots.iterator()}
-        held, n, out = dict(sorted(before.items(), key=lambda x: x[1])), self.n.get()[0] if self.n.exists() else 0, []
-        for r in sorted((r for b in rows for r in b.itertuples()), key=lambda r: r.step):
-            out.append((key[0], r.step, r.key in held))
-            if r.key not in held:
-                held[r.key] = n
-                n += 1
+        caches = {r[0]: list(r[1]) for r in self.caches.get()} if self.caches.exists() else {}
+        steps = pd.concat(list(rows), ignore_index=True).sort_values(["run_id", "step"], kind="stable")
+        hits = []
+        for run, name in zip(steps["run_id"], steps["key"]):
+            held = caches.setdefault(run, [])
+            hits.append(name in held)
+            if not hits[-1]:
+                held.append(name)
                 if len(held) > CACHE:
-                    del held[next(iter(held))]
-        for k in before.keys() - held.keys():
-            self.slots.removeKey((k,))
-        for k, at in held.items():
-            if before.get(k) != at:
-                self.slots.updateValue((k,), (at,))
-        self.n.update((n,))
-        yield pd.DataFrame(out, columns=["run_id", "step", "hit"])
+                    del held[0]
+        self.caches.put(list(caches.items()))
+        yield steps[["run_id", "step"]].assign(hit=hits)
 
     def close(self) -> None:
         pass
@@ -138,4 +134,4 @@ class Cache(StatefulProcessor):
 
 def cached(steps: DataFrame) -> DataFrame:
     """``steps`` has run_id, step and key."""
-    return keyed(steps, Cache(), Cache.OUT, "append", "none")
+    return keyed(bucketed(steps, "run_id"), Cache(), Cache.OUT, "append", "none", "bucket")

@@ -180,6 +180,15 @@ def test_cache_over_batches_equals_one_pass(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_a_bucket_of_caches_costs_two_calls_a_batch():
+    bucket, store = loop.Cache(), Store()
+    bucket.init(store)
+    for part in range(3):
+        rows = pd.DataFrame([(run, part * 9 + k, f"k{k % 8}") for run in range(200) for k in range(9)], columns=["run_id", "step", "key"])
+        got = pd.concat(bucket.handleInputRows((0,), iter([rows[::2], rows[1::2]]), None))
+        assert len(got) == 1800 and store.calls <= 2 * (part + 1) and {r for r, _ in store.held} == set(range(200))
+
+
 class Lost(Exception):
     pass
 
