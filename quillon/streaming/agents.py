@@ -247,39 +247,46 @@ def stable_tokens(values: DataFrame) -> DataFrame:
 
 
 class Questions(StatefulProcessor):
-    """One open question of a run: answered in time, closed by a newer one, or skipped by its timer."""
+    """The open questions of one bucket of runs, one a run: answered in time, closed by a newer one, or skipped by the timer.
+
+    A batch reads and writes them at once; the timer of a bucket is that of its first question to be skipped.
+    """
 
     OUT = "run_id long, seq long, outcome string, answer string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "seq long, until long")
+        self.open = handle.getListState("open", "run_id long, seq long, until long")
+
+    def held(self) -> dict:
+        return {r[0]: (r[1], r[2]) for r in self.open.get()} if self.open.exists() else {}
 
-    def closed(self, key, outcome: str, answer: str = "") -> tuple:
-        seq, until = self.open.get()
-        self.open.clear()
-        self.handle.deleteTimer(until)
-        return (key[0], seq, outcome, answer)
+    def keep(self, held: dict) -> None:
+        if held:
+            self.open.put([(run, seq, until) for run, (seq, until) in held.items()])
+            self.handle.registerTimer(min(until for _, until in held.values()))
+        else:
+            self.open.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for r in sorted((r for b in rows for r in b.itertuples()), key=lambda r: (r.ms, r.kind != "question", r.seq)):
-            if self.open.exists() and (r.ms >= self.open.get()[1] or (r.kind == "question" and r.seq > self.open.get()[0])):
-                out.append(self.closed(key, "skipped"))
-            if r.kind == "question":
-                until = int(r.ms) + QUESTION_TIMEOUT_MS
-                self.open.update((int(r.seq), until))
-                self.handle.registerTimer(until)
-            elif self.open.exists() and self.open.get()[0] == r.seq and r.answer:
-                out.append(self.closed(key, "answered", r.answer))
+        held, out = self.held(), []
+        told = pd.concat(list(rows), ignore_index=True)
+        told = told.assign(later=told["kind"] != "question").sort_values(["run_id", "ms", "later", "seq"], kind="stable")
+        for run, seq, kind, answer, ms in zip(*(told[c].tolist() for c in ("run_id", "seq", "kind", "answer", "ms"))):
+            if run in held and (ms >= held[run][1] or (kind == "question" and seq > held[run][0])):
+                out.append((run, held.pop(run)[0], "skipped", ""))
+            if kind == "question":
+                held[run] = (seq, ms + QUESTION_TIMEOUT_MS)
+            elif run in held and held[run][0] == seq and answer:
+                out.append((run, held.pop(run)[0], "answered", answer))
+        self.keep(held)
         yield pd.DataFrame(out, columns=["run_id", "seq", "outcome", "answer"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = []
-        if self.open.exists() and self.open.get()[1] == expiredTimerInfo.getExpiryTimeInMs():
-            seq, _ = self.open.get()
-            self.open.clear()
-            rows = [(key[0], seq, "skipped", "")]
+        held, passed = self.held(), timerValues.getCurrentWatermarkInMs()
+        rows = [(run, seq, "skipped", "") for run, (seq, until) in held.items() if until <= passed]
+        if rows:
+            self.keep({run: q for run, q in held.items() if q[1] > passed})
         yield pd.DataFrame(rows, columns=["run_id", "seq", "outcome", "answer"])
 
     def close(self) -> None:
@@ -289,4 +296,4 @@ class Questions(StatefulProcessor):
 def question_outcomes(events: DataFrame, time: str = "ts") -> DataFrame:
     """``events`` has run_id, seq, kind (question or answer), answer and a time; outcomes as they are known."""
     timed = events.withWatermark(time, LATENESS).withColumn("ms", F.unix_millis(F.col(time)))
-    return keyed(timed, Questions(), Questions.OUT, "append", "eventTime")
+    return keyed(bucketed(timed, "run_id"), Questions(), Questions.OUT, "append", "eventTime", "bucket")

@@ -189,6 +189,20 @@ def test_a_bucket_of_caches_costs_two_calls_a_batch():
         assert len(got) == 1800 and store.calls <= 2 * (part + 1) and {r for r, _ in store.held} == set(range(200))
 
 
+def test_a_bucket_of_questions_costs_two_calls_a_batch():
+    class Passed:
+        def getCurrentWatermarkInMs(self):
+            return 40_000
+
+    bucket, store = agents.Questions(), Store()
+    bucket.init(store)
+    rows = [(run, 1, "question", None, run) for run in range(300)] + [(run, 1, "answer", "yes", 5_000) for run in range(0, 300, 3)] + [(1, 2, "question", None, 20_000)]
+    got = pd.concat(bucket.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["run_id", "seq", "kind", "answer", "ms"])]), None))
+    assert len(got) == 101 and store.calls == 1 and store.timers == [25_002] and len(store.held) == 200
+    late = pd.concat(bucket.handleExpiredTimer((0,), Passed(), None))
+    assert len(late) == 199 and store.calls == 3 and store.held == [(1, 2, 45_000)] and store.timers[-1] == 45_000
+
+
 class Lost(Exception):
     pass
 
