@@ -227,15 +227,36 @@ class TokenMap(StatefulProcessor):
         self.top = handle.getMapState("top", "type string", "n int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for r in sorted((r for b in rows for r in b.itertuples()), key=lambda r: r.ord):
-            at = (r.type, r.value)
-            if not self.known.containsKey(at):
-                n = self.top.getValue((r.type,))[0] + 1 if self.top.containsKey((r.type,)) else 1
-                self.top.updateValue((r.type,), (n,))
-                self.known.updateValue(at, (n,))
-            out.append((key[0], r.ord, r.type, r.value, f"[{r.type.upper()}_{self.known.getValue(at)[0]}]"))
-        yield pd.DataFrame(out, columns=["run_id", "ord", "type", "value", "token"])
+        codes: dict[tuple, int] = {}
+        ords, own = [], []
+        for b in rows:
+            kinds, values = (pd.factorize(b[c], use_na_sentinel=False) for c in ("type", "value"))
+            pairs, at = np.unique(kinds[0] * len(values[1]) + values[0], return_inverse=True)
+            named = [(kinds[1][p // len(values[1])], values[1][p % len(values[1])]) for p in pairs]
+            own.append(np.array([codes.setdefault((t, None if pd.isna(v) else v), len(codes)) for t, v in named])[at])
+            ords.append(b["ord"].to_numpy())
+        ords, own = np.concatenate(ords), np.concatenate(own)
+        order = np.argsort(ords, kind="stable")
+        ords, own = ords[order], own[order]
+        names, tokens, top = list(codes), [""] * len(codes), {}
+        seen, first = np.unique(own, return_index=True)
+        # the store is asked once for each value of the batch, in the order of their first appearance
+        for code in seen[np.argsort(first)]:
+            kind, value = names[code]
+            n = self.known.getValue((kind, value))
+            if n is None:
+                if kind not in top:
+                    top[kind] = (self.top.getValue((kind,)) or (0,))[0]
+                top[kind] += 1
+                n = (top[kind],)
+                self.known.updateValue((kind, value), n)
+            tokens[code] = f"[{kind.upper()}_{n[0]}]"
+        for kind, n in top.items():
+            self.top.updateValue((kind,), (n,))
+        kinds, values, tokens = np.array([t for t, _ in names], dtype=object), np.array([v for _, v in names], dtype=object), np.array(tokens, dtype=object)
+        for i in range(0, len(own), MOST_OUT):
+            at = own[i : i + MOST_OUT]
+            yield pd.DataFrame({"run_id": key[0], "ord": ords[i : i + MOST_OUT], "type": kinds[at], "value": values[at], "token": tokens[at]})
 
     def close(self) -> None:
         pass

@@ -203,6 +203,31 @@ def test_a_bucket_of_questions_costs_two_calls_a_batch():
     assert len(late) == 199 and store.calls == 3 and store.held == [(1, 2, 45_000)] and store.timers[-1] == 45_000
 
 
+def test_a_batch_of_tokens_asks_the_store_once_for_each_value():
+    class Map(dict):
+        calls = 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return Map()
+
+    run = agents.TokenMap()
+    run.init(Handle())
+    rows = pd.DataFrame([(o, "ab"[o % 2], None if o % 10 == 9 else f"v{o % 10}") for o in range(5_000)], columns=["ord", "type", "value"]).sample(frac=1, random_state=1)
+    got = pd.concat(run.handleInputRows((4,), iter([rows[:2_000], rows[2_000:]]), None))
+    assert len(got) == 5_000 and run.known.calls == 20 and run.top.calls == 4
+    names = {(t, v): k // 2 + 1 for k, (t, v) in enumerate(("ab"[o % 2], None if o == 9 else f"v{o}") for o in range(10))}
+    assert all(r.token == f"[{r.type.upper()}_{names[r.type, r.value]}]" and r.run_id == 4 for r in got.itertuples())
+
+
 class Lost(Exception):
     pass
 
