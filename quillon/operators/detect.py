@@ -91,7 +91,7 @@ def classify_fields(df: DataFrame, label: str) -> DataFrame:
 
 def sensitive_types(df: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
     """Per key the set of types seen, in order of first appearance."""
-    seen = df.select(*keys, order, F.posexplode(find_matches(F.col(text))).alias("at", "m"))
+    seen = df.select(*keys, order, F.posexplode_outer(find_matches(F.col(text))).alias("at", "m")).where("m is not null")
     first = seen.groupBy(*keys, F.col("m.type").alias("type")).agg(F.min(F.struct(order, "at")).alias("first"))
     return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "type"))), lambda x: x["type"]).alias("types"))
 

@@ -78,7 +78,8 @@ def tokenize(df: DataFrame, text: str, keys: list[str], scope: list[str] | None
 def tokenize_marked(rows: DataFrame, text: str, keys: list[str], order: list[str], scope: list[str] | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """As tokenize, for rows that already have ``matches``; values are numbered by ``order`` and place."""
     # the rules run once: what they find is kept, texts are read again without them
-    seen = durable(rows.select(*keys, F.posexplode("matches").alias("at", "m")).select(*keys, "at", F.col("m.*")))
+    # outer, as else Spark tells empty rows apart below every shuffle, which runs the rules there and then once more
+    seen = durable(rows.select(*keys, F.posexplode_outer("matches").alias("at", "m")).where("m is not null").select(*keys, "at", F.col("m.*")))
     table = number_tokens(seen, [*order, "at"], scope, strict)
     norm = number_key(F.col("value")) if strict else F.col("value")
     on = [*(scope or []), "type", "lookup"] if strict else [*(scope or []), "lookup"]

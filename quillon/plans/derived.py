@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.sources.io import table
+from quillon.sources.io import dealt, table
 
 K = "c_custkey"
 LETTER = "chr(cast(65 + ({0}) % 26 as int))"
@@ -64,8 +64,10 @@ BOX_SQL = "select " + ", ".join(BOX) + " from lineitem"
 STEPS_SQL = "select " + ", ".join(STEPS) + " from events"
 
 
-def kyc(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").selectExpr(*KYC)
+def kyc(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    """Identifiers of the customers; ``spread`` over all cores for queries that search them by Python's rules."""
+    customers = table(spark, folder, "customer").select(K, "c_nationkey")
+    return (dealt(customers, K) if spread else customers).selectExpr(*KYC)
 
 
 def boxes(spark: SparkSession, folder: str) -> DataFrame:

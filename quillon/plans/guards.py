@@ -40,7 +40,7 @@ def confirm_gate(spark: SparkSession, folder: str) -> DataFrame:
 )
 def rewrite_policy(spark: SparkSession, folder: str) -> DataFrame:
     # an empty field; the value again with other blanks; another value over an identifier; over a plain word; the same plain word
-    k = kyc(spark, folder).withColumn("k", F.col("c_custkey") % 5)
+    k = kyc(spark, folder, spread=True).withColumn("k", F.col("c_custkey") % 5)
     current = F.when(F.col("k") == 0, F.lit("  ")).when(F.col("k").isin(1, 2), F.concat(F.lit("to "), F.col("email"))).when(F.col("k") == 3, F.lit("plain")).otherwise(F.lit("a longer plain text"))
     typed = F.when(F.col("k") == 1, F.concat(F.lit(" to  "), F.col("email"), F.lit("\n"))).otherwise(F.lit("other"))
     long = lambda c: F.length(c) > 8  # noqa: E731  a caller's own rule of what is protected
@@ -243,7 +243,7 @@ def truth_marks(spark: SparkSession, folder: str) -> DataFrame:
       case c_custkey % 4 when 0 then 'A:password:dom' when 1 then 'B:email:dom' when 2 then 'B:name:dom' else 'B:email:text,B:pan:text' end as log from e"""
 )
 def sanitized_fields(spark: SparkSession, folder: str) -> DataFrame:
-    k = kyc(spark, folder).withColumn("k", F.col("c_custkey") % 4)
+    k = kyc(spark, folder, spread=True).withColumn("k", F.col("c_custkey") % 4)
     of = lambda *v: F.when(F.col("k") == 0, v[0]).when(F.col("k") == 1, v[1]).when(F.col("k") == 2, v[2]).otherwise(v[3])
     e = k.select(
         "c_custkey",

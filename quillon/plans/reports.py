@@ -290,7 +290,7 @@ def retained_sessions(spark: SparkSession, folder: str) -> DataFrame:
 def sensitive_types_by_key(spark: SparkSession, folder: str) -> DataFrame:
     from quillon.operators import detect
 
-    k = kyc(spark, folder).select("c_nationkey", "c_custkey", F.concat_ws(" ", F.when(F.col("c_custkey") % 3 != 0, F.col("email")), "pan").alias("text"))
+    k = kyc(spark, folder, spread=True).select("c_nationkey", "c_custkey", F.concat_ws(" ", F.when(F.col("c_custkey") % 3 != 0, F.col("email")), "pan").alias("text"))
     return detect.sensitive_types(k, ["c_nationkey"], "text", "c_custkey").withColumn("types", F.array_join("types", ","))
 
 

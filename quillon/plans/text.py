@@ -194,7 +194,7 @@ PAIRS_SQL = f"""select c_custkey, {DIGIT_SUM} % 10 = 0 as is_card, substr(d, 5,
 
 
 def _overlaps(spark: SparkSession, folder: str, strict: bool) -> DataFrame:
-    k = kyc(spark, folder).select("c_custkey", F.concat(F.lit("pay "), "upi", F.lit(" or "), "card").alias("text"))
+    k = kyc(spark, folder, spread=True).select("c_custkey", F.concat(F.lit("pay "), "upi", F.lit(" or "), "card").alias("text"))
     clean, _ = tokens.tokenize(k, "text", ["c_custkey"], strict=strict)
     return clean.select("c_custkey", F.regexp_replace("clean", "_[0-9]+", "").alias("clean"), "n_redacted")
 
@@ -216,7 +216,7 @@ def tokenize_overlap_strict(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select count(*) as n, count(*) as n_equal, cast(0 as bigint) as n_left from customer")
 def detokenize_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    k = kyc(spark, folder).select("c_custkey", F.concat(F.lit("id "), "pan", F.lit(" mail "), "email").alias("text"))
+    k = kyc(spark, folder, spread=True).select("c_custkey", F.concat(F.lit("id "), "pan", F.lit(" mail "), "email").alias("text"))
     clean, names = tokens.tokenize(k, "text", ["c_custkey"], scope=["c_custkey"])
     pairs = names.groupBy("c_custkey").agg(F.collect_list(F.struct("token", "value")).alias("pairs"))
     back = clean.join(pairs, "c_custkey", "left").withColumn("back", tokens.restore(F.col("clean"), F.col("pairs")))

@@ -7,12 +7,25 @@ from pyspark.sql import functions as F
 
 from quillon.deploy import ship
 
+#: Rows of a table that one task takes where each is searched by Python's rules.
+ROWS_EACH = 5_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str, rows: int | None = None, each: int = ROWS_EACH) -> DataFrame:
+    """The rows dealt by keys over as many tasks as they need, ``each`` a task, for work that is heavy for every row.
+
+    A small file is one split whatever the cluster's size, and Spark joins small partitions of a shuffle whose number
+    is not given.  ``rows`` says how many there are where counting the input would not tell.
+    """
+    rows = df.count() if rows is None else rows
+    return df.repartition(max(1, -(-rows // each)), *keys)
+
+
 def json_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One multi-line JSON document; corrupt ones give null fields, a missing path no rows."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -336,3 +336,19 @@ def test_small_functions(spark):
     assert one.select(X.fnv1a(F.array(F.lit(97)))).first()[0] == 0xE40C292C
     assert one.select(X.normal_key(F.lit("enter"))["key"], X.normal_key(F.lit("q"))["code"]).first()[:] == ("Enter", "Q")
     assert one.select(X.mime_type(F.lit("iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJ"))).first()[0] == "image/png"
+
+
+def test_rules_run_once_over_dealt_rows(spark, monkeypatch):
+    from quillon.plans import text
+
+    plans = []
+    kept = tokens.durable
+    monkeypatch.setattr(tokens, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    spark.range(12_000).selectExpr("id as c_custkey", "cast(0 as int) as c_nationkey").createOrReplaceTempView("many")
+    monkeypatch.setattr("quillon.plans.derived.table", lambda session, folder, name: session.table("many").coalesce(1))
+    got = text.tokenize_overlap_strict(spark, "")
+    assert got.count() == 12_000
+    # no filter runs them below the exchange that deals the rows, and a single split becomes as many tasks as its rows need
+    searched, _, below = plans[0].partition("REPARTITION_BY_NUM")
+    assert plans[0].count("ArrowEvalPython") == 1 and "ArrowEvalPython" in searched and "ArrowEvalPython" not in below
+    assert "hashpartitioning(c_custkey" in searched and ", 3)" in searched
