@@ -27,7 +27,11 @@ FRONT = 64
 REACHES = (64, 1024)
 #: Bits of the bitmap of anchors, which is broadcast: 8 MB, however many values there are.
 BITS_LOG = 26
-SLICE_BYTES = 2_000_000
+#: Bytes whose grams are numbers at a time, of one text or of many, and bytes around places that leave at a time: what a
+#: task holds beside the batch that it was given.
+SLICE_BYTES, AROUND_BYTES = 500_000, 4_000_000
+#: Values whose grams are found at a time.
+VALUES = 1_000
 
 
 def squeezed(text: Column, strip: bool = True) -> Column:
@@ -38,8 +42,10 @@ def squeezed(text: Column, strip: bool = True) -> Column:
 def spread(gram: np.ndarray) -> np.ndarray:
     """Bit numbers of grams."""
     x = gram * U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
-    return x >> U(64 - BITS_LOG)
+    x ^= x >> U(32)
+    x *= U(0xD6E8FEB86659FD93)
+    x >>= U(64 - BITS_LOG)
+    return x
 
 
 def grams(data: np.ndarray, n: int, code: int) -> np.ndarray:
@@ -70,7 +76,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def front_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, gram, off) of each value (id, code, value)."""
-    for batch in batches:
+    for batch in (whole.slice(i, VALUES) for whole in batches for i in range(0, whole.num_rows, VALUES)):
         ids, offs, found = [], [], []
         for key, code, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             n = min(code, GRAM)
@@ -98,30 +104,34 @@ def prober(bits: Broadcast, reach: dict[int, int], kept: int) -> Callable[[Itera
         held = np.frombuffer(bits.value, U)
         for batch in batches:
             data, ends = bytes_of(batch.column(kept))
-            i, n = 0, batch.num_rows
-            while i < n:
-                j = min(n, max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_BYTES, side="right")) - 1))
-                yield from places(batch, data, ends, i, j, held)
-                i = j
+            for lo in range(int(ends[0]), int(ends[-1]), SLICE_BYTES):
+                yield from places(batch, data, ends, lo, held)
+            del batch, data, ends  # before the next one is read
 
-    def places(batch: pa.RecordBatch, data: np.ndarray, ends: np.ndarray, i: int, j: int, held: np.ndarray) -> Iterator[pa.RecordBatch]:
-        part, low = data[ends[i] : ends[j]], ends[i]
+    def places(batch: pa.RecordBatch, data: np.ndarray, ends: np.ndarray, lo: int, held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of the grams that start in the slice at ``lo``; they and what is around them may end beyond it."""
         for code, most in reach.items():
-            own = grams(part, min(code, GRAM), code)
+            n = min(code, GRAM)
+            own = grams(data[lo : min(lo + SLICE_BYTES + n - 1, int(ends[-1]))], n, code)
             bit = spread(own)
             at = np.flatnonzero((held[bit >> U(6)] >> (bit & U(63))) & U(1))
-            row = np.searchsorted(ends, at + low, side="right") - 1
-            inside = at + low + min(code, GRAM) <= ends[row + 1]
-            at, row = at[inside], row[inside]
+            own, at = own[at], at + lo
+            row = np.searchsorted(ends, at, side="right") - 1
+            inside = at + n <= ends[row + 1]
+            own, at, row = own[inside], at[inside], row[inside]
             if code < GRAM and len(at):  # the gram is the value: one place of a text tells
-                _, one = np.unique(np.stack([row, own[at].view(np.int64)]), axis=1, return_index=True)
-                at, row = at[one], row[one]
-            start = np.maximum(at - FRONT if code >= GRAM else at, ends[row] - low)
-            stop = np.minimum(at + most, ends[row + 1] - low)
-            around = [part[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-            columns = [c.take(pa.array(row)) for c in batch.columns[:kept]]
-            more = [pa.array(own[at].view(np.int64)), pa.array(at - start, pa.int64()), pa.array(around, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *more], [*batch.schema.names[:kept], "__gram", "__before", "__around"])
+                _, one = np.unique(np.stack([row, own.view(np.int64)]), axis=1, return_index=True)
+                own, at, row = own[one], at[one], row[one]
+            start = np.maximum(at - FRONT if code >= GRAM else at, ends[row])
+            stop = np.minimum(at + most, ends[row + 1])
+            sent, i = np.cumsum(stop - start), 0
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(sent, (sent[i - 1] if i else 0) + AROUND_BYTES, side="right")))
+                around = [data[a:b].tobytes() for a, b in zip(start[i:j].tolist(), stop[i:j].tolist(), strict=True)]
+                columns = [c.take(pa.array(row[i:j])) for c in batch.columns[:kept]]
+                more = [pa.array(own[i:j].view(np.int64)), pa.array(at[i:j] - start[i:j], pa.int64()), pa.array(around, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *more], [*batch.schema.names[:kept], "__gram", "__before", "__around"])
+                i = j
 
     return run
 

@@ -352,3 +352,31 @@ def test_rules_run_once_over_dealt_rows(spark, monkeypatch):
     searched, _, below = plans[0].partition("REPARTITION_BY_NUM")
     assert plans[0].count("ArrowEvalPython") == 1 and "ArrowEvalPython" in searched and "ArrowEvalPython" not in below
     assert "hashpartitioning(c_custkey" in searched and ", 3)" in searched
+
+
+def test_places_take_little_memory_beside_their_batch():
+    """A long text, and places close together: both are gone through in slices, and nothing is lost at their ends."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quillon.operators import containment as C
+
+    long = b"x" * 1_999_997 + b"needle" + b"y" * 4_000_000
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([b"needle" * 40_000, long, b"needl"], pa.binary())], ["doc", "body"])
+    held = np.zeros(1 << (C.BITS_LOG - 6), np.uint64)
+    bit = C.spread(C.grams(np.frombuffer(b"needle", np.uint8), 6, 7))[0]
+    held[bit >> np.uint64(6)] |= np.uint64(1) << (bit & np.uint64(63))
+    probe = C.prober(SimpleNamespace(value=held.tobytes()), {7: 1024}, 1)
+    found, largest = [], 0
+    tracemalloc.start()
+    for out in probe(iter([batch])):
+        largest = max(largest, out.nbytes)
+        around = [(d, b, a[b : b + 6]) for d, b, a in zip(out["doc"].to_pylist(), out["__before"].to_pylist(), out["__around"].to_pylist(), strict=True)]
+        found += [d for d, b, a in around if a == b"needle"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.count(7) == 40_000 and found.count(8) == 1 and 9 not in found
+    assert largest < 8e6 and peak < 60e6, (largest, peak)
