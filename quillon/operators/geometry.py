@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.io import dealt
+
 
 def area(w: Column, h: Column) -> Column:
     return F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))
@@ -121,8 +123,8 @@ def not_near(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int
     return a.join(b, on, "left_anti").drop("__cx", "__cy")
 
 
-#: Height of the bands that a page is cut into before its boxes are swept.
-BAND = 256
+#: Height of the bands that a page is cut into before its boxes are swept, and pieces of boxes that a task sweeps.
+BAND, PIECES = 256, 100_000
 
 
 def covered_areas(boxes: DataFrame, keys: list[str], width: int | None = None, height: int | None = None, groups: dict[str, Column] | None = None) -> DataFrame:
@@ -138,10 +140,13 @@ def covered_areas(boxes: DataFrame, keys: list[str], width: int | None = None, h
         x0, x1 = F.greatest(x0, F.lit(0)), F.least(x1, F.lit(width))
     if height is not None:
         y0, y1 = F.greatest(y0, F.lit(0)), F.least(y1, F.lit(height))
-    flat = boxes.select(*keys, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), *[c.alias(f"in_{g}") for g, c in groups.items()]).where("x1 > x0 and y1 > y0").distinct()
-    band = F.explode(F.sequence(F.floor(F.col("y0") / BAND), F.ceil(F.col("y1") / BAND) - 1))
-    cut = flat.withColumn("band", band).withColumns({"y0": F.greatest("y0", F.col("band") * BAND), "y1": F.least("y1", (F.col("band") + 1) * BAND)})
+    flat = boxes.select(*keys, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), *[c.alias(f"in_{g}") for g, c in groups.items()]).where("x1 > x0 and y1 > y0")
+    first, last = F.floor(F.col("y0") / BAND), F.ceil(F.col("y1") / BAND) - 1
+    cut = flat.withColumn("band", F.explode(F.sequence(first, last))).withColumns({"y0": F.greatest("y0", F.col("band") * BAND), "y1": F.least("y1", (F.col("band") + 1) * BAND)})
     own = [*keys, "band"]
+    # dealt once, by the number of pieces: all steps up to the sum keep a band's rows where they are
+    pieces = flat.agg(F.coalesce(F.sum(last - first + 1), F.lit(0)).cast("long")).first()[0]
+    cut = dealt(cut, *own, rows=pieces, each=PIECES).distinct()
     edge = cut.select(*own, F.explode(F.array("y0", "y1")).alias("lo")).distinct()
     slab = edge.withColumn("hi", F.lead("lo").over(Window.partitionBy(*own).orderBy("lo"))).where("hi is not null")
     part = cut.join(slab, own).where("y0 <= lo and y1 >= hi")

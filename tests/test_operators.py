@@ -380,3 +380,18 @@ def test_places_take_little_memory_beside_their_batch():
     tracemalloc.stop()
     assert found.count(7) == 40_000 and found.count(8) == 1 and 9 not in found
     assert largest < 8e6 and peak < 60e6, (largest, peak)
+
+
+def test_a_sweep_has_tasks_by_its_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i % 40, rng.randint(0, 90), rng.randint(0, 500), rng.randint(0, 20), rng.randint(0, 300)) for i in range(600)] + [(0, 5, 5, 9, 9)] * 50
+    monkeypatch.setattr(geometry, "PIECES", 100)
+    got = geometry.union_area(spark.createDataFrame(rows, "page int, x int, y int, w int, h int"), ["page"], 100, 600)
+    pixels = {p: len({(a, b) for q, x, y, w, h in rows if q == p for a in range(x, min(100, x + w)) for b in range(y, min(600, y + h))}) for p in range(40)}
+    assert {r["page"]: r["area"] for r in got.collect()} == {p: n for p, n in pixels.items() if n}
+    pieces = sum(-(-min(600, y + h) // 256) - y // 256 for _, x, y, w, h in rows if w and h)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # boxes are dealt once, by their number, and not again before the sum of each page
+    assert "RepartitionByExpression [page#" in plan and f", {-(-pieces // 100)}" in plan
+    first = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
+    assert first.count("ENSURE_REQUIREMENTS") <= 2 and "hashpartitioning(page" in first
