@@ -122,8 +122,8 @@ def elements_of(found: DataFrame, key: str = "page_id", most: int = MOST_ELEMENT
     return out.select(key, "ord", F.col("ord").alias("id"), "tag", role(F.col("tag"), a("role"), a("type")).alias("role"), text.alias("text"), a("value").alias("value"), "attrs", "start", "stop")
 
 
-def text_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    return nodes_of(walks(pages, key, html), key)
+def text_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", guess: bool = True) -> DataFrame:
+    return nodes_of(walks(pages, key, html, guess), key)
 
 
 def nodes_of(found: DataFrame, key: str = "page_id") -> DataFrame:

@@ -44,6 +44,16 @@ def test_query(spark, duck, name):
     assert flat(got) == flat(want)
 
 
+def test_text_nodes_with_cut_references(spark, tmp_path):
+    bodies = ["token = &quot</p>", "a &amp;&amp</p><p>b &amp</p>", "R&D &copy; &copy &ampx &quot;</p><p>&amp", "x &middot", "x &quo", "x &am", "x &amp<", "x &copy</p", "&amp;quot &amp;amp;</p>&"]
+    rows = [(i, f"http://h/{i}", f"<!DOCTYPE html><html><head><title>t &amp; u</title></head><body><!-- c --><p>{b}") for i, b in enumerate(bodies)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = QUERIES["page_text_nodes"](spark, str(tmp_path)).toPandas()
+    assert flat(got) == flat(con.execute(ORACLES["page_text_nodes"]).df()) and len(got) == len(bodies)
+
+
 def test_plans_stay_in_the_engine(spark):
     for name in ("detect_card_luhn_docs", "union_area", "pixel_prf", "mask_values", "sensitive_pages", "stuck_runs", "softmax_top1"):
         plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
