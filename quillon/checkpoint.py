@@ -10,6 +10,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: The size that Spark takes a table of unknown size to have.
+UNKNOWN = (1 << 63) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,7 +39,21 @@ def durable(df: DataFrame) -> DataFrame:
     context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    return estimated(df.checkpoint(eager=True))
+
+
+def estimated(kept: DataFrame) -> DataFrame:
+    """Forgets an estimate of the size that no table can have.
+
+    A checkpoint keeps its plan's estimate, which is the product of those of the joined sides.  In a loop its digits would
+    double from round to round, to millions of them, which fill the driver and take it minutes to multiply.
+    """
+    plan, jvm = kept._jdf.logicalPlan(), kept.sparkSession._jvm
+    if plan.stats().sizeInBytes() <= UNKNOWN:
+        return kept
+    known = [plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream()]
+    plan = plan.copy(*known, kept._jdf.sparkSession(), jvm.scala.Option.empty(), jvm.scala.Option.apply(plan.constraints()))
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(kept._jdf.sparkSession(), plan), kept.sparkSession)
 
 
 def remove(spark: SparkSession, path: str) -> None:

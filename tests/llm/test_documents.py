@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.llm import cube_mix, decontaminate, near_minhash, substring_dedup
 from quillon.llm.arrays import PUNCT, Rolling, Words, sliding_min, text_buffers
 from quillon.llm.graph import components
+from quillon.llm.store import settled
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -316,6 +317,15 @@ def test_components_of_long_paths(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_size_estimates_of_rounds_stay_small(spark):
+    up = settled(spark.range(40).select(F.col("id").alias("v"), F.greatest(F.col("id") - 1, F.lit(0)).alias("p")))
+    for _ in range(8):  # each round joins the table to itself, and so would square its estimate
+        jump = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        up = settled(up.join(jump, "p").select("v", F.col("q").alias("p")))
+        assert up._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
+    assert {tuple(r) for r in up.collect()} == {(i, 0) for i in range(40)}
+
+
 def test_array_primitives():
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab \n\t\x0b\x0c\rcé ") for _ in range(rng.randint(0, 70))) for _ in range(200)] + [None, ""]
