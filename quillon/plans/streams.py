@@ -109,10 +109,10 @@ ASKED = "epoch_ms(ts) // 100000"
 def step_clock_stream(spark: SparkSession, folder: str) -> DataFrame:
     ms = F.call_function("div", rounded_millis(F.col("ts")), F.lit(100_000).cast("long"))
     e = events(spark, folder).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), (F.col("event_type") == "error").alias("failed"), F.timestamp_millis(ms).alias("ts"))
-    # a tick, long after every step that waits, in each run: timers of a run go off when the watermark has passed them
-    last = e.agg(F.unix_millis(F.max("ts"))).first()[0] or 0
-    ticks = e.select("run_id").distinct().select("run_id", F.lit(-1).cast("long").alias("step"), F.lit(False).alias("failed"), F.timestamp_millis(F.lit(last + 10_000_000)).alias("ts"))
-    return replay.run([(timed(e.union(ticks)), "at")], loop.clocked).where("step >= 0").select("run_id", "step", "started", "waited")
+    # a tick after the last step's time and all gaps of any run: by then every step may start, and the watermark lets it go
+    gap = F.when(F.col("failed"), loop.COOLDOWN_MS).otherwise(loop.THROTTLE_MS)
+    spent = e.groupBy("run_id").agg(F.sum(gap).alias("gaps")).agg(F.max("gaps")).first()[0] or 0
+    return replay.run([(timed(tick(e, -(-spent // 1000) + 601)), "at")], loop.clocked).where("step >= 0").select("run_id", "step", "started", "waited")
 
 
 @query(

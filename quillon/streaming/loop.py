@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quillon.streaming.agents import LATENESS, bucketed, keyed
+from quillon.streaming.agents import LATENESS, MOST_OUT, bucketed, keyed
 
 #: Between steps; and after a failed one.
 THROTTLE_MS, COOLDOWN_MS = 750, 18_000
@@ -66,34 +68,62 @@ def frames(chunks: DataFrame) -> DataFrame:
     return keyed(chunks, Frames(), Frames.OUT, "append", "none")
 
 
+def packed(rows: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(rows).read_pandas()
+
+
 class StepClock(StatefulProcessor):
     """When each step of a run starts: not before the one before it has started and its gap has passed.
 
-    Steps that must wait are let go by a timer, in the order in which they were asked for.
+    The runs of one bucket share a state: when each is free again, and the steps that wait, packed as one Arrow table for
+    each batch.  Steps are let go by the timer of the first one that waits, with all that may start by then.
     """
 
     OUT = "run_id long, step long, started long, waited long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.free = handle.getValueState("free", "at long")
-        self.waiting = handle.getMapState("waiting", "started long", "step long, asked long")
+        self.free = handle.getValueState("free", "rows binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        free = self.free.get()[0] if self.free.exists() else 0
-        for r in sorted((r for b in rows for r in b.itertuples()), key=lambda r: (r.ms, r.step)):
-            start = max(int(r.ms), free)
-            free = start + (COOLDOWN_MS if r.failed else THROTTLE_MS)
-            self.waiting.updateValue((start,), (int(r.step), int(r.ms)))
-            self.handle.registerTimer(start)
-        self.free.update((free,))
+        steps = pd.concat(list(rows), ignore_index=True).sort_values(["run_id", "ms", "step"], kind="stable", ignore_index=True)
+        old = unpacked(self.free.get()[0]) if self.free.exists() else pd.DataFrame({"run_id": steps["run_id"][:0], "free": steps["ms"][:0]})
+        gap = pd.Series(np.where(steps["failed"].eq(True), COOLDOWN_MS, THROTTLE_MS))
+        runs = steps["run_id"]
+        before = gap.groupby(runs, dropna=False).cumsum() - gap
+        # before a run's gaps so far, the latest of its times: of its steps, and of when it was free
+        at = steps[["run_id"]].merge(old, "left", on="run_id")["free"].astype("float64")
+        latest = (steps["ms"] - before).groupby(runs, dropna=False).cummax()
+        started = before + np.fmax(latest, at).astype("int64")
+        free = pd.DataFrame({"run_id": runs, "free": started + gap}).drop_duplicates("run_id", keep="last")
+        self.free.update((packed(pd.concat([old, free]).drop_duplicates("run_id", keep="last")),))
+        self.waiting.appendValue((packed(pd.DataFrame({"run_id": runs, "step": steps["step"], "started": started, "waited": started - steps["ms"]})),))
+        self.handle.registerTimer(int(started.min()))
         yield pd.DataFrame([], columns=["run_id", "step", "started", "waited"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        step, asked = self.waiting.getValue((due,))  # no two steps of a run start at once
-        self.waiting.removeKey((due,))
-        yield pd.DataFrame([(key[0], step, due, due - asked)], columns=["run_id", "step", "started", "waited"])
+        held = [unpacked(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True)
+        due = rows["started"] <= timerValues.getCurrentWatermarkInMs()
+        left, gone = rows[~due], rows[due]
+        if len(left):
+            self.waiting.put([(packed(left),)])
+            self.handle.registerTimer(int(left["started"].min()))
+        else:
+            self.waiting.clear()
+        for i in range(0, len(gone), MOST_OUT):
+            yield gone[i : i + MOST_OUT]
 
     def close(self) -> None:
         pass
@@ -102,7 +132,9 @@ class StepClock(StatefulProcessor):
 def clocked(steps: DataFrame, time: str = "ts") -> DataFrame:
     """``steps`` has run_id, step, failed and a time."""
     timed = steps.withWatermark(time, LATENESS).select("run_id", "step", "failed", F.unix_millis(F.col(time)).alias("ms"), time)
-    return keyed(timed, StepClock(), StepClock.OUT, "append", "eventTime")
+    # steps of no run, whose null would make floats of other numbers, have a bucket of their own
+    own = F.when(F.col("run_id").isNull(), -1).otherwise(F.col("bucket"))
+    return keyed(bucketed(timed, "run_id").withColumn("bucket", own), StepClock(), StepClock.OUT, "append", "eventTime", "bucket")
 
 
 class Cache(StatefulProcessor):

@@ -86,6 +86,18 @@ def test_step_clock_counts_milliseconds_as_its_sql(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()), name
 
 
+@pytest.mark.parametrize("times", [["2024-01-25 15:21:39"] * 6000, ["2024-01-25 15:21:39", "2024-02-25 15:21:39"]])
+def test_step_clock_lets_go_of_long_runs(spark, tmp_path, times):
+    rows = [(i, None if i % 7 == 5 else i % 2, "error" if i % 3 == 0 else None if i % 5 == 0 else "view", t) for i, t in enumerate(times)]
+    rows = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, t string")
+    rows.select("event_id", "user_id", "event_type", F.to_timestamp_ntz("t").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES["step_clock_stream"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({ORACLES['step_clock_stream']})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) == len(times)
+
+
 def test_steps_without_vision_are_skipped_by_the_watermark(spark):
     at = lambda rows, schema: spark.createDataFrame(rows, schema + ", sec long").withColumn("ts", F.timestamp_seconds(F.col("sec") + 1_700_000_000))
     scans = at([(1, 1, 2, 0, 0), (1, 2, 2, 0, 10), (1, 2, 2, 0, 10), (1, 3, 0, 0, 20), (1, 4, 2, 3, 30), (1, 5, 2, 0, 40), (1, 6, 2, None, 50), (9, 9, 0, 0, 99_999)], "run_id long, step long, regions long, hits long")
@@ -165,6 +177,67 @@ def test_a_bucket_of_requests_costs_few_calls_to_its_state(once):
     assert store.calls <= 12 and store.held is None and len(store.timers) == 5
 
 
+class Handle:
+    """The states of one group in memory, with the number of calls that they took."""
+
+    def __init__(self):
+        self.calls, self.timers, self.states = 0, [], {}
+
+    def getValueState(self, name, _):
+        handle = self
+
+        class State:
+            exists = lambda _: bool(handle.states.get(name))
+            clear = lambda _: handle.states.pop(name)
+
+            def get(self):
+                handle.calls += 1
+                return handle.states[name]
+
+            def update(self, held):
+                handle.calls += 1
+                handle.states[name] = held
+
+            put = update
+
+            def appendValue(self, held):
+                self.update([*handle.states.get(name, []), held])
+
+        return State()
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.passed
+
+
+def test_a_bucket_of_clocks_costs_few_calls_a_batch():
+    rng = random.Random(11)
+    free, want, got = {}, set(), []
+    bucket, handle = loop.StepClock(), Handle()
+    bucket.init(handle)
+    for part in range(3):
+        rows = [(run, part * 9 + k, rng.choice([True, False, None]), part * 20_000 + rng.choice([0, 9, 900, 9_000])) for run in range(200) for k in range(9) if (run + part) % 5]
+        for run, step, failed, ms in sorted(rows, key=lambda r: (r[3], r[1])):
+            start = max(ms, free.get(run, 0))
+            free[run] = start + (loop.COOLDOWN_MS if failed else loop.THROTTLE_MS)
+            want.add((run, step, start, start - ms))
+        rng.shuffle(rows)
+        batch = pd.DataFrame(rows, columns=["run_id", "step", "failed", "ms"])
+        assert not len(pd.concat(bucket.handleInputRows((0,), iter([batch[::2], batch[1::2]]), handle)))
+        handle.passed = part * 20_000 + 5_000
+        told = list(bucket.handleExpiredTimer((0,), handle, None))
+        assert all((t["started"] <= handle.passed).all() for t in told) and handle.calls <= 8 * (part + 1)
+        got += told
+    handle.passed = 10**9
+    got += [*bucket.handleExpiredTimer((0,), handle, None), *bucket.handleExpiredTimer((0,), handle, None)]
+    got = pd.concat(got)
+    assert len(got) == len(want) and set(got.itertuples(index=False, name=None)) == want and len(handle.timers) == 6
+
+
 def test_cache_over_batches_equals_one_pass(spark):
     rng = random.Random(9)
     rows, want = [], set()
